@@ -29,7 +29,8 @@ from worktempo.functions.clock import MINUTE_US, micros
 from worktempo.functions.columns import local_day_of, zero
 
 
-def _with_previous(slots: DataFrame, keys: Sequence[str], by_day: bool) -> DataFrame:
+def linked(slots: DataFrame, keys: Sequence[str], by_day: bool = False) -> DataFrame:
+    """Level two: add prev_last, the last instant of the key's previous slot."""
     part = [*keys, "local_day"] if by_day else list(keys)
     return slots.withColumn("prev_last", F.lag("last_t").over(Window.partitionBy(*part).orderBy("slot")))
 
@@ -42,15 +43,11 @@ def span_slots(hb: DataFrame, keys: Sequence[str], *aggs: Column, by_day: bool =
     slots = hb.groupBy(*keys, "local_day", "slot").agg(
         F.min("t").alias("first_t"), F.max("t").alias("last_t"), *aggs
     )
-    slots = slots.withColumn("inner_us", F.col("last_t") - F.col("first_t"))
-    return _with_previous(slots, keys, by_day)
+    return linked(slots.withColumn("inner_us", F.col("last_t") - F.col("first_t")), keys, by_day)
 
 
-def flagged_slots(
-    hb: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], *aggs: Column, by_day: bool = False
-) -> DataFrame:
-    """As ``span_slots`` plus, per flag f, inner_f_us (gaps inside the slot whose later row has f) and first_f
-    (f of the slot's first row, which owns the gap from the previous slot)."""
+def flagged_slot_rows(hb: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], *aggs: Column) -> DataFrame:
+    """Level one of ``flagged_slots``. It needs nothing outside a local day, so it can be kept as a table by day."""
     rows = hb
     for name, cond in flags.items():
         rows = rows.withColumn(f"f_{name}", cond)
@@ -64,8 +61,15 @@ def flagged_slots(
     slots = rows.groupBy(*keys, "local_day", "slot").agg(
         F.min("t").alias("first_t"), F.max("t").alias("last_t"), *per_flag, *aggs
     )
-    slots = slots.withColumn("inner_us", F.col("last_t") - F.col("first_t"))
-    return _with_previous(slots, keys, by_day)
+    return slots.withColumn("inner_us", F.col("last_t") - F.col("first_t"))
+
+
+def flagged_slots(
+    hb: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], *aggs: Column, by_day: bool = False
+) -> DataFrame:
+    """As ``span_slots`` plus, per flag f, inner_f_us (gaps inside the slot whose later row has f) and first_f
+    (f of the slot's first row, which owns the gap from the previous slot)."""
+    return linked(flagged_slot_rows(hb, keys, flags, *aggs), keys, by_day)
 
 
 def grouped_slots(hb: DataFrame, keys: Sequence[str], attrs: Sequence[str], *aggs: Column) -> DataFrame:

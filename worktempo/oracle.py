@@ -583,6 +583,27 @@ def _ledger_delete(name: str, source: str, id_column: str, when: str) -> str:
     return _with(name, hb=False) + f"SELECT {cols} FROM {name} WHERE id NOT IN (SELECT {id_column} FROM {source} WHERE {when})"
 
 
+# --- streams --------------------------------------------------------------------------------------------------
+
+# All heartbeats, and the watermark after the last one: ten minutes behind, in milliseconds.
+_STREAM = [("s", f"SELECT *, epoch_us(time) AS t, ({_AI}) AS ai, lower(coalesce(category, '')) = 'browsing' AS br, "
+                 f"CAST(time + INTERVAL 3 HOUR AS DATE) AS day FROM ({table_sql('heartbeats')}) h"),
+           ("mark", "SELECT max(t) // 1000 * 1000 - 600000000 AS w FROM s")]
+
+
+def _instant(us: str) -> str:
+    return _fmt(f"make_timestamp(CAST({us} AS BIGINT))", "%Y-%m-%d %H:%M:%S.%f")
+
+
+def _windows(minutes: int, keys: str, aggs: str) -> str:
+    """Sliding windows of whole minutes that the watermark has passed."""
+    return _with(
+        *_STREAM,
+        ("x", f"SELECT s.*, (t // 60000000 + k) * 60000000 AS stop FROM s, range(1, {minutes + 1}) r(k)"),
+        hb=False,
+    ) + f"SELECT {_instant('stop')} AS window_end, {keys}{aggs} FROM x WHERE stop <= (SELECT w FROM mark) GROUP BY {keys}stop"
+
+
 _CREATED = _fmt("created_at + INTERVAL 3 HOUR", "%d/%m/%Y %H:%M")
 
 
@@ -757,5 +778,23 @@ def oracle_sql() -> dict[str, str]:
         f"{_ts(reg.RETENTION_DAYS_AS_OF)} - INTERVAL 12 MONTH GROUP BY user_id",
         "inactive_accounts": _with("users", hb=False) + f"SELECT id, email FROM users WHERE id NOT IN (SELECT user_id FROM ({table_sql('heartbeats')}) h "
         f"WHERE time >= {_ts(reg.INACTIVE_AS_OF)} - INTERVAL 6 MONTH)",
+        "stream_active_now": _windows(
+            10, "user_id, ", f"count(*) AS recent_hb, {_instant('max(t)')} AS last_ts, bool_or(ai) AS is_ai, "
+            "max(project) FILTER (WHERE type = 'file') AS project, max(language) AS language, max(editor) AS editor"),
+        "stream_heartbeat_rate": _windows(5, "", "count(*) AS heartbeats, CAST(count(*) AS DOUBLE) / 5 AS per_minute"),
+        "stream_sessions": _with(
+            *_STREAM,
+            ("g", "SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, id) AS gap FROM s"),
+            ("n", "SELECT *, count(*) FILTER (WHERE gap > 600000000) OVER (PARTITION BY user_id ORDER BY t, id) AS part FROM g"),
+            ("z", "SELECT user_id, min(t) AS a, max(t) AS b, count(*) AS heartbeats FROM n GROUP BY user_id, part"),
+            hb=False,
+        ) + f"SELECT user_id, {_instant('a')} AS first_ts, {_instant('b')} AS last_ts, heartbeats, b - a AS active_us FROM z "
+            "WHERE b + 600000000 <= (SELECT w FROM mark)",
+        "stream_attributed": _with(
+            *_STREAM,
+            ("o", "SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, id) AS gap FROM s WHERE day <= DATE '2024-01-26'"),
+            hb=False,
+        ) + f"SELECT user_id, count(*) AS heartbeats, {_act()} AS coding_seconds, {_act('NOT br')} AS ide_coding_seconds, "
+            f"{_act('br')} AS browsing_seconds, {_act('ai')} AS ai_coding_seconds FROM o GROUP BY user_id",
     }
     return found

@@ -19,6 +19,7 @@ from worktempo.plans import (
     alerts, catalog, export, ledgers, period, platform, productivity, realtime, sites, summary, user_detail,
 )
 from worktempo.sources.derived import AS_OF, heartbeats, table
+from worktempo.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -225,5 +226,9 @@ def queries() -> dict[str, Query]:
         "heartbeat_rate": _at(platform.heartbeat_rate, _hb()),
         "retention_kept": _retention,
         "inactive_accounts": _of(upkeep.inactive_accounts, _hb(end=None), "users", as_of=INACTIVE_AS_OF),
+        "stream_active_now": replay.stream_active_now,
+        "stream_sessions": replay.stream_sessions,
+        "stream_heartbeat_rate": replay.stream_heartbeat_rate,
+        "stream_attributed": replay.stream_attributed,
     }
     return found

@@ -15,39 +15,43 @@ BROWSING_CATEGORY = "browsing"
 SITE_TYPES = ["domain", "url"]
 
 
-def _lowered(name: str) -> Column:
-    return F.lower(F.coalesce(F.col(name), F.lit("")))
+def _any_word(column: str, words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(coalesce({column}, '')), '{w}')" for w in words)
+
+
+# Predicates are kept as SQL text: one call into the JVM each, however many terms they have.
+_AI = (
+    f"lower(coalesce(category, '')) = '{AI_CATEGORY}' OR {_any_word('editor', AI_EDITORS)} "
+    f"OR {_any_word('user_agent', AI_USERAGENT_KEYWORDS)}"
+)
+_BROWSING = f"lower(coalesce(category, '')) = '{BROWSING_CATEGORY}'"
+_SITE = f"type IN ({', '.join(repr(t) for t in SITE_TYPES)})"
 
 
 def is_ai() -> Column:
     """Editor or user agent holds an AI keyword, or the category says so. NULLs count as false."""
-    hit = _lowered("category") == AI_CATEGORY
-    for word in AI_EDITORS:
-        hit = hit | _lowered("editor").contains(word)
-    for word in AI_USERAGENT_KEYWORDS:
-        hit = hit | _lowered("user_agent").contains(word)
-    return hit
+    return F.expr(_AI)
 
 
 def is_browsing() -> Column:
     """A NULL category counts as IDE time, not browsing."""
-    return _lowered("category") == BROWSING_CATEGORY
+    return F.expr(_BROWSING)
 
 
 def is_file() -> Column:
-    return F.coalesce(F.col("type") == "file", F.lit(False))
+    return F.expr("coalesce(type = 'file', false)")
 
 
 def is_site() -> Column:
-    return F.coalesce(F.col("type").isin(SITE_TYPES), F.lit(False))
+    return F.expr(f"coalesce({_SITE}, false)")
 
 
 def site_rows() -> Column:
-    return F.col("type").isin(SITE_TYPES) & (F.col("entity") != "")
+    return F.expr(f"{_SITE} AND entity <> ''")
 
 
 def file_rows() -> Column:
-    return (F.col("type") == "file") & (F.col("entity") != "")
+    return F.expr("type = 'file' AND entity <> ''")
 
 
 def zero() -> Column:
@@ -58,15 +62,14 @@ def or_zero(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, zero())
 
 
-def floor_div(value: Column, width: int) -> Column:
-    """Floor division of a BIGINT column, also right for instants before the epoch."""
-    width_col = F.lit(width).cast("bigint")
-    return F.call_function("div", value - F.pmod(value, width_col), width_col)
+def floor_div(value: str, width: int) -> str:
+    """SQL text of a floor division of a BIGINT, also right for instants before the epoch."""
+    return f"(({value}) - pmod({value}, {width}L)) div {width}L"
 
 
 def seconds(us: Column | str) -> Column:
-    """Microseconds to whole seconds, half up; NULL counts as zero."""
-    return floor_div(or_zero(us) + F.lit(500_000), 1_000_000)
+    """Microseconds (never negative) to whole seconds, half up; NULL counts as zero."""
+    return F.call_function("div", or_zero(us) + F.lit(500_000), F.lit(1_000_000))
 
 
 def round_even(value: Column) -> Column:
@@ -99,8 +102,9 @@ def day_text(day: Column | str) -> Column:
     return F.date_format(F.date_from_unix_date(F.col(day) if isinstance(day, str) else day), "yyyy-MM-dd")
 
 
-def local_day_of(us: Column, tz_hours: int) -> Column:
-    return floor_div(us + F.lit(tz_hours * HOUR_US), DAY_US).cast("int")
+def local_day_of(us: str, tz_hours: int) -> str:
+    """SQL text of the local day number of an instant in microseconds."""
+    return f"CAST({floor_div(f'{us} + {tz_hours * HOUR_US}L', DAY_US)} AS INT)"
 
 
 def joined(values: Column | str) -> Column:
@@ -121,12 +125,10 @@ def dashed(value: Column | str, present: Column) -> Column:
     return F.when(present, F.col(value) if isinstance(value, str) else value).otherwise(F.lit("-"))
 
 
-def duration_text(secs: Column) -> Column:
+def duration_text(name: str) -> Column:
     """'2sa 5dk', '5dk', or '-' for nothing."""
-    hours = floor_div(secs, 3600)
-    minutes = floor_div(F.pmod(secs, F.lit(3600).cast("bigint")), 60)
-    return (
-        F.when(F.coalesce(secs, zero()) == 0, F.lit("-"))
-        .when(hours > 0, F.format_string("%dsa %ddk", hours, minutes))
-        .otherwise(F.format_string("%ddk", minutes))
+    return F.expr(
+        f"CASE WHEN coalesce({name}, 0) = 0 THEN '-' "
+        f"WHEN {name} >= 3600 THEN format_string('%dsa %ddk', {name} div 3600, {name} % 3600 div 60) "
+        f"ELSE format_string('%ddk', {name} % 3600 div 60) END"
     )

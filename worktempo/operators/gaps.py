@@ -48,16 +48,13 @@ def span_slots(hb: DataFrame, keys: Sequence[str], *aggs: Column, by_day: bool =
 
 def flagged_slot_rows(hb: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], *aggs: Column) -> DataFrame:
     """Level one of ``flagged_slots``. It needs nothing outside a local day, so it can be kept as a table by day."""
-    rows = hb
-    for name, cond in flags.items():
-        rows = rows.withColumn(f"f_{name}", cond)
+    rows = hb.withColumns({f"f_{name}": cond for name, cond in flags.items()})
     inside = Window.partitionBy(*keys, "local_day", "slot").orderBy("t", "id")
     rows = rows.withColumn("gap", F.col("t") - F.lag("t").over(inside))
     per_flag: list[Column] = []
     for name in flags:
-        own = F.col(f"f_{name}")
-        per_flag.append(F.sum(F.when(own, F.col("gap"))).alias(f"inner_{name}_us"))
-        per_flag.append(F.bool_or(F.when(F.col("gap").isNull(), own)).alias(f"first_{name}"))
+        per_flag.append(F.expr(f"sum(CASE WHEN f_{name} THEN gap END) AS inner_{name}_us"))
+        per_flag.append(F.expr(f"bool_or(CASE WHEN gap IS NULL THEN f_{name} END) AS first_{name}"))
     slots = rows.groupBy(*keys, "local_day", "slot").agg(
         F.min("t").alias("first_t"), F.max("t").alias("last_t"), *per_flag, *aggs
     )
@@ -100,13 +97,14 @@ def active_us(
     slot table serves several ranges; the range must start at a local midnight. ``same_day`` does the same for
     local days.
     """
-    gap = F.col("first_t") - F.col("prev_last")
-    counts = gap <= F.lit(idle_minutes * MINUTE_US)
+    gap = "first_t - prev_last"
+    counts = f"{gap} <= {idle_minutes * MINUTE_US}"
     if since is not None:
-        counts = counts & (F.col("prev_last") >= F.lit(micros(since)))
+        counts += f" AND prev_last >= {micros(since)}"
     if same_day:
-        counts = counts & (local_day_of(F.col("prev_last"), tz_hours) == F.col("local_day"))
-    if flag is None:
-        return F.col("inner_us") + F.when(counts, gap).otherwise(zero())
-    counts = counts & F.col(f"first_{flag}")
-    return F.coalesce(F.col(f"inner_{flag}_us"), zero()) + F.when(counts, gap).otherwise(zero())
+        counts += f" AND {local_day_of('prev_last', tz_hours)} = local_day"
+    inner = "inner_us"
+    if flag is not None:
+        counts += f" AND first_{flag}"
+        inner = f"coalesce(inner_{flag}_us, 0L)"
+    return F.expr(f"{inner} + CASE WHEN {counts} THEN {gap} ELSE 0L END")

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worktempo.functions.clock import DAY_US, HOUR_US, MINUTE_US
-from worktempo.functions.columns import floor_div
+from worktempo.functions.clock import HOUR_US, MINUTE_US
+from worktempo.functions.columns import floor_div, local_day_of
 
 
 def instant(value: datetime):
@@ -43,9 +43,9 @@ def with_slots(hb: DataFrame, *, tz_hours: int = 3, idle_minutes: int = 10) -> D
     inside a slot is below the idle limit.
     """
     require_utc(hb)
-    local = F.col("t") + F.lit(tz_hours * HOUR_US)
+    local = f"t + {tz_hours * HOUR_US}L"
     return (
-        hb.withColumn("t", F.unix_micros(F.col("time").cast("timestamp")))
-        .withColumn("local_day", floor_div(local, DAY_US).cast("int"))
-        .withColumn("slot", floor_div(local, idle_minutes * MINUTE_US) + F.col("local_day"))
+        hb.withColumn("t", F.expr("unix_micros(CAST(time AS TIMESTAMP))"))
+        .withColumn("local_day", F.expr(local_day_of("t", tz_hours)))
+        .withColumn("slot", F.expr(f"{floor_div(local, idle_minutes * MINUTE_US)} + local_day"))
     )

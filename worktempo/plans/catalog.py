@@ -98,7 +98,7 @@ def users_overview(
     """
     clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, None, idle_minutes=idle_minutes)
-    rows = rows.withColumn("utc_day", floor_div(F.col("t"), DAY_US))
+    rows = rows.withColumn("utc_day", F.expr(floor_div("t", DAY_US)))
     parts = cells(rows, ["user_id", "local_day", "utc_day", "project", "language"])
 
     def count(name, since):

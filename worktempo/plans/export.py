@@ -34,9 +34,9 @@ def report_rows(users: DataFrame, layout: str, days: int = 7) -> DataFrame:
     return users.select(
         "user_id",
         *([] if layout == "daily" else [active]),
-        duration_text(F.col("ide_coding_seconds")).alias("ide_time"),
-        duration_text(F.col("browsing_seconds")).alias("browsing_time"),
-        duration_text(F.col("ai_coding_seconds")).alias("ai_time"),
+        duration_text("ide_coding_seconds").alias("ide_time"),
+        duration_text("browsing_seconds").alias("browsing_time"),
+        duration_text("ai_coding_seconds").alias("ai_time"),
         percent,
         *([hours] if layout == "daily" else []),
         _clipped("projects", PROJECT_CHARS[layout]),
@@ -52,7 +52,7 @@ def report_boxes(team: DataFrame) -> DataFrame:
             return F.col(name).cast("string")
         if name == "team_productivity":
             return F.concat(F.lit("%"), F.col(name).cast("string"))
-        return duration_text(F.col(name))
+        return duration_text(name)
 
     items = [
         F.struct(F.lit(n).alias("position"), F.lit(label).alias("label"), text(name).alias("value"))

@@ -40,7 +40,7 @@ def heartbeat_rate(
     """
     clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, start)
-    counts = rows.groupBy(floor_div(F.col("t"), MINUTE_US).alias("minute")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(F.expr(floor_div("t", MINUTE_US)).alias("minute")).agg(F.count("*").alias("n"))
     ends = F.sequence(F.col("minute") + 1, F.col("minute") + minutes)
     spread = counts.select(F.explode(ends).alias("minute"), "n")
     sums = spread.groupBy("minute").agg(F.sum("n").alias("heartbeats"))

@@ -22,24 +22,24 @@ from worktempo.sources import schemas
 
 _HEARTBEATS = [
     [
-        "event_id", "ts", "event_type",
+        "event_id", "ts", "event_type", "epoch_us(ts) AS us",
         "CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(user_id / 4) AS BIGINT) END AS h",
     ],
     [
-        "event_id", "ts", "event_type",
-        "CASE WHEN h % 8 = 5 AND ts >= TIMESTAMP '2024-01-21 21:00:00' AND event_id % 10 < 9 THEN h + 2 ELSE h END AS u",
+        "event_id", "us", "event_type",
+        "CASE WHEN h % 8 = 5 AND us >= 1705870800000000 AND event_id % 10 < 9 THEN h + 2 ELSE h END AS u",
     ],
     [
-        "event_id", "ts", "event_type", "u",
+        "event_id", "us", "event_type", "u",
         "(event_id % 5 < 2 OR (u % 8 = 3 AND event_id % 5 < 4)) AS site",
-        "CASE WHEN u % 8 IN (4, 5) THEN INTERVAL '1215' MINUTE WHEN u % 8 IN (6, 7) THEN INTERVAL '675' MINUTE "
-        "ELSE INTERVAL '420' MINUTE END AS begins",
+        # The role's window begins at 20:15, 11:15 or 07:00; a day's seconds pass sixteen times as fast in it.
+        "us - us % 86400000000 + CASE WHEN u % 8 IN (4, 5) THEN 72900000000 WHEN u % 8 IN (6, 7) THEN 40500000000 "
+        "ELSE 25200000000 END + (us % 86400000000 - us % 1000000) / 16 AS moved",
     ],
     [
         "event_id AS id",
         "concat('user', CAST(u AS STRING)) AS user_id",
-        "CASE WHEN u = 0 THEN ts ELSE date_trunc('day', ts) + begins + "
-        "(date_trunc('second', ts) - date_trunc('day', ts)) / 16 END AS time",
+        "make_timestamp(CASE WHEN u = 0 THEN us ELSE CAST(moved AS BIGINT) END) AS time",
         "CASE WHEN site AND event_id % 16 = 3 THEN 'url' WHEN site THEN 'domain' WHEN event_id % 29 = 1 THEN 'app' "
         "ELSE 'file' END AS type",
         "CASE WHEN site AND u % 8 = 3 THEN CASE event_id % 2 WHEN 0 THEN 'https://www.netflix.com' ELSE 'https://x.com' END "
@@ -163,9 +163,19 @@ _TABLES = {
 AS_OF = datetime(2024, 1, 26, 12, 0, 0)
 
 
+# Functions that Spark names differently.
+_SPARK_NAMES = {"epoch_us(ts)": "unix_micros(CAST(ts AS TIMESTAMP))", "make_timestamp(": "timestamp_micros("}
+
+
+def _for_spark(text: str) -> str:
+    for other, own in _SPARK_NAMES.items():
+        text = text.replace(other, own)
+    return text
+
+
 def _project(df: DataFrame, stages: Sequence[Sequence[str]], schema) -> DataFrame:
     for stage in stages:
-        df = df.selectExpr(*stage)
+        df = df.selectExpr(*[_for_spark(e) for e in stage])
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 

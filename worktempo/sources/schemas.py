@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -73,7 +74,14 @@ def seed_rows() -> list[tuple[int, str, str, str, str]]:
 
 
 def seed_tags(spark: SparkSession, created_at=None) -> DataFrame:
-    return spark.createDataFrame([(*row, created_at) for row in seed_rows()], DOMAIN_TAGS)
+    """The default tags as a literal table, so that Spark knows its size."""
+    values = ", ".join(f"({n}L, {', '.join(_quoted(v) for v in texts)})" for n, *texts in seed_rows())
+    rows = spark.sql(f"SELECT * FROM VALUES {values} AS seed(id, tag_name, tag_color, tag_icon, domain_pattern)")
+    return rows.withColumn("created_at", F.lit(created_at).cast(_TS))
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
 
 
 def ensure_tags(tags: DataFrame, created_at=None) -> DataFrame:

@@ -13,13 +13,13 @@ from worktempo.functions.clock import Clock
 from worktempo.functions.columns import is_ai, is_browsing
 from worktempo.operators.gaps import active_us, flagged_slots, grouped_slots, span_slots
 from worktempo.operators.scan import between, with_slots
-from worktempo.operators.stats import active_seconds, key_stats
+from worktempo.operators.stats import activity, key_stats
 
 IDLE_US = 600_000_000
 
 
 def seconds_of(hb, keys=("user_id",), flags=(), **options):
-    return active_seconds(with_slots(hb), list(keys), flags, **options)
+    return activity(with_slots(hb), list(keys), flags, **options)
 
 
 def test_gap_of_exactly_ten_minutes_counts(hb):

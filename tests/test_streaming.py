@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_gaps import busy_rows
 from worktempo.operators.scan import with_slots
-from worktempo.operators.stats import active_seconds
+from worktempo.operators.stats import activity
 from worktempo.sources import schemas
 from worktempo.streaming import live, rollup
 
@@ -41,7 +41,7 @@ def test_sessions_equal_gap_sums(spark, hb, tmp_path):
     work_off(live.sessions(source(spark, src)), tmp_path)
     out = spark.read.parquet(str(tmp_path / "out"))
     got = {r["user_id"]: r["us"] for r in rows(out.groupBy("user_id").agg(F.sum("active_us").alias("us")))}
-    want = {r["user_id"]: r["coding_us"] for r in rows(active_seconds(with_slots(hb(*made)), ["user_id"]))}
+    want = {r["user_id"]: r["coding_us"] for r in rows(activity(with_slots(hb(*made)), ["user_id"]))}
     assert got == want and "closer" not in got
 
 
@@ -77,8 +77,9 @@ def test_rollup_refresh_replaces_only_its_days(spark, hb, tmp_path):
     rollup.refresh(spark, src, slots, first, last)
     rollup.refresh(spark, src, slots, live_days[1], live_days[2])
     flags = rollup.FLAGS
-    want = rows(active_seconds(with_slots(data), ["user_id"], flags).drop("coding_us").orderBy("user_id"))
-    got = rows(rollup.active_from(spark, slots, first, last).drop("heartbeats").orderBy("user_id"))
+    columns = ["user_id", "coding_seconds", "ide_coding_seconds", "browsing_seconds", "ai_coding_seconds"]
+    want = rows(activity(with_slots(data), ["user_id"], flags).select(*columns).orderBy("user_id"))
+    got = rows(rollup.active_from(spark, slots, first, last).select(*columns).orderBy("user_id"))
     assert got == want and len(live_days) > 3
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worktempo.functions.clock import Clock
 from worktempo.functions.columns import joined_all
 from worktempo.operators.scan import between
-from worktempo.operators.stats import profile
+from worktempo.operators.stats import key_stats
 from worktempo.plans.base import TZ, clock_text, window_rows
 
 # Sharing columns opened by ``share_flags_update``; -1 days means no limit.
@@ -44,7 +44,7 @@ def share_flags_update(users: DataFrame) -> DataFrame:
 def daily_activity(hb: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
     """Today's figures per user and the printed block. Empty project names stay in the lists here."""
     clock = Clock.at(as_of, tz_hours)
-    stats = profile(window_rows(hb, clock, clock.today), ["user_id"], lists=["project", "language"])
+    stats = key_stats(window_rows(hb, clock, clock.today), ["user_id"], lists=["project", "language"])
     rows = stats.select(
         "user_id", "heartbeats",
         joined_all("project_values").alias("projects"),

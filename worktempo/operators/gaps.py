@@ -108,3 +108,10 @@ def active_us(
         counts += f" AND first_{flag}"
         inner = f"coalesce(inner_{flag}_us, 0L)"
     return F.expr(f"{inner} + CASE WHEN {counts} THEN {gap} ELSE 0L END")
+
+
+def active_days(tz_hours: int = 3) -> Column:
+    """Number of days with heartbeats among a key's linked slots, with days at another offset than the slots' too.
+    An aggregate."""
+    first, last, before = (local_day_of(t, tz_hours) for t in ("first_t", "last_t", "prev_last"))
+    return F.expr(f"count_if(prev_last IS NULL OR {before} <> {first}) + count_if({first} <> {last})")

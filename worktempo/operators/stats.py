@@ -8,49 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktempo.functions.columns import is_ai, is_browsing, is_file, is_site, seconds
-from worktempo.operators.gaps import active_us, flagged_slots, span_slots
+from worktempo.operators.gaps import active_days, active_us, flagged_slots, span_slots
 
-COUNTS = ("heartbeats", "ai_heartbeats", "file_heartbeats", "domain_heartbeats")
 
-
-def cells(hb: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Pre-aggregate to one row per distinct combination of ``dims`` (combined before the shuffle).
-
-    Distinct counts and lists of a key are then taken over these few rows, and the shuffle key holds all
-    dims, so a hot key is spread out.
-    """
-    return hb.groupBy(*dims).agg(
-        F.count("*").alias("heartbeats"),
-        F.count_if(is_ai()).alias("ai_heartbeats"),
-        F.count_if(is_file()).alias("file_heartbeats"),
-        F.count_if(is_site()).alias("domain_heartbeats"),
-        F.min("t").alias("first_t"),
-        F.max("t").alias("last_t"),
-    )
+# Counts per slot, by name.
+COUNTS = {
+    "heartbeats": "count(*)",
+    "ai_heartbeats": "count_if(f_ai)",
+    "file_heartbeats": "count_if(f_file)",
+    "domain_heartbeats": "count_if(f_site)",
+}
 
 
-def distinct_list(name: str) -> Column:
-    """Distinct values of a column, NULLs dropped. Spark removes duplicates in a shuffle of its own first."""
-    return F.expr(f"collect_list(DISTINCT {name})")
+def distinct_list(column: str) -> Column:
+    """Distinct values of a column or SQL expression, NULLs dropped."""
+    return F.expr(f"collect_list(DISTINCT {column})")
 
 
-def profile(
-    hb: DataFrame,
-    keys: Sequence[str],
-    lists: Sequence[str] = (),
-    *,
-    distinct: Sequence[str] = (),
-    extra: Mapping[str, Column] | None = None,
+def distinct_values(
+    hb: DataFrame, keys: Sequence[str], lists: Sequence[str] = (), distinct: Sequence[str] = ()
 ) -> DataFrame:
-    """Counts, first_t and last_t per key; ``<c>_values`` (array of distinct values) per list column and
-    ``<c>_count`` per distinct column. ``extra`` are aggregates over the cells."""
-    dims = list(dict.fromkeys([*keys, *lists, *distinct]))
-    aggs = [F.sum(c).alias(c) for c in COUNTS]
-    aggs += [F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t")]
-    aggs += [distinct_list(c).alias(f"{c}_values") for c in lists]
+    """Per key, ``<c>_values`` (array of distinct values) per list column and ``<c>_count`` per distinct column.
+
+    Spark takes out duplicates of each column by itself, before and in a shuffle on (key, value). What is shuffled
+    is the number of values of each column added up, not their combinations, and a hot key is spread over its
+    values.
+    """
+    aggs = [distinct_list(c).alias(f"{c}_values") for c in lists]
     aggs += [F.count_distinct(c).alias(f"{c}_count") for c in distinct]
-    aggs += [agg.alias(name) for name, agg in (extra or {}).items()]
-    return cells(hb, dims).groupBy(*keys).agg(*aggs)
+    return hb.groupBy(*keys).agg(*aggs)
 
 
 ATTRIBUTED: Mapping[str, str] = {
@@ -65,7 +51,7 @@ def gap_flags(names: Sequence[str]) -> dict[str, Column]:
     return {n: known[n] for n in names}
 
 
-def active_seconds(
+def activity(
     hb: DataFrame,
     keys: Sequence[str],
     flags: Sequence[str] = (),
@@ -74,15 +60,23 @@ def active_seconds(
     idle_minutes: int = 10,
     tz_hours: int = 3,
 ) -> DataFrame:
-    """coding_seconds, coding_us and one column per attributed flag, per key (and local day)."""
+    """Per key (and local day): counts of heartbeats, first_t, last_t, active_days, coding_seconds, coding_us and one
+    column per attributed flag. Counts are taken per slot on the way; unused ones are pruned.
+
+    Where gaps are attributed raw rows are shuffled, so the text columns are reduced to flags before that.
+    """
     group = [*keys, "local_day"] if by_day else list(keys)
     opts = {"idle_minutes": idle_minutes, "tz_hours": tz_hours}
+    rows = hb.withColumns({"f_ai": is_ai(), "f_file": is_file(), "f_site": is_site()})
+    counts = [F.expr(f"{agg} AS {name}") for name, agg in COUNTS.items()]
     if flags:
-        slots = flagged_slots(hb, keys, gap_flags(flags), by_day=by_day)
+        slots = flagged_slots(rows, keys, gap_flags(flags), *counts, by_day=by_day)
     else:
-        slots = span_slots(hb, keys, by_day=by_day)
+        slots = span_slots(rows, keys, *counts, by_day=by_day)
     total = F.sum(active_us(**opts))
-    aggs = [seconds(total).alias("coding_seconds"), total.alias("coding_us")]
+    aggs = [F.sum(c).alias(c) for c in COUNTS]
+    aggs += [F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t")]
+    aggs += [seconds(total).alias("coding_seconds"), total.alias("coding_us"), active_days(tz_hours).alias("active_days")]
     aggs += [seconds(F.sum(active_us(f, **opts))).alias(ATTRIBUTED[f]) for f in flags]
     return slots.groupBy(*group).agg(*aggs)
 
@@ -92,21 +86,17 @@ def key_stats(
     keys: Sequence[str],
     *,
     lists: Sequence[str] = (),
+    distinct: Sequence[str] = (),
     flags: Sequence[str] = (),
     by_day: bool = False,
-    distinct: Sequence[str] = (),
     idle_minutes: int = 10,
     tz_hours: int = 3,
 ) -> DataFrame:
-    """``profile`` and ``active_seconds`` side by side.
-
-    Two branches over the same scan: the lists branch carries strings but is combined before its shuffle; the
-    time branch shuffles raw rows only where gaps are attributed, and then without the strings.
-    """
+    """``activity`` with ``distinct_values`` beside it: two branches over the same scan, so that the text columns of
+    the lists never travel with the raw rows."""
     group = [*keys, "local_day"] if by_day else list(keys)
-    left = profile(hb, group, lists, distinct=distinct)
-    right = active_seconds(hb, keys, flags, by_day=by_day, idle_minutes=idle_minutes, tz_hours=tz_hours)
-    return left.join(right, group)
+    times = activity(hb, keys, flags, by_day=by_day, idle_minutes=idle_minutes, tz_hours=tz_hours)
+    return times.join(distinct_values(hb, group, lists, distinct), group)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:

@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worktempo.functions.clock import DAY_US, Clock
-from worktempo.functions.columns import floor_div, joined, or_zero, seconds
-from worktempo.operators.gaps import active_us, span_slots
-from worktempo.operators.stats import cells, key_stats
+from worktempo.functions.clock import Clock
+from worktempo.functions.columns import is_ai, joined, or_zero, seconds
+from worktempo.operators.gaps import active_days, active_us, span_slots
+from worktempo.operators.stats import distinct_values, key_stats
 from worktempo.plans.base import IDLE, TZ, clock_text, since_day, window_rows
 
 
@@ -25,7 +25,7 @@ def projects(
     clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes).where(F.col("project") != "")
     stats = key_stats(
-        rows, ["project"], lists=["user_id", "language"], distinct=["local_day"],
+        rows, ["project"], lists=["user_id", "language"],
         idle_minutes=idle_minutes, tz_hours=tz_hours,
     )
     return stats.orderBy(F.desc("coding_seconds"), "project").select(
@@ -36,7 +36,7 @@ def projects(
         joined("language_values").alias("languages"),
         clock_text("first_t", clock, "dd/MM/yyyy").alias("first_activity"),
         clock_text("last_t", clock, "dd/MM/yyyy HH:mm").alias("last_activity"),
-        F.col("local_day_count").alias("active_days"),
+        "active_days",
         "ai_heartbeats",
         "coding_seconds",
     )
@@ -49,7 +49,7 @@ def languages(
     clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes).where(F.col("language") != "")
     stats = key_stats(
-        rows, ["language"], lists=["user_id", "project"], distinct=["local_day"],
+        rows, ["language"], lists=["user_id", "project"],
         idle_minutes=idle_minutes, tz_hours=tz_hours,
     )
     return stats.orderBy(F.desc("coding_seconds"), "language").select(
@@ -58,7 +58,7 @@ def languages(
         _size("user_id").alias("user_count"),
         joined("user_id_values").alias("users"),
         joined("project_values").alias("projects"),
-        F.col("local_day_count").alias("active_days"),
+        "active_days",
         "coding_seconds",
     )
 
@@ -98,28 +98,25 @@ def users_overview(
     """
     clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, None, idle_minutes=idle_minutes)
-    rows = rows.withColumn("utc_day", F.expr(floor_div("t", DAY_US)))
-    parts = cells(rows, ["user_id", "local_day", "utc_day", "project", "language"])
+    counts = [F.count("*").alias("n"), F.count_if(is_ai()).alias("n_ai")]
 
-    def count(name, since):
-        return F.sum(F.when(since_day(since, clock), F.col(name)))
+    def since(column: str, moment: datetime):
+        return or_zero(F.sum(F.when(since_day(moment, clock), F.col(column))))
 
-    counts = parts.groupBy("user_id").agg(
-        F.sum("heartbeats").alias("total_heartbeats"),
-        F.count_distinct("project").alias("total_projects"),
-        F.count_distinct("language").alias("total_languages"),
-        F.count_distinct("utc_day").alias("active_days"),
+    times = span_slots(rows, ["user_id"], *counts).groupBy("user_id").agg(
+        F.sum("n").alias("total_heartbeats"),
+        active_days(0).alias("active_days"),
         F.min("first_t").alias("first_t"),
         F.max("last_t").alias("last_t"),
-        count("heartbeats", clock.today).alias("today_heartbeats"),
-        count("heartbeats", clock.week).alias("week_heartbeats"),
-        count("ai_heartbeats", clock.days_back(ai_days)).alias("ai_heartbeats_30d"),
-    )
-    times = span_slots(rows, ["user_id"]).groupBy("user_id").agg(
-        seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("total_coding_seconds")
+        since("n", clock.today).alias("today_heartbeats"),
+        since("n", clock.week).alias("week_heartbeats"),
+        since("n_ai", clock.days_back(ai_days)).alias("ai_heartbeats_30d"),
+        seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("total_coding_seconds"),
     )
+    values = distinct_values(rows, ["user_id"], distinct=["project", "language"])
+    values = values.withColumnsRenamed({"project_count": "total_projects", "language_count": "total_languages"})
     everyone = users.select(F.col("id").alias("user_id"), "email", "created_at")
-    out = everyone.join(counts.join(times, "user_id"), "user_id", "left").withColumn(
+    out = everyone.join(times.join(values, "user_id"), "user_id", "left").withColumn(
         "total_coding_seconds", or_zero("total_coding_seconds")
     )
     return out.orderBy(F.desc("total_coding_seconds"), "user_id").select(

@@ -11,7 +11,7 @@ from worktempo.functions.clock import Clock, as_date, monday
 from worktempo.functions.columns import day_text, floored, joined, or_zero, ratio_pct, round_even, seconds, site_rows, zero
 from worktempo.operators.gaps import active_us, span_slots
 from worktempo.operators.ledger import adjusted_by, adjustments_between
-from worktempo.operators.stats import cells, key_stats
+from worktempo.operators.stats import key_stats
 from worktempo.operators.tags import rules_by_id, tag_labels, with_tag
 from worktempo.plans.base import (
     IDLE, TZ, adjusted, clock_text, productivity_pct, text_or_dash, window_rows, with_adjustments,
@@ -24,7 +24,7 @@ def _user_report(
     """Per user of the local days [start, end]: raw figures merged with the adjustments of those days."""
     rows = window_rows(hb, clock, clock.day_start(start), clock.day_start(end + timedelta(days=1)), idle_minutes)
     stats = key_stats(
-        rows, ["user_id"], lists=["project", "language", "editor"], distinct=["local_day"],
+        rows, ["user_id"], lists=["project", "language", "editor"],
         flags=["ide", "browsing", "ai"], idle_minutes=idle_minutes, tz_hours=clock.tz_hours,
     )
     stats = stats.select(
@@ -42,7 +42,7 @@ def _user_report(
         "user_id",
         or_zero("heartbeats").alias("heartbeats"),
         *[text_or_dash(c) for c in ("projects", "languages", "editors", "first_active", "last_active")],
-        or_zero("local_day_count").alias("active_days"),
+        or_zero("active_days").alias("active_days"),
         adjusted("coding_seconds").alias("coding_seconds"),
         adjusted("ide_coding_seconds").alias("ide_coding_seconds"),
         or_zero("browsing_seconds").alias("browsing_seconds"),
@@ -163,8 +163,8 @@ def range_report_days(
     times = span_slots(rows, [], by_day=True).groupBy("local_day").agg(
         seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("coding_seconds")
     )
-    counts = cells(rows, ["local_day", "user_id"]).groupBy("local_day").agg(
-        F.sum("heartbeats").alias("heartbeats"), F.count("*").alias("active_users")
+    counts = rows.groupBy("local_day").agg(
+        F.count("*").alias("heartbeats"), F.count_distinct("user_id").alias("active_users")
     )
     adj = adjustments_between(adjustments, lo, hi).withColumn("local_day", F.unix_date("adjustment_date"))
     days = counts.join(times, "local_day").join(adjusted_by(adj, "local_day"), "local_day", "full")
@@ -219,7 +219,5 @@ def report_dates(hb: DataFrame, *, as_of: datetime, days: int = 90, tz_hours: in
     """Local days with heartbeats in the last ``days`` times 24 hours."""
     clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, clock.as_of - timedelta(days=days))
-    counts = cells(rows, ["local_day", "user_id"]).groupBy("local_day").agg(
-        F.sum("heartbeats").alias("heartbeats"), F.count("*").alias("users")
-    )
+    counts = rows.groupBy("local_day").agg(F.count("*").alias("heartbeats"), F.count_distinct("user_id").alias("users"))
     return counts.orderBy(F.desc("local_day")).select(day_text("local_day").alias("day"), "heartbeats", "users")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock
 from worktempo.functions.columns import round_even, seconds
-from worktempo.operators.gaps import active_us, flagged_slots
+from worktempo.operators.gaps import active_days, active_us, flagged_slots
 from worktempo.operators.stats import gap_flags
 from worktempo.plans.base import IDLE, TZ, productivity_pct, window_rows
 
@@ -26,7 +26,7 @@ def productivity(
     slots = flagged_slots(rows, ["user_id"], gap_flags(["ide", "browsing", "ai"]), F.count("*").alias("n"))
     users = slots.groupBy("user_id").agg(
         F.sum("n").alias("heartbeats"),
-        F.size(F.collect_set("local_day")).cast("bigint").alias("active_days"),
+        active_days(tz_hours).alias("active_days"),
         *[seconds(F.sum(active_us(f, idle_minutes=idle_minutes))).alias(f"{f}_seconds") for f in ("ide", "browsing", "ai")],
     )
     scored = users.withColumn("productivity", productivity_pct(F.col("ide_seconds"), F.col("browsing_seconds")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock, micros
 from worktempo.functions.columns import is_ai, or_zero, round_even, seconds
-from worktempo.operators.stats import active_seconds
+from worktempo.operators.stats import activity
 from worktempo.plans.base import IDLE, TZ, clock_text, window_rows
 
 WORKDAY_SECONDS = 8 * 3600
@@ -37,7 +37,7 @@ def realtime_active(
         F.bool_or(is_ai()).alias("is_ai"),
         latest.alias("latest"),
     )
-    today = active_seconds(
+    today = activity(
         window_rows(hb, clock, clock.today, idle_minutes=idle_minutes), ["user_id"],
         idle_minutes=idle_minutes, tz_hours=tz_hours,
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock
 from worktempo.functions.columns import day_text, seconds, site_rows
-from worktempo.operators.gaps import active_us, span_slots
+from worktempo.operators.gaps import active_days, active_us, span_slots
 from worktempo.operators.tags import rules_by_name, tag_labels, untagged, with_tag
 from worktempo.plans.base import IDLE, TZ, clock_text, window_rows
 
@@ -32,7 +32,7 @@ def _user_sites(hb: DataFrame, clock: Clock, days: int, idle_minutes: int) -> Da
         seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("seconds"),
         F.min("first_t").alias("first_t"),
         F.max("last_t").alias("last_t"),
-        F.size(F.collect_set("local_day")).cast("bigint").alias("visit_days"),
+        active_days(clock.tz_hours).alias("visit_days"),
     )
 
 

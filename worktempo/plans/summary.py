@@ -7,13 +7,13 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktempo.functions.clock import Clock
+from worktempo.functions.clock import Clock, day_number
 from worktempo.functions.columns import (
     dashed, day_text, floored, joined, or_zero, ratio_pct, round_even, seconds, zero,
 )
-from worktempo.operators.gaps import active_us, flagged_slots, span_slots
+from worktempo.operators.gaps import active_days, active_us, flagged_slots, span_slots
 from worktempo.operators.ledger import adjusted_by, adjusted_by_user_day, adjustments_between
-from worktempo.operators.stats import cells, distinct_list, gap_flags, key_stats
+from worktempo.operators.stats import activity, distinct_list, gap_flags, key_stats
 from worktempo.plans.base import (
     IDLE, TZ, adjusted, clock_text, since_day, text_or_dash, window_rows, with_adjustments,
 )
@@ -43,15 +43,14 @@ def week_by_user(hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE, tz
     clock = Clock.at(as_of, tz_hours)
     stats = key_stats(
         window_rows(hb, clock, clock.week, idle_minutes=idle_minutes), ["user_id"],
-        lists=["project", "language"], distinct=["local_day"], flags=["ide", "ai"],
+        lists=["project", "language"], flags=["ide", "ai"],
         idle_minutes=idle_minutes, tz_hours=tz_hours,
     )
     return stats.orderBy(F.desc("coding_seconds"), "user_id").select(
         "user_id", "heartbeats",
         F.size("project_values").cast("bigint").alias("project_count"),
         *_lists("project", "language"),
-        F.col("local_day_count").alias("active_days"),
-        "coding_seconds", "ide_coding_seconds", "ai_heartbeats", "ai_coding_seconds",
+        "active_days", "coding_seconds", "ide_coding_seconds", "ai_heartbeats", "ai_coding_seconds",
     )
 
 
@@ -124,73 +123,59 @@ def history_baseline(
     """Each user's averages over the weeks before this one."""
     clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, clock.week - timedelta(days=7 * weeks), clock.week, idle_minutes)
-    users = span_slots(rows, ["user_id"]).groupBy("user_id").agg(
-        seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("total_seconds"),
-        F.count_distinct("local_day").alias("active_days"),
-    )
+    users = activity(rows, ["user_id"], idle_minutes=idle_minutes, tz_hours=tz_hours)
     return users.select(
-        "user_id", "total_seconds", "active_days",
-        (F.col("total_seconds") / F.greatest("active_days", F.lit(1))).alias("avg_daily"),
-        (F.col("total_seconds") / F.lit(float(weeks))).alias("avg_weekly"),
+        "user_id",
+        F.col("coding_seconds").alias("total_seconds"),
+        "active_days",
+        (F.col("coding_seconds") / F.greatest("active_days", F.lit(1))).alias("avg_daily"),
+        (F.col("coding_seconds") / F.lit(float(weeks))).alias("avg_weekly"),
     )
 
 
-def _periods(hb: DataFrame, clock: Clock, idle_minutes: int) -> DataFrame:
-    """Per user: today, this week, previous week and four-week history out of one scan per branch.
+def _when_today(column: str, clock: Clock) -> str:
+    return f"CASE WHEN local_day >= {day_number(clock.local_date)} THEN {column} END"
 
-    Both branches read the longest range once; the shorter ranges are conditional sums, with the gaps that start
-    before a range left out.
-    """
-    start = clock.week - timedelta(days=28)
-    rows = window_rows(hb, clock, start, idle_minutes=idle_minutes)
-    today, week = since_day(clock.today, clock), since_day(clock.week, clock)
-    past = ~week
-    prev = past & since_day(clock.prev_week, clock)
-
-    parts = cells(rows, ["user_id", "local_day", "project", "language", "editor"])
-    parts = parts.select(
-        "*",
-        F.when(today, F.col("project")).alias("project_today"),
-        F.when(today, F.col("language")).alias("language_today"),
-        F.when(today, F.col("editor")).alias("editor_today"),
-        F.when(week, F.col("project")).alias("project_week"),
-        F.when(week, F.col("language")).alias("language_week"),
-        F.when(week, F.col("local_day")).alias("day_week"),
-        F.when(past, F.col("local_day")).alias("day_past"),
-    )
 
-    def count(name: str, when: Column) -> Column:
-        return or_zero(F.sum(F.when(when, F.col(name))))
-
-    lists = ["project_today", "language_today", "editor_today", "project_week", "language_week"]
-    counts = parts.groupBy("user_id").agg(
-        count("heartbeats", today).alias("hb_today"),
-        count("heartbeats", week).alias("hb_week"),
-        count("ai_heartbeats", today).alias("ai_hb_today"),
-        count("ai_heartbeats", week).alias("ai_hb_week"),
-        F.min(F.when(today, F.col("first_t"))).alias("first_t"),
-        F.max(F.when(today, F.col("last_t"))).alias("last_t"),
-        *[distinct_list(c).alias(c) for c in lists],
-        F.count_distinct("day_week").alias("active_days_week"),
-        F.count_distinct("day_past").alias("active_days_past"),
+def _this_week(hb: DataFrame, clock: Clock, idle_minutes: int) -> DataFrame:
+    """Per user: today and this week out of one scan per branch. Today's figures are conditional sums that leave
+    out the gap into today."""
+    rows = window_rows(hb, clock, clock.week, idle_minutes=idle_minutes)
+    values = rows.groupBy("user_id").agg(
+        *[distinct_list(_when_today(c, clock)).alias(f"{c}_today") for c in ("project", "language", "editor")],
+        *[distinct_list(c).alias(f"{c}_week") for c in ("project", "language")],
     )
+    counts = [F.count("*").alias("heartbeats"), F.count_if("f_ai").alias("ai_heartbeats")]
+    slots = flagged_slots(rows, ["user_id"], gap_flags(["ide", "ai"]), *counts)
 
-    def total(when: Column, since: datetime, flag: str | None = None) -> Column:
-        opts = {"since": since, "idle_minutes": idle_minutes, "tz_hours": clock.tz_hours}
-        return F.sum(F.when(when, active_us(flag, **opts)))
+    def today(column: str) -> Column:
+        return F.expr(_when_today(column, clock))
 
-    slots = flagged_slots(rows, ["user_id"], gap_flags(["ide", "ai"]))
     times = slots.groupBy("user_id").agg(
-        seconds(total(today, clock.today)).alias("coding_today"),
-        seconds(total(week, clock.week)).alias("coding_week"),
-        seconds(total(today, clock.today, "ide")).alias("ide_today"),
-        seconds(total(week, clock.week, "ide")).alias("ide_week"),
-        seconds(total(today, clock.today, "ai")).alias("ai_today"),
-        seconds(total(week, clock.week, "ai")).alias("ai_week"),
-        or_zero(total(prev, clock.prev_week)).alias("prev_week_us"),
-        seconds(total(past, start)).alias("past_seconds"),
+        F.sum("heartbeats").alias("hb_week"),
+        F.sum("ai_heartbeats").alias("ai_hb_week"),
+        or_zero(F.sum(today("heartbeats"))).alias("hb_today"),
+        or_zero(F.sum(today("ai_heartbeats"))).alias("ai_hb_today"),
+        F.min(today("first_t")).alias("first_t"),
+        F.max(today("last_t")).alias("last_t"),
+        *_week_times(clock, idle_minutes),
+        active_days(clock.tz_hours).alias("active_days_week"),
     )
-    return counts.join(times, "user_id")
+    return times.join(values, "user_id")
+
+
+def _week_times(clock: Clock, idle_minutes: int) -> list[Column]:
+    """Seconds of today and this week from the week's flagged slots."""
+    opts = {"idle_minutes": idle_minutes, "tz_hours": clock.tz_hours}
+    today = since_day(clock.today, clock)
+    return [
+        column
+        for name, flag in (("coding", None), ("ide", "ide"), ("ai", "ai"))
+        for column in (
+            seconds(F.sum(F.when(today, active_us(flag, since=clock.today, **opts)))).alias(f"{name}_today"),
+            seconds(F.sum(active_us(flag, **opts))).alias(f"{name}_week"),
+        )
+    ]
 
 
 def _adj_sum(adjustments: DataFrame, start: date, end: date) -> DataFrame:
@@ -206,7 +191,8 @@ def user_scorecard(
     adj_week = _adj_sum(adjustments, clock.week_date, clock.local_date)
     rows = (
         users.select(F.col("id").alias("user_id"), "email")
-        .join(_periods(hb, clock, idle_minutes), "user_id", "left")
+        .join(_this_week(hb, clock, idle_minutes), "user_id", "left")
+        .join(history_baseline(hb, as_of=clock.as_of, idle_minutes=idle_minutes, tz_hours=tz_hours), "user_id", "left")
         .join(adj_today.withColumnRenamed("adj", "adj_today"), "user_id", "left")
         .join(adj_week.withColumnRenamed("adj", "adj_week"), "user_id", "left")
     )
@@ -215,8 +201,8 @@ def user_scorecard(
         "*",
         floored(or_zero("coding_today") + or_zero("adj_today")).alias("today_coding_seconds"),
         floored(or_zero("coding_week") + or_zero("adj_week")).alias("week_coding_seconds"),
-        F.coalesce(F.col("past_seconds") / F.greatest("active_days_past", F.lit(1)), F.lit(0.0)).alias("avg_daily"),
-        F.coalesce(F.col("past_seconds") / F.lit(4.0), F.lit(0.0)).alias("avg_weekly"),
+        F.coalesce("avg_daily", F.lit(0.0)).alias("usual_daily"),
+        F.coalesce("avg_weekly", F.lit(0.0)).alias("usual_weekly"),
     )
 
     def trend(now: str, usual: str, least: int) -> Column:
@@ -240,8 +226,8 @@ def user_scorecard(
         or_zero("ai_hb_today").alias("today_ai_heartbeats"),
         or_zero("ai_today").alias("today_ai_coding_seconds"),
         ratio_pct(or_zero("ai_today"), or_zero("ide_today")).alias("today_ai_pct"),
-        trend("today_coding_seconds", "avg_daily", 600).alias("today_trend_pct"),
-        round_even(F.col("avg_daily")).alias("avg_daily_4w"),
+        trend("today_coding_seconds", "usual_daily", 600).alias("today_trend_pct"),
+        round_even(F.col("usual_daily")).alias("avg_daily_4w"),
         or_zero("hb_week").alias("week_heartbeats"),
         dashed(joined("project_week"), had_week).alias("week_projects"),
         dashed(joined("language_week"), had_week).alias("week_languages"),
@@ -252,8 +238,8 @@ def user_scorecard(
         or_zero("ai_hb_week").alias("week_ai_heartbeats"),
         or_zero("ai_week").alias("week_ai_coding_seconds"),
         ratio_pct(or_zero("ai_week"), or_zero("ide_week")).alias("week_ai_pct"),
-        trend("week_coding_seconds", "avg_weekly", 3600).alias("week_trend_pct"),
-        round_even(F.col("avg_weekly")).alias("avg_weekly_4w"),
+        trend("week_coding_seconds", "usual_weekly", 3600).alias("week_trend_pct"),
+        round_even(F.col("usual_weekly")).alias("avg_weekly_4w"),
     )
 
 
@@ -263,24 +249,13 @@ def team_kpis(
     """One row of team totals. The adjustment is added to the sum and floored once; the previous week is taken
     without adjustments."""
     clock = Clock.at(as_of, tz_hours)
-    start = clock.prev_week
-    rows = window_rows(hb, clock, start, idle_minutes=idle_minutes)
-    today, week = since_day(clock.today, clock), since_day(clock.week, clock)
+    rows = window_rows(hb, clock, clock.week, idle_minutes=idle_minutes)
     slots = flagged_slots(rows, ["user_id"], gap_flags(["ide", "ai"]), F.count("*").alias("heartbeats"))
-
-    def total(when: Column, since: datetime, flag: str | None = None) -> Column:
-        opts = {"since": since, "idle_minutes": idle_minutes, "tz_hours": clock.tz_hours}
-        return F.sum(F.when(when, active_us(flag, **opts)))
-
+    today = since_day(clock.today, clock)
     per_user = slots.groupBy("user_id").agg(
-        or_zero(F.sum(F.when(today, F.col("heartbeats")))).alias("hb_today"),
-        seconds(total(today, clock.today)).alias("coding_today"),
-        seconds(total(week, clock.week)).alias("coding_week"),
-        seconds(total(today, clock.today, "ide")).alias("ide_today"),
-        seconds(total(today, clock.today, "ai")).alias("ai_today"),
-        seconds(total(week, clock.week, "ai")).alias("ai_week"),
-        total(~week, start).alias("prev_us"),
+        or_zero(F.sum(F.when(today, F.col("heartbeats")))).alias("hb_today"), *_week_times(clock, idle_minutes)
     )
+    prev_week = prev_week_totals(hb, as_of=clock.as_of, idle_minutes=idle_minutes, tz_hours=tz_hours)
 
     def adj_total(first: date, last: date) -> Column:
         found = adjustments_between(adjustments, first, last)
@@ -289,9 +264,9 @@ def team_kpis(
     team = per_user.agg(
         F.count_if(F.col("hb_today") > 0).alias("active_today"),
         *[or_zero(F.sum(c)).alias(c) for c in ("hb_today", "coding_today", "coding_week", "ide_today", "ai_today", "ai_week")],
-        seconds(F.sum("prev_us")).alias("prev_week_coding"),
     ).select(
         "*",
+        prev_week.select("coding_seconds").scalar().alias("prev_week_coding"),
         users.agg(F.count("*")).scalar().alias("total_users"),
         floored(F.col("coding_today") + adj_total(clock.local_date, clock.local_date)).alias("total_coding_today"),
         floored(F.col("coding_week") + adj_total(clock.week_date, clock.local_date)).alias("total_coding_week"),

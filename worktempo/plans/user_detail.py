@@ -11,7 +11,7 @@ from worktempo.functions.clock import Clock
 from worktempo.functions.columns import day_text, file_rows, is_ai, joined, or_zero, seconds, site_rows
 from worktempo.operators.gaps import active_us, flagged_slots, grouped_slots, span_slots
 from worktempo.operators.ledger import adjusted_by_user_day
-from worktempo.operators.stats import cells, key_stats, profile, top_per_key
+from worktempo.operators.stats import activity, key_stats, top_per_key
 from worktempo.plans.base import IDLE, TZ, adjusted, clock_text, text_or_dash, window_rows, with_adjustments
 
 
@@ -100,7 +100,7 @@ def user_weekly_trend(
 ) -> DataFrame:
     """User and local day; days with only an adjustment are left out."""
     clock = Clock.at(as_of, tz_hours)
-    stats = key_stats(
+    stats = activity(
         window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes), ["user_id"],
         by_day=True, idle_minutes=idle_minutes, tz_hours=tz_hours,
     )
@@ -164,15 +164,13 @@ def user_hourly(hb: DataFrame, users: DataFrame, *, as_of: datetime, tz_hours: i
 
 def user_totals(hb: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
     clock = Clock.at(as_of, tz_hours)
-    stats = profile(
-        window_rows(hb, clock, None), ["user_id"], distinct=["project", "language", "local_day"]
-    )
+    stats = key_stats(window_rows(hb, clock, None), ["user_id"], distinct=["project", "language"], tz_hours=tz_hours)
     return stats.select(
         "user_id",
         F.col("heartbeats").alias("total_heartbeats"),
         F.col("project_count").alias("total_projects"),
         F.col("language_count").alias("total_languages"),
-        F.col("local_day_count").alias("total_active_days"),
+        F.col("active_days").alias("total_active_days"),
         clock_text("first_t", clock, "dd/MM/yyyy").alias("first_seen"),
         clock_text("last_t", clock, "dd/MM/yyyy HH:mm").alias("last_seen"),
     )
@@ -180,7 +178,8 @@ def user_totals(hb: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFr
 
 def user_heatmap(hb: DataFrame, *, as_of: datetime, days: int = 90, tz_hours: int = TZ) -> DataFrame:
     clock = Clock.at(as_of, tz_hours)
-    counts = cells(window_rows(hb, clock, clock.days_back(days)), ["user_id", "local_day"])
+    rows = window_rows(hb, clock, clock.days_back(days))
+    counts = rows.groupBy("user_id", "local_day").agg(F.count("*").alias("heartbeats"))
     return counts.select("user_id", day_text("local_day").alias("day"), F.col("heartbeats").alias("count"))
 
 

@@ -4,9 +4,9 @@ Every table is a chain of projections over one whole input table, so it grows wi
 that Spark and an SQL engine read alike; ``table_sql`` gives the same tables to the SQL oracle.
 
 Shape of the heartbeats: a third of all rows belong to ``user0``, a feed that never sleeps (the hot key); the rest
-go to users who work about 90 minutes a day. The last digit of a user's number (mod 8) sets the role: 0-3 work
-10:00-11:30 local, 4-5 work across local midnight, 6-7 around the reference instant; role 3 mostly visits leisure
-sites; role 5 hands nine tenths of its last week to role 7.
+go to users who work about 90 minutes a day. Four neighbouring users of the input make one user here; its number mod 8
+sets the role: 0-3 work 10:00-11:30 local, 4-5 work across local midnight, 6-7 around the reference instant; role 3
+mostly visits leisure sites; role 5 hands nine tenths of its last week to role 7.
 """
 
 from __future__ import annotations
@@ -22,27 +22,20 @@ from worktempo.sources import schemas
 
 _HEARTBEATS = [
     [
-        "event_id", "ts", "event_type", "epoch_us(ts) AS us",
+        "event_id", "ts", "event_type", "epoch_us(ts) AS us", "user_id % 32 AS part",
         "CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(user_id / 4) AS BIGINT) END AS h",
-    ],
-    [
-        "event_id", "us", "event_type",
-        "CASE WHEN h % 8 = 5 AND us >= 1705870800000000 AND event_id % 10 < 9 THEN h + 2 ELSE h END AS u",
-    ],
-    [
-        "event_id", "us", "event_type", "u",
-        "(event_id % 5 < 2 OR (u % 8 = 3 AND event_id % 5 < 4)) AS site",
-        # The role's window begins at 20:15, 11:15 or 07:00; a day's seconds pass sixteen times as fast in it.
-        "us - us % 86400000000 + CASE WHEN u % 8 IN (4, 5) THEN 72900000000 WHEN u % 8 IN (6, 7) THEN 40500000000 "
-        "ELSE 25200000000 END + (us % 86400000000 - us % 1000000) / 16 AS moved",
+        "(event_id % 5 < 2 OR (user_id % 32 BETWEEN 12 AND 15 AND event_id % 5 < 4)) AS site",
     ],
     [
         "event_id AS id",
-        "concat('user', CAST(u AS STRING)) AS user_id",
-        "make_timestamp(CASE WHEN u = 0 THEN us ELSE CAST(moved AS BIGINT) END) AS time",
+        "concat('user', CAST(h + CASE WHEN h % 8 = 5 AND ts >= TIMESTAMP '2024-01-21 21:00:00' AND event_id % 10 < 9 "
+        "THEN 2 ELSE 0 END AS STRING)) AS user_id",
+        # The role's window begins at 11:15, 20:15 or 07:00; a day's seconds pass sixteen times as fast in it.
+        "make_timestamp(CASE WHEN event_id % 3 = 0 THEN us ELSE us - us % 86400000000 + CASE WHEN part >= 24 THEN 40500000000 "
+        "WHEN part >= 16 THEN 72900000000 ELSE 25200000000 END + CAST((us % 86400000000 - us % 1000000) / 16 AS BIGINT) END) AS time",
         "CASE WHEN site AND event_id % 16 = 3 THEN 'url' WHEN site THEN 'domain' WHEN event_id % 29 = 1 THEN 'app' "
         "ELSE 'file' END AS type",
-        "CASE WHEN site AND u % 8 = 3 THEN CASE event_id % 2 WHEN 0 THEN 'https://www.netflix.com' ELSE 'https://x.com' END "
+        "CASE WHEN site AND part BETWEEN 12 AND 15 THEN CASE event_id % 2 WHEN 0 THEN 'https://www.netflix.com' ELSE 'https://x.com' END "
         "WHEN site THEN CASE event_id % 9 WHEN 0 THEN 'https://www.netflix.com' WHEN 1 THEN 'https://x.com' "
         "WHEN 2 THEN 'https://github.com' WHEN 3 THEN 'http://127.0.0.1:59838' WHEN 4 THEN 'https://Claude.ai' "
         "WHEN 5 THEN 'https://docs.google.com' WHEN 6 THEN 'https://unlisted.example.org' WHEN 7 THEN '' "
@@ -58,7 +51,7 @@ _HEARTBEATS = [
         "ELSE 'VS Code' END AS editor",
         "CASE event_id % 4 WHEN 0 THEN 'Linux' WHEN 1 THEN 'Windows' ELSE 'Darwin' END AS operating_system",
         "CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('m', CAST(event_id % 3 AS STRING)) END AS machine",
-        "CASE event_id % 9 WHEN 0 THEN 'wakatime/1 vscode Copilot/1.0' WHEN 1 THEN NULL ELSE 'plugin/1.0' END AS user_agent",
+        "CASE event_id % 9 WHEN 0 THEN 'plugin/1.0 vscode Copilot/1.0' WHEN 1 THEN NULL ELSE 'plugin/1.0' END AS user_agent",
     ],
 ]
 

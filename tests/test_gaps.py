@@ -137,10 +137,10 @@ def test_two_levels_equal_one_lag(hb, seed, keys):
     assert rows(span.orderBy(*order)) == rows(want.orderBy(*order).select(*keys, "all"))
 
 
-@pytest.mark.parametrize("idle", [1, 7, 10])
-def test_other_idle_limits(hb, idle):
+@pytest.mark.parametrize("idle, slot_seconds", [(1, None), (7, None), (10, 1), (10, 86400)])
+def test_other_idle_limits_and_slot_widths(hb, idle, slot_seconds):
     """Slots never cross local midnight, also where the limit does not divide a day."""
-    data = with_slots(hb(*busy_rows(3)), idle_minutes=idle)
+    data = with_slots(hb(*busy_rows(3)), idle_minutes=idle, slot_seconds=slot_seconds)
     over = Window.partitionBy("user_id").orderBy("t", "id")
     gap = F.col("t") - F.lag("t").over(over)
     want = data.withColumn("gap", gap).where(F.col("gap") <= idle * 60_000_000).groupBy("user_id").agg(F.sum("gap").alias("us"))

@@ -37,7 +37,7 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_")])
 def test_plan_has_no_pairing_and_no_python(spark, name):
     plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().toString()
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow", "PythonUDF", "ExistingRDD"):
         assert bad not in plan, bad
 
 

@@ -59,12 +59,14 @@ def first_match(entities: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("entity", *[F.col(f"tag.{c}").alias(c) for c in INFO])
 
 
-def with_tag(rows: DataFrame, rules: DataFrame, spread: list[str]) -> DataFrame:
+def with_tag(rows: DataFrame, entities: DataFrame, rules: DataFrame, spread: list[str]) -> DataFrame:
     """Add the first matching tag's name, colour and icon to each row; NULL where none matches.
 
-    A popular site may own a large share of the rows, so the tags are looked up salted.
+    ``entities`` is any table whose ``entity`` column holds those of ``rows``; raw heartbeats rather than the
+    aggregated rows, so that the aggregation is not run a second time. A popular site may own a large share of the
+    rows, so the tags are looked up salted.
     """
-    return salted_lookup(rows, first_match(rows, rules), ["entity"], spread)
+    return salted_lookup(rows, first_match(entities, rules), ["entity"], spread)
 
 
 def untagged(entities: DataFrame, tags: DataFrame) -> DataFrame:
@@ -74,10 +76,12 @@ def untagged(entities: DataFrame, tags: DataFrame) -> DataFrame:
     return distinct.join(hit, "entity", "left_anti")
 
 
-def tagged_with(rows: DataFrame, tags: DataFrame, names: list[str], spread: list[str]) -> DataFrame:
+def tagged_with(
+    rows: DataFrame, entities: DataFrame, tags: DataFrame, names: list[str], spread: list[str]
+) -> DataFrame:
     """Rows whose entity matches a pattern of one of the named tags, whatever other tags match too."""
     rules = rules_by_id(tags.where(F.col("tag_name").isin(names)))
-    hit = matches(rows, rules).select("entity").distinct()
+    hit = matches(entities, rules).select("entity").distinct()
     return salted_lookup(rows, hit, ["entity"], spread, how="inner")
 
 

@@ -107,7 +107,7 @@ def alert_entertainment(
     parts = rows.groupBy("user_id", "entity", "local_day", "slot").agg(
         F.min("t").alias("lo"), F.max("t").alias("hi")
     )
-    leisure = tagged_with(parts, tags, LEISURE_TAGS, ["user_id", "slot"])
+    leisure = tagged_with(parts, rows, tags, LEISURE_TAGS, ["user_id", "slot"])
     instants = leisure.select("user_id", "local_day", "slot", F.explode(F.array("lo", "hi")).alias("t"))
     total = F.sum(active_us(idle_minutes=idle_minutes))
     users = span_slots(instants, ["user_id"]).groupBy("user_id").agg(total.alias("us"))

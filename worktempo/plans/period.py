@@ -79,11 +79,12 @@ def _day_sites(hb: DataFrame, tags: DataFrame, as_of, day, idle_minutes: int, tz
     clock = Clock.at(as_of, tz_hours)
     start = clock.local_date if day is None else as_date(day)
     rows = window_rows(hb, clock, clock.day_start(start), clock.day_start(start + timedelta(days=1)), idle_minutes)
-    slots = span_slots(rows.where(site_rows()), ["user_id", "entity"], F.count("*").alias("n"))
+    rows = rows.where(site_rows())
+    slots = span_slots(rows, ["user_id", "entity"], F.count("*").alias("n"))
     sums = slots.groupBy("user_id", "entity").agg(
         F.sum("n").alias("heartbeats"), seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("seconds")
     )
-    tagged = with_tag(sums, rules_by_id(tags), ["user_id"])
+    tagged = with_tag(sums, rows, rules_by_id(tags), ["user_id"])
     return tagged.select("user_id", tag_labels()[0], "entity", "heartbeats", "seconds")
 
 

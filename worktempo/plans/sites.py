@@ -25,15 +25,17 @@ def _site_rows(hb: DataFrame, clock: Clock, days: int, idle_minutes: int) -> Dat
     return window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes).where(site_rows())
 
 
-def _user_sites(hb: DataFrame, clock: Clock, days: int, idle_minutes: int) -> DataFrame:
-    slots = span_slots(_site_rows(hb, clock, days, idle_minutes), ["user_id", "entity"], F.count("*").alias("n"))
-    return slots.groupBy("user_id", "entity").agg(
+def _tagged_user_sites(hb: DataFrame, tags: DataFrame, clock: Clock, days: int, idle_minutes: int) -> DataFrame:
+    rows = _site_rows(hb, clock, days, idle_minutes)
+    slots = span_slots(rows, ["user_id", "entity"], F.count("*").alias("n"))
+    sums = slots.groupBy("user_id", "entity").agg(
         F.sum("n").alias("heartbeats"),
         seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("seconds"),
         F.min("first_t").alias("first_t"),
         F.max("last_t").alias("last_t"),
         active_days(clock.tz_hours).alias("visit_days"),
     )
+    return with_tag(sums, rows, rules_by_name(tags), ["user_id"])
 
 
 def user_sites(
@@ -41,7 +43,7 @@ def user_sites(
 ) -> DataFrame:
     """User and site with visit figures and the first matching tag (NULL if none)."""
     clock = Clock.at(as_of, tz_hours)
-    sites = with_tag(_user_sites(hb, clock, days, idle_minutes), rules_by_name(tags), ["user_id"])
+    sites = _tagged_user_sites(hb, tags, clock, days, idle_minutes)
     return sites.select(
         "user_id", "entity", "heartbeats", "seconds",
         clock_text("first_t", clock, "dd/MM HH:mm").alias("first_visit"),
@@ -56,7 +58,7 @@ def user_tag_stats(
     """Time per user and tag: the sum of the sites' whole seconds. Colour and icon are those of the user's
     longest-visited site of the tag."""
     clock = Clock.at(as_of, tz_hours)
-    sites = with_tag(_user_sites(hb, clock, days, idle_minutes), rules_by_name(tags), ["user_id"])
+    sites = _tagged_user_sites(hb, tags, clock, days, idle_minutes)
     place = F.struct(-F.col("seconds"), -F.col("heartbeats"), F.col("entity"))
     labelled = sites.select("user_id", *tag_labels(), "seconds", "heartbeats", place.alias("place"))
     return labelled.groupBy("user_id", "tag_name").agg(
@@ -76,7 +78,7 @@ def user_sites_daily(
     sums = slots.groupBy("user_id", "entity", "local_day").agg(
         F.sum("n").alias("heartbeats"), seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("seconds")
     )
-    tagged = with_tag(sums, rules_by_name(tags), ["user_id", "local_day"])
+    tagged = with_tag(sums, rows, rules_by_name(tags), ["user_id", "local_day"])
     return tagged.select(
         "user_id", day_text("local_day").alias("day"), "entity", "heartbeats", "seconds", "tag_name", "tag_color", "tag_icon"
     )

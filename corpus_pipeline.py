@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktempo.llm import language, quality_rules, simhash
+from worktempo.llm import decontaminate, language, packing, quality_rules, simhash
 from worktempo.llm.common import shared_folder, table
 
 #: A language scored lower than this is a guess. Between two languages of two families no prediction scores below 1/4.
@@ -31,7 +32,20 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return simhash.keep_first(docs)
 
 
-STAGES = [("language_id", identified), ("quality_rules", ruled), ("near_duplicates", deduplicated)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and place."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identified), ("quality_rules", ruled), ("near_duplicates", deduplicated),
+    ("decontamination", decontaminated), ("packing", packed),
+]
 
 #: Learned models and packing are no SQL; the pipeline is tested stage by stage.
 ORACLE_SQL = None

@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
 
 #: Rows taken from an Arrow batch at a time, so that Python holds few texts at once.
 SLICE = 1000
@@ -63,7 +62,7 @@ def slices(batch: pa.Array | pa.RecordBatch, size: int = SLICE) -> Iterator:
         yield batch.slice(at, size)
 
 
-def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind: DataType | str):
+def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind: str):
     """Column function over texts. `make` runs once per task and gives a function from texts to an Arrow array.
 
     Marked as not deterministic only so that Spark evaluates it once where a filter and a projection both use it.
@@ -153,10 +152,3 @@ def ngram_buckets(words: Iterable[str], orders: tuple[int, ...], buckets: int) -
         ids.append((h[inside] & np.uint64(buckets - 1)).astype(np.int64))
         owners.append(owner[:len(h)][inside])
     return np.concatenate(ids), np.concatenate(owners)
-
-
-def field_struct(**kinds: str) -> StructType:
-    out = StructType()
-    for name, kind in kinds.items():
-        out = out.add(name, kind)
-    return out

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktempo.llm.common import (
-    WordTable, field_struct, is_remainder, ngram_buckets, sampled, split_words, struct_array, sums, text_udf,
+    WordTable, is_remainder, ngram_buckets, sampled, split_words, struct_array, sums, text_udf,
 )
 
 BUCKETS = 1 << 12
@@ -161,7 +161,7 @@ def predict_column(model: Hierarchy, text: Column) -> Column:
 
         return each
 
-    return text_udf(make, field_struct(lang_pred="string", score="double"))(text)
+    return text_udf(make, "struct<lang_pred:string,score:double>")(text)
 
 
 def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktempo.llm import language, quality_classifier, quality_rules, simhash, toxicity
-from worktempo.llm.common import is_remainder, table
+from worktempo.llm import (
+    decontaminate, html_text, language, packing, quality_classifier, quality_rules, simhash, token_files, toxicity,
+    url_filter,
+)
+from worktempo.llm.common import is_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +29,22 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, quality_classifier.score_column(model, F.col("text")), 0.3)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.assigned(table(spark, sf_dir, "documents"))
 
@@ -34,6 +55,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, toxicity.score_column(model, F.col("text")), 0.5)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, path)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
@@ -47,9 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "kept")
 
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_quality_classifier, op6_simhash, op7_toxicity, op9_language, op10_quality_rules)
-}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_quality_classifier, op2_decontaminate, op3_html_text, op4_url_filter, op5_packing, op6_simhash, op7_toxicity,
+    op8_token_files, op9_language, op10_quality_rules,
+)}
 
 
 def queries() -> dict[str, Query]:

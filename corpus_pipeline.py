@@ -18,8 +18,7 @@ LEAST_LANGUAGE_SCORE = 0.25
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; without letters, or with a score that says nothing, they go."""
     found = language.identify(docs, language.fit(docs))
-    known = (F.col("language_found.lang_pred") != "und") & (F.col("language_found.score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(known).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

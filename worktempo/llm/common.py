@@ -62,6 +62,11 @@ def slices(batch: pa.Array | pa.RecordBatch, size: int = SLICE) -> Iterator:
         yield batch.slice(at, size)
 
 
+def boxed(docs: DataFrame, *beside: str) -> DataFrame:
+    """All columns as one struct `row`, so that they cannot clash with an operator's own, and some of them beside it."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(docs[c] for c in beside))
+
+
 def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind: str):
     """Column function over texts. `make` runs once per task and gives a function from texts to an Arrow array.
 

@@ -27,13 +27,14 @@ import math
 import string
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktempo.llm.common import WordTable, split_words, text_udf
+from worktempo.llm.common import WordTable, boxed, split_words, text_udf
 
 MIN_WORDS, STRIDE, REPEATS = 5, 5, 12
 #: Walk length and places per hash, for items of at least so many words.
@@ -202,7 +203,7 @@ class Index:
         return out
 
 
-def blocks(benchmark: DataFrame, block_items: int) -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
     """The query set in blocks of about block_items items, one collected at a time."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull())
     count = max(1, math.ceil(items.count() / block_items))
@@ -234,8 +235,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, b
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_items: int = 2000) -> DataFrame:
     """Rows of docs without a leak."""
-    columns = docs.columns
+    rows = boxed(docs)
     for items in blocks(benchmark, block_items):
-        leaks = leaks_column(Index(items, similarity), F.col("text"))
-        docs = docs.withColumn("_leaks", leaks).where(F.size("_leaks") == 0).select(*columns)
-    return docs
+        leaks = leaks_column(Index(items, similarity), F.col("row.text"))
+        rows = rows.withColumn("leaks", leaks).where(F.size("leaks") == 0).select("row")
+    return rows.select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktempo.llm.common import (
-    WordTable, is_remainder, ngram_buckets, sampled, split_words, struct_array, sums, text_udf,
+    WordTable, boxed, is_remainder, ngram_buckets, sampled, split_words, struct_array, sums, text_udf,
 )
 
 BUCKETS = 1 << 12
@@ -165,5 +165,6 @@ def predict_column(model: Hierarchy, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
-    """docs with a struct column `language_found`."""
-    return docs.withColumn("language_found", predict_column(model, F.col("text")))
+    """Every row of docs as struct `row`, with lang_pred and score."""
+    found = boxed(docs).withColumn("found", predict_column(model, F.col("row.text")))
+    return found.select("row", "found.lang_pred", "found.score")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worktempo.llm.common import cut
+from worktempo.llm.common import boxed, cut
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
@@ -147,4 +147,5 @@ def verdicts(docs: DataFrame, least_rows: int = 50) -> DataFrame:
 def keep(docs: DataFrame, least_rows: int = 50) -> DataFrame:
     """Rows of docs that pass. Figures are computed twice (for the sketches, then beside the text) rather than stored."""
     limits = thresholds(measured(docs, "lang", "source"), least_rows)
-    return judge(measured(docs, *docs.columns), limits).where("kept").select(*docs.columns)
+    rows = measured(boxed(docs, "lang", "source", "text"), "row", "lang", "source")
+    return judge(rows, limits).where("kept").select("row.*")

@@ -64,8 +64,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
-    return found.select("doc_id", is_remainder("doc_id", 4, 2).alias("held_out"), "language_found.lang_pred",
-                        "language_found.score")
+    return found.select("row.doc_id", is_remainder("row.doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

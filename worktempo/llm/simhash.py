@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktempo.llm.common import cut, text_udf
+from worktempo.llm.common import boxed, cut, text_udf
 
 DISTANCE = 3
 
@@ -153,6 +153,6 @@ def keep_first(docs: DataFrame, most: int = 512) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = cut(classes(fp, order, most).select("root", "first").distinct()
                .select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_text_hash") == F.col("kept_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(kept, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    rows = boxed(docs).withColumn("id", F.col("row.doc_id")).withColumn("hash", F.xxhash64("row.text"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

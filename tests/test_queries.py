@@ -8,10 +8,11 @@ import pytest
 from compare import connect, oracle_rows, spark_rows
 
 import __spark_entry__ as entry_point
+from worktempo import oracle, registry
 
 DATA = Path("/root/testdata/sf0.01")
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 

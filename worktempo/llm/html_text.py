@@ -66,7 +66,7 @@ def unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """Lines in page order: decoded text, weight, and whether it lies in an article or main element."""
-    page = INVISIBLE.sub(lambda m: "" if m[0].startswith("<!") else " ", page)
+    page = INVISIBLE.sub("", page)
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = 0
@@ -103,7 +103,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 continue
             closed = stack[depth:]
             del stack[depth:]
-        elif name in VOID or tag[3].endswith("/"):
+        elif name in VOID:
             continue
         else:
             closed = []

@@ -1,55 +1,99 @@
 """Token ids of whole texts with a public tokenizer, remembered by word.
 
 The tokenizer splits at white space before anything else that matters (its added tokens hold none), so the ids of a text are
-those of its ASCII-space separated chunks in order. Chunks recur, so each is encoded once per worker; a chunk made of
-letters and trailing ASCII punctuation is put together from the two, which the tokenizer separates as well. Both caches
-are emptied when they grow beyond `limit` entries, which changes no result.
+those of its ASCII-space separated chunks in order. Chunks recur, so each is encoded once while it is remembered. The
+memory is bounded: two generations of at most `limit` chunks, of which the older is dropped when the younger is full, and a
+chunk met again moves to the younger. That changes no result.
+
+A chunk of letters with ASCII punctuation after them is two pre-tokens, or one; it goes to the tokenizer's model directly
+(in lower case, its bytes as the printable characters of byte-level tokenizers), which saves most of the library's work for
+one word. Every other chunk goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
 import string
+import sys
+import unicodedata
+from array import array
 
 from tokenizers import Tokenizer
 
+
 PUNCTUATION = string.punctuation.replace("'", "").encode()
 
 
+def printable_bytes() -> dict[int, str]:
+    """The byte-level alphabet: a printable Latin-1 character stands for itself, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers. `path` is a tokenizer file present on every machine."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def learn(self, fresh: set[bytes]) -> None:
-        cuts = {}
-        for chunk in fresh:
-            core = chunk.rstrip(PUNCTUATION)
-            if core and core.decode("utf-8", "replace").isalpha():
-                cuts[chunk] = (core.lower() if core.isascii() else core, chunk[len(core):])
+        self.model, self.tails, self.shown = self.tokenizer.model, {b"": b""}, printable_bytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Remember the chunks, encoding those that are in neither generation."""
+        if len(self.young) + len(chunks) > self.limit:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for chunk in chunks:
+            ids = self.old.pop(chunk, None)
+            if ids is None:
+                ids = self.simple(chunk)
+            if ids is None:
+                fresh.append(chunk)
             else:
-                cuts[chunk] = (chunk, b"")
-        unknown = [p for p in {p for cut in cuts.values() for p in cut} if p and p not in self.parts]
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in unknown], add_special_tokens=False)
-        self.parts[b""] = b""
-        for part, encoding in zip(unknown, found):
-            self.parts[part] = b"".join(i.to_bytes(4, "little") for i in encoding.ids)
-        for chunk, (core, tail) in cuts.items():
-            self.chunks[chunk] = self.parts[core] + self.parts[tail]
+                self.young[chunk] = ids
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)
+        for chunk, encoding in zip(fresh, found):
+            self.young[chunk] = packed(encoding.ids)
+
+    def simple(self, chunk: bytes) -> bytes | None:
+        """Ids of letters and trailing punctuation; None for any other chunk."""
+        core = chunk.rstrip(PUNCTUATION)
+        word = core.decode("utf-8", "replace")
+        low = word.lower()
+        if not (word.isalpha() and low.isalpha()):
+            return None
+        if not core.isascii():
+            if "Σ" in word or not unicodedata.is_normalized("NFC", word):
+                return None
+            low = low.encode().decode("latin-1").translate(self.shown)
+        tail = chunk[len(core):]
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {b"": b""}
+            self.tails[tail] = packed([t.id for t in self.model.tokenize(tail.decode())])
+        return packed([t.id for t in self.model.tokenize(low)]) + self.tails[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for NULL."""
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
+        known = self.young.get
         cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        fresh = set(itertools.filterfalse(self.chunks.__contains__, itertools.chain.from_iterable(cut)))
-        if fresh:
-            self.learn(fresh)
-        return [b"".join(map(self.chunks.__getitem__, words)) for words in cut]
+        parts = [list(map(known, words)) for words in cut]
+        gaps = [[k for k, ids in enumerate(found) if ids is None] if None in found else () for found in parts]
+        missing = {words[k] for words, some in zip(cut, gaps) for k in some}
+        if missing:
+            self.learn(missing)
+            known = self.young
+            for words, found, some in zip(cut, parts, gaps):
+                for k in some:
+                    found[k] = known[words[k]]
+        return [b"".join(found) for found in parts]

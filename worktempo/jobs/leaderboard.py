@@ -32,7 +32,7 @@ def leaderboard_7d(
 
 
 def refresh_leaderboard(items: DataFrame, path: str) -> None:
-    """Replace the rows of the intervals in ``items``; other intervals stay."""
-    (
-        items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval").parquet(path)
-    )
+    """Replace the rows of the intervals in ``items``, of the seven days if it has none; other intervals stay."""
+    for interval in [r[0] for r in items.select("interval").distinct().collect()] or [INTERVAL]:
+        rows = items.where(F.col("interval") == interval).drop("interval")
+        rows.write.mode("overwrite").parquet(f"{path}/interval={interval}")

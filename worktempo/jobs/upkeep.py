@@ -68,12 +68,14 @@ def inactive_today(hb: DataFrame, users: DataFrame, *, as_of: datetime, tz_hours
     whole active side.
     """
     clock = Clock.at(as_of, tz_hours)
-    active = window_rows(hb, clock, clock.today).groupBy("user_id").agg(F.count("*").alias("n"))
-    unknown = active.agg(F.coalesce(F.bool_or(F.col("user_id").isNull()), F.lit(False))).scalar()
-    someone = active.agg(F.count("*") > 0).scalar()
-    rest = users.join(active.select(F.col("user_id").alias("id")), "id", "left_anti").select("id")
-    rest = rest.withColumns({"_unknown": unknown, "_someone": someone})
-    kept = rest.where(~F.col("_unknown") & (F.col("id").isNotNull() | ~F.col("_someone")))
+    active = window_rows(hb, clock, clock.today).select("user_id").distinct()
+    # One check of the same table that the join reads, so that Spark reads the heartbeats once; the join compares
+    # NULL-safely for the same reason (else it would filter its side and make it another table).
+    found = active.agg(F.struct(
+        F.coalesce(F.bool_or(F.col("user_id").isNull()), F.lit(False)).alias("unknown"), (F.count("*") > 0).alias("someone")
+    )).scalar()
+    rest = users.select("id").join(active, F.col("id").eqNullSafe(F.col("user_id")), "left_anti").withColumn("_found", found)
+    kept = rest.where(~F.col("_found.unknown") & (F.col("id").isNotNull() | ~F.col("_found.someone")))
     return kept.select("id", F.concat(F.lit("⚠️  "), F.col("id"), F.lit(" - bugün aktivite yok")).alias("line"))
 
 

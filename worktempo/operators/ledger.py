@@ -68,14 +68,26 @@ def users_on_leave(leaves: DataFrame, day: date) -> DataFrame:
     return leaves.where(hit).select("user_id").distinct()
 
 
+# White space that is stripped from request texts.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                                0x202F, 0x205F, 0x3000]))
+NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+
+
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def _stripped(name: str) -> Column:
     """Trimmed text, '' for NULL."""
-    return F.trim(F.coalesce(F.col(name), F.lit("")))
+    return _trimmed(F.coalesce(F.col(name), F.lit("")))
 
 
 def _number(name: str) -> Column:
-    """A missing value is 0; NULL where the text is no finite number."""
-    value = F.when(F.col(name).isNull(), F.lit(0.0)).otherwise(F.trim(name).try_cast("double"))
+    """A missing value is 0; NULL where the text is no finite decimal number."""
+    text = _trimmed(F.col(name))
+    given = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    value = F.when(F.col(name).isNull(), F.lit(0.0)).otherwise(given)
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
@@ -186,6 +198,11 @@ def delete_ids(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     return ledger.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+def delete_approved(ledger: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows that no approved request names."""
+    return delete_ids(ledger, requests.where(F.col("decision") == "approved"))
+
+
 def apply_tag_requests(
     requests: DataFrame, tags: DataFrame, *, as_of: datetime
 ) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +221,7 @@ def apply_tag_requests(
 
     def default(name: str, value: str) -> Column:
         given = F.coalesce(F.col(name), F.lit(""))
-        return F.trim(F.when(given == "", F.lit(value)).otherwise(given))
+        return _trimmed(F.when(given == "", F.lit(value)).otherwise(given))
 
     created = _with_base_id(good.where(F.col("id").isNull()), tags).select(
         (F.col("_base") + F.col("request_id")).alias("id"),

@@ -96,7 +96,16 @@ def key_stats(
     the lists never travel with the raw rows."""
     group = [*keys, "local_day"] if by_day else list(keys)
     times = activity(hb, keys, flags, by_day=by_day, idle_minutes=idle_minutes, tz_hours=tz_hours)
-    return times.join(distinct_values(hb, group, lists, distinct), group)
+    return null_safe_join(times, distinct_values(hb, group, lists, distinct), group)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be NULL: a group of rows without a user is a group."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(other, same).drop(*[f"_{k}" for k in keys])
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:

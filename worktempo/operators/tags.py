@@ -1,8 +1,10 @@
 """Site tags: a pattern tags an entity if it is a case-insensitive substring of it.
 
-Matching all entities against all patterns would be a nested loop over both tables. Instead each distinct entity is
-cut into its substrings of the lengths that occur among the patterns, and these are joined to the patterns by
-equality: the result is exactly the true matches, and neither table need be small.
+Matching all entities against all patterns would be a nested loop over both tables. Instead each pattern is looked for by
+one anchor: the three letters of it that the fewest entities hold (all of it, if it is shorter). Each distinct entity is cut
+into its three-letter pieces, pieces that no pattern holds are dropped before anything is shuffled by piece, the rest are
+joined to the anchors, and ``contains`` decides. An entity makes as many pieces as it has letters, whatever the
+patterns; a piece that all sites share ("htt") is an anchor only of a pattern that has nothing rarer.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ def rules_by_id(tags: DataFrame) -> DataFrame:
     )
 
 
+GRAM = 3
+
+
 def _pieces(name: Column, lengths: Column) -> Column:
     """Distinct substrings of ``name`` with the given lengths."""
     size = F.length(name)
@@ -44,13 +49,33 @@ def _pieces(name: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
+def entity_pieces(entities: DataFrame, rules: DataFrame) -> DataFrame:
+    """(entity, piece) of distinct entities: three-letter pieces, and shorter ones where a pattern is that short; only
+    pieces that some pattern holds."""
+    lengths = rules.agg(F.collect_set(F.least(F.length("pattern"), F.lit(GRAM)))).scalar()  # at most GRAM + 1 numbers
+    cut = entities.select("entity").distinct().withColumn("_lengths", lengths)
+    cut = cut.select("entity", F.explode(_pieces(F.lower("entity"), F.col("_lengths"))).alias("piece"))
+    return cut.join(_rule_pieces(rules).select("piece").distinct(), "piece", "left_semi")
+
+
+def _rule_pieces(rules: DataFrame) -> DataFrame:
+    own = F.array(F.least(F.length("pattern"), F.lit(GRAM)))
+    return rules.select("pattern", F.explode(_pieces(F.col("pattern"), own)).alias("piece"))
+
+
+def anchors(pieces: DataFrame, rules: DataFrame) -> DataFrame:
+    """(pattern, piece): for each pattern its piece that the fewest entities hold."""
+    held = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    place = F.struct(F.coalesce("n", F.lit(0)), "piece")
+    return _rule_pieces(rules).join(held, "piece", "left").groupBy("pattern").agg(F.min_by("piece", place).alias("piece"))
+
+
 def matches(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """(entity, place, info) for every rule that matches a distinct entity."""
-    lengths = rules.agg(F.collect_set(F.length("pattern"))).scalar()
-    pieces = entities.select("entity").distinct().withColumn("_lengths", lengths).select(
-        "entity", F.explode(_pieces(F.lower("entity"), F.col("_lengths"))).alias("pattern")
-    )
-    return salted_lookup(pieces, rules, ["pattern"], ["entity"], how="inner").drop("pattern")
+    pieces = entity_pieces(entities, rules)
+    candidates = pieces.join(anchors(pieces, rules), "piece")
+    found = candidates.where(F.contains(F.lower("entity"), F.col("pattern"))).select("entity", "pattern")
+    return found.join(rules, "pattern").drop("pattern")
 
 
 def first_match(entities: DataFrame, rules: DataFrame) -> DataFrame:

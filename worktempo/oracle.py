@@ -7,17 +7,53 @@ SQL for the ledgers. Nothing here runs on Spark.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-
-from worktempo import registry as reg
-from worktempo.functions.clock import Clock
-from worktempo.functions.columns import AI_CATEGORY, AI_EDITORS, AI_USERAGENT_KEYWORDS
-from worktempo.plans import alerts as al
-from worktempo.plans.export import BOXES
-from worktempo.sources.derived import AS_OF, table_sql
-from worktempo.sources.schemas import LEAVE_TYPES, LEISURE_TAGS, UNTAGGED, UNTAGGED_COLOR
-
-C = Clock.at(AS_OF)
-TODAY = C.local_date
+from types import SimpleNamespace
+
+from worktempo.sources.derived import table_sql
+
+# Bounds and fixed values are written out once more here, so that a wrong one in the plans shows.
+AS_OF = datetime(2024, 1, 26, 12)
+TODAY = AS_OF.date()
+C = SimpleNamespace(
+    today=datetime(2024, 1, 25, 21), week=datetime(2024, 1, 21, 21), prev_week=datetime(2024, 1, 14, 21),
+    week_date=datetime(2024, 1, 22).date(),
+    days_back=lambda n: datetime(2024, 1, 25, 21) - timedelta(days=n),
+    day_start=lambda day: datetime(day.year, day.month, day.day) - timedelta(hours=3),
+)
+reg = SimpleNamespace(
+    REPORT_DAY="2024-01-25", RANGE={"start": "2024-01-10", "end": "2024-01-24"},
+    LEAVE_RANGE={"start": "2024-01-20", "end": "2024-01-27"}, LEISURE_SECONDS=300, MIN_PREV=10, BURNOUT_SECONDS=1800,
+    WEEKEND_SECONDS=900, RETENTION_DAYS_AS_OF=datetime(2025, 1, 20, 12), INACTIVE_AS_OF=datetime(2024, 7, 20, 12),
+    DELETE_COLUMNS={"adjustments": ["id", "user_id", "seconds"], "leaves": ["id", "user_id", "leave_type"],
+                    "tags": ["id", "tag_name", "domain_pattern"]},
+)
+AI_EDITORS = ["cursor", "windsurf", "trae"]
+AI_USERAGENT_KEYWORDS = ["claudecode", "copilot", "codeium", "tabnine", "supermaven", "cody"]
+AI_CATEGORY = "ai coding"
+LEAVE_TYPES = ["annual", "sick", "holiday", "other"]
+LEISURE_TAGS = ["Eğlence", "Sosyal Medya"]
+UNTAGGED, UNTAGGED_COLOR = "Etiketlenmemiş", "#475569"
+BOXES = {'Aktif Kullanici': 'total_users',
+ 'IDE Sure': 'total_coding_seconds',
+ 'Tarayici Sure': 'total_browsing_seconds',
+ 'AI Sure': 'total_ai_seconds',
+ 'Takim Verimlilik': 'team_productivity'}
+al = SimpleNamespace(TEXTS={
+    "inactive": ("warning", "⚠️", "Bugün İnaktif Kullanıcılar",
+        "{n} kullanıcı bugün hiç aktif olmadı: {names}"),
+    "on_leave": ("info", "🏝️", "Bugün İzinli Kullanıcılar",
+        "{n} kişi izinli: {names}"),
+    "entertainment": ("danger", "🎮", "{user} — Yüksek Eğlence Kullanımı",
+        "Bugün {minutes} dakika eğlence/sosyal medya sitelerinde"),
+    "activity_drop": ("info", "📉", "{user} — Aktivite Düşüşü",
+        "Bu hafta %{drop} daha az aktif (geçen hafta: {prev} HB, bu hafta: {this} HB)"),
+    "burnout": ("danger", "🔥", "{user} — Burnout Riski",
+        "Üst üste {streak} gün {hours} saatin üzerinde kod yazmış. Mola önerisi yerinde olabilir."),
+    "weekend": ("warning", "🏖️", "{user} — Hafta Sonu Çalışması",
+        "Son {days} günün hafta sonlarında toplam {hours} saat ({weekend_days} gün). İş-yaşam dengesi kontrol edilebilir."),
+})
+al.KINDS = list(al.TEXTS)
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 
 
 def _ts(value: datetime) -> str:
@@ -122,7 +158,7 @@ def _adj(start=None, end=None, keys: str = "user_id") -> str:
     return f"SELECT {keys}, sum(seconds) AS adj FROM adjustments{where} GROUP BY {keys}"
 
 
-_dashes = "CASE WHEN s.user_id IS NULL THEN '-' ELSE {c} END AS {c}"
+_dashes = "CASE WHEN s.heartbeats IS NULL THEN '-' ELSE {c} END AS {c}"
 
 
 def _dash(*names: str) -> str:
@@ -354,7 +390,7 @@ def _names(source: str, name: str) -> tuple[str, str]:
 
 def _user_days(name: str, days: int) -> list[tuple[str, str]]:
     return [
-        _ordered("user_id, day", _days_back(days), f"o_{name}"),
+        _ordered("user_id, day", f"user_id IS NOT NULL AND {_days_back(days)}", f"o_{name}"),
         (f"d_{name}", f"SELECT user_id, day, {_act()} AS sec FROM o_{name} GROUP BY user_id, day"),
     ]
 
@@ -368,7 +404,7 @@ _ALERTS: dict[str, tuple[list, list, str]] = {
         ["users", "leaves"],
         [
             ("idle", "SELECT id AS user_id FROM users WHERE id NOT IN (SELECT user_id FROM hb WHERE "
-                     f"{_days_back(0)}) AND id NOT IN (SELECT user_id FROM leaves WHERE {_LEAVE_NOW})"),
+                     f"user_id IS NOT NULL AND {_days_back(0)}) AND id NOT IN (SELECT user_id FROM leaves WHERE {_LEAVE_NOW})"),
             _names("idle", "idle_names"),
         ],
         _alert("inactive", "idle_names", {"n": "n", "names": "names"}, "NULL", "n"),
@@ -381,7 +417,7 @@ _ALERTS: dict[str, tuple[list, list, str]] = {
     "entertainment": (
         ["tags"],
         [
-            _ordered("user_id", f"{_days_back(0)} AND type IN ('domain', 'url') AND EXISTS (SELECT 1 FROM tags g "
+            _ordered("user_id", f"user_id IS NOT NULL AND {_days_back(0)} AND type IN ('domain', 'url') AND EXISTS (SELECT 1 FROM tags g "
                      f"WHERE g.tag_name IN ({_LEISURE}) AND contains(lower(entity), lower(g.domain_pattern)))", "o_fun"),
             ("fun", f"SELECT user_id, {_act()} AS sec FROM o_fun GROUP BY user_id HAVING {_us()} > {reg.LEISURE_SECONDS * 1_000_000}"),
         ],
@@ -391,7 +427,7 @@ _ALERTS: dict[str, tuple[list, list, str]] = {
         ["leaves"],
         [
             ("this_week", f"SELECT user_id, count(*) AS hb FROM hb WHERE {_since(C.week)} GROUP BY user_id"),
-            ("last_week", f"SELECT user_id, count(*) AS hb FROM hb WHERE {_since(C.prev_week, C.week)} GROUP BY user_id"),
+            ("last_week", f"SELECT user_id, count(*) AS hb FROM hb WHERE user_id IS NOT NULL AND {_since(C.prev_week, C.week)} GROUP BY user_id"),
             ("free", "SELECT user_id FROM (SELECT DISTINCT user_id, unnest(generate_series(CAST(start_date AS TIMESTAMP), "
                      "CAST(end_date AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM leaves) x WHERE "
                      f"d BETWEEN {_date(TODAY - timedelta(days=7))} AND {_date(TODAY)} GROUP BY user_id HAVING count(*) >= 3"),
@@ -510,14 +546,18 @@ def _kpis() -> str:
 
 # --- ledgers --------------------------------------------------------------------------------------------------
 
-_NUM = "CASE WHEN {c} IS NULL THEN 0 ELSE try_cast(trim({c}) AS DOUBLE) END"
+_NUM = (
+    "CASE WHEN {c} IS NULL THEN 0 WHEN regexp_full_match(trim({c}, " + SPACE + "), "
+    "'[+-]?([0-9]+(_[0-9]+)*(\\.([0-9]+(_[0-9]+)*)?)?|\\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?') "
+    "THEN try_cast(replace(trim({c}, " + SPACE + "), '_', '') AS DOUBLE) END"
+)
 _ISO = "CASE WHEN regexp_full_match({c}, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN CAST(try_strptime({c}, '%Y-%m-%d') AS DATE) END"
 
 
 def _ingest_adjustments() -> str:
     step = (
         f"SELECT *, {_NUM.format(c='hours')} AS h, {_NUM.format(c='minutes')} AS m, "
-        "lower(CASE WHEN coalesce(op, '') = '' THEN 'add' ELSE op END) AS o, trim(coalesce(adjustment_date, '')) AS dt, "
+        "lower(CASE WHEN coalesce(op, '') = '' THEN 'add' ELSE op END) AS o, trim(coalesce(adjustment_date, ''), " + SPACE + ") AS dt, "
         "user_id IN (SELECT id FROM users) AS known FROM adjustment_requests"
     )
     more = (
@@ -532,7 +572,7 @@ def _ingest_adjustments() -> str:
         "CASE WHEN why IS NULL THEN request_id + (SELECT max(id) FROM adjustments) ELSE request_id END AS ref, user_id, "
         "CASE WHEN why IS NULL THEN CAST(CAST(CASE WHEN o = 'add' THEN size ELSE -size END AS BIGINT) AS VARCHAR) END AS seconds, "
         f"CASE WHEN why IS NULL THEN {_day('d')} END AS adjustment_date, "
-        "CASE WHEN why IS NULL THEN nullif(trim(coalesce(reason, '')), '') END AS reason, why AS error FROM r3"
+        "CASE WHEN why IS NULL THEN nullif(trim(coalesce(reason, ''), " + SPACE + "), '') END AS reason, why AS error FROM r3"
     )
 
 
@@ -553,7 +593,7 @@ def _ingest_leaves() -> str:
         "SELECT CASE WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END AS status, "
         "CASE WHEN why IS NULL THEN request_id + (SELECT max(id) FROM leaves) ELSE request_id END AS ref, user_id, "
         f"CASE WHEN why IS NULL THEN {_day('sd')} END AS start_date, CASE WHEN why IS NULL THEN {_day('ed')} END AS end_date, "
-        "CASE WHEN why IS NULL THEN k END AS leave_type, CASE WHEN why IS NULL THEN nullif(trim(coalesce(reason, '')), '') END AS reason, "
+        "CASE WHEN why IS NULL THEN k END AS leave_type, CASE WHEN why IS NULL THEN nullif(trim(coalesce(reason, ''), " + SPACE + "), '') END AS reason, "
         "why AS error FROM r3"
     )
 
@@ -578,14 +618,27 @@ def _tags_upsert() -> str:
     )
 
 
-def _ledger_delete(name: str, source: str, id_column: str, when: str) -> str:
+_APPROVED = "SELECT id FROM delete_requests WHERE decision = 'approved'"
+
+
+def _ledger_delete(name: str) -> str:
     cols = ", ".join(reg.DELETE_COLUMNS[name])
-    return _with(name, hb=False) + f"SELECT {cols} FROM {name} WHERE id NOT IN (SELECT {id_column} FROM {source} WHERE {when})"
+    return _with(name, "delete_requests", hb=False) + f"SELECT {cols} FROM {name} WHERE id NOT IN ({_APPROVED})"
+
+
+def _after(name: str, ingest: str, columns: str, numbers: str) -> str:
+    """The stored ledger with the accepted rows of an ingest (its SQL); requests were checked against ``name``."""
+    body = ingest.removeprefix("WITH ")
+    cut = body.rindex("SELECT CASE WHEN why IS NULL THEN 'accepted'")
+    return (
+        f"WITH {body[:cut]}, outcome AS ({body[cut:]}) SELECT {columns} FROM {name} UNION ALL SELECT {numbers} FROM outcome "
+        "WHERE status = 'accepted'"
+    )
 
 
 # --- streams --------------------------------------------------------------------------------------------------
 
-# All heartbeats, and the watermark after the last one: ten minutes behind, in milliseconds.
+# All heartbeats; mark: the watermark after the last one, ten minutes behind, in milliseconds.
 _STREAM = [("s", f"SELECT *, epoch_us(time) AS t, ({_AI}) AS ai, lower(coalesce(category, '')) = 'browsing' AS br, "
                  f"CAST(time + INTERVAL 3 HOUR AS DATE) AS day FROM ({table_sql('heartbeats')}) h"),
            ("mark", "SELECT max(t) // 1000 * 1000 - 600000000 AS w FROM s")]
@@ -596,14 +649,18 @@ def _instant(us: str) -> str:
 
 
 def _windows(minutes: int, keys: str, aggs: str) -> str:
-    """Sliding windows of whole minutes that the watermark has passed."""
+    """Sliding windows of whole minutes."""
     return _with(
         *_STREAM,
         ("x", f"SELECT s.*, (t // 60000000 + k) * 60000000 AS stop FROM s, range(1, {minutes + 1}) r(k)"),
         hb=False,
-    ) + f"SELECT {_instant('stop')} AS window_end, {keys}{aggs} FROM x WHERE stop <= (SELECT w FROM mark) GROUP BY {keys}stop"
+    ) + f"SELECT {_instant('stop')} AS window_end, {keys}{aggs} FROM x GROUP BY {keys}stop"
 
 
+_RETAINED = (
+    f"SELECT id, user_id, {_fmt('time', '%Y-%m-%d %H:%M:%S.%f')} AS time FROM ({table_sql('heartbeats')}) h "
+    f"WHERE time >= {_ts(reg.RETENTION_DAYS_AS_OF)} - INTERVAL 12 MONTH"
+)
 _CREATED = _fmt("created_at + INTERVAL 3 HOUR", "%d/%m/%Y %H:%M")
 
 
@@ -686,9 +743,19 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT id, user_id, seconds, reason, {_day('adjustment_date')} AS adjustment_date, {_CREATED} AS created_at FROM adjustments",
         "adjustment_totals": _with("adjustments", hb=False) + f"SELECT user_id, {_big('sum(seconds)')} AS total_seconds FROM adjustments GROUP BY user_id",
         "adjustments_ingest": _ingest_adjustments(),
-        "ledger_delete": _ledger_delete("adjustments", "lineitem", "l_orderkey", "l_returnflag = 'R'"),
-        "leave_delete": _ledger_delete("leaves", "orders", "o_orderkey", "o_orderstatus = 'P'"),
-        "tag_delete": _ledger_delete("tags", "orders", "o_orderkey", "o_orderstatus = 'F'"),
+        "ledger_delete": _ledger_delete("adjustments"),
+        "leave_delete": _ledger_delete("leaves"),
+        "tag_delete": _ledger_delete("tags"),
+        "stored_adjustments": _with("delete_requests", hb=False) + "SELECT * FROM (" + _after(
+            "adjustments", _ingest_adjustments(),
+            f"id, user_id, CAST(seconds AS BIGINT) AS seconds, {_day('adjustment_date')} AS adjustment_date, reason",
+            "ref, user_id, CAST(seconds AS BIGINT), adjustment_date, reason") + f") z WHERE id NOT IN ({_APPROVED})",
+        "stored_leaves": _after(
+            "leaves", _ingest_leaves(),
+            f"id, user_id, {_day('start_date')} AS start_date, {_day('end_date')} AS end_date, leave_type, reason",
+            "ref, user_id, start_date, end_date, leave_type, reason"),
+        "stored_tags": "SELECT ref AS id, tag_name, tag_color, tag_icon, domain_pattern FROM (" + _tags_upsert()
+        + ") z WHERE status = 'kept'",
         "leaves_list": _with("leaves", hb=False) + f"SELECT id, user_id, leave_type, reason, {_day('start_date')} AS start_date, "
         f"{_day('end_date')} AS end_date, end_date - start_date + 1 AS days, {_CREATED} AS created_at FROM leaves",
         "leave_totals": _with("leaves", hb=False) + f"SELECT user_id, {_big('sum(end_date - start_date + 1)')} AS total_days FROM leaves GROUP BY user_id",
@@ -699,6 +766,16 @@ def oracle_sql() -> dict[str, str]:
         "on_leave": _with("leaves", hb=False) + f"SELECT DISTINCT user_id FROM leaves WHERE {_LEAVE_NOW}",
         "projects": _team_union("project", "language", True),
         "languages": _team_union("language", "project", False),
+        **{f"{key}_figures": _with(_ordered(key, f"{_days_back(30)} AND {key} <> ''")) + (
+            f"SELECT {key} AS name, count(*) AS heartbeats, count(DISTINCT user_id) AS user_count, "
+            f"{_fmt('min(lt)', '%d/%m/%Y')} AS first_activity, {_fmt('max(lt)', '%d/%m/%Y %H:%M')} AS last_activity, "
+            "count(DISTINCT day) AS active_days, count(*) FILTER (WHERE ai) AS ai_heartbeats, "
+            f"{_act()} AS coding_seconds FROM o GROUP BY {key}") for key in ("project", "language")},
+        **{name: _with() + f"SELECT {key} AS name, {other}, count(*) AS heartbeats FROM hb WHERE {month_ago}{key} <> '' "
+           f"AND {other} <> '' GROUP BY {key}, {other}" for name, key, other in (
+               ("project_users", "project", "user_id"), ("project_languages", "project", "language"),
+               ("language_users", "language", "user_id"), ("language_projects", "language", "project"))},
+        "tag_patterns": _with("tags", hb=False) + "SELECT tag_name, id, domain_pattern, tag_color, tag_icon FROM tags",
         "languages_by_user": _with(_ordered("user_id, language", month_ago + "language <> ''"))
         + f"SELECT user_id, language, count(*) AS heartbeats, {_act()} AS coding_seconds FROM o GROUP BY user_id, language",
         "users_overview": _with(
@@ -774,13 +851,14 @@ def oracle_sql() -> dict[str, str]:
         "heartbeat_rate": _with(("c", minutes)) + f"SELECT {_fmt('make_timestamp(x.m * 60000000)', '%Y-%m-%d %H:%M')} AS minute, "
         f"{_big('sum(c.n)')} AS heartbeats, CAST(sum(c.n) AS DOUBLE) / 5 AS per_minute FROM (SELECT DISTINCT c.m + k AS m FROM c, range(1, 6) r(k)) x "
         f"JOIN c ON c.m BETWEEN x.m - 5 AND x.m - 1 WHERE x.m <= epoch_us({_ts(AS_OF)}) // 60000000 GROUP BY x.m",
-        "retention_kept": f"SELECT user_id, count(*) AS heartbeats FROM ({table_sql('heartbeats')}) h WHERE time >= "
-        f"{_ts(reg.RETENTION_DAYS_AS_OF)} - INTERVAL 12 MONTH GROUP BY user_id",
+        "retention_kept": _RETAINED,
+        "stored_heartbeats": _RETAINED,
         "inactive_accounts": _with("users", hb=False) + f"SELECT id, email FROM users WHERE id NOT IN (SELECT user_id FROM ({table_sql('heartbeats')}) h "
-        f"WHERE time >= {_ts(reg.INACTIVE_AS_OF)} - INTERVAL 6 MONTH)",
+        f"WHERE user_id IS NOT NULL AND time >= {_ts(reg.INACTIVE_AS_OF)} - INTERVAL 6 MONTH)",
         "stream_active_now": _windows(
             10, "user_id, ", f"count(*) AS recent_hb, {_instant('max(t)')} AS last_ts, bool_or(ai) AS is_ai, "
-            "max(project) FILTER (WHERE type = 'file') AS project, max(language) AS language, max(editor) AS editor"),
+            "max(project) FILTER (WHERE type = 'file') AS project, max(language) AS language, max(editor) AS editor, "
+            "max(type) AS last_type, max(entity) AS last_entity"),
         "stream_heartbeat_rate": _windows(5, "", "count(*) AS heartbeats, CAST(count(*) AS DOUBLE) / 5 AS per_minute"),
         "stream_sessions": _with(
             *_STREAM,
@@ -788,13 +866,17 @@ def oracle_sql() -> dict[str, str]:
             ("n", "SELECT *, count(*) FILTER (WHERE gap > 600000000) OVER (PARTITION BY user_id ORDER BY t, id) AS part FROM g"),
             ("z", "SELECT user_id, min(t) AS a, max(t) AS b, count(*) AS heartbeats FROM n GROUP BY user_id, part"),
             hb=False,
-        ) + f"SELECT user_id, {_instant('a')} AS first_ts, {_instant('b')} AS last_ts, heartbeats, b - a AS active_us FROM z "
-            "WHERE b + 600000000 <= (SELECT w FROM mark)",
+        ) + f"SELECT user_id, {_instant('a')} AS first_ts, {_instant('b')} AS last_ts, heartbeats, b - a AS active_us, "
+            "b + 600000000 <= (SELECT w FROM mark) AS closed FROM z",
         "stream_attributed": _with(
             *_STREAM,
-            ("o", "SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, id) AS gap FROM s WHERE day <= DATE '2024-01-26'"),
+            ("o", "SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, id) AS gap FROM s"),
             hb=False,
         ) + f"SELECT user_id, count(*) AS heartbeats, {_act()} AS coding_seconds, {_act('NOT br')} AS ide_coding_seconds, "
             f"{_act('br')} AS browsing_seconds, {_act('ai')} AS ai_coding_seconds FROM o GROUP BY user_id",
     }
+    found["week_by_user_dense"] = found["week_by_user"]
+    found["range_report_users_dense"] = found["range_report_users"]
+    found["stored_users"] = found["share_flags_update"]
+    found["stored_leaderboard"] = found["leaderboard_7d"]
     return found

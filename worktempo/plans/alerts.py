@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock
-from worktempo.functions.columns import is_site, round_even, seconds
+from worktempo.functions.columns import is_site, or_zero, round_even, seconds
 from worktempo.operators.gaps import active_us, span_slots
 from worktempo.operators.ledger import leave_days, users_on_leave
 from worktempo.operators.runs import longest_run
@@ -50,7 +50,10 @@ def _fill(text: str, values: dict[str, Column | str]) -> Column:
     return F.concat(*parts)
 
 
-def _alert(kind: str, values: dict[str, Column | str], user: Column, count: Column) -> list[Column]:
+def _alert(
+    kind: str, values: dict[str, Column | str], user: Column, count: Column, figure: Column | None = None
+) -> list[Column]:
+    """``sort_key`` orders the alerts of a kind: those with a figure by it, largest first, then all by user."""
     level, icon, title, message = TEXTS[kind]
     return [
         F.lit(KINDS.index(kind) + 1).alias("alert_order"),
@@ -60,6 +63,7 @@ def _alert(kind: str, values: dict[str, Column | str], user: Column, count: Colu
         _fill(message, values).alias("message"),
         user.cast("string").alias("user_id"),
         count.cast("bigint").alias("alert_count"),
+        (F.lit(0) if figure is None else -figure).cast("bigint").alias("sort_key"),
     ]
 
 
@@ -67,6 +71,7 @@ def _group_alert(kind: str, users: DataFrame, clock: Clock) -> DataFrame:
     """One row with the number of users and the first few names; none before the alert hour or without users."""
     if clock.local_now.hour < ALERT_HOUR:
         users = users.where(F.lit(False))
+    users = users.select("user_id").distinct()  # one shuffled table for the names and the number
     first = users.orderBy("user_id").limit(NAMES_SHOWN)
     names = first.agg(F.array_join(F.array_sort(F.collect_list("user_id")), ", ")).scalar()
     total = users.agg(F.count("*").alias("n")).where(F.col("n") > 0).withColumn("first_names", names)
@@ -86,23 +91,25 @@ def inactive_users(hb: DataFrame, users: DataFrame, leaves: DataFrame, clock: Cl
 def alert_inactive(hb: DataFrame, users: DataFrame, leaves: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
     """Users without heartbeats today who are not on leave."""
     clock = Clock.at(as_of, tz_hours)
-    return _group_alert("inactive", inactive_users(hb, users, leaves, clock), clock)
+    return _in_order(_group_alert("inactive", inactive_users(hb, users, leaves, clock), clock))
 
 
 def alert_on_leave(leaves: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
     clock = Clock.at(as_of, tz_hours)
-    return _group_alert("on_leave", users_on_leave(leaves, clock.local_date), clock)
+    return _in_order(_group_alert("on_leave", users_on_leave(leaves, clock.local_date), clock))
 
 
 def alert_entertainment(
     hb: DataFrame, tags: DataFrame, *, as_of: datetime, threshold: int = 3600, idle_minutes: int = IDLE, tz_hours: int = TZ
 ) -> DataFrame:
-    """Users with more than ``threshold`` seconds today on sites of the leisure tags.
+    """Users with more than ``threshold`` seconds today on sites of the leisure tags, most time first."""
+    return _in_order(_leisure_alerts(hb, tags, Clock.at(as_of, tz_hours), threshold, idle_minutes))
 
-    Gaps run along all leisure sites of a user. Sites are reduced to (user, site, slot) before the tags are looked
+
+def _leisure_alerts(hb: DataFrame, tags: DataFrame, clock: Clock, threshold: int, idle_minutes: int) -> DataFrame:
+    """Gaps run along all leisure sites of a user. Sites are reduced to (user, site, slot) before the tags are looked
     up; slots of several sites then merge by minimum and maximum.
     """
-    clock = Clock.at(as_of, tz_hours)
     rows = window_rows(hb, clock, clock.today, idle_minutes=idle_minutes).where(is_site())
     parts = rows.groupBy("user_id", "entity", "local_day", "slot").agg(
         F.min("t").alias("lo"), F.max("t").alias("hi")
@@ -110,24 +117,42 @@ def alert_entertainment(
     leisure = tagged_with(parts, rows, tags, LEISURE_TAGS, ["user_id", "slot"])
     instants = leisure.select("user_id", "local_day", "slot", F.explode(F.array("lo", "hi")).alias("t"))
     total = F.sum(active_us(idle_minutes=idle_minutes))
-    users = span_slots(instants, ["user_id"]).groupBy("user_id").agg(total.alias("us"))
+    users = span_slots(instants.where(F.col("user_id").isNotNull()), ["user_id"]).groupBy("user_id").agg(total.alias("us"))
     users = users.where(F.col("us") > F.lit(threshold * 1_000_000)).withColumn("seconds", seconds("us"))
     values = {"user": F.col("user_id"), "minutes": round_even(F.col("seconds") / F.lit(60))}
-    return users.select(*_alert("entertainment", values, F.col("user_id"), F.lit(None)))
+    return users.select(*_alert("entertainment", values, F.col("user_id"), F.lit(None), F.col("seconds")))
 
 
-def alert_activity_drop(
-    hb: DataFrame, leaves: DataFrame, *, as_of: datetime, min_prev: int = 100, ratio: str = "0.3",
-    excused_days: int = 3, tz_hours: int = TZ,
-) -> DataFrame:
-    """Users with less than ``ratio`` of last week's heartbeats, unless excused by leave in the last eight days."""
-    clock = Clock.at(as_of, tz_hours)
-    week = since_day(clock.week, clock)
-    counts = window_rows(hb, clock, clock.prev_week).groupBy("user_id").agg(
-        F.count_if(week).alias("this_hb"), F.count_if(~week).alias("prev_hb")
+def _in_order(found: DataFrame) -> DataFrame:
+    return found.orderBy("alert_order", "sort_key", "user_id").drop("sort_key")
+
+
+def user_days(hb: DataFrame, clock: Clock, start: datetime, idle_minutes: int) -> DataFrame:
+    """Per named user and local day from ``start``: heartbeats and seconds, days counted alone."""
+    rows = window_rows(hb, clock, start, idle_minutes=idle_minutes).where(F.col("user_id").isNotNull())
+    return span_slots(rows, ["user_id"], F.count("*").alias("n"), by_day=True).groupBy("user_id", "local_day").agg(
+        F.sum("n").alias("n"), seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("seconds")
     )
+
+
+def by_user(days: DataFrame, clock: Clock, *, burnout_days: int, burnout: int, weekend_days: int, weekend: int) -> DataFrame:
+    """One row per user for all alerts that look at a user's days, from one table of days."""
+    week, prev = since_day(clock.week, clock), since_day(clock.prev_week, clock)
+    is_weekend = F.dayofweek(F.date_from_unix_date("local_day")).isin(1, 7)
+    free = is_weekend & (F.col("seconds") > weekend) & since_day(clock.days_back(weekend_days), clock)
+    long = (F.col("seconds") >= burnout) & since_day(clock.days_back(burnout_days), clock)
+    return days.groupBy("user_id").agg(
+        or_zero(F.sum(F.when(week, F.col("n")))).alias("this_hb"),
+        or_zero(F.sum(F.when(prev & ~week, F.col("n")))).alias("prev_hb"),
+        or_zero(F.sum(F.when(free, F.col("seconds")))).alias("total"),
+        F.count_if(free).alias("weekend_n"),
+        F.array_sort(F.collect_list(F.when(long, F.col("local_day")))).alias("long_days"),  # a date each, of some days
+    )
+
+
+def _drop_alerts(people: DataFrame, leaves: DataFrame, clock: Clock, min_prev: int, ratio: str, excused_days: int) -> DataFrame:
     limit = F.col("prev_hb") * F.expr(f"CAST('{ratio}' AS DECIMAL(9, 6))")
-    dropped = counts.where((F.col("prev_hb") > 0) & (F.col("prev_hb") > min_prev) & (F.col("this_hb") < limit))
+    dropped = people.where((F.col("prev_hb") > 0) & (F.col("prev_hb") > min_prev) & (F.col("this_hb") < limit))
     today = clock.local_date
     excused = leave_days(leaves, today - timedelta(days=7), today).groupBy("user_id").agg(
         F.count("*").alias("days")
@@ -141,11 +166,39 @@ def alert_activity_drop(
     return left.select(*_alert("activity_drop", values, F.col("user_id"), F.lit(None)))
 
 
-def _user_days(hb: DataFrame, clock: Clock, days: int, idle_minutes: int) -> DataFrame:
-    rows = window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes)
-    return span_slots(rows, ["user_id"], by_day=True).groupBy("user_id", "local_day").agg(
-        seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("seconds")
-    )
+def _streak() -> Column:
+    """Longest run of consecutive days in the sorted array ``long_days``."""
+    step = ("aggregate(long_days, named_struct('best', 0L, 'run', 0L, 'last', CAST(NULL AS INT)), (a, d) -> named_struct("
+            "'best', greatest(a.best, if(d = a.last + 1, a.run + 1, 1L)), 'run', if(d = a.last + 1, a.run + 1, 1L), 'last', d), "
+            "a -> a.best)")
+    return F.expr(step)
+
+
+def _burnout_alerts(people: DataFrame, threshold: int, min_streak: int) -> DataFrame:
+    users = people.where(F.col("streak") >= min_streak)
+    values = {"user": F.col("user_id"), "streak": F.col("streak"), "hours": f"{threshold / 3600:g}"}
+    return users.select(*_alert("burnout", values, F.col("user_id"), F.lit(None)))
+
+
+def _weekend_alerts(people: DataFrame, days: int) -> DataFrame:
+    values = {
+        "user": F.col("user_id"), "days": str(days), "weekend_days": F.col("weekend_n"),
+        "hours": round_even(F.col("total") / F.lit(3600)),
+    }
+    return people.where(F.col("weekend_n") > 0).select(
+        *_alert("weekend", values, F.col("user_id"), F.lit(None), F.col("total")))
+
+
+def alert_activity_drop(
+    hb: DataFrame, leaves: DataFrame, *, as_of: datetime, min_prev: int = 100, ratio: str = "0.3",
+    excused_days: int = 3, tz_hours: int = TZ,
+) -> DataFrame:
+    """Users with less than ``ratio`` of last week's heartbeats, unless excused by leave in the last eight days."""
+    clock = Clock.at(as_of, tz_hours)
+    week = since_day(clock.week, clock)
+    rows = window_rows(hb, clock, clock.prev_week).where(F.col("user_id").isNotNull())
+    counts = rows.groupBy("user_id").agg(F.count_if(week).alias("this_hb"), F.count_if(~week).alias("prev_hb"))
+    return _in_order(_drop_alerts(counts, leaves, clock, min_prev, ratio, excused_days))
 
 
 def alert_burnout(
@@ -154,25 +207,18 @@ def alert_burnout(
 ) -> DataFrame:
     """Users with ``min_streak`` or more consecutive days of at least ``threshold`` seconds."""
     clock = Clock.at(as_of, tz_hours)
-    long_days = _user_days(hb, clock, days, idle_minutes).where(F.col("seconds") >= threshold)
-    users = longest_run(long_days).where(F.col("streak") >= min_streak)
-    values = {"user": F.col("user_id"), "streak": F.col("streak"), "hours": f"{threshold / 3600:g}"}
-    return users.select(*_alert("burnout", values, F.col("user_id"), F.lit(None)))
+    long_days = user_days(hb, clock, clock.days_back(days), idle_minutes).where(F.col("seconds") >= threshold)
+    return _in_order(_burnout_alerts(longest_run(long_days), threshold, min_streak))
 
 
 def alert_weekend(
     hb: DataFrame, *, as_of: datetime, days: int = 14, threshold: int = 7200, idle_minutes: int = IDLE, tz_hours: int = TZ
 ) -> DataFrame:
-    """Users with Saturdays or Sundays above ``threshold`` seconds; sum and number of such days."""
+    """Users with Saturdays or Sundays above ``threshold`` seconds; sum and number of such days. Most time first."""
     clock = Clock.at(as_of, tz_hours)
-    weekend = F.dayofweek(F.date_from_unix_date("local_day")).isin(1, 7)
-    found = _user_days(hb, clock, days, idle_minutes).where(weekend & (F.col("seconds") > threshold))
-    users = found.groupBy("user_id").agg(F.sum("seconds").alias("total"), F.count("*").alias("n"))
-    values = {
-        "user": F.col("user_id"), "days": str(days), "weekend_days": F.col("n"),
-        "hours": round_even(F.col("total") / F.lit(3600)),
-    }
-    return users.select(*_alert("weekend", values, F.col("user_id"), F.lit(None)))
+    people = by_user(user_days(hb, clock, clock.days_back(days), idle_minutes), clock, burnout_days=0, burnout=0,
+                     weekend_days=days, weekend=threshold)
+    return _in_order(_weekend_alerts(people, days))
 
 
 def alerts(
@@ -180,17 +226,22 @@ def alerts(
     leisure_threshold: int = 3600, min_prev: int = 100, burnout_threshold: int = 36000, weekend_threshold: int = 7200,
     tz_hours: int = TZ,
 ) -> DataFrame:
-    """All alerts, in the order of the kinds."""
-    at = {"as_of": as_of, "tz_hours": tz_hours}
+    """All alerts, in the order of the kinds. Falling activity, overwork and weekend work come from one table of days."""
+    clock = Clock.at(as_of, tz_hours)
+    days = user_days(hb, clock, min(clock.prev_week, clock.days_back(14)), IDLE)
+    people = by_user(days, clock, burnout_days=10, burnout=burnout_threshold, weekend_days=14, weekend=weekend_threshold)
+    # All columns of the table stay with every branch, so that Spark finds it to be one and computes it once.
+    people = people.where(F.coalesce(F.col("this_hb") + F.col("prev_hb") + F.col("total") + F.col("weekend_n")
+                                     + F.size("long_days"), F.lit(0)) >= 0)
     parts = [
-        alert_inactive(hb, users, leaves, **at),
-        alert_on_leave(leaves, **at),
-        alert_entertainment(hb, tags, threshold=leisure_threshold, **at),
-        alert_activity_drop(hb, leaves, min_prev=min_prev, **at),
-        alert_burnout(hb, threshold=burnout_threshold, **at),
-        alert_weekend(hb, threshold=weekend_threshold, **at),
+        _group_alert("inactive", inactive_users(hb, users, leaves, clock), clock),
+        _group_alert("on_leave", users_on_leave(leaves, clock.local_date), clock),
+        _leisure_alerts(hb, tags, clock, leisure_threshold, IDLE),
+        _drop_alerts(people, leaves, clock, min_prev, "0.3", 3),
+        _burnout_alerts(people.withColumn("streak", _streak()), burnout_threshold, 3),
+        _weekend_alerts(people, 14),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.orderBy("alert_order", "user_id")
+    return _in_order(out)

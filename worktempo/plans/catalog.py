@@ -63,25 +63,60 @@ def languages(
     )
 
 
-def languages_by_user(
-    hb: DataFrame, *, as_of: datetime, days: int = 30, idle_minutes: int = IDLE, tz_hours: int = TZ
+def _named(hb: DataFrame, key: str, as_of: datetime, days: int, idle_minutes: int, tz_hours: int) -> DataFrame:
+    clock = Clock.at(as_of, tz_hours)
+    return window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes).where(F.col(key) != "")
+
+
+def team_figures(
+    hb: DataFrame, key: str, *, as_of: datetime, days: int = 30, idle_minutes: int = IDLE, tz_hours: int = TZ
 ) -> DataFrame:
-    """Each user's languages, unlike ``languages`` with gaps inside the user."""
+    """Flat form of ``projects`` and ``languages``: figures per key with the number of users, no lists in cells."""
     clock = Clock.at(as_of, tz_hours)
-    rows = window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes).where(F.col("language") != "")
+    stats = key_stats(
+        _named(hb, key, as_of, days, idle_minutes, tz_hours), [key], distinct=["user_id"],
+        idle_minutes=idle_minutes, tz_hours=tz_hours,
+    )
+    return stats.select(
+        F.col(key).alias("name"), "heartbeats", F.col("user_id_count").alias("user_count"),
+        clock_text("first_t", clock, "dd/MM/yyyy").alias("first_activity"),
+        clock_text("last_t", clock, "dd/MM/yyyy HH:mm").alias("last_activity"),
+        "active_days", "ai_heartbeats", "coding_seconds",
+    )
+
+
+def team_members(
+    hb: DataFrame, key: str, other: str, *, as_of: datetime, days: int = 30, idle_minutes: int = IDLE, tz_hours: int = TZ
+) -> DataFrame:
+    """Flat form of a list cell: one row per key and non-empty value of another column, with its heartbeats."""
+    rows = _named(hb, key, as_of, days, idle_minutes, tz_hours).where(F.col(other) != "")
+    return rows.groupBy(F.col(key).alias("name"), F.col(other)).agg(F.count("*").alias("heartbeats"))
+
+
+def _languages_by_user(hb: DataFrame, as_of: datetime, days: int, idle_minutes: int, tz_hours: int) -> DataFrame:
+    rows = _named(hb, "language", as_of, days, idle_minutes, tz_hours)
     slots = span_slots(rows, ["user_id", "language"], F.count("*").alias("heartbeats"))
-    sums = slots.groupBy("user_id", "language").agg(
+    return slots.groupBy("user_id", "language").agg(
         F.sum("heartbeats").alias("heartbeats"),
         seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("coding_seconds"),
     )
+
+
+def languages_by_user(
+    hb: DataFrame, *, as_of: datetime, days: int = 30, idle_minutes: int = IDLE, tz_hours: int = TZ
+) -> DataFrame:
+    """Each user's languages, unlike ``languages`` with gaps inside the user."""
+    sums = _languages_by_user(hb, as_of, days, idle_minutes, tz_hours)
     return sums.orderBy("user_id", F.desc("coding_seconds"), "language").select(
         "user_id", "language", "heartbeats", "coding_seconds"
     )
 
 
-def languages_by_user_nested(hb: DataFrame, **options) -> DataFrame:
+def languages_by_user_nested(
+    hb: DataFrame, *, as_of: datetime, days: int = 30, idle_minutes: int = IDLE, tz_hours: int = TZ
+) -> DataFrame:
     """One row per user with an array of languages, most time first."""
-    flat = languages_by_user(hb, **options)
+    flat = _languages_by_user(hb, as_of, days, idle_minutes, tz_hours)
     item = F.struct((-F.col("coding_seconds")).alias("_order"), F.col("language").alias("name"), "heartbeats", "coding_seconds")
     grouped = flat.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     keep = F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["heartbeats"].alias("heartbeats"),
@@ -144,3 +179,8 @@ def tags_grouped(tags: DataFrame) -> DataFrame:
     return grouped.orderBy("tag_name").select(
         "tag_name", "tag_color", "tag_icon", "pattern_count", F.array_join(text, " ").alias("patterns")
     )
+
+
+def tag_patterns(tags: DataFrame) -> DataFrame:
+    """Flat form of ``tags_grouped``: one row per pattern."""
+    return tags.select("tag_name", "id", "domain_pattern", "tag_color", "tag_icon")

@@ -11,18 +11,35 @@ from worktempo.functions.clock import Clock, as_date, monday
 from worktempo.functions.columns import day_text, floored, joined, or_zero, ratio_pct, round_even, seconds, site_rows, zero
 from worktempo.operators.gaps import active_us, span_slots
 from worktempo.operators.ledger import adjusted_by, adjustments_between
-from worktempo.operators.stats import key_stats
+from worktempo.operators.stats import activity, key_stats
 from worktempo.operators.tags import rules_by_id, tag_labels, with_tag
 from worktempo.plans.base import (
     IDLE, TZ, adjusted, clock_text, productivity_pct, text_or_dash, window_rows, with_adjustments,
 )
 
 
-def _user_report(
+def _user_totals(
     hb: DataFrame, adjustments: DataFrame, clock: Clock, start: date, end: date, idle_minutes: int
 ) -> DataFrame:
-    """Per user of the local days [start, end]: raw figures merged with the adjustments of those days."""
+    """The figures of ``_user_report`` that a team's sums need: one scan, no lists."""
     rows = window_rows(hb, clock, clock.day_start(start), clock.day_start(end + timedelta(days=1)), idle_minutes)
+    stats = activity(rows, ["user_id"], ["ide", "browsing", "ai"], idle_minutes=idle_minutes, tz_hours=clock.tz_hours)
+    merged = with_adjustments(stats, adjusted_by(adjustments_between(adjustments, start, end), "user_id"), ["user_id"])
+    return merged.select(
+        adjusted("ide_coding_seconds").alias("ide_coding_seconds"),
+        or_zero("browsing_seconds").alias("browsing_seconds"),
+        or_zero("ai_coding_seconds").alias("ai_coding_seconds"),
+    ).withColumn("productivity", productivity_pct(F.col("ide_coding_seconds"), F.col("browsing_seconds")))
+
+
+def _user_report(
+    hb: DataFrame, adjustments: DataFrame, clock: Clock, start: date, end: date, idle_minutes: int,
+    slot_seconds: int | None = None,
+) -> DataFrame:
+    """Per user of the local days [start, end]: raw figures merged with the adjustments of those days."""
+    rows = window_rows(
+        hb, clock, clock.day_start(start), clock.day_start(end + timedelta(days=1)), idle_minutes, slot_seconds
+    )
     stats = key_stats(
         rows, ["user_id"], lists=["project", "language", "editor"],
         flags=["ide", "browsing", "ai"], idle_minutes=idle_minutes, tz_hours=clock.tz_hours,
@@ -123,7 +140,9 @@ def daily_report_team(
     hb: DataFrame, adjustments: DataFrame, *, as_of: datetime, day: date | str | None = None,
     idle_minutes: int = IDLE, tz_hours: int = TZ,
 ) -> DataFrame:
-    team = _team(daily_report_users(hb, adjustments, as_of=as_of, day=day, idle_minutes=idle_minutes, tz_hours=tz_hours))
+    clock = Clock.at(as_of, tz_hours)
+    which = clock.local_date if day is None else as_date(day)
+    team = _team(_user_totals(hb, adjustments, clock, which, which, idle_minutes))
     average = F.col("productivity_sum") / F.greatest("total_users", F.lit(1))
     return team.select(
         "total_users", "total_coding_seconds", "total_browsing_seconds", "total_ai_seconds",
@@ -133,12 +152,12 @@ def daily_report_team(
 
 def range_report_users(
     hb: DataFrame, adjustments: DataFrame, *, as_of: datetime, start: date | str, end: date | str,
-    idle_minutes: int = IDLE, tz_hours: int = TZ,
+    idle_minutes: int = IDLE, tz_hours: int = TZ, slot_seconds: int | None = None,
 ) -> DataFrame:
     """Users of the local days [start, end]. first_active is the clock time of the earliest instant."""
     clock = Clock.at(as_of, tz_hours)
     lo, hi = _span(start, end)
-    users = _user_report(hb, adjustments, clock, lo, hi, idle_minutes)
+    users = _user_report(hb, adjustments, clock, lo, hi, idle_minutes, slot_seconds)
     return _by_ide(users).select(
         "user_id", "heartbeats", "projects", "languages", "editors", "active_days", "first_active", "last_active",
         "coding_seconds", "ide_coding_seconds", "browsing_seconds", "adjustment_seconds", "ai_coding_seconds",
@@ -182,9 +201,7 @@ def range_report_team(
     idle_minutes: int = IDLE, tz_hours: int = TZ,
 ) -> DataFrame:
     lo, hi = _span(start, end)
-    team = _team(range_report_users(
-        hb, adjustments, as_of=as_of, start=lo, end=hi, idle_minutes=idle_minutes, tz_hours=tz_hours
-    ))
+    team = _team(_user_totals(hb, adjustments, Clock.at(as_of, tz_hours), lo, hi, idle_minutes))
     return team.select(
         "total_users", "total_coding_seconds", "total_browsing_seconds", "total_ai_seconds", "team_productivity",
         F.lit((hi - lo).days + 1).alias("days"),

@@ -24,7 +24,7 @@ def platform_totals(
         F.sum("n").alias("n"), F.sum(active_us(idle_minutes=idle_minutes)).alias("us"), F.max("last_t").alias("last_t")
     )
     return per_user.agg(
-        F.count_if(F.col("last_t") >= since).alias("users_active_total"),
+        F.count_if((F.col("last_t") >= since) & F.col("user_id").isNotNull()).alias("users_active_total"),
         seconds(F.sum("us")).alias("seconds_total"),
         or_zero(F.sum("n")).alias("heartbeats_total"),
     ).withColumn("users_total", users.agg(F.count_distinct("id")).scalar())

@@ -23,10 +23,12 @@ def _lists(*names: str) -> list[Column]:
     return [joined(f"{n}_values").alias(f"{n}s") for n in names]
 
 
-def today_by_user(hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE, tz_hours: int = TZ) -> DataFrame:
+def today_by_user(
+    hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE, tz_hours: int = TZ, slot_seconds: int | None = None
+) -> DataFrame:
     clock = Clock.at(as_of, tz_hours)
     stats = key_stats(
-        window_rows(hb, clock, clock.today, idle_minutes=idle_minutes), ["user_id"],
+        window_rows(hb, clock, clock.today, idle_minutes=idle_minutes, slot_seconds=slot_seconds), ["user_id"],
         lists=["project", "language", "editor"], flags=["ide", "ai"], idle_minutes=idle_minutes, tz_hours=tz_hours,
     )
     return stats.orderBy(F.desc("coding_seconds"), "user_id").select(
@@ -39,10 +41,12 @@ def today_by_user(hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE, t
     )
 
 
-def week_by_user(hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE, tz_hours: int = TZ) -> DataFrame:
+def week_by_user(
+    hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE, tz_hours: int = TZ, slot_seconds: int | None = None
+) -> DataFrame:
     clock = Clock.at(as_of, tz_hours)
     stats = key_stats(
-        window_rows(hb, clock, clock.week, idle_minutes=idle_minutes), ["user_id"],
+        window_rows(hb, clock, clock.week, idle_minutes=idle_minutes, slot_seconds=slot_seconds), ["user_id"],
         lists=["project", "language"], flags=["ide", "ai"],
         idle_minutes=idle_minutes, tz_hours=tz_hours,
     )
@@ -66,7 +70,7 @@ def prev_week_totals(hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE
     clock = Clock.at(as_of, tz_hours)
     users = _team_slots(hb, clock, clock.prev_week, clock.week, idle_minutes)
     return users.agg(
-        F.count("*").alias("active_users"),
+        F.count("user_id").alias("active_users"),
         or_zero(F.sum("heartbeats")).alias("heartbeats"),
         seconds(F.sum("us")).alias("coding_seconds"),
     )
@@ -75,7 +79,7 @@ def prev_week_totals(hb: DataFrame, *, as_of: datetime, idle_minutes: int = IDLE
 def today_totals(hb: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
     clock = Clock.at(as_of, tz_hours)
     users = window_rows(hb, clock, clock.today).groupBy("user_id").agg(F.count("*").alias("n"))
-    return users.agg(F.count("*").alias("active_users"), or_zero(F.sum("n")).alias("heartbeats"))
+    return users.agg(F.count("user_id").alias("active_users"), or_zero(F.sum("n")).alias("heartbeats"))
 
 
 def daily_breakdown(

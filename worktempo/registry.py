@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock
-from worktempo.jobs import leaderboard, upkeep
+from worktempo.jobs import leaderboard, tables, upkeep
 from worktempo.operators import ledger
 from worktempo.plans import (
     alerts, catalog, export, ledgers, period, platform, productivity, realtime, sites, summary, user_detail,
 )
 from worktempo.sources.derived import AS_OF, heartbeats, table
-from worktempo.streaming import replay
+from worktempo.sources import schemas, versions
+from worktempo.sources.tables import write_heartbeats
+from worktempo.streaming import live, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +45,13 @@ def _back(days: int):
     return _hb(CLOCK.days_back(days))
 
 
+def configure(spark: SparkSession) -> None:
+    """Session settings that the registered queries need, set here only: heartbeat times are UTC, and streams keep their
+    state in RocksDB (``live.configure``)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    live.configure(spark)
+
+
 def _of(plan, *tables, **options) -> Query:
     """A query that loads the tables (names or loaders) and calls the plan."""
 
@@ -84,12 +93,12 @@ def _outcome(ingest, requests: str, ledger_name: str, columns: list[str]) -> Que
     return run
 
 
-def _delete(ledger_name: str, source: str, id_column: str, when: str) -> Query:
-    """Delete the ids that another table names."""
+def _delete(ledger_name: str) -> Query:
+    """The ledger without the rows that approved requests name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        doomed = spark.read.parquet(f"{sf_dir}/{source}.parquet").where(when).select(F.col(id_column).alias("id"))
-        return ledger.delete_ids(table(spark, sf_dir, ledger_name), doomed).select(*DELETE_COLUMNS[ledger_name])
+        left = ledger.delete_approved(table(spark, sf_dir, ledger_name), table(spark, sf_dir, "delete_requests"))
+        return left.select(*DELETE_COLUMNS[ledger_name])
 
     return run
 
@@ -137,7 +146,66 @@ def _leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = upkeep.retention_kept(_hb(end=None)(spark, sf_dir), as_of=RETENTION_DAYS_AS_OF)
-    return kept.groupBy("user_id").agg(F.count("*").alias("heartbeats"))
+    return kept.select("id", "user_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"))
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A derived table written as the first version of a table of its own."""
+    path = f"{live.shared_folder(spark)}/{name}"
+    versions.create(table(spark, sf_dir, name), path)
+    return path
+
+
+def _stored_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after the job has appended the accepted requests and the approved deletions are done."""
+    path = _stored(spark, sf_dir, "adjustments")
+    tables.append_adjustments(
+        spark, path, table(spark, sf_dir, "adjustment_requests"), table(spark, sf_dir, "users"), as_of=AS_OF)
+    doomed = table(spark, sf_dir, "delete_requests").where(F.col("decision") == "approved")
+    tables.delete_rows(spark, path, doomed, schemas.TIME_ADJUSTMENTS)
+    return versions.current(spark, path, schemas.TIME_ADJUSTMENTS).select(
+        "id", "user_id", F.col("seconds").cast("bigint").alias("seconds"),
+        F.date_format("adjustment_date", "yyyy-MM-dd").alias("adjustment_date"), "reason",
+    )
+
+
+def _stored_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored(spark, sf_dir, "leaves")
+    tables.append_leaves(spark, path, table(spark, sf_dir, "leave_requests"), table(spark, sf_dir, "users"), as_of=AS_OF)
+    return versions.current(spark, path, schemas.LEAVES).select(
+        "id", "user_id", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"),
+        F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "leave_type", "reason",
+    )
+
+
+def _stored_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored(spark, sf_dir, "tags")
+    tables.change_tags(spark, path, table(spark, sf_dir, "tag_requests"), as_of=AS_OF)
+    return versions.current(spark, path, schemas.DOMAIN_TAGS).select("id", "tag_name", "tag_color", "tag_icon", "domain_pattern")
+
+
+def _stored_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored(spark, sf_dir, "users")
+    tables.open_sharing(spark, path)
+    return versions.current(spark, path, schemas.USERS).drop("created_at")
+
+
+def _stored_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heartbeats written by local day and purged by the retention job."""
+    folder = live.shared_folder(spark)
+    write_heartbeats(_hb(end=None)(spark, sf_dir), f"{folder}/heartbeats")
+    tables.purge_heartbeats(spark, f"{folder}/heartbeats", f"{folder}/work", as_of=RETENTION_DAYS_AS_OF)
+    left = spark.read.schema(schemas.HEARTBEATS).parquet(f"{folder}/heartbeats")
+    return left.select("id", "user_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"))
+
+
+def _stored_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{live.shared_folder(spark)}/leaderboard"
+    rows = leaderboard.leaderboard_7d(
+        _hb(AS_OF - timedelta(days=7))(spark, sf_dir), table(spark, sf_dir, "users"), as_of=AS_OF
+    )
+    leaderboard.refresh_leaderboard(rows, path)
+    return spark.read.schema("user_id string, total bigint, interval string").parquet(path).select("user_id", "interval", "total")
 
 
 def _share_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +217,8 @@ def queries() -> dict[str, Query]:
         "realtime_active": _at(realtime.realtime_active, _back(0)),
         "today_by_user": _at(summary.today_by_user, _back(0)),
         "week_by_user": _at(summary.week_by_user, _WEEK),
+        "week_by_user_dense": _at(summary.week_by_user, _WEEK, slot_seconds=60),
+        "range_report_users_dense": _at(period.range_report_users, _RANGE, "adjustments", slot_seconds=60, **RANGE),
         "prev_week_totals": _at(summary.prev_week_totals, _hb(CLOCK.prev_week, CLOCK.week)),
         "daily_breakdown": _at(summary.daily_breakdown, _back(7), "adjustments"),
         "today_totals": _at(summary.today_totals, _back(0)),
@@ -172,9 +242,9 @@ def queries() -> dict[str, Query]:
         "adjustments_ingest": _outcome(
             ledger.ingest_adjustments, "adjustment_requests", "adjustments", ["seconds", "adjustment_date", "reason"]
         ),
-        "ledger_delete": _delete("adjustments", "lineitem", "l_orderkey", "l_returnflag = 'R'"),
-        "leave_delete": _delete("leaves", "orders", "o_orderkey", "o_orderstatus = 'P'"),
-        "tag_delete": _delete("tags", "orders", "o_orderkey", "o_orderstatus = 'F'"),
+        "ledger_delete": _delete("adjustments"),
+        "leave_delete": _delete("leaves"),
+        "tag_delete": _delete("tags"),
         "leaves_list": _of(ledgers.leaves_list, "leaves"),
         "leave_totals": _of(ledgers.leave_totals, "leaves"),
         "leaves_ingest": _outcome(
@@ -184,6 +254,13 @@ def queries() -> dict[str, Query]:
         "on_leave": _at(ledgers.on_leave, "leaves"),
         "projects": _at(catalog.projects, _back(30)),
         "languages": _at(catalog.languages, _back(30)),
+        "project_figures": _at(catalog.team_figures, _back(30), key="project"),
+        "project_users": _at(catalog.team_members, _back(30), key="project", other="user_id"),
+        "project_languages": _at(catalog.team_members, _back(30), key="project", other="language"),
+        "language_figures": _at(catalog.team_figures, _back(30), key="language"),
+        "language_users": _at(catalog.team_members, _back(30), key="language", other="user_id"),
+        "language_projects": _at(catalog.team_members, _back(30), key="language", other="project"),
+        "tag_patterns": _of(catalog.tag_patterns, "tags"),
         "languages_by_user": _at(catalog.languages_by_user, _back(30)),
         "users_overview": _at(catalog.users_overview, _hb(), "users"),
         "tags_grouped": _of(catalog.tags_grouped, "tags"),
@@ -226,9 +303,23 @@ def queries() -> dict[str, Query]:
         "heartbeat_rate": _at(platform.heartbeat_rate, _hb()),
         "retention_kept": _retention,
         "inactive_accounts": _of(upkeep.inactive_accounts, _hb(end=None), "users", as_of=INACTIVE_AS_OF),
+        "stored_adjustments": _stored_adjustments,
+        "stored_leaves": _stored_leaves,
+        "stored_tags": _stored_tags,
+        "stored_users": _stored_users,
+        "stored_heartbeats": _stored_heartbeats,
+        "stored_leaderboard": _stored_leaderboard,
         "stream_active_now": replay.stream_active_now,
         "stream_sessions": replay.stream_sessions,
         "stream_heartbeat_rate": replay.stream_heartbeat_rate,
         "stream_attributed": replay.stream_attributed,
     }
-    return found
+    return {name: _configured(query) for name, query in found.items()}
+
+
+def _configured(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return query(spark, sf_dir)
+
+    return run

@@ -28,8 +28,10 @@ _HEARTBEATS = [
     ],
     [
         "event_id AS id",
-        "concat('user', CAST(h + CASE WHEN h % 8 = 5 AND ts >= TIMESTAMP '2024-01-21 21:00:00' AND event_id % 10 < 9 "
-        "THEN 2 ELSE 0 END AS STRING)) AS user_id",
+        # Some rows before the reference day have no user.
+        "CASE WHEN event_id % 101 = 7 AND ts < TIMESTAMP '2024-01-25 12:00:00' THEN NULL "
+        "ELSE concat('user', CAST(h + CASE WHEN h % 8 = 5 AND ts >= TIMESTAMP '2024-01-21 21:00:00' AND event_id % 10 < 9 "
+        "THEN 2 ELSE 0 END AS STRING)) END AS user_id",
         # The role's window begins at 11:15, 20:15 or 07:00; a day's seconds pass sixteen times as fast in it.
         "make_timestamp(CASE WHEN event_id % 3 = 0 THEN us ELSE us - us % 86400000000 + CASE WHEN part >= 24 THEN 40500000000 "
         "WHEN part >= 16 THEN 72900000000 ELSE 25200000000 END + CAST((us % 86400000000 - us % 1000000) / 16 AS BIGINT) END) AS time",
@@ -112,11 +114,11 @@ _ADJUSTMENT_REQUESTS = [[
     "CASE WHEN o_orderkey % 13 = 0 THEN concat('ghost', CAST(o_custkey AS STRING)) "
     "ELSE concat('user', CAST(o_custkey AS STRING)) END AS user_id",
     "CASE o_orderkey % 9 WHEN 0 THEN 'abc' WHEN 1 THEN NULL WHEN 2 THEN '0' WHEN 3 THEN '1.5' WHEN 4 THEN ' 2 ' "
-    "WHEN 5 THEN '-1' ELSE CAST(o_custkey % 7 AS STRING) END AS hours",
+    "WHEN 5 THEN '-1' WHEN 6 THEN CASE o_orderkey % 5 WHEN 0 THEN '2d' WHEN 1 THEN '0x1p3' WHEN 2 THEN '1_0' WHEN 3 THEN '1e1' ELSE '.5' END ELSE CAST(o_custkey % 7 AS STRING) END AS hours",
     "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN '2.125' ELSE '30' END AS minutes",
     "CASE o_orderkey % 11 WHEN 0 THEN 'SUB' WHEN 1 THEN 'mul' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 'sub' "
     "ELSE 'add' END AS op",
-    "CASE o_orderkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE concat(' ', o_orderpriority, ' ') END AS reason",
+    "CASE o_orderkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE concat(chr(9), o_orderpriority, chr(10)) END AS reason",
     "CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '2024-13-01' WHEN 3 THEN '26/01/2024' "
     "WHEN 4 THEN '2024-1-5' WHEN 5 THEN ' 2024-02-29 ' ELSE '2024-01-20' END AS adjustment_date",
 ]]
@@ -142,6 +144,12 @@ _TAG_REQUESTS = [[
     "AS domain_pattern",
 ]]
 
+# Requests to delete a row; the decision is part of the request, so that no input row is left out of the table.
+_DELETE_REQUESTS = [[
+    "l_orderkey AS id", "CAST(l_linenumber AS BIGINT) AS line",
+    "CASE l_returnflag WHEN 'R' THEN 'approved' WHEN 'A' THEN 'refused' ELSE 'open' END AS decision",
+]]
+
 # name -> (input table, projections, schema)
 _TABLES = {
     "heartbeats": ("events", _HEARTBEATS, schemas.HEARTBEATS),
@@ -151,6 +159,7 @@ _TABLES = {
     "adjustment_requests": ("orders", _ADJUSTMENT_REQUESTS, schemas.ADJUSTMENT_REQUESTS),
     "leave_requests": ("part", _LEAVE_REQUESTS, schemas.LEAVE_REQUESTS),
     "tag_requests": ("part", _TAG_REQUESTS, schemas.TAG_REQUESTS),
+    "delete_requests": ("lineitem", _DELETE_REQUESTS, schemas.DELETE_REQUESTS),
 }
 
 AS_OF = datetime(2024, 1, 26, 12, 0, 0)
@@ -180,7 +189,6 @@ def _sql(source: str, stages: Sequence[Sequence[str]]) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(str(PurePath(sf_dir) / f"{table}.parquet"))
 
 

@@ -36,6 +36,7 @@ LEAVE_REQUESTS = _struct(request_id=_L, user_id=_S, start_date=_S, end_date=_S,
 TAG_REQUESTS = _struct(
     request_id=_L, id=_L, tag_name=_S, tag_color=_S, tag_icon=_S, domain_pattern=_S
 )
+DELETE_REQUESTS = _struct(id=_L, line=_L, decision=_S)
 
 # Leave types and their labels.
 LEAVE_TYPES = {"annual": "Yıllık İzin", "sick": "Hastalık", "holiday": "Resmî Tatil", "other": "Diğer"}

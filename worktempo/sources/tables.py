@@ -6,6 +6,7 @@ range scan reads only its days and row-group statistics help a single-user filte
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,27 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def write_heartbeats(hb: DataFrame, path: str, *, tz_hours: int = 3, files_per_day: int = 1) -> None:
+def replace_partitions(rows: DataFrame, path: str, column: str, values: Sequence[str], present: Sequence[str]) -> None:
+    """Replace the named partitions of a table by ``rows``; other partitions stay.
+
+    ``present`` names those that have rows. A dynamic overwrite leaves a partition alone for which there are none, so
+    the others of ``values`` are emptied one by one.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    for value in sorted(set(values) - set(present)):
+        empty_partition(rows, path, column, value)
+
+
+def empty_partition(like: DataFrame, path: str, column: str, value: str) -> None:
+    """Overwrite a partition's folder with no rows."""
+    like.where("false").drop(column).write.mode("overwrite").parquet(f"{path}/{column}={value}")
+
+
+def write_heartbeats(hb: DataFrame, path: str, *, tz_hours: int = 3, files_per_day: int = 32) -> None:
     """Write the heartbeats, replacing only the local days present in ``hb``.
 
     ``files_per_day`` spreads a day over that many files by user and minute, so neither a busy day nor a busy
-    user ends in one task.
+    user ends in one task. Small partitions of the shuffle are merged by Spark, so a quiet day has fewer files.
     """
     local = F.col("time") + F.expr(f"INTERVAL '{tz_hours}' HOUR")
     spread = F.pmod(F.xxhash64("user_id", F.date_trunc("minute", F.col("time"))), F.lit(files_per_day))

@@ -1,0 +1,54 @@
+"""Small tables that jobs change while others read them: versions made of immutable parts.
+
+A change writes a new part folder and then appends one row to the manifest: version, and the parts it is made of. That
+row is the switch; readers take the parts of the largest version. So a table can be replaced by a plan that reads it, an
+append copies nothing, and a job that dies leaves the old version. One job changes a table at a time.
+"""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MANIFEST = "version bigint, parts array<string>"
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).limit(1).collect()
+    return (rows[0].version, rows[0].parts) if rows else (0, [])
+
+
+def _switch(rows: DataFrame, path: str, version: int, parts: list[str]) -> int:
+    name = f"part-{version:08d}-{uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    made = rows.sparkSession.createDataFrame([(version, [*parts, name])], MANIFEST)
+    made.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def create(rows: DataFrame, path: str) -> int:
+    """The first version of a new table."""
+    return _switch(rows, path, 1, [])
+
+
+def replace(rows: DataFrame, path: str) -> int:
+    """A version of these rows alone; they may be read from the version before."""
+    version, _ = _latest(rows.sparkSession, path)
+    return _switch(rows, path, version + 1, [])
+
+
+def append(rows: DataFrame, path: str) -> int:
+    """A version with these rows added."""
+    version, parts = _latest(rows.sparkSession, path)
+    return _switch(rows, path, version + 1, parts)
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the latest version."""
+    _, parts = _latest(spark, path)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{p}" for p in parts])

@@ -1,63 +1,88 @@
-"""Replay of the derived heartbeats as a stream, worked off and stopped."""
+"""Replay of the derived heartbeats as a stream, worked off and stopped.
+
+Input is read in the order of its files, some at a time (``maxBytesPerTrigger``), so a table whose files are in time order
+is replayed in bounded batches. What the watermark has closed comes from the stream; what is still open when the
+input ends is taken from the table itself and delivered beside it, so the two add up to the batch figure.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from worktempo.sources.derived import heartbeats_from
 from worktempo.streaming import live, rollup
 
-FIRST_DAY, LAST_DAY = date(2024, 1, 1), date(2024, 1, 26)
+BATCH = {"maxBytesPerTrigger": str(64 << 30)}
+Figure = Callable[[DataFrame], DataFrame]
 
 
 def heartbeat_stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, since the file stream source takes a single file for a directory.
-    events = spark.readStream.schema(schema).options(**options).parquet(f"{sf_dir}/events*.parquet")
+    events = spark.readStream.schema(schema).options(**{**BATCH, **options}).parquet(f"{sf_dir}/events*.parquet")
     return heartbeats_from(events)
 
 
-def replayed(figure: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Run a live figure over the whole stream in append mode and return what it closed."""
+def watermark(query: StreamingQuery) -> datetime:
+    """The watermark after the last batch of a finished query; the epoch if it had no rows."""
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p["eventTime"]]
+    return datetime.fromisoformat(max(marks, default="1970-01-01T00:00:00+00:00").replace("Z", "+00:00"))
+
+
+def replayed(spark: SparkSession, stream: DataFrame, table: DataFrame, figure: Figure, end: str, folder: str) -> DataFrame:
+    """A live figure over the whole stream: rows that the watermark closed (``closed``) and the open rest of the table.
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        live.configure(spark)
-        folder = live.shared_folder(spark)
-        stream = figure(heartbeat_stream(spark, sf_dir))
-        live.to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    ``end`` is the SQL text of the instant at which a row closes.
+    """
+    query = live.to_table(figure(stream), f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    mark = F.lit(watermark(query)).cast("timestamp")
+    rest = figure(table)
+    closed = spark.read.schema(rest.schema).parquet(f"{folder}/out").withColumn("closed", F.lit(True))
+    return closed.unionByName(rest.where(F.expr(end) > mark).withColumn("closed", F.lit(False)))
 
-    return run
+
+def _replay(spark: SparkSession, sf_dir: str, figure: Figure, end: str) -> DataFrame:
+    table = heartbeats_from(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return replayed(spark, heartbeat_stream(spark, sf_dir), table, figure, end, live.shared_folder(spark))
 
 
 def _text(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
 
 
+MINUTE_END = "minute + INTERVAL '1' MINUTE"
+
+
 def stream_active_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replayed(live.active_now)(spark, sf_dir)
-    return out.select(_text("window_end"), "user_id", "recent_hb", _text("last_ts"), "is_ai", "project", "language", "editor")
+    minutes = _replay(spark, sf_dir, live.minute_activity, MINUTE_END)
+    return live.active_windows(minutes).select(
+        _text("window_end"), "user_id", "recent_hb", _text("last_ts"), "is_ai", "project", "language", "editor", "last_type",
+        "last_entity",
+    )
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replayed(live.sessions)(spark, sf_dir)
-    return out.select("user_id", _text("first_ts"), _text("last_ts"), "heartbeats", "active_us")
+    out = _replay(spark, sf_dir, live.sessions, "last_ts + INTERVAL '10' MINUTE")
+    return out.select("user_id", _text("first_ts"), _text("last_ts"), "heartbeats", "active_us", "closed")
 
 
 def stream_heartbeat_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replayed(live.heartbeat_rate)(spark, sf_dir)
-    return out.select(_text("window_end"), "heartbeats", "per_minute")
+    minutes = _replay(spark, sf_dir, live.minute_counts, MINUTE_END)
+    return live.rate_windows(minutes).select(_text("window_end"), "heartbeats", "per_minute")
 
 
 def stream_attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest the stream as a table, roll it up by day, and read the attributed seconds per user."""
     folder = live.shared_folder(spark)
-    stream = heartbeat_stream(spark, sf_dir)
-    live.ingest(stream, f"{folder}/heartbeats", f"{folder}/checkpoint").awaitTermination()
-    rollup.refresh(spark, f"{folder}/heartbeats", f"{folder}/rollup", FIRST_DAY, LAST_DAY)
-    return rollup.active_from(spark, f"{folder}/rollup", FIRST_DAY, LAST_DAY)
+    live.ingest(heartbeat_stream(spark, sf_dir), f"{folder}/heartbeats", f"{folder}/checkpoint").awaitTermination()
+    days = rollup.ingested_days(spark, f"{folder}/heartbeats")
+    if days is None:
+        return rollup.active_from(spark, f"{folder}/rollup", *rollup.NO_DAYS)
+    rollup.refresh(spark, f"{folder}/heartbeats", f"{folder}/rollup", *days)
+    return rollup.active_from(spark, f"{folder}/rollup", *days)

@@ -28,6 +28,8 @@ LONG = "This is a sentence of the article that goes on for a while, with commas
     ("<article><p class='ad'>no<p>yes</article>", "yes"),
     ("<main><header><h1>T</h1></header>body</main>", "T body"),
     ("<article>never closed <script>rest", "never closed"),
+    ("<html><head><meta charset=x><title>t</title><body><article>head never closed</article>", "head never closed"),
+    ("<article>a<svg><text>no</text></svg>b<map>c<script src='x'></script>d</article>", "abcd"),
 ])
 def test_pages(page, text):
     assert h.main_text(page) == text

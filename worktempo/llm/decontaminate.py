@@ -40,7 +40,6 @@ MIN_WORDS, STRIDE, REPEATS = 5, 5, 12
 #: Walk length and places per hash, for items of at least so many words.
 CLASSES = ((14, 28, 5), (MIN_WORDS, 10, 3))
 PUNCTUATION = string.punctuation.encode()
-FILTER_BITS = 16
 HIT = "array<struct<item_id:bigint,start_word:int,end_word:int,distance:int,similarity:double>>"
 
 
@@ -151,10 +150,11 @@ class Index:
             for r in range(REPEATS):
                 for k in np.flatnonzero(inside[r]):
                     found[r][int(keys[r, k])].append((i, int(starts[k])))
-        filters = np.zeros((REPEATS, 1 << FILTER_BITS), bool)
+        # A first look at the low bits of a hash, in a table at least 32 times as large as the number of hashes.
+        size = 1 << max(16, (32 * max(map(len, found))).bit_length())
+        filters = np.zeros((REPEATS, size), bool)
         for r, keys in enumerate(found):
-            for key in keys:
-                filters[r, key & ((1 << FILTER_BITS) - 1)] = True
+            filters[r, np.fromiter(keys, np.uint64, len(keys)) & np.uint64(size - 1)] = True
         return filters, [dict(f) for f in found]
 
     def search(self, texts: list[str | None], table: WordTable) -> list[list[dict]]:
@@ -167,7 +167,7 @@ class Index:
             for part in range(0, len(values), 1 << 15):
                 at = np.arange(part, min(part + (1 << 15), len(values)))
                 keys, _ = signatures(codes, at, walk, picked)
-                low = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                low = (keys & np.uint64(filters.shape[1] - 1)).astype(np.int64)
                 for r in range(REPEATS):
                     for k in np.flatnonzero(filters[r][low[r]]):
                         for item, offset in found[r].get(int(keys[r, k]), ()):

@@ -26,7 +26,8 @@ from worktempo.llm.common import struct_array, text_udf
 WINDOW, THRESHOLD = 3, 86
 
 #: Element and attribute names; fixed values.
-HIDDEN = "script style noscript template svg math iframe object canvas video audio map select textarea title head"
+RAW = "script style textarea title"
+HIDDEN = "noscript template svg math iframe object canvas video audio map select"
 BLOCKS = set("""address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt
 fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p
 pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -39,9 +40,12 @@ recommended comment comments reply replies respond disqus discussion pagination
 alert copyright legal disclaimer form""".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments; raw elements, which last to the end of the page if they never close; hidden elements that do close.
 INVISIBLE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(" + "|".join(RAW.split()) + r")\b" + ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)"
+    r"|<(" + "|".join(HIDDEN.split()) + r")\b" + ATTRIBUTES + r">.*?</\2\s*>", re.S | re.I)
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)")
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PART = re.compile(r"[a-z0-9]+")

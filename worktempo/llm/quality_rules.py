@@ -127,14 +127,15 @@ def base_failed() -> Column:
 
 
 def judge(rates: DataFrame, limits: DataFrame) -> DataFrame:
-    """rates with base_failed and kept."""
+    """rates with base_failed and kept. ``kept`` is no plain conjunction, so that Spark does not move a part of it below the
+    join as a filter of its own, which would compute the figures of every text a second time."""
     inside = F.lit(True)
     for name in RATES:
         inside = inside & (F.col(name) <= F.col(f"{name}_high"))
     inside = inside & (F.col("word_length") >= F.col("word_length_low"))
     same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     return (rates.join(limits, same, "left").withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+            .withColumn("kept", F.array_min(F.array(~F.col("base_failed"), F.coalesce(inside, F.lit(True)))))
             .select(*rates.columns, "base_failed", "kept"))
 
 

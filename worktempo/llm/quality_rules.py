@@ -114,11 +114,10 @@ def thresholds(rates: DataFrame, least_rows: int) -> DataFrame:
     own = bounds(sketch, ["lang", "source"])
     language = bounds(sketch, ["lang"]).select(
         F.col("lang").alias("l_lang"), F.col("n_docs").alias("l_docs"), *(F.col(e).alias(f"l_{e}") for e in ends))
-    everything = bounds(sketch.withColumn("all", F.lit(1)), ["all"]).select(*(F.col(e).alias(f"a_{e}") for e in ends))
-    joined = (own.join(language, F.col("lang").eqNullSafe(F.col("l_lang")))
-              .join(F.broadcast(everything), how="inner", on=F.lit(True)))  # one row
+    everything = bounds(sketch.withColumn("all", F.lit(1)), ["all"]).first()  # one row, none for an empty table
+    joined = own.join(language, F.col("lang").eqNullSafe(F.col("l_lang")))
     chosen = [F.when(F.col("n_docs") >= least_rows, F.col(e)).when(F.col("l_docs") >= least_rows, F.col(f"l_{e}"))
-              .otherwise(F.col(f"a_{e}")).alias(e) for e in ends]
+              .otherwise(F.lit(everything[e] if everything else None).cast("bigint")).alias(e) for e in ends]
     return cut(joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *chosen))
 
 

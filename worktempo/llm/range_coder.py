@@ -53,12 +53,12 @@ def read_varints(data: bytes, count: int) -> np.ndarray:
 class Models:
     """State of all blocks: order-0 cumulative counts, predicted ids with confidence, hits by confidences."""
 
-    def __init__(self, lanes: int, alphabet: np.ndarray):
+    def __init__(self, lanes: int, alphabet: np.ndarray, inverse: bool):
         widest = int(alphabet.max())
         self.sizes = alphabet
         self.counts = np.zeros((lanes, widest), np.int32)
         self.cum = np.zeros((lanes, widest + 1), np.int64)
-        self.jump = np.zeros((lanes, 4097), np.int32)
+        self.ranks = np.zeros((lanes, 65536), np.uint16) if inverse else None  # rank at each cumulative count
         self.width, self.lanes = widest, np.arange(lanes)
         self.one = np.zeros((lanes, widest), np.int32)
         self.one_sure = np.zeros((lanes, widest), np.int8)
@@ -78,7 +78,8 @@ class Models:
             cum = self.cum[at]
             np.cumsum(freq, out=cum[1:size + 1])
             cum[size + 1:] = 65536
-            self.jump[at] = np.searchsorted(cum[1:size + 1], np.arange(0, 65537, 16), side="right").clip(0, size - 1)
+            if self.ranks is not None:
+                self.ranks[at] = np.repeat(np.arange(size, dtype=np.uint16), freq)
 
 
 def coded(streams: list[np.ndarray] | None, lengths: np.ndarray, alphabet: np.ndarray,
@@ -99,9 +100,10 @@ def coded(streams: list[np.ndarray] | None, lengths: np.ndarray, alphabet: np.nd
         code = (words[:, 0].astype(U64) << U64(32)) | (words[:, 1].astype(U64) << U64(16)) | words[:, 2].astype(U64)
     at = np.zeros(lanes, np.int64) if encode else np.full(lanes, 3, np.int64)
     span = np.full(lanes, (1 << 48) - 1, U64)
-    m = Models(lanes, alphabet)
+    m = Models(lanes, alphabet, not encode)
     width, cum_width = m.width, m.width + 1
-    cum, counts, jump = m.cum.ravel(), m.counts.ravel(), m.jump.ravel()
+    cum, counts = m.cum.ravel(), m.counts.ravel()
+    inverse = None if encode else m.ranks.ravel()
     one, one_sure, two, two_sure = m.one.ravel(), m.one_sure.ravel(), m.two.ravel(), m.two_sure.ravel()
     seen, hits_one, hits_two = m.seen.ravel(), m.hits_one.ravel(), m.hits_two.ravel()
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
@@ -115,7 +117,8 @@ def coded(streams: list[np.ndarray] | None, lengths: np.ndarray, alphabet: np.nd
         if active[step] != n or step == 0:
             n = int(active[step])
             lane = m.lanes[:n]
-            row, cum_row, jump_row, hash_row, class_row = lane * width, lane * cum_width, lane * 4097, lane * HASH, lane * 32
+            row, cum_row, hash_row, class_row = lane * width, lane * cum_width, lane * HASH, lane * 32
+            rank_row = lane * 65536
             before, before2, span = before[:n], before2[:n], span[:n]
             if encode:
                 low = low[:n]
@@ -135,29 +138,18 @@ def coded(streams: list[np.ndarray] | None, lengths: np.ndarray, alphabet: np.nd
             symbol = ranks[step, :n]
         else:
             value = np.minimum(code // r, U64((1 << 24) - 1)).astype(np.int64)
-            first = guess1 <= guess2
-            lo, hi = np.where(first, guess1, guess2), np.where(first, guess2, guess1)
-            same = lo == hi
-            w_lo = np.where(first, w1, w2)
-            w_lo = np.where(same, w1 + w2, w_lo)
+            # Below the smaller guess the value is off by no point mass, above it by one, above both by both.
             w_all = w1 + w2
-            from_lo, to_lo = w0 * cum[cum_row + lo], w0 * cum[cum_row + lo + 1] + w_lo
-            from_hi, to_hi = w0 * cum[cum_row + hi] + w_lo, w0 * cum[cum_row + hi + 1] + w_all
-            is_lo = (value >= from_lo) & (value < to_lo)
-            is_hi = ~same & (value >= from_hi) & (value < to_hi)
-            left = value - np.where(value >= to_lo, w_lo, 0) - np.where(~same & (value >= to_hi), w_all - w_lo, 0)
-            target = np.clip(left // w0, 0, 65535)
-            slot = jump_row + (target >> 4)
-            symbol, upper = jump[slot], jump[slot + 1]
-            while True:
-                open_ = symbol < upper
-                if not open_.any():
-                    break
-                middle = (symbol + upper) >> 1
-                past = cum[cum_row + middle + 1] <= target
-                symbol = np.where(open_ & past, middle + 1, symbol)
-                upper = np.where(open_ & ~past, middle, upper)
-            symbol = np.where(is_lo, lo, np.where(is_hi, hi, symbol))
+            lo, hi = np.minimum(guess1, guess2), np.maximum(guess1, guess2)
+            w_lo = np.where(guess1 < guess2, w1, w2)
+            w_lo = np.where(lo == hi, w_all, w_lo)
+            at_lo, at_hi = cum_row + lo, cum_row + hi
+            from_lo, to_lo = w0 * cum[at_lo], w0 * cum[at_lo + 1] + w_lo
+            from_hi, to_hi = w0 * cum[at_hi] + w_lo, w0 * cum[at_hi + 1] + w_all
+            left = value - (value >= to_lo) * w_lo - (value >= to_hi) * (w_all - w_lo)
+            symbol = inverse[rank_row + np.minimum(left // w0, 65535)].astype(np.int32)
+            symbol = np.where((value >= from_hi) & (value < to_hi), hi, symbol)
+            symbol = np.where((value >= from_lo) & (value < to_lo), lo, symbol)
             ranks[step, :n] = symbol
         place = cum_row + symbol
         below = cum[place]

@@ -124,10 +124,12 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Column sums of each document's rows; zero for documents without rows."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Column sums of each document's rows; zero for documents without rows. Equal documents have equal sums."""
+    out = np.zeros((len(starts) - 1, *values.shape[1:]))
+    full = np.flatnonzero(np.diff(starts))
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[:-1][full], axis=0, dtype=np.float64)
+    return out
 
 
 def repeats(index: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -42,6 +42,29 @@ def test_pages_without_an_article_element():
     assert h.main_text(page) == " ".join([LONG * 2, "Short.", LONG * 3]).replace("  ", " ").strip()
 
 
+BODY = f"<p>{LONG * 3}</p><p>{LONG * 4}</p>"
+BODY_TEXT = " ".join([(LONG * 3).strip(), (LONG * 4).strip()])
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class=post>{BODY}</div><article class=comment><p>{LONG}</p></article><article class=comment>{LONG}</article>",
+    f"<div class=post>{BODY}</div><div class=comments><article><p>{LONG}</p></article></div>",
+    f"<div class=post>{BODY}</div><ul><li><article class=card><a href=/>Teaser</a></article></ul>",
+    *(f"<div class='{c}'>{inner}</div>" for inner in (BODY, f"<article>{BODY}</article>")
+      for c in ("layout no-sidebar", "has-sidebar", "with-comments", "social-article", "layout right-sidebar")),
+    f"<article class='post has-sidebar social comments-open'>{BODY}</article><div id=comments><article>{BODY * 9}</article></div>",
+    f"<div class='layout right-sidebar'><div>{BODY}</div><div class='sidebar-box'><p>{LONG}</p></div></div>",
+    f"<div class='sidebar-box'><p>{LONG}</p></div><article><div class='social-article'>{BODY}</div></article>",
+])
+def test_comments_teasers_and_names_of_wrappers_do_not_take_the_body(page):
+    assert h.main_text(page) == BODY_TEXT
+
+
+def test_many_comments_take_no_square_time():
+    page = f"<div class=post>{BODY}</div>" + "<div class=comment-body><p>I agree.</p></div>" * 30_000
+    assert h.main_text(page) == BODY_TEXT
+
+
 def test_long_pages_are_whole():
     page = "<article>" + "".join(f"<p>{LONG}{n}</p>" for n in range(20_000)) + "</article>"
     assert h.main_text(page).endswith("19999") and h.main_text(page).count(LONG.strip()) == 20_000

@@ -2,8 +2,9 @@
 
 Markup is stripped: scripts, styles, comments and other invisible elements go; block elements end a line, inline elements
 do not. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role, or
-class and id words) and, where a page has an article or main element, lines outside of it have no weight; nor has a line
-of links alone. The weights of WINDOW consecutive lines are summed; text surges where the sum reaches the threshold and
+class and id words) have no weight; nor has a line of links alone. Words in a class or id rule out no element that holds
+the page's text (`judged`). Where article and main elements hold the page's text, not only teasers or comments (`trusted`),
+lines outside of them have no weight either. The weights of WINDOW consecutive lines are summed; text surges where the sum reaches the threshold and
 dives where it falls to zero, and the lines between a surge and its dive are kept. The threshold is 1 inside an article or
 main element, else THRESHOLD characters, or half of the page's largest sum if that is less.
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from worktempo.llm.common import struct_array, text_udf
 
-WINDOW, THRESHOLD = 3, 86
+WINDOW, THRESHOLD, DOMINANT = 3, 86, 4
 
 #: Element and attribute names; fixed values.
 RAW = "script style textarea title"
@@ -38,6 +41,9 @@ aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header mast
 cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related
 recommended comment comments reply replies respond disqus discussion pagination pager search widget widgets skip hidden
 alert copyright legal disclaimer form""".split())
+COMMENTS = set("comment comments reply replies respond disqus discussion".split())
+#: First or last part of a name that tells a state of the page: no-sidebar, has-sidebar, with-comments, comments-open.
+STATES = set("no not non has have with without".split()), set("open closed on off enabled disabled".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
@@ -51,16 +57,32 @@ NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:
 NAME_PART = re.compile(r"[a-z0-9]+")
 
 
+def named(attributes: str) -> str:
+    """What the class and id of an element say: "" nothing, "weak" boilerplate or something else, "strong", or "comments"."""
+    parts: list[str] = []
+    word = False
+    for name, *values in NAMED.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in next(filter(None, values), "").lower().split():
+                each = NAME_PART.findall(token)
+                state = len(each) > 1 and (each[0] in STATES[0] or each[-1] in STATES[1])
+                word |= not state and not WORDS.isdisjoint(each)
+                parts += ["state"] if state else each
+    if not word:
+        return ""
+    if not COMMENTS.isdisjoint(parts):
+        return "comments"
+    return "strong" if WORDS.issuperset(parts) else "weak"
+
+
 def unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Does the element hold boilerplate? A header of the article itself does not."""
+    """Is the element boilerplate by its tag, role or style? A header of the article itself is not."""
     if tag in BOILERPLATE and not (tag == "header" and inside_article):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in NAMED.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "").lower()
-        if name in ("class", "id") and not WORDS.isdisjoint(NAME_PART.findall(value)):
-            return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -68,14 +90,63 @@ def unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines in page order: decoded text, weight, and whether it lies in an article or main element."""
+class Line(NamedTuple):
+    text: str
+    weight: int  #: characters outside links; 0 in boilerplate
+    article: int  #: number of the outermost article or main element around it, 0 for none
+    bad: bool
+
+
+def judged(lines: list[Line], holders: list[tuple[int, ...]], said: list[str], within: list[int],
+           holding: set[int]) -> list[Line]:
+    """Lines with those in elements that class and id words rule out marked as bad.
+
+    holders: the named elements around each line; said: what each name says; within: the article each lies in;
+    holding: elements that are or hold an article or main element. The heaviest element is judged first, comments last. One with weak
+    words stays if it has a block of text and DOMINANT times as much as all text without such words (of its article); one
+    that holds the only article stays if the text without such words is at most twice as much (reader comments: only if
+    that is no block).
+    """
+    weight, mine = [0] * len(said), [[] for _ in said]
+    closed = [len(around) for around in holders]  # elements around each line that are not known to stay
+    free: Counter = Counter()  # weight of the lines that none of them holds: by article, and of all
+
+    def add(line: Line) -> None:
+        free[line.article] += line.weight
+        free["all"] += line.weight
+
+    for at, (line, around) in enumerate(zip(lines, holders)):
+        if not around:
+            add(line)
+        for e in around:
+            weight[e] += line.weight
+            mine[e].append(at)
+    for e in sorted(range(len(said)), key=lambda e: (said[e] == "comments", -weight[e], e)):
+        rest = free[within[e] or "all"]
+        stays = said[e] == "weak" and weight[e] >= THRESHOLD and weight[e] > DOMINANT * rest
+        if e in holding and free["all"] == free[0]:
+            stays |= rest < THRESHOLD if said[e] == "comments" else rest <= 2 * weight[e]
+        if stays:
+            for at in mine[e]:
+                closed[at] -= 1
+                if not closed[at]:
+                    add(lines[at])
+    return [line._replace(weight=0, bad=True) if n else line for line, n in zip(lines, closed)]
+
+
+def page_lines(page: str) -> list[Line]:
+    """Lines in page order."""
     page = INVISIBLE.sub("", page)
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[Line] = []
+    holders: list[tuple[int, ...]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements: name, unwanted
-    bad = articles = anchors = 0
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, unwanted, number among the named ones or -1
+    around: list[int] = []  # open named elements
+    said: list[str] = []
+    within: list[int] = []
+    holding: set[int] = set()
+    bad = articles = anchors = article = 0
 
     def flush() -> None:
         nonlocal linked
@@ -83,11 +154,22 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
                 own = len(line.replace(" ", "")) - linked
-                weight = 0 if bad else max(own, 0)
-                lines.append((line, weight, articles > 0))
+                lines.append(Line(line, 0 if bad else max(own, 0), article if articles else 0, bad > 0))
+                holders.append(tuple(around))
         text.clear()
         linked = 0
 
+    def end(closed: list[tuple[str, bool, int]]) -> None:
+        nonlocal bad, articles, anchors
+        for other, flag, number in closed:
+            if (flag or number >= 0) and other not in BLOCKS:
+                flush()
+            if number >= 0:
+                around.remove(number)
+            bad -= flag
+            articles -= other in ("article", "main")
+            anchors -= other == "a"
+
     at = 0
     for tag in TAG.finditer(page):
         if tag.start() > at:
@@ -113,41 +195,67 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             closed = []
             if name in BLOCKS and stack and stack[-1][0] == "p":
                 closed = [stack.pop()]
+            end(closed)
+            closed = []
+            says = named(tag[3]) if tag[3] and name not in ("html", "body", "main") else ""
             flag = unwanted(name, tag[3], articles > 0)
-            if flag and name not in BLOCKS:
+            if (flag or says) and name not in BLOCKS:
                 flush()
-            stack.append((name, flag))
+            stack.append((name, flag, len(said) if says else -1))
+            if says:
+                around.append(len(said))
+                said.append(says)
+                within.append(article if articles else 0)
+            if name in ("article", "main"):
+                article += not articles
+                articles += 1
+                holding.update(around)
             bad += flag
-            articles += name in ("article", "main")
             anchors += name == "a"
-        for other, flag in closed:
-            if flag and other not in BLOCKS:
-                flush()
-            bad -= flag
-            articles -= other in ("article", "main")
-            anchors -= other == "a"
+        end(closed)
     text.append(page[at:])
     flush()
-    return lines
+    return judged(lines, holders, said, within, holding)
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    lines = page_lines(page)
-    has_article = any(inside for _, _, inside in lines)
-    weights = [w if inside or not has_article else 0 for _, w, inside in lines]
-    blocks = [sum(weights[k:k + WINDOW]) for k in range(len(lines))]
-    threshold = 1 if has_article else min(THRESHOLD, max(blocks, default=0) / 2 or 1)
-    kept, open_ = [], False
-    for (line, _, inside), weight, block in zip(lines, weights, blocks):
+def runs(weights: list[int], threshold: float) -> list[bool]:
+    """Which lines lie between a surge and its dive."""
+    blocks = [sum(weights[k:k + WINDOW]) for k in range(len(weights))]
+    inside, open_ = [], False
+    for weight, block in zip(weights, blocks):
         if not open_ and weight and block >= threshold:
             open_ = True  # surge
         elif open_ and not block:
             open_ = False  # dive
-        if open_ and weight:
-            kept.append(line)
-    return " ".join(kept)
+        inside.append(open_)
+    return inside
+
+
+def trusted(lines: list[Line]) -> bool:
+    """Do the article and main elements hold the page's text? Not if a run outside has more than twice the largest one's."""
+    each = Counter()
+    for line in lines:
+        if line.article:
+            each[line.article] += line.weight
+    if not any(each.values()):
+        return False
+    outside = [0 if line.article else line.weight for line in lines]
+    run = longest = 0
+    for weight, open_ in zip(outside, runs(outside, THRESHOLD)):
+        run = run + weight if open_ else 0
+        longest = max(longest, run)
+    return longest <= 2 * max(each.values())
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    lines = page_lines(page)
+    has_article = trusted(lines)
+    weights = [line.weight if line.article or not has_article else 0 for line in lines]
+    most = max((sum(weights[k:k + WINDOW]) for k in range(len(lines))), default=0)
+    open_ = runs(weights, 1 if has_article else min(THRESHOLD, most / 2 or 1))
+    return " ".join(line.text for line, weight, kept in zip(lines, weights, open_) if kept and weight)
 
 
 def main_text_column(page: Column) -> Column:

@@ -60,6 +60,19 @@ def test_comments_teasers_and_names_of_wrappers_do_not_take_the_body(page):
     assert h.main_text(page) == BODY_TEXT
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><h1><a href=/>Title</a></h1><p>one</p></article>", "Title one"),
+    ("<article><p>one</p><ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li><li><a>w</a></li></ul></article>", "one x y z w"),
+    ("<main><p>one</p><p><a href=/r>Full report</a></p></main>", "one Full report"),
+    ("<article><ul><li><a>x</a></li></ul></article><footer>f</footer>", "x"),
+    ("<article>one<nav><a>no</a></nav><div class=share><a>no</a></div><p><a>yes</a></p></article><p><a>out</a></p>", "one yes"),
+    (f"<div><p>{LONG * 2}</p><p><a href=/r>Full report</a></p><div class=ad><a>no</a></div><p>{LONG * 2}</p></div>",
+     f"{LONG * 2}Full report {LONG * 2}".strip()),
+])
+def test_links_of_the_text_are_kept(page, text):
+    assert h.main_text(page) == text
+
+
 def test_many_comments_take_no_square_time():
     page = f"<div class=post>{BODY}</div>" + "<div class=comment-body><p>I agree.</p></div>" * 30_000
     assert h.main_text(page) == BODY_TEXT

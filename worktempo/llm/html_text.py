@@ -5,8 +5,9 @@ do not. Lines inside menus, headers, footers, sidebars, notices, adverts, forms
 class and id words) have no weight; nor has a line of links alone. Words in a class or id rule out no element that holds
 the page's text (`judged`). Where article and main elements hold the page's text, not only teasers or comments (`trusted`),
 lines outside of them have no weight either. The weights of WINDOW consecutive lines are summed; text surges where the sum reaches the threshold and
-dives where it falls to zero, and the lines between a surge and its dive are kept. The threshold is 1 inside an article or
-main element, else THRESHOLD characters, or half of the page's largest sum if that is less.
+dives where it falls to zero, and the lines between a surge and its dive are kept, boilerplate apart: lines of links alone
+steer where text opens and closes, not what is kept. The threshold is THRESHOLD characters, or half of the page's largest
+sum if that is less. Of an article or main element everything but boilerplate is kept.
 
 Defined results: NULL, empty and text-free pages give an empty text; character references are decoded once, after the
 markup is gone; a tag that never closes lasts to its parent's end; white space is what Unicode calls so, no-break spaces
@@ -235,9 +236,9 @@ def trusted(lines: list[Line]) -> bool:
     """Do the article and main elements hold the page's text? Not if a run outside has more than twice the largest one's."""
     each = Counter()
     for line in lines:
-        if line.article:
+        if line.article and not line.bad:
             each[line.article] += line.weight
-    if not any(each.values()):
+    if not each:
         return False
     outside = [0 if line.article else line.weight for line in lines]
     run = longest = 0
@@ -251,11 +252,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    has_article = trusted(lines)
-    weights = [line.weight if line.article or not has_article else 0 for line in lines]
-    most = max((sum(weights[k:k + WINDOW]) for k in range(len(lines))), default=0)
-    open_ = runs(weights, 1 if has_article else min(THRESHOLD, most / 2 or 1))
-    return " ".join(line.text for line, weight, kept in zip(lines, weights, open_) if kept and weight)
+    if trusted(lines):
+        open_ = [line.article > 0 for line in lines]
+    else:
+        weights = [line.weight for line in lines]
+        most = max((sum(weights[k:k + WINDOW]) for k in range(len(lines))), default=0)
+        open_ = runs(weights, min(THRESHOLD, most / 2 or 1))
+    return " ".join(line.text for line, kept in zip(lines, open_) if kept and not line.bad)
 
 
 def main_text_column(page: Column) -> Column:

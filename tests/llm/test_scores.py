@@ -65,6 +65,22 @@ def test_deobfuscation(toxic_model, hidden, plain):
     assert toxic_model.characters.restore(hidden) == plain
 
 
+@pytest.mark.parametrize("hidden, plain", [
+    ("stuupid", "stupid"), ("iddiiott", "idiot"), ("mmoorroonn", "moron"), ("st" + "u" * 60 + "pid", "stupid"),
+    ("i" + "." * 70 + "d.i.o.t", "idiot"), ("1!|1!|d!|1!|1!|0!|7", "idiot"),
+])
+def test_doubled_letters_and_long_spellings(toxic_model, hidden, plain):
+    assert toxic_model.characters.restore(hidden) == plain
+
+
+def test_decoding_is_exact(toxic_model):
+    """Against a search that leaves out no state."""
+    model, spellings = toxic_model.characters, ["4!7|0$1!3|+8@1", "m!0|r!0|n!|1", "5+|_|p1d!0$4|", "b!1|6!0$7|3!"]
+    full = toxicity.CharacterModel.__new__(toxicity.CharacterModel)
+    full.logs, full.spread = model.logs, {letter: 1e9 for letter in model.spread}
+    assert [model.decode(s) for s in spellings] == [full.decode(s) for s in spellings]
+
+
 def test_plain_words_are_left_alone(toxic_model):
     for word in ("hello", "Straße", "don't", "3.14", "2024", "***", "a", "élan"):
         assert toxic_model.characters.restore(word) == word.lower().strip("*")

@@ -73,6 +73,23 @@ def test_doubled_letters_and_long_spellings(toxic_model, hidden, plain):
     assert toxic_model.characters.restore(hidden) == plain
 
 
+@pytest.mark.parametrize("hidden", [
+    "you i d i o t.", "m o r o n!", "you are a i d i o t", "o i d i o t y", "i - d - i - o - t", "st up id", "s tu p i d, i",
+    "i, d, i, o, t", "1 d 1 0 t", "$ t u p ! d", "(i d i o t)", "ba i d i o t be m o r o n", "i ... d i o t",
+])
+def test_words_in_pieces(toxic_model, hidden):
+    table = toxicity.WordTable(toxic_model.word_figures)
+    plain, found, whole = toxic_model.scores([f"lalala {x} lalala" for x in ("", hidden, "idiot")], table)
+    assert plain < 0.5 and found >= whole > 0.5
+
+
+def test_pieces_that_are_words_stay_words(toxic_model, words):
+    model = toxicity.train([f"to go in {words(20)} idiot"] * 9 + [f"to go in it is {words(20)}"] * 40, [1] * 9 + [0] * 40)
+    assert model.characters.decode("to go in it is") == "to go in it is"
+    kinds = np.asarray([toxicity.piece_kind(w) for w in "a 1 2 3 4 5 6 b - c word 1 2 3 4 d".split()])
+    assert toxicity.piece_runs(kinds) == [(7, 10), (11, 16)]
+
+
 def test_decoding_is_exact(toxic_model):
     """Against a search that leaves out no state."""
     model, spellings = toxic_model.characters, ["4!7|0$1!3|+8@1", "m!0|r!0|n!|1", "5+|_|p1d!0$4|", "b!1|6!0$7|3!"]

@@ -63,6 +63,19 @@ def test_recall_on_edited_passages(words, share, least):
     assert true > 100 and found >= least * true
 
 
+@pytest.mark.parametrize("n, edits", [(5, 1), (7, 1), (10, 2), (14, 2), (15, 3), (16, 3), (18, 3), (20, 4), (23, 4), (24, 4), (30, 6)])
+def test_recall_by_item_length(words, n, edits):
+    """As above, with edits up to the limit, for each length: short items have few windows."""
+    rng, vocabulary = random.Random(n), words(3000).split()
+    items = [(k, words(n)) for k in range(200)]
+    texts = [f"{words(30)} {edited(rng, text, vocabulary, (edits + 0.5) / n)} {words(30)}" for _, text in items]
+    found = []
+    for (item_id, text), hits in zip(items, d.Index(items, 0.8).search(texts, WordTable(d.word_hashes))):
+        if d.edit_search(text.split(), texts[item_id].split())[0] <= 0.2 * n + 1e-9:
+            found.append(any(h["item_id"] == item_id for h in hits))
+    assert len(found) > 150 and sum(found) >= 0.97 * len(found)
+
+
 def test_short_items_and_other_spellings(docs, spark, words):
     item = words(7)
     bench = spark.createDataFrame([(1, item), (2, "four words are few"), (3, None), (4, ""), (5, item)], "item_id bigint, text string")

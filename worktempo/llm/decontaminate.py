@@ -3,7 +3,8 @@
 The random walk of CGK reads a word, moves on or stays by a random bit of (step, word), and emits the word at each step: two
 passages that differ by few word edits emit sequences that differ in few places, so edit distance becomes Hamming distance.
 Bit sampling hashes `PICKED` of the emitted places, `REPEATS` times with other places; windows that share a hash with a
-benchmark item are candidates. Item windows start every `STRIDE` words of an item, document windows at every word, so a
+benchmark item are candidates. Item windows start every `STRIDE` words of an item (of fewer than two strides: at every word),
+document windows at every word, so a
 passage may begin anywhere and any well-kept stretch of it is enough. Each candidate is then verified exactly: the smallest
 word edit distance between the whole item and any passage of the document around the window (bit-parallel dynamic
 programme). A leak has a similarity 1 - distance / words of the item of at least `similarity` (0.8).
@@ -38,7 +39,7 @@ from worktempo.llm.common import WordTable, boxed, split_words, text_udf
 
 MIN_WORDS, STRIDE, REPEATS = 5, 5, 12
 #: Walk length and places per hash, for items of at least so many words.
-CLASSES = ((14, 28, 5), (MIN_WORDS, 10, 3))
+CLASSES = ((24, 28, 5), (MIN_WORDS, 10, 3))
 PUNCTUATION = string.punctuation.encode()
 HIT = "array<struct<item_id:bigint,start_word:int,end_word:int,distance:int,similarity:double>>"
 
@@ -144,7 +145,7 @@ class Index:
             words = self.items[i][0]
             codes = np.zeros((len(words) + walk + 1, 2), np.uint64)
             codes[:len(words)] = np.asarray([(w, turns[w]) for w in words], np.uint64)
-            starts = np.arange(0, len(words), STRIDE)
+            starts = np.arange(0, len(words), STRIDE if len(words) >= 2 * STRIDE else 1)
             keys, reach = signatures(codes, starts, walk, picked)
             inside = reach + starts < len(words)
             for r in range(REPEATS):

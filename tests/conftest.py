@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from helpers import when  # noqa: E402
 from worktempo.sources import schemas  # noqa: E402
 
 
@@ -27,11 +28,6 @@ def spark(tmp_path_factory):
     return session
 
 
-def when(text: str) -> datetime:
-    """'05 21:00:00.5' is that instant of January 2024, UTC."""
-    return datetime.fromisoformat(f"2024-01-{text}")
-
-
 def _frame(spark, schema, rows, defaults):
     names = schema.fieldNames()
     return spark.createDataFrame([tuple({**defaults(n), **row}.get(c) for c in names) for n, row in enumerate(rows)], schema)
@@ -87,12 +83,3 @@ def tags(spark):
         return _frame(spark, schemas.DOMAIN_TAGS, plain, lambda n: {"tag_color": "#1", "tag_icon": "i"})
 
     return build
-
-
-def rows(df):
-    return [r.asDict() for r in df.collect()]
-
-
-def one(df):
-    (row,) = rows(df)
-    return row

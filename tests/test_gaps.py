@@ -6,7 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import one, rows, when
+from helpers import one, rows, when
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from worktempo.functions.clock import Clock

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import one, rows, when
+from helpers import one, rows, when
 from pyspark.sql import functions as F
 from worktempo.jobs import leaderboard, upkeep
 from worktempo.operators import ledger

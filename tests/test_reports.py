@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import pytest
-from conftest import one, rows, when
+from helpers import one, rows, when
 from worktempo.functions.clock import Clock
 from worktempo.plans import alerts, catalog, export, period, platform, productivity, realtime, sites, summary, user_detail
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktempo.llm import (
-    decontaminate, html_text, language, packing, quality_classifier, quality_rules, simhash, spelling, token_files,
-    toxicity, url_filter,
+    conversation_repair, decontaminate, html_text, language, packing, quality_classifier, quality_rules, simhash,
+    spelling, token_files, toxicity, url_filter,
 )
 from worktempo.llm.common import is_remainder, shared_folder, table
 
@@ -77,9 +77,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.as_rows(table(spark, sf_dir, "conversations"), damage=True)
+    return conversation_repair.digests(conversation_repair.repaired(damaged))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_classifier, op2_decontaminate, op3_html_text, op4_url_filter, op5_packing, op6_simhash, op7_toxicity,
     op8_token_files, op9_language, op10_quality_rules, op11_spelling_variants,
+    op12_conversation_repair,
 )}
 
 

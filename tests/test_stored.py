@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 from pathlib import Path
 
 import pytest
@@ -12,43 +12,135 @@ from worktempo import registry
 from worktempo.jobs import leaderboard, tables
 from worktempo.operators.tags import anchors, entity_pieces, matches, rules_by_id
 from worktempo.plans import alerts, summary
-from worktempo.sources import schemas, versions
-from worktempo.sources.tables import write_heartbeats
+from worktempo.sources import schemas, stored
 
 DATA = Path("/root/testdata/sf0.01")
 AS_OF = datetime(2024, 1, 26, 12)
 
 
-def test_versions(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "id bigint"
-    one = spark.createDataFrame([(1,), (2,)], schema)
-    assert versions.create(one, path) == 1
-    assert versions.append(spark.createDataFrame([(3,)], schema), path) == 2
-    now = versions.current(spark, path, one.schema)
-    assert versions.replace(now.where("id <> 2"), path) == 3  # reads what it replaces
-    assert {r["id"] for r in rows(versions.current(spark, path, one.schema))} == {1, 3}
-    versions.replace(one.where("false"), path)
-    assert versions.current(spark, path, one.schema).count() == 0
+@pytest.fixture
+def database(spark, tmp_path):
+    name = stored.new_database(spark, str(tmp_path / "db"))
+    yield name
+    spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
-def test_sharing_and_deletion_jobs(spark, users, adjustments, tmp_path):
-    people = str(tmp_path / "users")
-    versions.create(users("a", "b", share_data_max_days=0), people)
+def ids(df):
+    return {r["id"] for r in rows(df)}
+
+
+def test_a_table_is_replaced_by_a_plan_that_reads_it(spark, database):
+    name = f"{database}.t"
+    stored.create(spark.createDataFrame([(1,), (2,)], "id bigint"), name)
+    stored.append(spark.createDataFrame([(3,)], "id int"), name)
+    stored.replace(stored.current(spark, name).where("id <> 2"), name)
+    assert ids(stored.current(spark, name)) == {1, 3}
+    stored.replace(stored.current(spark, name).where("false"), name)
+    assert stored.current(spark, name).count() == 0
+    assert [t.name for t in spark.catalog.listTables(database)] == ["t"]
+
+
+def test_a_job_that_died_after_staging_is_finished_by_the_next(spark, database):
+    name = f"{database}.t"
+    stored.create(spark.createDataFrame([(1,), (2,)], "id bigint"), name)
+    stored.stage(spark.table(name).where("id = 2"), name)
+    assert ids(spark.table(name)) == {1, 2}
+    assert ids(stored.current(spark, name)) == {2}
+
+
+def test_sharing_and_deletion_jobs(spark, users, adjustments, database):
+    people, ledger = f"{database}.users", f"{database}.adj"
+    stored.create(users("a", "b", share_data_max_days=0), people)
     tables.open_sharing(spark, people)
-    assert {r["share_data_max_days"] for r in rows(versions.current(spark, people, schemas.USERS))} == {-1}
-    ledger = str(tmp_path / "adj")
-    versions.create(adjustments(("a", 5, "2024-01-02"), ("b", 6, "2024-01-02")), ledger)
-    tables.delete_rows(spark, ledger, spark.createDataFrame([(0,), (0,), (7,)], "id bigint"), schemas.TIME_ADJUSTMENTS)
-    assert [r["user_id"] for r in rows(versions.current(spark, ledger, schemas.TIME_ADJUSTMENTS))] == ["b"]
-
-
-def test_purge_empties_old_days_and_rewrites_the_boundary(spark, hb, tmp_path):
-    path = str(tmp_path / "hb")
-    write_heartbeats(hb(*[{"id": n, "at": at} for n, at in enumerate(
-        ("05 06:00:00", "10 06:00:00", "10 14:00:00", "11 06:00:00"))]), path)
-    tables.purge_heartbeats(spark, path, str(tmp_path / "work"), as_of=datetime(2024, 2, 10, 12), months=1)
-    left = spark.read.schema(schemas.HEARTBEATS).parquet(path)
-    assert {r["id"] for r in rows(left)} == {2, 3}
+    assert {r["share_data_max_days"] for r in rows(stored.current(spark, people))} == {-1}
+    stored.create(adjustments(("a", 5, "2024-01-02"), ("b", 6, "2024-01-02")), ledger)
+    tables.delete_rows(spark, ledger, spark.createDataFrame([(0,), (0,), (7,)], "id bigint"))
+    assert [r["user_id"] for r in rows(stored.current(spark, ledger))] == ["b"]
+
+
+def test_requests_are_checked_once(spark, users, adjustments, database):
+    ledger = f"{database}.adj"
+    stored.create(adjustments(("a", 5, "2024-01-02")), ledger)
+    requests = spark.createDataFrame(
+        [(1, "a", "1", None, None, "x", None), (2, "ghost", "1", None, None, "y", None), (3, "a", "no", None, None, "z", None)],
+        "request_id bigint, user_id string, hours string, minutes string, op string, reason string, adjustment_date string")
+    bad = tables.append_adjustments(spark, ledger, requests, users("a"), as_of=AS_OF)
+    assert {(r["request_id"], r["error"]) for r in rows(bad)} == {(2, "unknown user"), (3, "invalid number")}
+    assert {(r["id"], r["seconds"]) for r in rows(stored.current(spark, ledger))} == {(0, 5), (1, 3600)}
+
+
+@pytest.fixture
+def old_heartbeats(hb, database):
+    name = f"{database}.hb"
+    stored.store_heartbeats(hb(*[{"id": n, "at": at} for n, at in enumerate(
+        ("05 06:00:00", "10 06:00:00", "10 14:00:00", "11 06:00:00"))]), name)
+    return name
+
+
+PURGE = {"as_of": datetime(2024, 2, 10, 12), "months": 1}
+
+
+def test_purge_drops_old_days_and_swaps_the_boundary(spark, old_heartbeats):
+    tables.purge_heartbeats(spark, old_heartbeats, **PURGE)
+    assert ids(spark.table(old_heartbeats)) == {2, 3}
+    assert stored.stored_days(spark, old_heartbeats) == [date(2024, 1, 10), date(2024, 1, 11)]
+    tables.purge_heartbeats(spark, old_heartbeats, **PURGE)
+    assert ids(spark.table(old_heartbeats)) == {2, 3}
+
+
+@pytest.mark.parametrize("step", ["drop_days", "swap_days", "point_day", "remove_folder"])
+@pytest.mark.parametrize("before", [True, False])
+def test_a_purge_stopped_at_any_step_loses_nothing(spark, old_heartbeats, monkeypatch, step, before):
+    real = getattr(stored, step)
+
+    def stopped(*args, **options):
+        if not before:
+            real(*args, **options)
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(stored, step, stopped)
+        with pytest.raises(RuntimeError, match="stopped"):
+            tables.purge_heartbeats(spark, old_heartbeats, **PURGE)
+    spark.catalog.refreshTable(old_heartbeats)
+    assert {2, 3} <= ids(spark.table(old_heartbeats)) <= {0, 1, 2, 3}
+    tables.purge_heartbeats(spark, old_heartbeats, **PURGE)
+    assert ids(spark.table(old_heartbeats)) == {2, 3}
+
+
+def test_a_boundary_day_without_young_rows_goes(spark, hb, database):
+    name = f"{database}.hb"
+    stored.store_heartbeats(hb({"id": 1, "at": "10 06:00:00"}, {"id": 2, "at": "12 06:00:00"}), name)
+    tables.purge_heartbeats(spark, name, **PURGE)
+    assert ids(spark.table(name)) == {2} and stored.stored_days(spark, name) == [date(2024, 1, 12)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["stored_week_by_user", "stored_range_report_users"])
+def test_reports_list_only_the_days_of_their_range(spark, name):
+    scans = [s for s in plan_of(registry.queries()[name](spark, str(DATA))).split("FileScan")[1:] if "worktempo_" in s]
+    assert scans and all("PartitionFilters: [isnotnull(local_day" in s for s in scans)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_a_join_tells_which_days_are_read(spark):
+    assert "dynamicpruning" in plan_of(registry.queries()["stored_leave_activity"](spark, str(DATA)))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_buckets_need_no_exchange_of_raw_rows(spark):
+    df = registry.queries()["bucketed_attribution"](spark, str(DATA))
+    plan = plan_of(df)
+    assert "Bucketed: true" in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("slot" in line for line in exchanges)
+    per_bucket = spark.table(next(w for w in plan.replace("[", " ").split() if w.endswith(".slotted"))[len("spark_catalog."):])
+    shares = [r["count"] for r in rows(per_bucket.where("user_id = 'user0'").groupBy(F.input_file_name()).count())]
+    assert len(shares) > 500 and max(shares) < sum(shares) / 50
 
 
 def test_an_opted_out_user_leaves_the_leaderboard(spark, hb, users, tmp_path):

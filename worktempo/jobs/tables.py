@@ -1,7 +1,5 @@
-"""Jobs that change the ledgers, the tags, the users and the heartbeats where they are stored.
-
-Ledgers, tags and users are tables of ``sources.versions``; heartbeats are laid out by local day.
-"""
+"""Jobs that change the ledgers, the tags, the users and the heartbeats where they are stored: tables of the catalog
+(``sources.stored``), named ``database.table``."""
 
 from __future__ import annotations
 
@@ -9,75 +7,63 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from worktempo.jobs.upkeep import retention_kept, share_flags_update
+from worktempo.functions.clock import Clock
+from worktempo.jobs.upkeep import months_before, retention_kept, share_flags_update
 from worktempo.operators import ledger
-from worktempo.sources import schemas, versions
-from worktempo.sources.tables import empty_partition
+from worktempo.sources import stored
 
 
-def _checked(table: DataFrame, ingest, path: str, schema: T.StructType) -> DataFrame:
-    good, bad = ingest(table)
-    versions.append(good.select(*[F.col(f.name).cast(f.dataType) for f in schema]), path)
-    return bad
+def _ingest(checked: DataFrame, name: str) -> DataFrame:
+    """Append what passed. The outcome is computed once and kept as a table beside the ledger; the rejected requests are
+    read from it."""
+    outcome = stored.stage(checked, f"{name}_requests")
+    kept = checked.sparkSession.table(outcome)
+    stored.append(ledger.accepted(kept), name)
+    return ledger.rejected(kept)
 
 
 def append_adjustments(
-    spark: SparkSession, path: str, requests: DataFrame, users: DataFrame, *, as_of: datetime, tz_hours: int = 3
+    spark: SparkSession, name: str, requests: DataFrame, users: DataFrame, *, as_of: datetime, tz_hours: int = 3
 ) -> DataFrame:
     """Append the accepted requests to the ledger; returns the rejected ones."""
-    schema = schemas.TIME_ADJUSTMENTS
-    return _checked(
-        versions.current(spark, path, schema),
-        lambda t: ledger.ingest_adjustments(requests, users, t, as_of=as_of, tz_hours=tz_hours), path, schema,
-    )
+    return _ingest(
+        ledger.check_adjustments(requests, users, stored.current(spark, name), as_of=as_of, tz_hours=tz_hours), name)
 
 
-def append_leaves(spark: SparkSession, path: str, requests: DataFrame, users: DataFrame, *, as_of: datetime) -> DataFrame:
+def append_leaves(spark: SparkSession, name: str, requests: DataFrame, users: DataFrame, *, as_of: datetime) -> DataFrame:
     """Append the accepted requests to the leaves; returns the rejected ones."""
-    schema = schemas.LEAVES
-    return _checked(
-        versions.current(spark, path, schema), lambda t: ledger.ingest_leaves(requests, users, t, as_of=as_of), path, schema
-    )
+    return _ingest(ledger.check_leaves(requests, users, stored.current(spark, name), as_of=as_of), name)
 
 
-def change_tags(spark: SparkSession, path: str, requests: DataFrame, *, as_of: datetime) -> DataFrame:
+def change_tags(spark: SparkSession, name: str, requests: DataFrame, *, as_of: datetime) -> DataFrame:
     """Create and update tags; returns the rejected requests."""
-    new, rejected = ledger.apply_tag_requests(requests, versions.current(spark, path, schemas.DOMAIN_TAGS), as_of=as_of)
-    versions.replace(new.select(*schemas.DOMAIN_TAGS.fieldNames()), path)
+    new, rejected = ledger.apply_tag_requests(requests, stored.current(spark, name), as_of=as_of)
+    stored.replace(new, name)
     return rejected
 
 
-def delete_rows(spark: SparkSession, path: str, ids: DataFrame, schema: T.StructType) -> None:
+def delete_rows(spark: SparkSession, name: str, ids: DataFrame) -> None:
     """Remove the rows with the given ids."""
-    left = ledger.delete_ids(versions.current(spark, path, schema), ids)
-    versions.replace(left.select(*schema.fieldNames()), path)
+    stored.replace(ledger.delete_ids(stored.current(spark, name), ids), name)
 
 
-def open_sharing(spark: SparkSession, path: str) -> None:
+def open_sharing(spark: SparkSession, name: str) -> None:
     """Set the sharing flags of the users table."""
-    users = share_flags_update(versions.current(spark, path, schemas.USERS))
-    versions.replace(users.select(*[F.col(f.name).cast(f.dataType) for f in schemas.USERS]), path)
+    stored.replace(share_flags_update(stored.current(spark, name)), name)
 
 
-def purge_heartbeats(
-    spark: SparkSession, path: str, work: str, *, as_of: datetime, months: int = 12, tz_hours: int = 3
-) -> None:
+def purge_heartbeats(spark: SparkSession, name: str, *, as_of: datetime, months: int = 12, tz_hours: int = 3) -> None:
     """Remove heartbeats older than some months from a table by local day.
 
-    Days before the boundary are emptied without being read; the day that holds it is rewritten by way of the folder
-    ``work``; younger days are not touched.
+    Days before the boundary are dropped from the catalog without being read; the day that holds it is written anew and
+    swapped in whole; younger days are not touched. A job that stops at any step loses no row that is to be kept, and the
+    next one does the rest.
     """
-    schema = T.StructType([*schemas.HEARTBEATS.fields, T.StructField("local_day", T.DateType())])
-    stored = spark.read.schema(schema).parquet(path)
-    limit = F.expr(f"TIMESTAMP_NTZ '{as_of.isoformat(sep=' ')}' - INTERVAL '{months}' MONTH")
-    edge = F.to_date(limit + F.expr(f"INTERVAL '{tz_hours}' HOUR"))
-    days = stored.where(F.col("local_day") <= edge).select("local_day", edge.alias("edge")).distinct().collect()
-    for row in days:
-        if row.local_day < row.edge:
-            empty_partition(stored, path, "local_day", str(row.local_day))
-            continue
-        part = retention_kept(stored.where(F.col("local_day") == F.lit(row.local_day)), as_of=as_of, months=months)
-        part.drop("local_day").write.mode("overwrite").parquet(work)
-        spark.read.schema(schemas.HEARTBEATS).parquet(work).write.mode("overwrite").parquet(f"{path}/local_day={row.local_day}")
+    limit = spark.range(1).select(months_before(as_of, months)).first()[0]
+    edge = Clock(limit, tz_hours).local_date
+    days = stored.stored_days(spark, name)
+    stored.drop_days(spark, name, [d for d in days if d < edge])
+    if edge in days:
+        day = stored.heartbeats_by_day(spark, name, edge, edge)
+        stored.swap_days(spark, name, retention_kept(day, as_of=as_of, months=months), [edge])

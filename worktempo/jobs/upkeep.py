@@ -18,18 +18,18 @@ SHARE_FLAGS = ["share_projects", "share_languages", "share_editors", "share_oss"
                "public_leaderboard"]
 
 
-def _months_before(as_of: datetime, months: int):
+def months_before(as_of: datetime, months: int):
     return F.expr(f"TIMESTAMP_NTZ '{as_of.isoformat(sep=' ')}' - INTERVAL '{months}' MONTH")
 
 
 def retention_kept(hb: DataFrame, *, as_of: datetime, months: int = 12) -> DataFrame:
     """Heartbeats young enough to keep."""
-    return hb.where(F.col("time") >= _months_before(as_of, months))
+    return hb.where(F.col("time") >= months_before(as_of, months))
 
 
 def inactive_accounts(hb: DataFrame, users: DataFrame, *, as_of: datetime, months: int = 6) -> DataFrame:
     """Users without a heartbeat in the last months."""
-    recent = between(hb, None, None, as_of).where(F.col("time") >= _months_before(as_of, months))
+    recent = between(hb, None, None, as_of).where(F.col("time") >= months_before(as_of, months))
     return users.join(recent.select(F.col("user_id").alias("id")).distinct(), "id", "left_anti").select("id", "email")
 
 

@@ -1,6 +1,7 @@
 """Ledgers kept beside the heartbeats: manual time adjustments, leaves and site tags.
 
-Requests come as a table and are checked together; ``ingest_*`` returns (accepted rows, rejected requests).
+Requests come as a table and are checked together: ``check_*`` gives each request with its ``error`` or, if it has none, the
+new ``row``; one pass, so that a job can store the outcome and take both sides from it. ``ingest_*`` returns the two sides.
 A new row's id is max(existing id) + request_id: unique and repeatable without numbering rows in one task.
 """
 
@@ -112,27 +113,33 @@ def _with_base_id(df: DataFrame, existing: DataFrame) -> DataFrame:
     return df.withColumn("_base", base)
 
 
-def _split(checked: DataFrame, accepted: Sequence[Column], requests_schema) -> tuple[DataFrame, DataFrame]:
-    good = checked.where(F.col("_reason").isNull()).select(*accepted)
-    bad = checked.where(F.col("_reason").isNotNull()).select(
-        *requests_schema.fieldNames(), F.col("_reason").alias("error")
-    )
-    return good, bad
+def _checked(found: DataFrame, error: Column, row: Sequence[Column], requests_schema) -> DataFrame:
+    """The requests with ``error`` and ``row``."""
+    told = found.withColumn("error", error)
+    return told.select(*requests_schema.fieldNames(), "error", F.when(F.col("error").isNull(), F.struct(*row)).alias("row"))
 
 
-def ingest_adjustments(
+def accepted(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("error").isNull()).select("row.*")
+
+
+def rejected(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("error").isNotNull()).drop("row")
+
+
+def check_adjustments(
     requests: DataFrame, users: DataFrame, existing: DataFrame, *, as_of: datetime, tz_hours: int = 3
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     today = Clock.at(as_of, tz_hours).local_date
     op = F.lower(F.when(F.coalesce(F.col("op"), F.lit("")) == "", F.lit("add")).otherwise(F.col("op")))
     text = _stripped("adjustment_date")
-    checked = (
+    read = (
         _known(requests, users)
         .withColumn("_size", F.bround(_number("hours") * 3600 + _number("minutes") * 60, 0))
         .withColumn("_op", op)
         .withColumn("_date", F.when(text == "", F.lit(today)).otherwise(_iso_date(text)))
     )
-    reason = _first_reason(
+    error = _first_reason(
         (F.col("_size").isNull(), "invalid number"),
         (~F.col("_op").isin("add", "sub"), "invalid op"),
         (F.col("_size") <= 0, "not above zero"),
@@ -140,9 +147,8 @@ def ingest_adjustments(
         (~F.col("_known"), "unknown user"),
     )
     sign = F.when(F.col("_op") == "add", F.lit(1)).otherwise(F.lit(-1))
-    checked = _with_base_id(checked.withColumn("_reason", reason), existing)
-    return _split(
-        checked,
+    return _checked(
+        _with_base_id(read, existing), error,
         [
             (F.col("_base") + F.col("request_id")).alias("id"),
             F.col("user_id"),
@@ -155,31 +161,35 @@ def ingest_adjustments(
     )
 
 
-def ingest_leaves(
-    requests: DataFrame, users: DataFrame, existing: DataFrame, *, as_of: datetime
+def ingest_adjustments(
+    requests: DataFrame, users: DataFrame, existing: DataFrame, *, as_of: datetime, tz_hours: int = 3
 ) -> tuple[DataFrame, DataFrame]:
+    checked = check_adjustments(requests, users, existing, as_of=as_of, tz_hours=tz_hours)
+    return accepted(checked), rejected(checked)
+
+
+def check_leaves(requests: DataFrame, users: DataFrame, existing: DataFrame, *, as_of: datetime) -> DataFrame:
     start = _stripped("start_date")
     end = F.when(F.coalesce(F.col("end_date"), F.lit("")) == "", start).otherwise(_stripped("end_date"))
     kind = F.when(F.coalesce(F.col("leave_type"), F.lit("")) == "", F.lit("annual")).otherwise(
         _stripped("leave_type")
     )
-    checked = (
+    read = (
         _known(requests, users)
         .withColumn("_kind", kind)
         .withColumn("_blank", start == "")
         .withColumn("_start", _iso_date(start))
         .withColumn("_end", _iso_date(end))
     )
-    reason = _first_reason(
+    error = _first_reason(
         (F.col("_blank"), "start_date missing"),
         (~F.col("_kind").isin(*LEAVE_TYPES), "invalid leave type"),
         (F.col("_start").isNull() | F.col("_end").isNull(), "invalid date"),
         (F.col("_end") < F.col("_start"), "end before start"),
         (~F.col("_known"), "unknown user"),
     )
-    checked = _with_base_id(checked.withColumn("_reason", reason), existing)
-    return _split(
-        checked,
+    return _checked(
+        _with_base_id(read, existing), error,
         [
             (F.col("_base") + F.col("request_id")).alias("id"),
             F.col("user_id"),
@@ -193,6 +203,13 @@ def ingest_leaves(
     )
 
 
+def ingest_leaves(
+    requests: DataFrame, users: DataFrame, existing: DataFrame, *, as_of: datetime
+) -> tuple[DataFrame, DataFrame]:
+    checked = check_leaves(requests, users, existing, as_of=as_of)
+    return accepted(checked), rejected(checked)
+
+
 def delete_ids(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id is not in ``ids.id``."""
     return ledger.join(ids.select("id").distinct(), "id", "left_anti")
@@ -243,7 +260,5 @@ def apply_tag_requests(
         *[F.coalesce(F.col(f"new.{new}"), F.col(old)).alias(old) for old, new in fields.items()],
         "created_at",
     )
-    rejected = checked.where(F.col("_reason").isNotNull()).select(
-        *TAG_REQUESTS.fieldNames(), F.col("_reason").alias("error")
-    )
-    return updated.unionByName(created), rejected
+    bad = checked.where(F.col("_reason").isNotNull()).select(*TAG_REQUESTS.fieldNames(), F.col("_reason").alias("error"))
+    return updated.unionByName(created), bad

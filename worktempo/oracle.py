@@ -875,6 +875,17 @@ def oracle_sql() -> dict[str, str]:
         ) + f"SELECT user_id, count(*) AS heartbeats, {_act()} AS coding_seconds, {_act('NOT br')} AS ide_coding_seconds, "
             f"{_act('br')} AS browsing_seconds, {_act('ai')} AS ai_coding_seconds FROM o GROUP BY user_id",
     }
+    found["bucketed_attribution"] = found["stream_attributed"]
+    found["stored_week_by_user"] = found["week_by_user"]
+    found["stored_range_report_users"] = found["range_report_users"]
+    found["stored_leave_activity"] = _with(
+        "leaves",
+        ("all_hb", f"SELECT *, epoch_us(time) AS t, CAST(time + INTERVAL 3 HOUR AS DATE) AS day FROM ({table_sql('heartbeats')}) h"),
+        ("d", f"SELECT DISTINCT user_id, CAST(unnest(generate_series(greatest(start_date, {leave_lo}), least(end_date, {leave_hi}), "
+              f"INTERVAL 1 DAY)) AS DATE) AS day FROM leaves WHERE start_date <= {leave_hi} AND end_date >= {leave_lo} AND start_date <= end_date"),
+        ("o", "SELECT *, t - lag(t) OVER (PARTITION BY user_id, day ORDER BY t, id) AS gap FROM all_hb JOIN d USING (user_id, day)"),
+        hb=False,
+    ) + f"SELECT user_id, {_day('day')} AS day, count(*) AS heartbeats, {_act()} AS coding_seconds FROM o GROUP BY user_id, day"
     found["week_by_user_dense"] = found["week_by_user"]
     found["range_report_users_dense"] = found["range_report_users"]
     found["stored_users"] = found["share_flags_update"]

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock, as_date
-from worktempo.functions.columns import ntz_text
+from worktempo.functions.columns import day_text, ntz_text
 from worktempo.operators import ledger
-from worktempo.plans.base import TZ
+from worktempo.operators.scan import with_slots
+from worktempo.operators.stats import activity
+from worktempo.plans.base import IDLE, TZ
 
 
 def adjustments_list(adjustments: DataFrame, *, tz_hours: int = TZ) -> DataFrame:
@@ -50,3 +52,17 @@ def leave_days(leaves: DataFrame, *, start: date | str, end: date | str) -> Data
 
 def on_leave(leaves: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
     return ledger.users_on_leave(leaves, Clock.at(as_of, tz_hours).local_date)
+
+
+def leave_activity(
+    hb_by_day: DataFrame, leaves: DataFrame, *, start: date | str, end: date | str, idle_minutes: int = IDLE, tz_hours: int = TZ
+) -> DataFrame:
+    """Heartbeats and active time of users on their days of leave, from heartbeats with a partition ``local_day``. The join on
+    that column lets Spark read only the days that someone was on leave."""
+    first, last = as_date(start), as_date(end)
+    days = ledger.leave_days(leaves, first, last).withColumnsRenamed({"user_id": "_user", "leave_date": "_day"})
+    rows = hb_by_day.where(F.col("local_day").between(F.lit(first), F.lit(last)))
+    rows = rows.join(days, (F.col("local_day") == F.col("_day")) & (F.col("user_id") == F.col("_user"))).drop("_user", "_day")
+    slots = with_slots(rows.drop("local_day"), tz_hours=tz_hours, idle_minutes=idle_minutes)
+    stats = activity(slots, ["user_id"], by_day=True, idle_minutes=idle_minutes, tz_hours=tz_hours)
+    return stats.select("user_id", day_text("local_day").alias("day"), "heartbeats", "coding_seconds")

@@ -7,7 +7,7 @@ Heartbeat queries read only the days their range needs: the range reaches the Pa
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +19,7 @@ from worktempo.plans import (
     alerts, catalog, export, ledgers, period, platform, productivity, realtime, sites, summary, user_detail,
 )
 from worktempo.sources.derived import AS_OF, heartbeats, table
-from worktempo.sources import schemas, versions
-from worktempo.sources.tables import write_heartbeats
+from worktempo.sources import bucketed, stored
 from worktempo.streaming import live, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,23 +71,20 @@ _WEEK = _hb(CLOCK.week)
 _HISTORY = _hb(CLOCK.week - timedelta(days=28))
 
 
-def _outcome(ingest, requests: str, ledger_name: str, columns: list[str]) -> Query:
-    """Accepted rows and rejected requests of a ledger ingest in one table, with status and error."""
+def _outcome(check, requests: str, ledger_name: str, columns: list[str]) -> Query:
+    """Accepted rows and rejected requests of a ledger ingest in one table, with status and error; one pass."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        good, bad = ingest(
+        checked = check(
             table(spark, sf_dir, requests), table(spark, sf_dir, "users"), table(spark, sf_dir, ledger_name), as_of=AS_OF
         )
-        texts = [F.col(c).cast("string").alias(c) for c in columns]
-        accepted = good.select(
-            F.lit("accepted").alias("status"), F.col("id").cast("bigint").alias("ref"), "user_id", *texts,
-            F.lit(None).cast("string").alias("error"),
+        good = F.col("error").isNull()
+        return checked.select(
+            F.when(good, "accepted").otherwise("rejected").alias("status"),
+            F.when(good, F.col("row.id")).otherwise(F.col("request_id")).cast("bigint").alias("ref"),
+            F.when(good, F.col("row.user_id")).otherwise(F.col("user_id")).alias("user_id"),
+            *[F.col(f"row.{c}").cast("string").alias(c) for c in columns], "error",
         )
-        nulls = [F.lit(None).cast("string").alias(c) for c in columns]
-        rejected = bad.select(
-            F.lit("rejected").alias("status"), F.col("request_id").alias("ref"), "user_id", *nulls, "error"
-        )
-        return accepted.unionByName(rejected)
 
     return run
 
@@ -150,53 +146,80 @@ def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A derived table written as the first version of a table of its own."""
-    path = f"{live.shared_folder(spark)}/{name}"
-    versions.create(table(spark, sf_dir, name), path)
-    return path
+    """A derived table stored in a database of its own."""
+    full = f"{stored.new_database(spark, live.shared_folder(spark))}.{name}"
+    stored.create(table(spark, sf_dir, name), full)
+    return full
 
 
 def _stored_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger after the job has appended the accepted requests and the approved deletions are done."""
-    path = _stored(spark, sf_dir, "adjustments")
+    name = _stored(spark, sf_dir, "adjustments")
     tables.append_adjustments(
-        spark, path, table(spark, sf_dir, "adjustment_requests"), table(spark, sf_dir, "users"), as_of=AS_OF)
+        spark, name, table(spark, sf_dir, "adjustment_requests"), table(spark, sf_dir, "users"), as_of=AS_OF)
     doomed = table(spark, sf_dir, "delete_requests").where(F.col("decision") == "approved")
-    tables.delete_rows(spark, path, doomed, schemas.TIME_ADJUSTMENTS)
-    return versions.current(spark, path, schemas.TIME_ADJUSTMENTS).select(
+    tables.delete_rows(spark, name, doomed)
+    return stored.current(spark, name).select(
         "id", "user_id", F.col("seconds").cast("bigint").alias("seconds"),
         F.date_format("adjustment_date", "yyyy-MM-dd").alias("adjustment_date"), "reason",
     )
 
 
 def _stored_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _stored(spark, sf_dir, "leaves")
-    tables.append_leaves(spark, path, table(spark, sf_dir, "leave_requests"), table(spark, sf_dir, "users"), as_of=AS_OF)
-    return versions.current(spark, path, schemas.LEAVES).select(
+    name = _stored(spark, sf_dir, "leaves")
+    tables.append_leaves(spark, name, table(spark, sf_dir, "leave_requests"), table(spark, sf_dir, "users"), as_of=AS_OF)
+    return stored.current(spark, name).select(
         "id", "user_id", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"),
         F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "leave_type", "reason",
     )
 
 
 def _stored_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _stored(spark, sf_dir, "tags")
-    tables.change_tags(spark, path, table(spark, sf_dir, "tag_requests"), as_of=AS_OF)
-    return versions.current(spark, path, schemas.DOMAIN_TAGS).select("id", "tag_name", "tag_color", "tag_icon", "domain_pattern")
+    name = _stored(spark, sf_dir, "tags")
+    tables.change_tags(spark, name, table(spark, sf_dir, "tag_requests"), as_of=AS_OF)
+    return stored.current(spark, name).select("id", "tag_name", "tag_color", "tag_icon", "domain_pattern")
 
 
 def _stored_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _stored(spark, sf_dir, "users")
-    tables.open_sharing(spark, path)
-    return versions.current(spark, path, schemas.USERS).drop("created_at")
+    name = _stored(spark, sf_dir, "users")
+    tables.open_sharing(spark, name)
+    return stored.current(spark, name).drop("created_at")
+
+
+def _by_day(spark: SparkSession, sf_dir: str) -> str:
+    """All heartbeats stored by local day."""
+    name = f"{stored.new_database(spark, live.shared_folder(spark))}.heartbeats"
+    stored.store_heartbeats(_hb(end=None)(spark, sf_dir), name)
+    return name
 
 
 def _stored_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heartbeats written by local day and purged by the retention job."""
-    folder = live.shared_folder(spark)
-    write_heartbeats(_hb(end=None)(spark, sf_dir), f"{folder}/heartbeats")
-    tables.purge_heartbeats(spark, f"{folder}/heartbeats", f"{folder}/work", as_of=RETENTION_DAYS_AS_OF)
-    left = spark.read.schema(schemas.HEARTBEATS).parquet(f"{folder}/heartbeats")
-    return left.select("id", "user_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"))
+    """Heartbeats stored by local day and purged by the retention job."""
+    name = _by_day(spark, sf_dir)
+    tables.purge_heartbeats(spark, name, as_of=RETENTION_DAYS_AS_OF)
+    return spark.table(name).select("id", "user_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"))
+
+
+def _from_days(plan, first: str, last: str, *more: str, **options) -> Query:
+    """A report over the stored heartbeats: only the days of its range are listed and read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hb = stored.heartbeats_by_day(spark, _by_day(spark, sf_dir), date.fromisoformat(first), date.fromisoformat(last))
+        return plan(hb.drop("local_day"), *[table(spark, sf_dir, t) for t in more], as_of=AS_OF, **options)
+
+    return run
+
+
+def _stored_leave_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity on days of leave, over the stored heartbeats; the leaves tell which days are read."""
+    return ledgers.leave_activity(spark.table(_by_day(spark, sf_dir)), table(spark, sf_dir, "leaves"), **LEAVE_RANGE)
+
+
+def _bucketed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributed time per user over heartbeats stored in buckets of (user, slot)."""
+    name = f"{stored.new_database(spark, live.shared_folder(spark))}.slotted"
+    bucketed.store(_hb(end=None)(spark, sf_dir), name)
+    return bucketed.attributed(spark.table(name))
 
 
 def _stored_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +263,7 @@ def queries() -> dict[str, Query]:
         "adjustments_list": _of(ledgers.adjustments_list, "adjustments"),
         "adjustment_totals": _of(ledgers.adjustment_totals, "adjustments"),
         "adjustments_ingest": _outcome(
-            ledger.ingest_adjustments, "adjustment_requests", "adjustments", ["seconds", "adjustment_date", "reason"]
+            ledger.check_adjustments, "adjustment_requests", "adjustments", ["seconds", "adjustment_date", "reason"]
         ),
         "ledger_delete": _delete("adjustments"),
         "leave_delete": _delete("leaves"),
@@ -248,7 +271,7 @@ def queries() -> dict[str, Query]:
         "leaves_list": _of(ledgers.leaves_list, "leaves"),
         "leave_totals": _of(ledgers.leave_totals, "leaves"),
         "leaves_ingest": _outcome(
-            ledger.ingest_leaves, "leave_requests", "leaves", ["start_date", "end_date", "leave_type", "reason"]
+            ledger.check_leaves, "leave_requests", "leaves", ["start_date", "end_date", "leave_type", "reason"]
         ),
         "leave_days": _of(ledgers.leave_days, "leaves", **LEAVE_RANGE),
         "on_leave": _at(ledgers.on_leave, "leaves"),
@@ -309,6 +332,11 @@ def queries() -> dict[str, Query]:
         "stored_users": _stored_users,
         "stored_heartbeats": _stored_heartbeats,
         "stored_leaderboard": _stored_leaderboard,
+        "stored_week_by_user": _from_days(summary.week_by_user, "2024-01-22", "2024-01-26"),
+        "stored_range_report_users": _from_days(
+            period.range_report_users, RANGE["start"], RANGE["end"], "adjustments", **RANGE),
+        "stored_leave_activity": _stored_leave_activity,
+        "bucketed_attribution": _bucketed_attribution,
         "stream_active_now": replay.stream_active_now,
         "stream_sessions": replay.stream_sessions,
         "stream_heartbeat_rate": replay.stream_heartbeat_rate,

@@ -41,20 +41,27 @@ def empty_partition(like: DataFrame, path: str, column: str, value: str) -> None
     like.where("false").drop(column).write.mode("overwrite").parquet(f"{path}/{column}={value}")
 
 
-def write_heartbeats(hb: DataFrame, path: str, *, tz_hours: int = 3, files_per_day: int = 32) -> None:
-    """Write the heartbeats, replacing only the local days present in ``hb``.
+def dealt_by_day(hb: DataFrame, tz_hours: int = 3, files_per_day: int = 32) -> DataFrame:
+    """The heartbeats with ``local_day``, dealt out and sorted as they are stored.
 
     ``files_per_day`` spreads a day over that many files by user and minute, so neither a busy day nor a busy
     user ends in one task. Small partitions of the shuffle are merged by Spark, so a quiet day has fewer files.
     """
     local = F.col("time") + F.expr(f"INTERVAL '{tz_hours}' HOUR")
     spread = F.pmod(F.xxhash64("user_id", F.date_trunc("minute", F.col("time"))), F.lit(files_per_day))
-    (
+    return (
         hb.withColumn("local_day", F.to_date(local))
         .withColumn("_file", spread)
         .repartition("local_day", "_file")
         .drop("_file")
         .sortWithinPartitions("local_day", "user_id", "time", "id")
+    )
+
+
+def write_heartbeats(hb: DataFrame, path: str, *, tz_hours: int = 3, files_per_day: int = 32) -> None:
+    """Write the heartbeats, replacing only the local days present in ``hb``."""
+    (
+        dealt_by_day(hb, tz_hours, files_per_day)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("local_day")

@@ -103,11 +103,11 @@ def test_shared_folder_follows_the_session(spark):
     assert live.shared_folder(spark) != live.shared_folder(spark)
 
 
-@pytest.mark.parametrize("figure, end", [
-    (live.minute_activity, replay.MINUTE_END), (live.minute_counts, replay.MINUTE_END),
-    (live.sessions, "last_ts + INTERVAL '10' MINUTE"),
+@pytest.mark.parametrize("figure, end, still_open", [
+    (live.minute_activity, replay.MINUTE_END, replay.last_minute), (live.minute_counts, replay.MINUTE_END, replay.last_minute),
+    (live.sessions, "last_ts + INTERVAL '10' MINUTE", replay.after_sessions),
 ])
-def test_closed_and_open_rows_add_up(spark, hb, tmp_path, figure, end):
+def test_closed_and_open_rows_add_up(spark, hb, tmp_path, figure, end, still_open):
     """The same rows with one trigger and with four, and the same as the batch figure."""
     made = sorted(busy_rows(13), key=lambda r: r["time"])
     src = str(tmp_path / "in")
@@ -117,7 +117,7 @@ def test_closed_and_open_rows_add_up(spark, hb, tmp_path, figure, end):
     want = sorted(map(str, rows(figure(table))))
     for name, files in (("one", 10), ("four", 1)):
         stream = spark.readStream.schema(schemas.HEARTBEATS).option("maxFilesPerTrigger", files).parquet(src)
-        out = replay.replayed(spark, stream, table, figure, end, str(tmp_path / name))
+        out = replay.replayed(spark, stream, table, figure, end, str(tmp_path / name), still_open)
         assert sorted(map(str, rows(out.drop("closed")))) == want
         assert {r["closed"] for r in rows(out)} == {True, False}
 

@@ -875,6 +875,12 @@ def oracle_sql() -> dict[str, str]:
         ) + f"SELECT user_id, count(*) AS heartbeats, {_act()} AS coding_seconds, {_act('NOT br')} AS ide_coding_seconds, "
             f"{_act('br')} AS browsing_seconds, {_act('ai')} AS ai_coding_seconds FROM o GROUP BY user_id",
     }
+    found["live_active_now"] = found["realtime_active"]
+    found["live_ai_totals"] = found["user_ai_totals"]
+    found["live_attributed"] = _with(_ordered("user_id", "true")) + (
+        f"SELECT user_id, count(*) AS heartbeats, {_act()} AS coding_seconds, {_act('NOT br')} AS ide_coding_seconds, "
+        f"{_act('br')} AS browsing_seconds, {_act('ai')} AS ai_coding_seconds FROM o GROUP BY user_id")
+    found["live_daily_counts"] = _with() + f"SELECT user_id, {_day('day')} AS day, count(*) AS heartbeats FROM hb GROUP BY user_id, hb.day"
     found["bucketed_attribution"] = found["stream_attributed"]
     found["stored_week_by_user"] = found["week_by_user"]
     found["stored_range_report_users"] = found["range_report_users"]

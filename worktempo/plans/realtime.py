@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock, micros
@@ -15,18 +15,11 @@ from worktempo.plans.base import IDLE, TZ, clock_text, window_rows
 WORKDAY_SECONDS = 8 * 3600
 
 
-def realtime_active(
-    hb: DataFrame, *, as_of: datetime, active_minutes: int = 10, idle_minutes: int = IDLE, tz_hours: int = TZ
-) -> DataFrame:
-    """Users with a heartbeat in the last minutes, most recent first.
-
-    editor, language, last_type and last_entity are the largest values of the window, project the largest of its
-    file rows; the ``latest_*`` columns are those of the last heartbeat.
-    """
-    clock = Clock.at(as_of, tz_hours)
-    recent = window_rows(hb, clock, clock.as_of - timedelta(minutes=active_minutes))
+def window_figures() -> list[Column]:
+    """What is shown of a user's heartbeats in a window; all but ``latest`` can be made from those of its parts as they are,
+    ``latest`` by the part with the largest (t, id)."""
     latest = F.max_by(F.struct("project", "language", "editor", "type", "entity"), F.struct("t", "id"))
-    users = recent.groupBy("user_id").agg(
+    return [
         F.max("editor").alias("editor"),
         F.max(F.when(F.col("type") == "file", F.col("project"))).alias("project"),
         F.max("language").alias("language"),
@@ -36,15 +29,15 @@ def realtime_active(
         F.max("t").alias("max_t"),
         F.bool_or(is_ai()).alias("is_ai"),
         latest.alias("latest"),
-    )
-    today = activity(
-        window_rows(hb, clock, clock.today, idle_minutes=idle_minutes), ["user_id"],
-        idle_minutes=idle_minutes, tz_hours=tz_hours,
-    )
+    ]
+
+
+def shown(users: DataFrame, today: DataFrame, clock: Clock) -> DataFrame:
+    """The view: figures per active user beside the day's seconds, most recent first."""
     ago = seconds(F.lit(micros(clock.as_of)) - F.col("max_t"))
     done = or_zero("coding_seconds")
     return (
-        users.join(today, "user_id", "left")
+        users.join(today.select("user_id", "coding_seconds"), "user_id", "left")
         .orderBy(F.desc("max_t"), "user_id")
         .select(
             "user_id", "editor", "project", "language", "last_type", "last_entity", "recent_hb",
@@ -57,3 +50,20 @@ def realtime_active(
             *[F.col(f"latest.{c}").alias(f"latest_{c}") for c in ("project", "language", "editor", "type", "entity")],
         )
     )
+
+
+def realtime_active(
+    hb: DataFrame, *, as_of: datetime, active_minutes: int = 10, idle_minutes: int = IDLE, tz_hours: int = TZ
+) -> DataFrame:
+    """Users with a heartbeat in the last minutes, most recent first.
+
+    editor, language, last_type and last_entity are the largest values of the window, project the largest of its
+    file rows; the ``latest_*`` columns are those of the last heartbeat.
+    """
+    clock = Clock.at(as_of, tz_hours)
+    recent = window_rows(hb, clock, clock.as_of - timedelta(minutes=active_minutes))
+    today = activity(
+        window_rows(hb, clock, clock.today, idle_minutes=idle_minutes), ["user_id"],
+        idle_minutes=idle_minutes, tz_hours=tz_hours,
+    )
+    return shown(recent.groupBy("user_id").agg(*window_figures()), today, clock)

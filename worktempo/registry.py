@@ -341,6 +341,10 @@ def queries() -> dict[str, Query]:
         "stream_sessions": replay.stream_sessions,
         "stream_heartbeat_rate": replay.stream_heartbeat_rate,
         "stream_attributed": replay.stream_attributed,
+        "live_active_now": replay.live_active_now,
+        "live_ai_totals": replay.live_ai_totals,
+        "live_attributed": replay.live_attributed,
+        "live_daily_counts": replay.live_daily_counts,
     }
     return {name: _configured(query) for name, query in found.items()}
 

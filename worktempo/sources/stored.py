@@ -68,11 +68,22 @@ def append(rows: DataFrame, name: str) -> None:
 
 
 def current(spark: SparkSession, name: str) -> DataFrame:
-    """Rows of a table, after what an earlier job left to finish."""
+    """Rows of a table, after what an earlier job left to finish. A stream's batches run in a session of their own, so what this
+    session remembers of the table's files is forgotten."""
     settle(spark, name)
+    spark.catalog.refreshTable(name)
     return spark.table(name)
 
 
+def overwrite_batch(rows: DataFrame, name: str, batch: int, *more: str) -> None:
+    """Put the rows in the place of those of one batch, in a table partitioned by ``batch`` (and then by ``more``)."""
+    spark, view = rows.sparkSession, f"rows_{uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    parts = ", ".join([f"batch = {batch}", *more])
+    spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({parts}) SELECT * FROM {view}")
+    spark.catalog.dropTempView(view)
+
+
 # Tables by local day.
 
 

@@ -88,15 +88,52 @@ def test_short_items_and_other_spellings(docs, spark, words):
 def test_odd_rows_and_blocks(odd, no_docs, docs, spark, words):
     text = odd.where("doc_id = 6").first().text
     bench = spark.createDataFrame([(n, words(20)) for n in range(7)] + [(7, text)], "item_id bigint, text string")
-    for block in (2000, 3):
-        found = d.find_leaks(odd, bench, block_items=block)
+    for block in (d.BLOCK_WORDS, 60):
+        found = d.find_leaks(odd, bench, block_words=block)
         assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(5, 7), (5, 7), (6, 7)]
-        clean = d.keep_clean(odd, bench, block_items=block)
+        clean = d.keep_clean(odd, bench, block_words=block)
         assert clean.columns == odd.columns and clean.count() == 8
     assert d.find_leaks(no_docs, bench).count() == 0
     assert d.keep_clean(odd, bench.where("false")).count() == 11
 
 
+def test_words_of_equal_length_and_crc_are_two_words(docs, spark):
+    bench = spark.createDataFrame([(1, "the plumless house stands alone here")], "item_id bigint, text string")
+    (row,) = d.find_leaks(docs((1, "the buckeroo house stands alone here")), bench).collect()
+    assert (row.distance, row.similarity) == (1, pytest.approx(5 / 6))
+
+
+def brute_force(texts, items):
+    """All pairs by the plain search over whole documents."""
+    found = {}
+    for doc_id, text in texts:
+        for item_id, item in items:
+            words, other = ([d.normal(w) for w in t.encode().split()] for t in (item, text))
+            if len(words) >= d.MIN_WORDS:
+                distance, _ = plain_search(words, other)
+                if distance <= 0.2 * len(words) + 1e-9:
+                    found[doc_id, item_id] = distance
+    return found
+
+
+def test_table_of_edited_passages_equals_brute_force(docs, spark, words):
+    """Passages with edits up to and beyond the limit, at the edges and inside of documents, twice in some."""
+    rng, vocabulary = random.Random(12), words(2000).split()
+    items = [(n, words(rng.choice([5, 6, 8, 11, 15, 19, 24, 31, 45]))) for n in range(60)]
+    texts = []
+    for item_id, text in items:
+        share = rng.choice([0, 0, 0.1, 0.2, 0.2, 0.3])
+        passage = edited(rng, text, vocabulary, share)
+        before, after = rng.choice([0, 1, 30]), rng.choice([0, 2, 30])
+        texts.append((item_id, f"{words(before)} {passage} {words(after)} {passage if item_id % 5 == 0 else ''}"))
+    want = brute_force(texts, items)
+    found = d.find_leaks(docs(*texts), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r.distance for r in found.collect()}
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.97 * len(want) and any(want.values())
+    assert {k for k in want if want[k] == 0} <= set(got)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_whole_table_equals_brute_force(spark):
     """Every document against every item by the plain dynamic programme where any five words in a row agree."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pathlib import Path
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,5 +144,30 @@ def test_language_of_odd_rows(odd):
 
 
 def test_languages_outside_the_families_stand_alone(words):
-    model = language.train(["ab ba ab", "xy yx xy", "ab ba", "xy yx"], ["q1", "q2", "q1", "q2"])
+    model = language.train(list(map(language.shares, ["ab ba ab", "xy yx xy", "ab ba", "xy yx"])), ["q1", "q2", "q1", "q2"])
     assert model.families == ["q1", "q2"] and model.pairs == []
+
+
+def test_samples_hold_repeated_rows_once(spark, docs, words):
+    """What comes to the driver is bounded by the sample, however often a row is repeated."""
+    many = docs(*[(n, words(20), "en" if n % 2 else "de", None) for n in range(50)])
+    crowd = many.unionByName(many.where("doc_id = 1").crossJoin(spark.range(20_000)).drop("id"))
+    labels = many.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality").unionByName(
+        many.where("doc_id = 1").crossJoin(spark.range(20_000)).selectExpr("doc_id", "1 AS quality"))
+    once = language.sample(many, 1200, 200, 24_000).count()
+    assert language.sample(crowd, 10**6, 200, 10**6).count() == once > 20
+    assert len(quality_classifier.labelled(crowd, labels, "quality", 5, 10**6)) <= 50
+    assert quality_classifier.labelled(many, labels, "quality", 5, 10**6, most_chars=5) == []
+
+
+def test_texts_of_languages_not_learned_are_not_typical(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(table)
+    own = language.identify(table, model).where("lang_pred <> 'und'")
+    assert own.where("NOT typical").count() <= 0.005 * own.count()
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)),
+           "широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства " * 6,
+           "いろはにほへと ちりぬるを わかよたれそ つねならむ うゐのおくやま けふこえて " * 6]
+    found = language.identify(docs(*enumerate(odd)), model).collect()
+    assert not any(r.typical for r in found)

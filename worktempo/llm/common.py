@@ -23,7 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one beside the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm"
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm"
+    if folder.startswith("file:") and not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.master.startswith("local")):
+        raise ValueError(f"spark.checkpoint.dir is not set, and {folder} is a folder of one machine only")
+    return folder
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

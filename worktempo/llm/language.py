@@ -3,8 +3,13 @@
 First a linear support vector machine per family (one against the rest) picks the language family, then one-versus-one
 linear support vector machines vote between the languages of that family. Features are the shares of hashed character
 n-grams of lower-cased words; all machines are linear in them, so a word's share is computed once per worker. They are
-trained by stochastic gradient descent on the hinge loss, on at most about `per_language` documents a language (the only
-bound; rarer languages are used whole).
+trained by stochastic gradient descent on the hinge loss, on at most about `per_language` documents a language and `most_rows`
+in all (rarer languages are used whole); executors count their n-grams, and only the counts come to the driver.
+
+Beside the prediction stands whether a text is `typical` of the predicted language: the mean log-probability of its n-grams
+in that language is compared with that of the documents learned from, with room for `SPREADS` of their standard deviations
+and for what a text of few n-grams varies by chance. Texts in languages that were not learned, or of random letters, are far
+below; a filter may reject them.
 
 Defined results: `und` with score 0 for a NULL text, a text without letters, or when nothing could be learned; a language
 that `FAMILIES` does not name is a family of its own; equal votes go to the language first in order; repeated rows are
@@ -26,6 +31,8 @@ from worktempo.llm.common import (
 
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
+#: Standard deviations below the mean at which a text is no longer typical; share of probability spread over all buckets.
+SPREADS, SMOOTHED = 8.0, 0.02
 
 #: Families of languages; fixed values.
 FAMILIES = {
@@ -67,11 +74,13 @@ def hinge(x: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 32, keep:
 
 
 class Hierarchy:
-    """Machines as columns of `weights`: one per family, then one per pair of languages of a family."""
+    """Machines as columns of `weights`: one per family, then one per pair of languages of a family; behind them the
+    log-probabilities of the n-grams per language. `usual`: mean, standard deviation over documents and over n-grams."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, families: list[str],
-                 pairs: list[tuple[int, int]]):
+                 pairs: list[tuple[int, int]], usual: np.ndarray):
         self.languages, self.weights, self.bias, self.families, self.pairs = languages, weights, bias, families, pairs
+        self.usual = usual
         self.family_of = [families.index(family(l)) for l in languages]
 
     def word_figures(self, words: list[bytes]) -> np.ndarray:
@@ -82,12 +91,13 @@ class Hierarchy:
         out[:, -1] = np.bincount(owner, minlength=len(words))
         return out
 
-    def predict(self, texts: list[str | None], words: WordTable) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None], words: WordTable) -> tuple[list[str], np.ndarray, np.ndarray]:
         values, starts = words.rows([split_words(t) for t in texts])
         total = sums(values, starts)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        margin = total[:, :-1] / np.maximum(total[:, -1:], 1) + self.bias
+            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        machines, grams = len(self.bias), np.maximum(total[:, -1], 1)
+        margin = total[:, :machines] / grams[:, None] + self.bias
         n = len(self.families)
         wins = np.exp(2 * np.clip(margin[:, :n], -20, 20))
         wins /= wins.sum(axis=1, keepdims=True)
@@ -103,24 +113,48 @@ class Hierarchy:
         at = np.arange(len(texts))
         score = wins[at, np.asarray(self.family_of)[best]] * votes[at, best]
         empty = total[:, -1] == 0
-        return [("und" if e else self.languages[i]) for i, e in zip(best, empty)], np.where(empty, 0.0, score)
+        mean, over_documents, over_grams = self.usual[best].T
+        least = mean - SPREADS * (over_documents + over_grams / np.sqrt(grams))
+        typical = ~empty & (total[at, machines + best] / grams >= least)
+        return [("und" if e else self.languages[i]) for i, e in zip(best, empty)], np.where(empty, 0.0, score), typical
 
 
 def family(language: str) -> str:
     return FAMILIES.get(language, language)
 
 
-def train(texts: list[str], languages: list[str]) -> Hierarchy:
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and the share of each."""
+    ids, _ = counts(letters(split_words(text)))
+    buckets, times = np.unique(ids, return_counts=True)
+    return buckets.astype(np.int32), times / max(len(ids), 1)
+
+
+def likely(x: np.ndarray, codes: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the buckets per language, and how they vary: mean, over documents, over n-grams."""
+    logs, usual = np.zeros((x.shape[1], languages)), np.zeros((languages, 3))
+    for k in range(languages):
+        mine = x[codes == k].astype(np.float64)
+        share = mine.mean(axis=0)
+        log = np.log((1 - SMOOTHED) * share + SMOOTHED / x.shape[1])
+        means = mine @ log
+        usual[k] = means.mean(), means.std(), np.sqrt(np.maximum(share @ log ** 2 - (share @ log) ** 2, 0))
+        logs[:, k] = log
+    return logs, usual
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Hierarchy:
+    """Machines from the `shares` of documents and their languages."""
     known = sorted(set(languages))
     if not known:
-        return Hierarchy([], np.zeros((BUCKETS, 0)), np.zeros(0), [], [])
-    x = np.zeros((len(texts), BUCKETS), np.float32)
-    for at, text in enumerate(texts):
-        ids, _ = counts(letters(split_words(text)))
-        x[at] = np.bincount(ids, minlength=BUCKETS) / max(len(ids), 1)
+        return Hierarchy([], np.zeros((BUCKETS, 0)), np.zeros(0), [], [], np.zeros((0, 3)))
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for at, (buckets, part) in enumerate(rows):
+        x[at, buckets] = part
+    codes = np.asarray([known.index(l) for l in languages])
+    logs, usual = likely(x, codes, len(known))
     scale = 1 / (x.std(axis=0) + 1e-4) / np.sqrt(BUCKETS)
     x *= scale.astype(np.float32)
-    codes = np.asarray([known.index(l) for l in languages])
     families = sorted({family(l) for l in known})
     of = np.asarray([families.index(family(l)) for l in known])
     weights, bias = [], []
@@ -135,36 +169,56 @@ def train(texts: list[str], languages: list[str]) -> Hierarchy:
         w, c = hinge(x[mine], np.where(codes[mine] == a, 1, -1))
         weights.append(w)
         bias.append(c)
-    return Hierarchy(known, np.stack(weights, axis=1) * scale[:, None], np.asarray(bias), families, pairs)
+    columns = np.concatenate([np.stack(weights, axis=1) * scale[:, None], logs], axis=1)
+    return Hierarchy(known, columns, np.asarray(bias), families, pairs, usual)
 
 
-def fit(docs: DataFrame, per_language: int = 1200, max_languages: int = 200) -> Hierarchy:
-    """Learn from text and lang of documents whose crc32(doc_id) mod 4 is not 2."""
+def shares_column(text: Column) -> Column:
+    """Struct of buckets and shares of a text."""
+    kind = pa.struct([("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float64()))])
+
+    def make():
+        return lambda texts: pa.array([dict(zip(("buckets", "shares"), shares(t))) for t in texts], kind)
+
+    return text_udf(make, "struct<buckets:array<int>,shares:array<double>>")(text)
+
+
+def sample(docs: DataFrame, per_language: int, max_languages: int, most_rows: int) -> DataFrame:
+    """doc_id, text and lang of the documents to learn from, each once."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                        & ~is_remainder("doc_id", 4, 2))
+                        & ~is_remainder("doc_id", 4, 2)).select("doc_id", "text", "lang")
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    each = min(per_language, most_rows // max(len(sizes), 1))
     wanted = F.lit(False)
     for row in sizes:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & sampled(F.col("doc_id"), row["count"], per_language))
-    rows = sorted({(r.doc_id, r.text, r.lang) for r in usable.where(wanted).select("doc_id", "text", "lang").collect()})
-    return train([r[1] for r in rows], [r[2] for r in rows])
+        wanted = wanted | ((F.col("lang") == row["lang"]) & sampled(F.col("doc_id"), row["count"], each))
+    return usable.where(wanted).distinct()
+
+
+def fit(docs: DataFrame, per_language: int = 1200, max_languages: int = 200, most_rows: int = 24_000) -> Hierarchy:
+    """Learn from text and lang of documents whose crc32(doc_id) mod 4 is not 2."""
+    chosen = sample(docs, per_language, max_languages, most_rows)
+    found = chosen.select("doc_id", F.xxhash64("text").alias("hash"), "lang", shares_column(F.col("text")).alias("s")).collect()
+    found.sort(key=lambda r: (r.doc_id, r.hash, r.lang))
+    return train([(np.asarray(r.s.buckets, np.int64), np.asarray(r.s.shares)) for r in found], [r.lang for r in found])
 
 
 def predict_column(model: Hierarchy, text: Column) -> Column:
-    """Struct of lang_pred and score (0 to 1)."""
+    """Struct of lang_pred, score (0 to 1) and typical."""
     def make():
         words = WordTable(model.word_figures)
 
         def each(texts):
-            found, score = model.predict(texts, words)
-            return struct_array(lang_pred=pa.array(found, pa.string()), score=pa.array(score, pa.float64()))
+            found, score, typical = model.predict(texts, words)
+            return struct_array(lang_pred=pa.array(found, pa.string()), score=pa.array(score, pa.float64()),
+                                typical=pa.array(typical, pa.bool_()))
 
         return each
 
-    return text_udf(make, "struct<lang_pred:string,score:double>")(text)
+    return text_udf(make, "struct<lang_pred:string,score:double,typical:boolean>")(text)
 
 
 def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
-    """Every row of docs as struct `row`, with lang_pred and score."""
+    """Every row of docs as struct `row`, with lang_pred, score and typical."""
     found = boxed(docs).withColumn("found", predict_column(model, F.col("row.text")))
-    return found.select("row", "found.lang_pred", "found.score")
+    return found.select("row", "found.lang_pred", "found.score", "found.typical")

@@ -97,16 +97,19 @@ def train(texts: list[str], labels: list[int], dim: int = 12, epochs: int = 6, r
     return Embeddings(table @ (soft[:, 1] - soft[:, 0]).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, name: str, held_out_of: int, sample_rows: int) -> list:
-    """At most about `sample_rows` labelled (text, label) rows whose crc32(doc_id) mod `held_out_of` is not 0.
+def labelled(docs: DataFrame, labels: DataFrame, name: str, held_out_of: int, sample_rows: int,
+             most_chars: int = 200_000) -> list:
+    """At most about `sample_rows` labelled (text, label) rows whose crc32(doc_id) mod `held_out_of` is not 0, none longer
+    than `most_chars`.
 
-    Labels are counted first; documents are then reduced to the sample before anything is joined.
+    Labels are counted first; documents are then reduced to the sample before anything is joined, and repeated rows are
+    taken out before anything is collected.
     """
     usable = labels.select("doc_id", F.col(name).alias("label")).where(
         F.col("label").isin(0, 1) & ~is_remainder("doc_id", held_out_of, 0) & F.col("doc_id").isNotNull()).distinct()
     chosen = sampled(F.col("doc_id"), usable.count(), sample_rows)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & chosen)
-    rows = texts.join(usable.where(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & chosen & (F.length("text") <= most_chars))
+    rows = texts.distinct().join(usable.where(chosen), "doc_id").select("doc_id", "text", "label").collect()
     return sorted({(r.doc_id, r.text, int(r.label)) for r in rows})
 
 

@@ -1,4 +1,10 @@
-"""Corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Defined results: rows with a NULL, empty or blank text have no language and go with the first stage, unless no language could
+be learned at all (no labelled documents): then nothing is rejected there. Repeated rows and copies are one document after
+the third stage. Columns beside those of documents are kept up to the last stage, whatever their names. Each stage gives an
+empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktempo.llm import decontaminate, language, packing, quality_rules, simhash
-from worktempo.llm.common import shared_folder, table
-
-#: A language scored lower than this is a guess. Between two languages of two families no prediction scores below 1/4.
-LEAST_LANGUAGE_SCORE = 0.25
+from worktempo.llm.common import remove_folder, shared_folder, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; without letters, or with a score that says nothing, they go."""
-    found = language.identify(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    """Documents whose language is known: those without letters go, and those unlike what was learned of the language."""
+    model = language.fit(docs)
+    if not model.languages:
+        return docs
+    return language.identify(docs, model).where((F.col("lang_pred") != "und") & F.col("typical")).select("row.*")
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +58,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for at, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{at}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what this stage has read is not needed any more
+            remove_folder(spark, before)
+        before = path
     return docs

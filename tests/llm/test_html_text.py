@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -73,6 +74,45 @@ def test_links_of_the_text_are_kept(page, text):
     assert h.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p title=don't>Text one is here and long.</p><p>It's more text of article</p><p>End of the article.</p></article>",
+     "Text one is here and long. It's more text of article End of the article."),
+    ("<article><p class=\"a>b\" title='x>y'>one</p><p data-x=\"never closed>two</p></article>", "one two"),
+    ("<article><p>one</p><section class=discussion><p>two</p></section><p class=related>three</p><div class=related><a>no</a></div></article>",
+     "one two three"),
+    (f"<div><p>{LONG * 2}</p><ul><li><a>a</a></li><li><a>b</a></li><li><a>c</a></li><li><a>d</a></li></ul><p>Closing.</p></div>",
+     f"{LONG * 2}a b c d Closing."),
+    (f"<ul><li><a>x</a></li></ul><h2>Short heading</h2><p>First.</p><p>{LONG * 2}</p><p>{LONG}</p>",
+     f"Short heading First. {LONG * 3}".strip()),
+    (f"<article><p>{LONG}</p></article><p>{LONG}</p>", LONG.strip()),
+    ("one </ two> <? three> </>four", "one four"),
+])
+def test_quotes_subjects_and_text_outside_articles(page, text):
+    assert h.main_text(page) == text
+
+
+def surges(page):
+    lines, named, spans, holding = h.page_lines(page)
+    return h.distributed(h.judged(lines, named, holding), [0] * len(lines))
+
+
+def test_surge_and_dive():
+    page = f"<ul><li><a>m</a></li></ul><p>short</p><p>{LONG * 2}</p><p>tail</p>" + "<p><a>x</a></p>" * 4 + f"<p>{LONG * 2}</p>"
+    assert surges(page) == [0, 1, 1, 1, 0, 0, 0, 0, 2] or surges(page) == [0, 1, 1, 1, 0, 0, 2, 2, 2]
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<p \"<b ", "<div class=sidebar>line", "<b></i>", "<a b=\"x>y ", "<!-- ", "<script>",
+                                   "<a b='x\" c>", f"<div class=sidebar-box>{LONG}", "<p><", "</", "<svg></p>"])
+def test_twice_the_page_takes_twice_the_time(piece):
+    def seconds(n):
+        begin = time.process_time()
+        h.main_text(piece * n)
+        return time.process_time() - begin
+
+    seconds(2000)
+    assert min(seconds(40_000) for _ in range(2)) < 3.2 * min(seconds(20_000) for _ in range(2)) + 0.2
+
+
 def test_many_comments_take_no_square_time():
     page = f"<div class=post>{BODY}</div>" + "<div class=comment-body><p>I agree.</p></div>" * 30_000
     assert h.main_text(page) == BODY_TEXT
@@ -97,6 +137,16 @@ def test_whole_table(spark):
     assert got == {k: (plain(p), len(plain(p))) for k, p in pages.items()}
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("container", ["<div>", ""])
+def test_whole_table_without_article_elements(spark, container):
+    """The line blocks alone find the same text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    close = container.replace("<", "</")
+    same = sum(h.main_text(p) == h.main_text(p.replace("<article>", container).replace("</article>", close)) for p in pages)
+    assert same >= 0.99 * len(pages)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>a</p>", None), (2, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, found string")

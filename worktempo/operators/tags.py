@@ -70,12 +70,16 @@ def anchors(pieces: DataFrame, rules: DataFrame) -> DataFrame:
     return _rule_pieces(rules).join(held, "piece", "left").groupBy("pattern").agg(F.min_by("piece", place).alias("piece"))
 
 
-def matches(entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """(entity, place, info) for every rule that matches a distinct entity."""
+def pattern_matches(entities: DataFrame, rules: DataFrame) -> DataFrame:
+    """(entity, pattern) for every pattern of ``rules.pattern`` that a distinct entity holds."""
     pieces = entity_pieces(entities, rules)
     candidates = pieces.join(anchors(pieces, rules), "piece")
-    found = candidates.where(F.contains(F.lower("entity"), F.col("pattern"))).select("entity", "pattern")
-    return found.join(rules, "pattern").drop("pattern")
+    return candidates.where(F.contains(F.lower("entity"), F.col("pattern"))).select("entity", "pattern")
+
+
+def matches(entities: DataFrame, rules: DataFrame) -> DataFrame:
+    """(entity, place, info) for every rule that matches a distinct entity."""
+    return pattern_matches(entities, rules).join(rules, "pattern").drop("pattern")
 
 
 def first_match(entities: DataFrame, rules: DataFrame) -> DataFrame:

@@ -875,6 +875,24 @@ def oracle_sql() -> dict[str, str]:
         ) + f"SELECT user_id, count(*) AS heartbeats, {_act()} AS coding_seconds, {_act('NOT br')} AS ide_coding_seconds, "
             f"{_act('br')} AS browsing_seconds, {_act('ai')} AS ai_coding_seconds FROM o GROUP BY user_id",
     }
+    def nested(flat: str, key: str, items: dict[str, str], order: str, most: int, name: str) -> str:
+        """Rows of a query as JSON arrays of the first `most` per key."""
+        item = ", ".join(f"'{k}': {v}" for k, v in items.items())
+        return (f"SELECT {key}, CAST(to_json(list({{{item}}} ORDER BY k) FILTER (k <= {most})) AS VARCHAR) AS {name}, "
+                f"greatest(count(*) - {most}, 0) AS more_{name} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k "
+                f"FROM ({flat}) f) r GROUP BY {key}")
+
+    found["languages_by_user_nested"] = nested(
+        found["languages_by_user"], "user_id", {"name": "language", "heartbeats": "heartbeats", "coding_seconds": "coding_seconds"},
+        "coding_seconds DESC, language", 2, "languages")
+    found["tags_nested"] = nested(
+        table_sql("tags"), "tag_name", {"id": "id", "pattern": "domain_pattern", "color": "tag_color"}, "domain_pattern, id", 5, "patterns")
+    found["daily_breakdown_nested"] = nested(
+        found["daily_breakdown"], "day",
+        {c: c for c in ("user_id", "coding_seconds", "heartbeats", "adjustment_seconds")}, "coding_seconds DESC, user_id NULLS FIRST", 10, "users")
+    found["entity_estimates"] = (
+        f"SELECT user_id, count(DISTINCT entity) AS entities, true AS close FROM ({table_sql('heartbeats')}) h GROUP BY user_id")
+    found["kept_user_tag_stats"] = found["user_tag_stats"]
     found["live_active_now"] = found["realtime_active"]
     found["live_ai_totals"] = found["user_ai_totals"]
     found["live_attributed"] = _with(_ordered("user_id", "true")) + (

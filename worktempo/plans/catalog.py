@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from worktempo.functions.clock import Clock
 from worktempo.functions.columns import is_ai, joined, or_zero, seconds
 from worktempo.operators.gaps import active_days, active_us, span_slots
+from worktempo.operators.nested import nested
 from worktempo.operators.stats import distinct_values, key_stats
 from worktempo.plans.base import IDLE, TZ, clock_text, since_day, window_rows
 
@@ -113,15 +114,11 @@ def languages_by_user(
 
 
 def languages_by_user_nested(
-    hb: DataFrame, *, as_of: datetime, days: int = 30, idle_minutes: int = IDLE, tz_hours: int = TZ
+    hb: DataFrame, *, as_of: datetime, days: int = 30, most: int = 20, idle_minutes: int = IDLE, tz_hours: int = TZ
 ) -> DataFrame:
-    """One row per user with an array of languages, most time first."""
-    flat = _languages_by_user(hb, as_of, days, idle_minutes, tz_hours)
-    item = F.struct((-F.col("coding_seconds")).alias("_order"), F.col("language").alias("name"), "heartbeats", "coding_seconds")
-    grouped = flat.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    keep = F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["heartbeats"].alias("heartbeats"),
-                                                   i["coding_seconds"].alias("coding_seconds")))
-    return grouped.select("user_id", keep.alias("languages"))
+    """One row per user with an array of the languages with most time, and how many more there are."""
+    flat = _languages_by_user(hb, as_of, days, idle_minutes, tz_hours).withColumnRenamed("language", "name")
+    return nested(flat, ["user_id"], ["name", "heartbeats", "coding_seconds"], most, "languages", F.desc("coding_seconds"), F.col("name"))
 
 
 def users_overview(
@@ -184,3 +181,9 @@ def tags_grouped(tags: DataFrame) -> DataFrame:
 def tag_patterns(tags: DataFrame) -> DataFrame:
     """Flat form of ``tags_grouped``: one row per pattern."""
     return tags.select("tag_name", "id", "domain_pattern", "tag_color", "tag_icon")
+
+
+def tags_nested(tags: DataFrame, *, most: int = 100) -> DataFrame:
+    """One row per tag with an array of its first patterns, and how many more there are."""
+    flat = tags.select("tag_name", "id", F.col("domain_pattern").alias("pattern"), F.col("tag_color").alias("color"))
+    return nested(flat, ["tag_name"], ["id", "pattern", "color"], most, "patterns", F.col("pattern"), F.col("id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from worktempo.functions.clock import Clock
 from worktempo.functions.columns import day_text, seconds, site_rows
 from worktempo.operators.gaps import active_days, active_us, span_slots
+from worktempo.operators.joins import salted_lookup
 from worktempo.operators.tags import rules_by_name, tag_labels, untagged, with_tag
 from worktempo.plans.base import IDLE, TZ, clock_text, window_rows
 
@@ -25,17 +26,20 @@ def _site_rows(hb: DataFrame, clock: Clock, days: int, idle_minutes: int) -> Dat
     return window_rows(hb, clock, clock.days_back(days), idle_minutes=idle_minutes).where(site_rows())
 
 
-def _tagged_user_sites(hb: DataFrame, tags: DataFrame, clock: Clock, days: int, idle_minutes: int) -> DataFrame:
-    rows = _site_rows(hb, clock, days, idle_minutes)
+def _user_site_sums(rows: DataFrame, clock: Clock, idle_minutes: int) -> DataFrame:
     slots = span_slots(rows, ["user_id", "entity"], F.count("*").alias("n"))
-    sums = slots.groupBy("user_id", "entity").agg(
+    return slots.groupBy("user_id", "entity").agg(
         F.sum("n").alias("heartbeats"),
         seconds(F.sum(active_us(idle_minutes=idle_minutes))).alias("seconds"),
         F.min("first_t").alias("first_t"),
         F.max("last_t").alias("last_t"),
         active_days(clock.tz_hours).alias("visit_days"),
     )
-    return with_tag(sums, rows, rules_by_name(tags), ["user_id"])
+
+
+def _tagged_user_sites(hb: DataFrame, tags: DataFrame, clock: Clock, days: int, idle_minutes: int) -> DataFrame:
+    rows = _site_rows(hb, clock, days, idle_minutes)
+    return with_tag(_user_site_sums(rows, clock, idle_minutes), rows, rules_by_name(tags), ["user_id"])
 
 
 def user_sites(
@@ -58,7 +62,19 @@ def user_tag_stats(
     """Time per user and tag: the sum of the sites' whole seconds. Colour and icon are those of the user's
     longest-visited site of the tag."""
     clock = Clock.at(as_of, tz_hours)
-    sites = _tagged_user_sites(hb, tags, clock, days, idle_minutes)
+    return _tag_sums(_tagged_user_sites(hb, tags, clock, days, idle_minutes))
+
+
+def kept_user_tag_stats(
+    hb: DataFrame, first_tags: DataFrame, *, as_of: datetime, days: int = 7, idle_minutes: int = IDLE, tz_hours: int = TZ
+) -> DataFrame:
+    """``user_tag_stats`` with the tags of ``jobs.site_tags.first_tags``: nothing is matched, the tags are looked up."""
+    clock = Clock.at(as_of, tz_hours)
+    sums = _user_site_sums(_site_rows(hb, clock, days, idle_minutes), clock, idle_minutes)
+    return _tag_sums(salted_lookup(sums, first_tags, ["entity"], ["user_id"]))
+
+
+def _tag_sums(sites: DataFrame) -> DataFrame:
     place = F.struct(-F.col("seconds"), -F.col("heartbeats"), F.col("entity"))
     labelled = sites.select("user_id", *tag_labels(), "seconds", "heartbeats", place.alias("place"))
     return labelled.groupBy("user_id", "tag_name").agg(

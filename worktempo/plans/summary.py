@@ -13,6 +13,7 @@ from worktempo.functions.columns import (
 )
 from worktempo.operators.gaps import active_days, active_us, flagged_slots, span_slots
 from worktempo.operators.ledger import adjusted_by, adjusted_by_user_day, adjustments_between
+from worktempo.operators.nested import nested
 from worktempo.operators.stats import activity, distinct_list, gap_flags, key_stats
 from worktempo.plans.base import (
     IDLE, TZ, adjusted, clock_text, since_day, text_or_dash, window_rows, with_adjustments,
@@ -100,6 +101,16 @@ def daily_breakdown(
     )
 
 
+def daily_breakdown_nested(
+    hb: DataFrame, adjustments: DataFrame, *, as_of: datetime, days: int = 7, most: int = 50, idle_minutes: int = IDLE,
+    tz_hours: int = TZ,
+) -> DataFrame:
+    """One row per local day with an array of its rows of ``daily_breakdown``, most time first, and how many more there are."""
+    flat = daily_breakdown(hb, adjustments, as_of=as_of, days=days, idle_minutes=idle_minutes, tz_hours=tz_hours)
+    items = ["user_id", "coding_seconds", "heartbeats", "adjustment_seconds"]
+    return nested(flat, ["day"], items, most, "users", F.desc("coding_seconds"), F.col("user_id"))
+
+
 def _daily_rows(rows: DataFrame, clock: Clock, lists: list[str]) -> DataFrame:
     rows = rows.select(
         "*",

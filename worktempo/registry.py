@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktempo.functions.clock import Clock
-from worktempo.jobs import leaderboard, tables, upkeep
-from worktempo.operators import ledger
+from worktempo.functions.columns import site_rows
+from worktempo.jobs import leaderboard, site_tags, tables, upkeep
+from worktempo.operators import ledger, sketches
+from worktempo.operators.stats import null_safe_join
+from worktempo.operators.tags import rules_by_name
 from worktempo.plans import (
     alerts, catalog, export, ledgers, period, platform, productivity, realtime, sites, summary, user_detail,
 )
@@ -222,6 +225,41 @@ def _bucketed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucketed.attributed(spark.table(name))
 
 
+def _as_json(plan: Query, name: str) -> Query:
+    """A nested result with its array as JSON text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plan(spark, sf_dir).withColumn(name, F.to_json(name, {"ignoreNullFields": "false"}))
+
+    return run
+
+
+def _entity_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct entities per user, and whether the estimate from stored daily sketches is within four standard errors."""
+    hb = _hb(end=None)(spark, sf_dir)
+    name = f"{stored.new_database(spark, live.shared_folder(spark))}.sketches"
+    daily = sketches.daily_sketches(hb, ["entity"])
+    daily.write.format("parquet").partitionBy("local_day").saveAsTable(name)
+    estimated = sketches.estimates(spark.table(name), ["entity"])
+    exact = hb.groupBy("user_id").agg(F.count_distinct("entity").alias("entities"))
+    off = F.abs(F.col("entity_estimate") - F.col("entities"))
+    both = null_safe_join(exact, estimated, ["user_id"])
+    return both.select("user_id", "entities", (off <= 4 * sketches.standard_error() * F.col("entities")).alias("close"))
+
+
+def _kept_user_tag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag times from a dictionary that was made from other sites and patterns and then brought up to date."""
+    hb, tags = _back(7)(spark, sf_dir), table(spark, sf_dir, "tags")
+    database = stored.new_database(spark, live.shared_folder(spark))
+    site_tags.create(spark, database)
+    visited = hb.where(site_rows())
+    before = tags.withColumn("domain_pattern", F.when(F.col("id") % 7 == 0, F.concat("domain_pattern", F.lit("/old")))
+                             .otherwise(F.col("domain_pattern")))
+    site_tags.update(spark, database, visited.where(F.pmod(F.xxhash64("entity"), F.lit(3)) > 0), before)
+    site_tags.update(spark, database, visited, tags)
+    return sites.kept_user_tag_stats(hb, site_tags.first_tags(spark, database, rules_by_name(tags)), as_of=AS_OF)
+
+
 def _stored_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{live.shared_folder(spark)}/leaderboard"
     rows = leaderboard.leaderboard_7d(
@@ -337,6 +375,11 @@ def queries() -> dict[str, Query]:
             period.range_report_users, RANGE["start"], RANGE["end"], "adjustments", **RANGE),
         "stored_leave_activity": _stored_leave_activity,
         "bucketed_attribution": _bucketed_attribution,
+        "languages_by_user_nested": _as_json(_at(catalog.languages_by_user_nested, _back(30), most=2), "languages"),
+        "tags_nested": _as_json(_of(catalog.tags_nested, "tags", most=5), "patterns"),
+        "daily_breakdown_nested": _as_json(_at(summary.daily_breakdown_nested, _back(7), "adjustments", most=10), "users"),
+        "entity_estimates": _entity_estimates,
+        "kept_user_tag_stats": _kept_user_tag_stats,
         "stream_active_now": replay.stream_active_now,
         "stream_sessions": replay.stream_sessions,
         "stream_heartbeat_rate": replay.stream_heartbeat_rate,

@@ -10,7 +10,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 from worktempo import registry
 from worktempo.jobs import leaderboard, tables
-from worktempo.operators.tags import anchors, entity_pieces, matches, rules_by_id
+from worktempo.operators.tags import anchored, entity_pieces, matches, rules_by_id
 from worktempo.plans import alerts, summary
 from worktempo.sources import schemas, stored
 
@@ -173,12 +173,13 @@ def sites(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "entity string")
 
 
-def test_anchor_is_rare_although_all_sites_share_a_piece(spark, tags):
+def test_anchors_tell_patterns_apart(spark, tags):
     names = [f"https://site{n}.example" for n in range(200)] + ["https://rare.example", "https://x.com"]
-    rules = rules_by_id(tags((1, "A", "https://rare"), (2, "B", "X.com"), (3, "C", "//s")))
-    pieces = entity_pieces(sites(spark, *names), rules)
-    picked = {r["pattern"]: r["piece"] for r in rows(anchors(pieces, rules))}
-    assert picked["https://rare"] in ("rar", "are", "/ra", "//r") and picked["//s"] == "//s"
+    rules = rules_by_id(tags((1, "A", "https://rare"), (2, "B", "X.com"), (3, "C", "//s"), *[
+        (10 + n, "D", f"app{n}.example") for n in range(10, 60)]))
+    picked = {r["pattern"]: r["piece"] for r in rows(anchored(rules))}
+    assert picked["https://rare"] in ("rar", "are", "/ra", "//r") and picked["//s"] == "//s" and picked["x.com"] in ("x.c", "com")
+    assert all(any(c.isdigit() for c in picked[f"app{n}.example"]) for n in range(10, 60))
     got = {(r["entity"], r["info"]["tag_name"]) for r in rows(matches(sites(spark, *names), rules))}
     assert got == {(n, "C") for n in names[:200]} | {("https://rare.example", "A"), ("https://x.com", "B")}
 
@@ -189,9 +190,9 @@ def test_pieces_are_bounded_by_the_length(spark, tags):
     assert entity_pieces(sites(spark, long), rules).count() <= len(long)
 
 
-@pytest.mark.parametrize("patterns", [["a"], ["ab", "abc"], ["a", "abcd", "É"], ["%", "_b"]])
+@pytest.mark.parametrize("patterns", [["a"], ["ab", "abc"], ["a", "abcd", "É"], ["%", "_b"], ["", "zz"]])
 def test_matches_equal_contains(spark, tags, patterns):
-    names = ["a", "AB", "xabcdx", "é%", "_b", "zz", "abc", "xabx"]
+    names = ["a", "AB", "xabcdx", "é%", "_b", "zz", "abc", "xabx", "z"]
     rules = rules_by_id(tags(*[(n, "T", p) for n, p in enumerate(patterns)]))
     got = sorted((r["entity"], r["place"]["id"]) for r in rows(matches(sites(spark, *names), rules)))
     assert got == sorted((e, n) for e in names for n, p in enumerate(patterns) if p.lower() in e.lower())

@@ -1,15 +1,15 @@
 """Site tags: a pattern tags an entity if it is a case-insensitive substring of it.
 
 Matching all entities against all patterns would be a nested loop over both tables. Instead each pattern is looked for by
-one anchor: the three letters of it that the fewest entities hold (all of it, if it is shorter). Each distinct entity is cut
-into its three-letter pieces, pieces that no pattern holds are dropped before anything is shuffled by piece, the rest are
-joined to the anchors, and ``contains`` decides. An entity makes as many pieces as it has letters, whatever the
-patterns; a piece that all sites share ("htt") is an anchor only of a pattern that has nothing rarer.
+one anchor: of its three-letter pieces (all of it, if it is shorter) one that the fewest other patterns hold and that is no
+part of what most addresses have. So patterns of one form ("app1.example", "app2.example") hang on what tells them apart.
+Each distinct entity is cut into its three-letter pieces once, pieces are joined to the anchors, and ``contains`` decides;
+an entity makes as many pieces as it has letters, whatever the patterns. Which piece is the anchor changes no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktempo.operators.joins import salted_lookup
@@ -35,51 +35,52 @@ def rules_by_id(tags: DataFrame) -> DataFrame:
 
 
 GRAM = 3
+#: What most addresses have; fixed values.
+ADDRESS = ["https://www.", "http://", "://m.", ".com", ".org", ".net", ".html"]
+COMMON = sorted({text[k:k + GRAM] for text in ADDRESS for k in range(len(text) - GRAM + 1)})
 
 
-def _pieces(name: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``name`` with the given lengths."""
+def _pieces(name: Column, length: Column) -> Column:
+    """Distinct substrings of ``name`` with a length; none if it is shorter."""
     size = F.length(name)
+    starts = F.sequence(F.lit(1), F.greatest(size - length + 1, F.lit(1)))
+    found = F.transform(starts, lambda at: F.substring(name, at, length))
+    return F.when(size >= length, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
-    def of_length(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), size - n + 1)
-        return F.transform(starts, lambda at: F.substring(name, at, n))
 
-    fitting = F.filter(lengths, lambda n: n <= size)
-    return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
+def anchored(rules: DataFrame) -> DataFrame:
+    """The rules with ``piece``, the anchor of each pattern."""
+    own = F.least(F.length("pattern"), F.lit(GRAM))
+    held = rules.withColumn("piece", F.explode(_pieces(F.col("pattern"), own)))
+    held = held.withColumn("_held", F.count("*").over(Window.partitionBy("piece")))
+    place = F.struct(F.col("piece").isin(COMMON), "_held", "piece")
+    kept = [c for c in rules.columns if c != "pattern"]
+    return held.groupBy("pattern").agg(F.min_by("piece", place).alias("piece"), *[F.first(c).alias(c) for c in kept])
 
 
 def entity_pieces(entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """(entity, piece) of distinct entities: three-letter pieces, and shorter ones where a pattern is that short; only
-    pieces that some pattern holds."""
+    """(entity, piece) of distinct entities: pieces of three letters, and shorter ones where a pattern is that short."""
     lengths = rules.agg(F.collect_set(F.least(F.length("pattern"), F.lit(GRAM)))).scalar()  # at most GRAM + 1 numbers
-    cut = entities.select("entity").distinct().withColumn("_lengths", lengths)
-    cut = cut.select("entity", F.explode(_pieces(F.lower("entity"), F.col("_lengths"))).alias("piece"))
-    return cut.join(_rule_pieces(rules).select("piece").distinct(), "piece", "left_semi")
+    name = F.lower("entity")
+    # An empty pattern is in every entity.
+    each = F.transform("_lengths", lambda n: F.when(n > 0, _pieces(name, F.greatest(n, F.lit(1)))).otherwise(F.array(F.lit(""))))
+    distinct = entities.select("entity").distinct().withColumn("_lengths", lengths)
+    return distinct.select("entity", F.explode(F.flatten(each)).alias("piece"))
 
 
-def _rule_pieces(rules: DataFrame) -> DataFrame:
-    own = F.array(F.least(F.length("pattern"), F.lit(GRAM)))
-    return rules.select("pattern", F.explode(_pieces(F.col("pattern"), own)).alias("piece"))
-
-
-def anchors(pieces: DataFrame, rules: DataFrame) -> DataFrame:
-    """(pattern, piece): for each pattern its piece that the fewest entities hold."""
-    held = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-    place = F.struct(F.coalesce("n", F.lit(0)), "piece")
-    return _rule_pieces(rules).join(held, "piece", "left").groupBy("pattern").agg(F.min_by("piece", place).alias("piece"))
+def _matched(entities: DataFrame, rules: DataFrame) -> DataFrame:
+    candidates = entity_pieces(entities, rules).join(anchored(rules), "piece")
+    return candidates.where(F.contains(F.lower("entity"), F.col("pattern"))).drop("piece")
 
 
 def pattern_matches(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """(entity, pattern) for every pattern of ``rules.pattern`` that a distinct entity holds."""
-    pieces = entity_pieces(entities, rules)
-    candidates = pieces.join(anchors(pieces, rules), "piece")
-    return candidates.where(F.contains(F.lower("entity"), F.col("pattern"))).select("entity", "pattern")
+    return _matched(entities, rules.select("pattern"))
 
 
 def matches(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """(entity, place, info) for every rule that matches a distinct entity."""
-    return pattern_matches(entities, rules).join(rules, "pattern").drop("pattern")
+    return _matched(entities, rules).drop("pattern")
 
 
 def first_match(entities: DataFrame, rules: DataFrame) -> DataFrame:

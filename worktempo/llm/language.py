@@ -174,13 +174,20 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Hi
 
 
 def shares_column(text: Column) -> Column:
-    """Struct of buckets and shares of a text."""
-    kind = pa.struct([("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float64()))])
+    """Binary: the buckets of a text's n-grams as 16-bit and their shares as 32-bit numbers, one behind the other."""
+    def packed(text: str) -> bytes:
+        buckets, part = shares(text)
+        return buckets.astype("<u2").tobytes() + part.astype("<f4").tobytes()
 
     def make():
-        return lambda texts: pa.array([dict(zip(("buckets", "shares"), shares(t))) for t in texts], kind)
+        return lambda texts: pa.array(list(map(packed, texts)), pa.binary())
 
-    return text_udf(make, "struct<buckets:array<int>,shares:array<double>>")(text)
+    return text_udf(make, "binary")(text)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u2", n).astype(np.int64), np.frombuffer(data, "<f4", n, 2 * n)
 
 
 def sample(docs: DataFrame, per_language: int, max_languages: int, most_rows: int) -> DataFrame:
@@ -200,7 +207,7 @@ def fit(docs: DataFrame, per_language: int = 1200, max_languages: int = 200, mos
     chosen = sample(docs, per_language, max_languages, most_rows)
     found = chosen.select("doc_id", F.xxhash64("text").alias("hash"), "lang", shares_column(F.col("text")).alias("s")).collect()
     found.sort(key=lambda r: (r.doc_id, r.hash, r.lang))
-    return train([(np.asarray(r.s.buckets, np.int64), np.asarray(r.s.shares)) for r in found], [r.lang for r in found])
+    return train([unpacked(bytes(r.s)) for r in found], [r.lang for r in found])
 
 
 def predict_column(model: Hierarchy, text: Column) -> Column:

@@ -80,8 +80,7 @@ def _group_alert(kind: str, users: DataFrame, clock: Clock) -> DataFrame:
     return total.select(*_alert(kind, values, F.lit(None), F.col("n")))
 
 
-def inactive_users(hb: DataFrame, users: DataFrame, leaves: DataFrame, clock: Clock) -> DataFrame:
-    active = window_rows(hb, clock, clock.today).select("user_id").distinct()
+def inactive_users(active: DataFrame, users: DataFrame, leaves: DataFrame, clock: Clock) -> DataFrame:
     everyone = users.select(F.col("id").alias("user_id"))
     return everyone.join(active, "user_id", "left_anti").join(
         users_on_leave(leaves, clock.local_date), "user_id", "left_anti"
@@ -91,7 +90,8 @@ def inactive_users(hb: DataFrame, users: DataFrame, leaves: DataFrame, clock: Cl
 def alert_inactive(hb: DataFrame, users: DataFrame, leaves: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
     """Users without heartbeats today who are not on leave."""
     clock = Clock.at(as_of, tz_hours)
-    return _in_order(_group_alert("inactive", inactive_users(hb, users, leaves, clock), clock))
+    active = window_rows(hb, clock, clock.today).select("user_id").distinct()
+    return _in_order(_group_alert("inactive", inactive_users(active, users, leaves, clock), clock))
 
 
 def alert_on_leave(leaves: DataFrame, *, as_of: datetime, tz_hours: int = TZ) -> DataFrame:
@@ -142,6 +142,7 @@ def by_user(days: DataFrame, clock: Clock, *, burnout_days: int, burnout: int, w
     free = is_weekend & (F.col("seconds") > weekend) & since_day(clock.days_back(weekend_days), clock)
     long = (F.col("seconds") >= burnout) & since_day(clock.days_back(burnout_days), clock)
     return days.groupBy("user_id").agg(
+        or_zero(F.sum(F.when(since_day(clock.today, clock), F.col("n")))).alias("today_hb"),
         or_zero(F.sum(F.when(week, F.col("n")))).alias("this_hb"),
         or_zero(F.sum(F.when(prev & ~week, F.col("n")))).alias("prev_hb"),
         or_zero(F.sum(F.when(free, F.col("seconds")))).alias("total"),
@@ -231,10 +232,10 @@ def alerts(
     days = user_days(hb, clock, min(clock.prev_week, clock.days_back(14)), IDLE)
     people = by_user(days, clock, burnout_days=10, burnout=burnout_threshold, weekend_days=14, weekend=weekend_threshold)
     # All columns of the table stay with every branch, so that Spark finds it to be one and computes it once.
-    people = people.where(F.coalesce(F.col("this_hb") + F.col("prev_hb") + F.col("total") + F.col("weekend_n")
+    people = people.where(F.coalesce(F.col("today_hb") + F.col("this_hb") + F.col("prev_hb") + F.col("total") + F.col("weekend_n")
                                      + F.size("long_days"), F.lit(0)) >= 0)
     parts = [
-        _group_alert("inactive", inactive_users(hb, users, leaves, clock), clock),
+        _group_alert("inactive", inactive_users(people.where(F.col("today_hb") > 0).select("user_id"), users, leaves, clock), clock),
         _group_alert("on_leave", users_on_leave(leaves, clock.local_date), clock),
         _leisure_alerts(hb, tags, clock, leisure_threshold, IDLE),
         _drop_alerts(people, leaves, clock, min_prev, "0.3", 3),

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,6 +147,39 @@ def test_least_squares_fills_windows():
     assert sum(times for _, times in packing.plan(histogram)) <= 2505  # 10,240,000 ids need 2,500
 
 
+def test_least_squares_is_an_optimum_with_few_combinations():
+    """Conditions of the optimum: nothing unused gains, what is used gains nothing; at most as many as there are classes."""
+    rng = np.random.default_rng(5)
+    sizes = packing.class_sizes(4096)[::9]
+    for most in (3, 1000):
+        target = rng.integers(1, most, len(sizes)).astype(float)
+        classes, counts = packing.combinations(sizes, 4096, 24)
+        filled = (counts * sizes[classes]).sum(axis=1)
+        assert filled.max() <= 4096 and filled.min() >= 4096 - 24 and len(classes) == len(np.unique(
+            np.concatenate([classes, counts], axis=1), axis=0))
+        x = packing.least_squares(classes, counts, target)
+        left = target - np.bincount(classes.ravel(), (counts * x[:, None]).ravel(), len(sizes))
+        gain = (counts * left[classes]).sum(axis=1)
+        assert (x >= 0).all() and (x > 0).sum() <= len(sizes)
+        assert gain.max() <= 1e-6 * most and abs(gain[x > 0]).max() <= 1e-6 * most
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_least_squares_places_most_pieces_of_the_whole_table():
+    texts = pq.read_table(f"{DATA}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    sizes, histogram = packing.class_sizes(4096), np.zeros(len(packing.class_sizes(4096)), np.int64)
+    for text in texts:
+        full, rest = divmod(len(plain(text)), 4096)
+        histogram[-1] += full
+        if rest:
+            histogram[np.searchsorted(sizes, rest)] += 1
+    present = np.flatnonzero(histogram)
+    classes, counts = packing.combinations(sizes[present], 4096, 24)
+    x = packing.least_squares(classes, counts, histogram[present].astype(float))
+    assert (np.floor(x + 1e-6)[:, None] * counts).sum() >= 0.6 * histogram.sum()
+    assert sum(times for _, times in packing.plan(histogram)) <= 1.01 * (histogram * sizes).sum() / 4096 + 1
+
+
 def test_places_are_distinct_and_dense():
     made = [([3, 3, 1], 5), ([3], 2), ([1, 0], 4)]
     runs = packing.places(made, 4)

@@ -1,10 +1,10 @@
 """Packing of documents into training sequences by non-negative least squares.
 
 Each document is tokenised and cut into full windows and one rest; a piece belongs to the smallest of some 300 length
-classes that holds it (every length up to 64, then steps of 16). Combinations of up to three classes that nearly fill a
-window are enumerated; non-negative least squares finds how often to use each so that their sum meets the histogram of
-lengths, the counts are rounded down, and what is left is packed greedily, largest class first. All of this works on the
-histogram, whose size does not depend on the corpus. Pieces then take their places by number: a piece is numbered within
+classes that holds it (every length up to 64, then steps of 16). Combinations of up to three classes, two of them up to four times, that nearly
+fill a window are enumerated; non-negative least squares finds how often to use each so that their sum meets the histogram
+of lengths, the counts are rounded (as far as there are pieces), and what is left is packed greedily, largest class first.
+All of this works on the histogram, whose size does not depend on the corpus. Pieces then take their places by number: a piece is numbered within
 its class (number in its task plus the pieces of that class in the tasks before), and the plan says which sequence the
 n-th piece of a class goes to. Nothing is gathered and no piece waits for another.
 
@@ -65,45 +65,75 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFra
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
-def combinations(sizes: np.ndarray, window: int, slack: int) -> np.ndarray:
-    """Rows of up to three classes (-1: none) that fill the window but for `slack`, the last as large as fits."""
-    found = [np.stack([np.flatnonzero(sizes >= window - slack), *[np.full((sizes >= window - slack).sum(), -1)] * 2], axis=1)]
+def combinations(sizes: np.ndarray, window: int, slack: int, deep: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, counts), three of each a row, that fill the window but for `slack`: one class up to `deep` times, another up
+    to `deep` times or not at all, and once the largest that still fits. Counts of 0 are places without a class."""
     one = np.arange(len(sizes))
-    two = np.searchsorted(sizes, window - sizes, side="right") - 1
-    fits = (two >= 0) & (two <= one)
-    found.append(np.stack([one[fits], two[fits], np.full(fits.sum(), -1)], axis=1))
-    a, b = np.meshgrid(one, one, indexing="ij")
-    left = window - sizes[a] - sizes[b]
-    c = np.searchsorted(sizes, left, side="right") - 1
-    fits = (b <= a) & (left > 0) & (c >= 0) & (c <= b)
-    found.append(np.stack([a[fits], b[fits], c[fits]], axis=1))
-    every = np.concatenate(found)
-    filled = np.where(every >= 0, sizes[every], 0).sum(axis=1)
-    return np.unique(every[filled >= window - slack], axis=0)
-
-
-def least_squares(columns: np.ndarray, target: np.ndarray, rounds: int = 1500) -> np.ndarray:
-    """x >= 0 with the smallest squared difference of the combinations' sum from the histogram (accelerated projection)."""
-    x = y = np.zeros(len(columns))
-    used = columns >= 0
-    safe = np.where(used, columns, 0)
-
-    def total(v: np.ndarray) -> np.ndarray:
-        return np.bincount(safe.ravel(), (used * v[:, None]).ravel(), len(target))
-
-    v, bound = np.ones(len(columns)), 1.0
-    for _ in range(30):  # power iteration
-        v = (used * total(v)[safe]).sum(axis=1)
-        bound = float(np.linalg.norm(v)) or 1.0
-        v /= bound
-    pace = 1.0
-    for _ in range(rounds):
-        gradient = (used * (total(y) - target)[safe]).sum(axis=1)
-        after = np.maximum(y - gradient / (1.01 * bound), 0)
-        next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        y = after + (pace - 1) / next_pace * (after - x)
-        x, pace = after, next_pace
-    return x
+    found = []
+    for i in range(deep + 1):
+        for j in range(min(i, deep) + 1):
+            a, b = (one, one[:1]) if i == 0 else (one[:, None], one[:1] if j == 0 else one)
+            a, b = (v.ravel() for v in np.broadcast_arrays(a, b))
+            left = window - i * sizes[a] - j * sizes[b]
+            c = np.searchsorted(sizes, left, side="right") - 1
+            last = (left > 0) & (c >= 0)
+            rest = left - np.where(last, sizes[c], 0)
+            fits = (rest >= 0) & (rest <= slack) & ((a != b) | (j == 0))
+            classes = np.stack([a, b, np.maximum(c, 0)], axis=1)[fits]
+            counts = np.stack([np.full(len(a), i), np.full(len(a), j), last.astype(int)], axis=1)[fits]
+            found.append(np.concatenate([classes, counts], axis=1))
+    every = np.unique(np.concatenate(found), axis=0)
+    return every[:, :3], every[:, 3:]
+
+
+def fitted(basis: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Least squares over the rows of basis: normal equations, improved once by what they leave."""
+    gram = basis @ basis.T
+    try:
+        x = np.linalg.solve(gram, basis @ target)
+        return x + np.linalg.solve(gram, basis @ (target - x @ basis))
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(basis.T, target, rcond=None)[0]
+
+
+def least_squares(classes: np.ndarray, counts: np.ndarray, target: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """x >= 0 with the smallest squared difference of the combinations' sum from the histogram, by an active set.
+
+    The combination that gains most enters, the others are solved anew, and those that would turn negative leave. So at most
+    as many combinations as there are classes are used, and rounding costs each of them less than one sequence. A set never
+    comes twice, since the difference falls; the bound on steps is for rounding errors alone.
+    """
+    bound = tolerance * max(1.0, float(target.max()))
+    used, x = np.zeros(0, np.int64), np.zeros(0)
+    basis, left = np.zeros((0, len(target))), target.astype(float)
+    useless = np.zeros(len(classes), bool)
+    columns = [(kind.copy(), many.astype(float)) for kind, many in zip(classes.T, counts.T)]
+    for _ in range(8 * len(target)):
+        gain = sum(many * left[kind] for kind, many in columns)
+        gain[used] = gain[useless] = 0
+        k = int(np.argmax(gain))
+        if gain[k] <= bound:
+            break
+        used, x = np.append(used, k), np.append(x, 0.0)
+        basis = np.vstack([basis, np.bincount(classes[k], counts[k], len(target))])
+        solved = fitted(basis, target)
+        if solved[-1] <= 0:  # gains by rounding errors only
+            useless[k] = True
+            used, x, basis = used[:-1], x[:-1], basis[:-1]
+            continue
+        while (solved <= 0).any():
+            falling = solved <= 0
+            pace = (x[falling] / (x[falling] - solved[falling]).clip(1e-300)).min()
+            x = x + pace * (solved - x)
+            keep = ~falling | (x > bound)
+            keep[np.flatnonzero(falling)[np.argmin(x[falling])]] = False
+            used, x, basis = used[keep], x[keep], basis[keep]
+            solved = fitted(basis, target)
+        x, left = solved, target - solved @ basis
+        useless[:] = False
+    out = np.zeros(len(classes))
+    out[used] = x
+    return out
 
 
 def plan(histogram: np.ndarray, window: int = 4096, slack: int = 24) -> list[tuple[list[int], int]]:
@@ -112,19 +142,21 @@ def plan(histogram: np.ndarray, window: int = 4096, slack: int = 24) -> list[tup
     present = np.flatnonzero(left)
     if not len(present):
         return []
-    rows = combinations(sizes[present], window, slack)
-    chosen = np.where(rows >= 0, present[rows], -1)
     out: list[tuple[list[int], int]] = []
-    if len(chosen):
-        x = np.floor(least_squares(chosen, left.astype(float)) + 1e-6).astype(np.int64)
-        for k in np.argsort(-x, kind="stable"):
-            if x[k] <= 0:
-                break
-            classes, need = np.unique(chosen[k][chosen[k] >= 0], return_counts=True)
-            times = int(min(x[k], (left[classes] // need).min()))
-            if times:
-                out.append((chosen[k][chosen[k] >= 0].tolist(), times))
-                left[classes] -= times * need
+    classes, counts = combinations(sizes[present], window, slack)
+    if len(classes):
+        x = least_squares(classes, counts, left[present].astype(float))
+        whole = np.floor(x + 1e-6)
+        for wanted in (whole, np.rint(x) - whole):  # whole repeats first, then those that rounding adds
+            for k in np.argsort(-np.where(wanted > 0, x, 0), kind="stable"):
+                if wanted[k] <= 0:
+                    break
+                parts = np.repeat(present[classes[k]], counts[k])
+                some, need = np.unique(parts, return_counts=True)
+                times = int(min(wanted[k], (left[some] // need).min()))
+                if times:
+                    out.append((parts.tolist(), times))
+                    left[some] -= times * need
     while left.any():
         room, need = window, np.zeros(len(left), np.int64)
         while True:

@@ -85,6 +85,39 @@ def test_words_in_pieces(toxic_model, hidden):
     assert plain < 0.5 and found >= whole > 0.5
 
 
+@pytest.fixture(scope="module")
+def certain_model(words):
+    """Learned from enough documents that the parts of toxic words are looked for."""
+    bad, clean = [f"{words(20)} {w} {words(5)}" for w in ("stupid", "idiots", "worthless") * 30], [words(25) for _ in range(400)]
+    return toxicity.train(bad + clean, [1] * len(bad) + [0] * len(clean))
+
+
+@pytest.mark.parametrize("hidden, whole", [
+    ("stu pid", "stupid"), ("idi ots", "idiots"), ("wort hless", "worthless"), ("STU, pid.", "stupid"), ("wor thl ess", "worthless"),
+    ("stup id", "stupid"), ("s tupid", "stupid"), ("5tu p1d", "stupid"), ("(idi) - ots", "idiots"), ("wo rthl e ss", "worthless"),
+])
+def test_longer_pieces_are_joined(certain_model, hidden, whole):
+    table = toxicity.WordTable(certain_model.word_figures)
+    plain, found, full = certain_model.scores([f"lalala {x} lalala" for x in ("", hidden, whole)], table)
+    assert plain < 0.5 and found >= full > 0.5
+
+
+@pytest.mark.parametrize("text", ["stu lalala pid", "pid stu", "idi stu", "wort stup", "stu. rid", "idi"])
+def test_pieces_alone_or_of_no_known_word_do_not_count(certain_model, text):
+    table = toxicity.WordTable(certain_model.word_figures)
+    plain, found = certain_model.scores(["lalala lalala", f"lalala {text} lalala"], table)
+    assert found == pytest.approx(plain, abs=1e-9) or found < 0.5
+
+
+def test_parts_of_words():
+    assert toxicity.inner_parts(frozenset({"idiot", "dio"})) == {"idi", "iot", "idio", "diot"}  # dio is a word itself
+    assert "stu" in (parts := toxicity.inner_parts(frozenset({"stupid"}))) and "pid" in parts
+    assert [toxicity.folded(w) for w in ("5tu", "p1d", "$tt-u", "ll1!", "3.14", "")] == ["stu", "pid", "stu", "i", "eia", ""]
+    assert toxicity.piece_kind("5tu", parts) == toxicity.piece_kind("P!D.", parts) == toxicity.PIECE
+    assert toxicity.piece_kind("571", parts) != toxicity.PIECE and toxicity.piece_kind("stu") == toxicity.LONGER
+    assert toxicity.inner_parts(frozenset()) == frozenset()
+
+
 def test_pieces_that_are_words_stay_words(toxic_model, words):
     model = toxicity.train([f"to go in {words(20)} idiot"] * 9 + [f"to go in it is {words(20)}"] * 40, [1] * 9 + [0] * 40)
     assert model.characters.decode("to go in it is") == "to go in it is"

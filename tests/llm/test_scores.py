@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -204,3 +205,31 @@ def test_texts_of_languages_not_learned_are_not_typical(spark, docs):
            "いろはにほへと ちりぬるを わかよたれそ つねならむ うゐのおくやま けふこえて " * 6]
     found = language.identify(docs(*enumerate(odd)), model).collect()
     assert not any(r.typical for r in found)
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, words, docs):
+    """More documents than a sample of 6,000 held, and one of more than 200,000 characters: all are counted, each once."""
+    rows = [(n, f"{words(3)} {'idiot' if n % 10 == 0 else words(1)}") for n in range(9000)] + [(9001, f"{words(90_000)} idiot")]
+    table = docs(*rows).unionByName(docs(*rows[:50]))
+    labels = spark.createDataFrame([(n, int(n % 10 == 0 or n == 9001)) for n, _ in rows for _ in range(2)], "doc_id bigint, toxic int")
+    used = [(n, t) for n, t in rows if zlib.crc32(str(n).encode()) % 5]
+    assert len(used) > 7000 and used[-1][0] == 9001 and len(used[-1][1]) > 200_000
+    found, whole = toxicity.fit(table, labels), toxicity.train([t for _, t in used], [int(n % 10 == 0 or n == 9001) for n, _ in used])
+    assert found.characters.logs == whole.characters.logs and (found.odds == whole.odds).all()
+    assert found.levels == whole.levels and found.strongest == whole.strongest
+    assert found.weights == pytest.approx(whole.weights, rel=1e-6, abs=1e-9)
+
+
+def test_runs_that_are_not_decoded_hold_no_word(certain_model, monkeypatch):
+    pool = ["the", "to", "it", "stu", "pid", "idi", "ots", "wor", "thl", "ess", "wort", "hless", "tth", "sstu", "lala", "id", "is"]
+    rng, skipped = random.Random(1), 0
+    for _ in range(2000):
+        run = [w.encode() for w in rng.choices(pool, k=rng.randrange(2, 6))]
+        certain_model.met.clear()
+        found = certain_model.joined(run)
+        skipped += not certain_model.may_join([w.decode() for w in run])
+        with monkeypatch.context() as all_decoded:
+            all_decoded.setattr(toxicity.Scorer, "may_join", lambda self, pieces: True)
+            certain_model.met.clear()
+            assert certain_model.joined(run) == found, run
+    assert skipped > 200

@@ -7,7 +7,8 @@ documents) restores the likeliest word, and the restored text is scored. Plain w
 The score is a logistic function of the strongest piece of evidence among the restored words and of how many words reach
 each of three levels. A word's evidence is the largest smoothed log-odds among its features (whole word, prefixes of 4 to 6
 letters), from document frequencies in toxic and other labelled documents. The logistic is fitted with each training document's own
-count taken out, so that words seen once carry nothing. Training takes at most about `sample_rows` labelled documents.
+count taken out, so that words seen once carry nothing. `fit` learns from every labelled document: tasks count words, letter
+sequences, features and the sums of each Newton step, Spark adds them up, and only the model itself comes to the driver.
 
 Defined results: a NULL or empty text gets the score of a text without evidence; without any usable label the score is 0;
 repeated rows are scored each; further columns are kept. In a run of pieces (signs between them do not count) the lattice
@@ -19,17 +20,26 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from worktempo.llm.common import WordTable, split_words, sums, text_udf, worker_state
-from worktempo.llm.quality_classifier import labelled
+from worktempo.llm.common import (
+    WordTable, is_remainder, remove_folder, shared_folder, slices, split_words, sums, text_udf, worker_state,
+)
 
 BUCKETS = 1 << 18
+#: What the checksum of a feature begins with: the length of a prefix, or a sign for whole words.
+PREFIXES, WHOLE = tuple((k, zlib.crc32(b"%d" % k)) for k in range(4, 7)), zlib.crc32(b"=")
+#: Most distinct words or letter sequences that a task counts before it hands the counts on.
+COUNTED = 300_000
 #: What a sign may stand for; fixed values.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -37,6 +47,7 @@ LEET = {
 }
 FOLD = str.maketrans({sign: letters[0].replace("l", "i") for sign, letters in LEET.items()} | {"l": "i"})
 EDGES = "\"'“”‘’«»()[]{}<>.,;:!?¿¡…*#%&|~_-/\\=+^"
+EDGES_OR_S = EDGES + "$"
 LETTER, OTHER, SIGN = re.compile(r"[^\W\d_]"), re.compile(r"[^\w'’]|[\d_]"), re.compile(r"[\d@$€£!|+(]")
 DOUBLED, TRIPLED, LONG = (re.compile(r, re.S) for r in (r"([^\W\d_])\1", r"(.)\1\1", r"(.)\1{4,}"))
 NO_LETTER, REPEATED = re.compile(r"[\W\d_]+"), re.compile(r"(.)\1+", re.S)
@@ -54,23 +65,33 @@ class CharacterModel:
 
     ORDER, BACK = 4, -1.2
 
-    def __init__(self, words: Counter):
-        grams: Counter = Counter()
-        for word, n in words.items():
-            padded = "^" * self.ORDER + word + "$"
-            for at in range(self.ORDER, len(padded)):
-                for k in range(self.ORDER + 1):
-                    grams[padded[at - k:at + 1]] += n
-        histories: Counter = Counter()
-        for gram, n in grams.items():
-            histories[gram[:-1]] += n
-        self.logs = {g: math.log(n / histories[g[:-1]]) for g, n in grams.items() if n > 1 or len(g) < 4}
+    def __init__(self, grams: Iterable[tuple[str, int, int]]):
+        """From sequences of up to ORDER + 1 letters with their number and that of their histories."""
+        self.logs = {g: math.log(n / before) for g, n, before in grams if n > 1 or len(g) < 4}
         most, least = defaultdict(lambda: -math.inf), defaultdict(lambda: math.inf)
         for gram, log in self.logs.items():
             log += self.BACK * (self.ORDER + 1 - len(gram))
             most[gram[-1]], least[gram[-1]] = max(most[gram[-1]], log), min(least[gram[-1]], log)
         self.spread, self.dearest_end = {letter: most[letter] - least[letter] for letter in most}, -least["$"]
 
+    @classmethod
+    def grams(cls, words: Iterable[tuple[str, int]]) -> Counter:
+        """Every sequence of up to ORDER + 1 letters that ends in a word or behind it."""
+        grams: Counter = Counter()
+        for word, n in words:
+            padded = "^" * cls.ORDER + word + "$"
+            for at in range(cls.ORDER, len(padded)):
+                for k in range(cls.ORDER + 1):
+                    grams[padded[at - k:at + 1]] += n
+        return grams
+
+    @classmethod
+    def of_words(cls, words: Counter) -> CharacterModel:
+        grams, histories = cls.grams(words.items()), Counter()
+        for gram, n in grams.items():
+            histories[gram[:-1]] += n
+        return cls((g, n, histories[g[:-1]]) for g, n in grams.items())
+
     def log(self, history: str, letter: str) -> float:
         cost = 0.0
         for k in range(self.ORDER, -1, -1):
@@ -88,6 +109,9 @@ class CharacterModel:
         ends a word or joins two pieces of one.
         """
         spelling = LONG.sub(r"\1\1\1\1", spelling)
+        costs = self.__dict__.setdefault("costs", {})  # of letters behind histories met before
+        if len(costs) > 300_000:
+            costs.clear()
         letters = {x for sign in set(spelling) for x in LEET.get(sign, "") + sign} | {"$"}
         margin = self.ORDER * max(self.spread.get(letter, 0.0) for letter in letters) + 1e-6
         margin += self.dearest_end if GAP in spelling else 0.0
@@ -95,32 +119,42 @@ class CharacterModel:
         states: dict[str, tuple] = {start: (0.0, None)}  # cost, and the letters so far as (last, those before)
         before = ""
         for sign in spelling:
-            options = [(letter, LEET_COST) for letter in LEET.get(sign, "")]
-            if sign.isalpha():
-                options.append((sign, 0.0))
-            else:
-                options.append(("", DROP_COST if not options else KEEP_COST))
-            if sign == before:
-                options.append(("", REPEAT_COST))
             after: dict[str, tuple] = {}
             if sign == GAP:
-                options = []
-                after = {history: (cost + JOIN_COST, (JOINED, word)) for history, (cost, word) in states.items()}
-                ends = ((cost if history == start else cost - self.log(history, "$"), history, word)
-                        for history, (cost, word) in states.items())
+                ends = []
+                for history, (cost, word) in states.items():
+                    after[history] = (cost + JOIN_COST, (JOINED, word))
+                    ends.append((cost if history == start else cost - self.log(history, "$"), history, word))
                 cost, _, word = min(ends, key=lambda s: s[:2])
                 after[start] = (cost, (GAP, word))
-            for history, (cost, word) in states.items():
-                for letter, price in options:
-                    state = (history + letter)[-self.ORDER:] if letter else history
-                    total = cost + price - (self.log(history, letter) if letter else 0.0)
+                options = []
+            else:
+                options = [(letter, LEET_COST) for letter in LEET.get(sign, "")]
+                if sign.isalpha():
+                    options.append((sign, 0.0))
+                else:
+                    options.append(("", DROP_COST if not options else KEEP_COST))
+                if sign == before:
+                    options.append(("", REPEAT_COST))
+                before = sign
+            for letter, price in options:
+                if not letter:
+                    for history, (cost, word) in states.items():
+                        if history not in after or cost + price < after[history][0]:
+                            after[history] = (cost + price, word)
+                    continue
+                for history, (cost, word) in states.items():
+                    gram = history + letter
+                    log = costs.get(gram)
+                    if log is None:
+                        log = costs[gram] = self.log(history, letter)
+                    state, total = gram[1:], cost + price - log
                     if state not in after or total < after[state][0]:
-                        after[state] = (total, (letter, word) if letter else word)
+                        after[state] = (total, (letter, word))
             if len(after) > 1:
                 bound = min(s[0] for s in after.values()) + margin
                 after = {state: s for state, s in after.items() if s[0] <= bound}
             states = after
-            before = before if sign == GAP else sign
         word = min(((cost - self.log(history, "$"), history, word) for history, (cost, word) in states.items()),
                    key=lambda s: s[:2])[2]
         out = []
@@ -140,7 +174,7 @@ class CharacterModel:
         A doubled letter alone is decoded where the model knows the start of the decoded word and not the plain one.
         """
         plain = bare(word)
-        if not any(map(str.isalpha, plain)):
+        if simple(plain) or not any(map(str.isalpha, plain)):
             return plain
         if hidden(plain):
             return self.decode(plain)
@@ -154,11 +188,18 @@ class CharacterModel:
 def bare(word: str) -> str:
     """Lower case without signs at the edges, but with one before the word that may be a letter."""
     word = word.lower()
-    plain = word.strip(EDGES + "$") or word.strip(EDGES)
+    if word.isalpha():
+        return word
+    plain = word.strip(EDGES_OR_S) or word.strip(EDGES)
     start = word.find(plain)
     return word[start - 1] + plain if start > 0 and word[start - 1] in "$!|(+" else plain
 
 
+def simple(plain: str) -> bool:
+    """Letters only, none twice in a row: such a word hides nothing."""
+    return plain.isalpha() and not DOUBLED.search(plain)
+
+
 def hidden(word: str) -> bool:
     """A sign or digit between a letter and a letter or digit, one that may be a letter before a letter, or three equal signs."""
     if TRIPLED.search(word):
@@ -178,8 +219,15 @@ def hidden(word: str) -> bool:
 
 def features(word: str) -> list[int]:
     """Buckets of the whole word and of its prefixes; longer words share the prefixes of their stem."""
-    return [zlib.crc32(f"{k}{word[:k]}".encode("utf-8", "replace")) % BUCKETS for k in range(4, 7) if k < len(word)] + [
-        zlib.crc32(f"={word}".encode("utf-8", "replace")) % BUCKETS] if word else []
+    if word.isascii():
+        data = word.encode()
+        found = [zlib.crc32(data[:k], start) % BUCKETS for k, start in PREFIXES if k < len(data)]
+    else:
+        data = word.encode("utf-8", "replace")
+        found = [zlib.crc32(word[:k].encode("utf-8", "replace"), start) % BUCKETS for k, start in PREFIXES if k < len(word)]
+    if word:
+        found.append(zlib.crc32(data, WHOLE) % BUCKETS)
+    return found
 
 
 def inner_parts(words: frozenset[str]) -> frozenset[str]:
@@ -190,12 +238,15 @@ def inner_parts(words: frozenset[str]) -> frozenset[str]:
 
 def folded(word: str) -> str:
     """One form for all spellings that may stand for the same letters: signs as letters, i for l, repeats and the rest gone."""
-    return REPEATED.sub(r"\1", NO_LETTER.sub("", word.translate(FOLD)))
+    word = word.translate(FOLD)
+    return word if simple(word) else REPEATED.sub(r"\1", NO_LETTER.sub("", word))
 
 
 def piece_kind(word: str, parts: frozenset[str] = frozenset()) -> int:
     plain = bare(word)
-    if parts and any(folded(x) in parts for x in {plain, plain.strip(EDGES + "$")}) and any(map(str.isalpha, plain)):
+    if len(plain) > 2 and simple(plain):
+        return PIECE if parts and folded(plain) in parts else LONGER
+    if parts and any(folded(x) in parts for x in {plain, plain.strip(EDGES_OR_S)}) and any(map(str.isalpha, plain)):
         return PIECE
     if len(plain) in (1, 2) and all(x.isalnum() or x in LEET for x in plain):
         return PIECE if any(map(str.isalpha, plain)) else LETTERLESS
@@ -232,20 +283,64 @@ class Scorer:
         self.characters, self.odds, self.weights, self.levels = characters, odds, weights, levels
         self.strongest, self.parts = strongest, inner_parts(strongest)
         self.met: dict[bytes, list[float]] = {}  # short runs of pieces met before
+        self.known: dict[str, tuple[float, int]] = {}  # words without the signs at their edges, as they are in word_figures
+
+    @cached_property
+    def listed(self) -> list[float]:
+        return self.odds.tolist()
 
     def evidence(self, word: str) -> float:
-        return max((float(self.odds[f]) for f in features(word)), default=0.0)
+        found = features(word)
+        return max(map(self.listed.__getitem__, found)) if found else 0.0
 
     def word_figures(self, words: list[bytes]) -> np.ndarray:
         """Evidence of each word, which levels it reaches, and what it is in a run of pieces."""
         out = np.zeros((len(words), 2 + len(self.levels)), np.float32)
-        for at, raw in enumerate(words):
+        found, known = [], self.known
+        for raw in words:
             word = raw.decode("utf-8", "replace")
-            out[at, 0] = self.evidence(self.characters.restore(word))
-            out[at, -1] = piece_kind(word, self.parts)
+            plain = bare(word)
+            figures = known.get(plain)
+            if figures is None:
+                figures = known[plain] = (self.evidence(self.characters.restore(plain)), piece_kind(plain, self.parts))
+                if len(known) > 200_000:
+                    known.clear()
+            found.append(figures)
+        if found:
+            out[:, 0], out[:, -1] = np.asarray(found).T
         out[:, 1:-1] = out[:, :1] >= np.asarray(self.levels, np.float32)
         return out
 
+    @cached_property
+    def strong_forms(self) -> tuple[frozenset[str], int]:
+        forms = frozenset(map(folded, self.strongest))
+        return forms, max(map(len, forms), default=0)
+
+    def may_join(self, pieces: list[str]) -> bool:
+        """Can decoding find a word that counts? Of letters it drops repeats only, so each joined word is known in folded form;
+        one of pieces below three letters may be any word."""
+        if not all(map(str.isalpha, pieces)):
+            return True
+        before, last_short = "", False
+        for piece in pieces:
+            once = REPEATED.sub(r"\1", piece)
+            short = len(once) - (once[0] == before) < 3
+            if short and last_short:
+                return True
+            before, last_short = piece[-1], short
+        forms, longest = self.strong_forms
+        parts = list(map(folded, pieces))
+        for a in range(len(parts) - 1):
+            # A letter that repeats the last one of the piece before may be dropped too.
+            for word in {parts[a], folded(pieces[a].lstrip(pieces[a - 1][-1]))} if a else parts[:1]:
+                for part in parts[a + 1:]:
+                    word = REPEATED.sub(r"\1", word + part)
+                    if word in forms:
+                        return True
+                    if len(word) > longest:
+                        break
+        return False
+
     def joined(self, words: list[bytes]) -> list[float]:
         """Evidence of every word that a run spells in more than one piece; with a piece of three letters or more only a
         word that is itself known for strong evidence, since two ordinary words may begin like one."""
@@ -253,8 +348,9 @@ class Scorer:
         found = self.met.get(run)
         if found is None:
             pieces = [bare(w.decode("utf-8", "replace")) for w in words]
-            spelling = GAP.join(p for p in pieces if any(x.isalnum() or x in LEET for x in p))
-            decoded = [w.strip(JOINED) for w in self.characters.decode(spelling).split(GAP)]
+            pieces = [p for p in pieces if any(x.isalnum() or x in LEET for x in p)]
+            read = self.characters.decode(GAP.join(pieces)) if self.may_join(pieces) else ""
+            decoded = [w.strip(JOINED) for w in read.split(GAP)]
             short = {w for w in decoded if max(map(len, w.split(JOINED))) < 3}
             found = [self.evidence(word) for w in decoded if JOINED in w
                      for word in [w.replace(JOINED, "")] if w in short or word in self.strongest]
@@ -286,76 +382,269 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def spelled(texts: Iterable[str | None]) -> Iterator[dict[str, int]]:
+    """For each text its words in lower case without signs at the edges, with their number."""
+    for text in texts:
+        yield {w.decode("utf-8", "replace").lower().strip(EDGES): n for w, n in Counter(split_words(text)).items()}
+
+
+class Learner:
+    """What documents tell of their label, for tables of words whose rows are the buckets of the restored word.
+
+    Row entries that are no bucket (short words have fewer) are BUCKETS.
+    """
+
+    def __init__(self, characters: CharacterModel):
+        self.characters = characters
+
+    def buckets(self, words: list[bytes]) -> np.ndarray:
+        out = np.full((len(words), len(PREFIXES) + 1), BUCKETS, np.int32)
+        for at, raw in enumerate(words):
+            found = features(self.characters.restore(raw.decode("utf-8", "replace")))
+            out[at, :len(found)] = found
+        return out
+
+    def count(self, texts: list[str], labels: np.ndarray, table: WordTable, into: np.ndarray) -> None:
+        """Add to `into` (other and toxic documents) which documents have which buckets."""
+        values, starts = table.rows([split_words(t) for t in texts])
+        # A document's words once each, so that there is less to sort.
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+        first = np.unique(owner * len(table) + table.index)
+        owner, values = first // max(len(table), 1), table.values[first % max(len(table), 1)]
+        pairs = np.unique((owner[:, None] * (BUCKETS + 1) + values).ravel())
+        for label in (0, 1):
+            mine = pairs[labels[pairs // (BUCKETS + 1)] == label]
+            into[label] += np.bincount(mine % (BUCKETS + 1), minlength=BUCKETS + 1)
+
+
+class Odds:
+    """Log of the ratio of document shares per bucket, drawn to zero where few documents have the feature."""
+
+    def __init__(self, found: np.ndarray, documents: tuple[int, int]):
+        """`found`: other and toxic documents with each bucket; `documents`: other and toxic ones in all."""
+        self.found, self.documents = found[:, :BUCKETS].astype(float), documents
+        other, toxic = documents
+        self.base = toxic / (other + toxic)
+        self.strong = max(1.0, math.log(other / toxic) + 1)
+        self.levels = [self.strong - 1.5, self.strong - 0.75, self.strong]
+
+    def odds(self, other: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        share = (toxic + 2 * self.base) / (toxic + other + 2)
+        return np.log(share / (1 - share)) - math.log(self.base / (1 - self.base))
+
+    @cached_property
+    def learned(self) -> np.ndarray:
+        return self.odds(*self.found).astype(np.float32)
+
+    @cached_property
+    def without_own(self) -> list[np.ndarray]:
+        """For documents of each label: without the document's own count, and one entry more for what is no bucket."""
+        other, toxic = self.found
+        return [np.append(self.odds(np.maximum(other - (label == 0), 0), np.maximum(toxic - label, 0)), -np.inf) for label in (0, 1)]
+
+    def figures(self, texts: list[str], labels: np.ndarray, table: WordTable) -> np.ndarray:
+        """Columns for each document: strongest evidence, words at each level."""
+        values, starts = table.rows([split_words(t) for t in texts])
+        own = np.zeros((len(values), 1 + len(self.levels)))
+        toxic = np.repeat(labels, np.diff(starts)).astype(bool)
+        for label, rows in enumerate((~toxic, toxic)):
+            own[rows, 0] = self.without_own[label][values[rows]].max(axis=1, initial=-np.inf)
+        own[:, 1:] = own[:, :1] >= np.asarray(self.levels)
+        out = sums(own, starts)
+        full = np.flatnonzero(np.diff(starts))
+        out[:, 0] = 0
+        if len(full):
+            out[full, 0] = np.maximum(np.maximum.reduceat(own[:, 0], starts[:-1][full]), 0)
+        return out
+
+    def certain(self, words: Iterable[bytes], characters: CharacterModel) -> set[str]:
+        """Restored words of letters with evidence far above the highest level."""
+        restored = {characters.restore(w.decode("utf-8", "replace")) for w in words}
+        return {w for w in restored if w.isalpha() and max(self.learned[features(w)]) >= self.strong + CERTAIN}
+
+
 def train(texts: list[str], labels: list[int]) -> Scorer:
-    y = np.asarray(labels, float)
+    """Learn from a few texts in this process, by the steps that `fit` takes on Spark."""
+    y = np.asarray(labels)
     if not len(y) or y.min() == y.max():
         return Scorer(None, np.zeros(0), np.zeros(0), [])
-    documents = [Counter(w.decode("utf-8", "replace") for w in split_words(t)) for t in texts]
-    spelled = Counter()
-    for document in documents:
-        spelled.update({w.lower().strip(EDGES): n for w, n in document.items()})
-    characters = CharacterModel(Counter({w: n for w, n in spelled.items() if w.isalpha()}))
-    cache: dict[str, list[int]] = {}
-    plain: set[str] = set()
-
-    def buckets(word: str) -> list[int]:
-        if word not in cache:
-            restored = characters.restore(word)
-            plain.add(restored)
-            cache[word] = features(restored)
-        return cache[word]
-
-    words = [[buckets(w) for w in document] for document in documents]
-    toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for found, label in zip(words, y):
-        np.add.at(toxic if label else other, np.unique(np.fromiter((f for w in found for f in w), np.int64)), 1)
-    n_toxic, n_other = y.sum(), (1 - y).sum()
-
-    def odds(t: np.ndarray, o: np.ndarray) -> np.ndarray:
-        """Log of the ratio of document shares, drawn to zero where few documents have the feature."""
-        base = n_toxic / len(y)
-        share = (t + 2 * base) / (t + o + 2)
-        return np.log(share / (1 - share)) - math.log(base / (1 - base))
-
-    strong = max(1.0, math.log(n_other / n_toxic) + 1)
-    levels = [strong - 1.5, strong - 0.75, strong]
-    x = np.zeros((len(y), 1 + len(levels)))
-    for at, (found, label) in enumerate(zip(words, y)):
-        if not found:
-            continue
-        flat = np.fromiter((f for w in found for f in w), np.int64)
-        own = odds(np.maximum(toxic[flat] - label, 0), np.maximum(other[flat] - (1 - label), 0))
-        ends = np.cumsum([len(w) for w in found])
-        full = np.flatnonzero(np.diff(np.concatenate([[0], ends])))
-        each = np.maximum.reduceat(own, np.concatenate([[0], ends])[:-1][full]) if len(full) else np.zeros(1)
-        times = np.fromiter(documents[at].values(), float)[full] if len(full) else np.zeros(1)
-        x[at] = max(each.max(), 0), *(math.log1p(times[each >= level].sum()) for level in levels)
-    learned = odds(toxic, other).astype(np.float32)
-    strongest = frozenset(w for w in plain if w.isalpha() and max(learned[features(w)]) >= strong + CERTAIN)
-    return Scorer(characters, learned, logistic(x, y), levels, strongest)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, keep: float = 1e-2) -> np.ndarray:
-    """Newton's method with a small ridge; a column whose weight would be negative is left out, the worst first."""
-    full = np.column_stack([np.ones(len(x)), x])
-    used = list(range(full.shape[1]))
+    words: Counter = Counter()
+    for document in spelled(texts):
+        words.update(document)
+    characters = CharacterModel.of_words(Counter({w: n for w, n in words.items() if w.isalpha()}))
+    learner, found = Learner(characters), np.zeros((2, BUCKETS + 1), np.int64)
+    table = WordTable(learner.buckets)
+    learner.count(texts, y, table, found)
+    odds = Odds(found, (int((y == 0).sum()), int((y == 1).sum())))
+    x = features_of(odds.figures(texts, y, table))
+    weights = logistic(len(odds.levels) + 1, lambda w, used: newton_sums(x, y, np.ones(len(y)), w, used))
+    return Scorer(characters, odds.learned, weights, odds.levels, frozenset(odds.certain(table, characters)))
+
+
+def features_of(figures: np.ndarray) -> np.ndarray:
+    """What the logistic function sees: a constant, the strongest evidence, and log(1 + words) at each level."""
+    return np.column_stack([np.ones(len(figures)), figures[:, 0], np.log1p(figures[:, 1:])])
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, times: np.ndarray, w: np.ndarray, used: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Second and first derivatives of the log-likelihood at weights `w` of the used columns; row k counts times[k]."""
+    part = x[:, used]
+    p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+    return part.T @ (part * (times * p * (1 - p))[:, None]), part.T @ (times * (y - p))
+
+
+def logistic(columns: int, sums_at: Callable[[np.ndarray, list[int]], tuple[np.ndarray, np.ndarray]], keep: float = 1e-2) -> np.ndarray:
+    """Newton's method with a small ridge; a column whose weight would be negative is left out, the worst first. The sums over
+    the documents are made by `sums_at`."""
+    used = list(range(columns + 1))
     while True:
-        part, w = full[:, used], np.zeros(len(used))
+        w = np.zeros(len(used))
         for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            h = part.T @ (part * (p * (1 - p))[:, None]) + keep * np.eye(len(used))
-            w += np.clip(np.linalg.solve(h, part.T @ (y - p) - keep * w), -2, 2)
+            h, g = sums_at(w, used)
+            step = np.clip(np.linalg.solve(h + keep * np.eye(len(used)), g - keep * w), -2, 2)
+            w += step
+            if np.abs(step).max() < 1e-10:
+                break
         if len(used) == 1 or w[1:].min() >= 0:
-            out = np.zeros(full.shape[1])
+            out = np.zeros(columns + 1)
             out[used] = w
             return out
         used.pop(1 + int(w[1:].argmin()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Scorer:
-    """Learn from labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    rows = labelled(docs, labels, "toxic", 5, sample_rows)
-    return train([r[1] for r in rows], [r[2] for r in rows])
+def training(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> DataFrame:
+    """Every distinct (text, label) of a labelled document whose crc32(doc_id) mod `held_out_of` is not 0."""
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(
+        F.col("label").isin(0, 1) & ~is_remainder("doc_id", held_out_of, 0) & F.col("doc_id").isNotNull()).distinct()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~is_remainder("doc_id", held_out_of, 0))
+    return texts.join(usable, "doc_id").select("doc_id", "text", "label").distinct()
+
+
+def in_parts(found: dict, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """A task's counts as rows."""
+    keys, numbers = list(found), list(found.values())
+    for at in range(0, len(keys), most):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + most], pa.string()), pa.array(numbers[at:at + most], pa.int64())],
+                                         names=["key", "n"])
+
+
+def counted(rows: DataFrame, count: Callable[[pa.RecordBatch], Iterable[dict]]) -> DataFrame:
+    """`key` and its number `n` over all rows, from counts of each task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for some in slices(batch):
+                for more in count(some):
+                    found.update(more)
+                    if len(found) > COUNTED:
+                        yield from in_parts(found)
+                        found.clear()
+        yield from in_parts(found)
+
+    return rows.mapInArrow(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def learned_characters(rows: DataFrame) -> CharacterModel:
+    def words_of(batch: pa.RecordBatch) -> Iterator[dict]:
+        for document in spelled(batch.column("text").to_pylist()):
+            yield {w: n for w, n in document.items() if w.isalpha()}
+
+    def grams_of(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield CharacterModel.grams(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()))
+
+    grams = counted(counted(rows.select("text"), words_of), grams_of)
+    history = F.expr("left(key, char_length(key) - 1)")
+    before = grams.groupBy(history.alias("history")).agg(F.sum("n").alias("before"))
+    seen = grams.where("n > 1 OR char_length(key) < 4").withColumn("history", history).join(before, "history")
+    found = seen.select("key", "n", "before").toArrow()
+    return CharacterModel(zip(*(c.to_pylist() for c in found.columns)))
+
+
+def learned_odds(rows: DataFrame, characters: CharacterModel, key: tuple, documents: tuple[int, int]) -> Odds:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, table = worker_state(key, lambda: (own := Learner(characters), WordTable(own.buckets, 600_000)))
+        found = np.zeros((2, BUCKETS + 1), np.int64)
+        for batch in batches:
+            for some in slices(batch):
+                learner.count(some.column("text").to_pylist(), some.column("label").to_numpy(), table, found)
+        at = np.flatnonzero(found.any(axis=0)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[0, at]), pa.array(found[1, at])], names=["bucket", "other", "toxic"])
+
+    parts = rows.select("text", "label").mapInArrow(run, "bucket int, other bigint, toxic bigint")
+    total = parts.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
+    found = np.zeros((2, BUCKETS + 1), np.int64)
+    found[:, total["bucket"].to_numpy()] = total["other"].to_numpy(), total["toxic"].to_numpy()
+    return Odds(found, documents)
+
+
+FIGURES = "label int, best double, levels array<double>, word string"
+FIGURES_ARROW = pa.schema([("label", pa.int32()), ("best", pa.float64()), ("levels", pa.list_(pa.float64())), ("word", pa.string())])
+
+
+def document_figures(rows: DataFrame, characters: CharacterModel, odds: Odds, key: tuple) -> DataFrame:
+    """A row for each document, and one for each word of certain evidence that a task has found."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, table = worker_state(key, lambda: (own := Learner(characters), WordTable(own.buckets, 600_000)))
+        certain: set[str] = set()
+        looked_at: set[bytes] = set()
+        bar = np.append(odds.learned, -np.inf) >= odds.strong + CERTAIN
+        for batch in batches:
+            for some in slices(batch):
+                labels = some.column("label").to_numpy()
+                x = odds.figures(some.column("text").to_pylist(), labels, table)
+                yield pa.RecordBatch.from_pylist([{"label": int(label), "best": best, "levels": levels} for label, (best, *levels)
+                                                  in zip(labels, x.tolist())], schema=FIGURES_ARROW)
+                strong = np.unique(table.index)
+                strong = set(strong[bar[table.values[strong]].any(axis=1)].tolist())
+                if strong:
+                    words = {w for t in some.column("text").to_pylist() for w in split_words(t) if table[w] in strong} - looked_at
+                    looked_at |= words
+                    certain |= odds.certain(words, characters)
+        yield pa.RecordBatch.from_pylist([{"word": w} for w in sorted(certain)], schema=FIGURES_ARROW)
+
+    return rows.select("text", "label").mapInArrow(run, FIGURES)
+
+
+def learned_weights(figures: DataFrame, columns: int) -> np.ndarray:
+    """`figures`: label, best, levels and the number `n` of documents that have them."""
+    def sums_at(w: np.ndarray, used: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(used) + 1, len(used)))
+            for batch in batches:
+                levels = np.asarray(batch.column("levels").to_pylist()).reshape(len(batch), -1)
+                x = features_of(np.column_stack([batch.column("best").to_numpy(), levels]))
+                h, g = newton_sums(x, batch.column("label").to_numpy(), batch.column("n").to_numpy(), w, used)
+                total += np.vstack([h, g])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        total = sum(np.asarray(r.sums) for r in figures.mapInArrow(run, "sums array<double>").collect())
+        total = total.reshape(len(used) + 1, len(used))
+        return total[:-1], total[-1]
+
+    return logistic(columns, sums_at)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """Learn from all labelled documents whose crc32(doc_id) mod 5 is not 0."""
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/toxicity-{uuid.uuid4().hex}"
+    try:
+        training(docs, labels).write.parquet(f"{folder}/rows")
+        rows = spark.read.parquet(f"{folder}/rows")
+        number = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+        if len(number) < 2:
+            return Scorer(None, np.zeros(0), np.zeros(0), [])
+        characters = learned_characters(rows)
+        key = ("toxicity words", folder)
+        odds = learned_odds(rows, characters, key, (number[0], number[1]))
+        document_figures(rows, characters, odds, key).write.parquet(f"{folder}/figures")
+        figures = spark.read.schema(FIGURES).parquet(f"{folder}/figures")
+        strongest = frozenset(r.word for r in figures.where("word IS NOT NULL").select("word").distinct().collect())
+        figures.where("word IS NULL").groupBy("label", "best", "levels").agg(F.count("*").alias("n")).write.parquet(f"{folder}/distinct")
+        weights = learned_weights(spark.read.parquet(f"{folder}/distinct"), len(odds.levels) + 1)
+        return Scorer(characters, odds.learned, weights, odds.levels, strongest)
+    finally:
+        remove_folder(spark, folder)
 
 
 def score_column(model: Scorer, text: Column) -> Column:

@@ -148,3 +148,20 @@ def test_nothing_has_arrived(spark, hb, feed):
     assert active.instant(stored.current(spark, f"{feed.database}.minutes")) is None
     assert slots.stale_days(spark, feed.database) == []
     assert feed.table("slots").count() == 0
+
+
+def test_a_batch_of_minutes_is_computed_once(spark, hb, feed):
+    """However often its rows are used: a batch is a read of the stream and a pass over its state."""
+    made = [{"id": n, "at": f"05 06:{n:02d}:00"} for n in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    changed = active.minutes(hb(*made))
+    active.keep(f"{feed.database}.minutes")(changed.mapInArrow(count, changed.schema), 0)
+    assert seen.value == 40
+    kept = rows(stored.current(spark, f"{feed.database}.minutes"))
+    assert sorted(r["max_id"] for r in kept) == list(range(30, 40))

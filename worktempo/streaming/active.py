@@ -54,13 +54,18 @@ def keep(name: str, *, active_minutes: int = 10):
     def run(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
         old = stored.current(spark, name)
-        fresh = changed.select(*MINUTES.fieldNames())
-        same = F.col("minute").eqNullSafe(F.col("_minute")) & F.col("user_id").eqNullSafe(F.col("_user"))
-        keys = fresh.select(F.col("minute").alias("_minute"), F.col("user_id").alias("_user"))
-        rows = old.join(keys, same, "left_anti").unionByName(fresh)
-        # The instant of the table is the end of its last minute.
-        last = rows.agg(F.max("minute")).scalar()
-        stored.replace(rows.where(F.col("minute") >= last + (1 - active_minutes) * MINUTE_US), name)
+        # The batch is read and aggregated in its state once, however often its rows are used here.
+        fresh = changed.select(*MINUTES.fieldNames()).persist()
+        try:
+            # The instant of the table is the end of its last minute; nothing out of its reach is joined or sorted.
+            last = old.select("minute").unionByName(fresh.select("minute")).agg(F.max("minute")).first()[0]
+            near = F.col("minute") >= F.lit(last).cast("bigint") + (1 - active_minutes) * MINUTE_US
+            fresh_near = fresh.where(near)
+            same = F.col("minute").eqNullSafe(F.col("_minute")) & F.col("user_id").eqNullSafe(F.col("_user"))
+            keys = fresh_near.select(F.col("minute").alias("_minute"), F.col("user_id").alias("_user"))
+            stored.replace(old.where(near).join(keys, same, "left_anti").unionByName(fresh_near), name)
+        finally:
+            fresh.unpersist()
 
     return run
 

@@ -6,13 +6,14 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from worktempo.llm import language, quality_classifier, queries, toxicity
-from worktempo.llm.common import ngram_buckets
+from worktempo.llm.common import Words, ngram_buckets, split_words
 
 DATA = Path("/root/testdata/sf0.1")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -233,3 +234,57 @@ def test_runs_that_are_not_decoded_hold_no_word(certain_model, monkeypatch):
             certain_model.met.clear()
             assert certain_model.joined(run) == found, run
     assert skipped > 200
+
+
+def test_texts_are_dealt_out_the_same_way_at_every_size(spark, words, docs):
+    """With few labels the join was a broadcast and shuffled the texts of labelled documents only, with many it was not."""
+    labels = spark.createDataFrame([(n, n % 2) for n in range(20)], "doc_id bigint, toxic int")
+    rows = toxicity.training(docs(*((n % 25, words(5)) for n in range(50))), labels)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 3
+    assert all("text#" not in keys.split(")")[0] for keys in plan.split("hashpartitioning(")[1:])
+
+
+def test_figures_of_many_words_are_those_of_each(certain_model):
+    rng = random.Random(2)
+    odd = {"".join(rng.choices("aábeélliiosstt$!|(+1034.-,“”’ßÉİΣµñйЖ中ªº²_µllooee", k=rng.randrange(1, 9))) for _ in range(4000)}
+    odd |= {"a" * 70, "ab" * 40, "$$$", "!!!", "(Stu", "pid!", "idi", "oottaaeerr", "Straße", "ΑΣ", "e\u0301e"}
+    raw = sorted(w.encode() for w in odd if w.split() == [w])
+    model, found = certain_model, certain_model.word_figures(raw)
+    plain = [toxicity.bare(w.decode()) for w in raw]
+    assert found[:, 0].tolist() == [np.float32(model.evidence(model.characters.restore(p))) for p in plain]
+    assert found[:, -1].tolist() == [toxicity.piece_kind(p, model.parts) for p in plain]
+    buckets = toxicity.Learner(model.characters).buckets(raw)
+    for row, p in zip(buckets.tolist(), plain):
+        assert sorted(set(row) - {toxicity.BUCKETS}) == sorted(set(toxicity.features(model.characters.restore(p))))
+
+
+def test_one_of_two_equal_letters_is_left_out_as_by_decoding(certain_model):
+    rng = random.Random(3)
+    for _ in range(3000):
+        word = "".join(rng.choice("iiddoottssttuuppiidlmée") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(2, 9)))
+        if toxicity.DOUBLED.search(word) and not toxicity.TRIPLED.search(word):
+            assert certain_model.characters.undoubled(word) == certain_model.characters.decode(word)
+
+
+def test_runs_that_can_change_no_score_are_not_decoded(certain_model, monkeypatch):
+    rng, model = random.Random(4), certain_model
+    pool = ["the", "to", "it", "of", "de", "la", "en", "ne", "is", "s.", "to,", "a", "é", "ti", "lo", "stu", "pid", "idi", "ot", "st", "up", "id"]
+    texts = [" ".join(rng.choices(pool[:15] if n % 2 else pool, k=rng.randrange(2, 12))) for n in range(600)]
+    decoded, decode = [], model.characters.decode
+    monkeypatch.setattr(model.characters, "decode", lambda x: decoded.append(x) or decode(x))
+    some = model.scores(texts, toxicity.WordTable(model.word_figures))
+    few = len(decoded)
+    model.met.clear()
+    monkeypatch.setattr(model, "most", lambda words: float("inf"))
+    every = model.scores(texts, toxicity.WordTable(model.word_figures))
+    assert some.tolist() == every.tolist() and len(set(some.tolist())) > 3
+    assert few < (len(decoded) - few) / 2
+
+
+def test_words_in_arrow_are_those_of_python():
+    texts = [None, "", "  a b\t\na ", "\x1fx\x0by\x0c z", "é\u00a0é \u2003 b", "   ", "b"]
+    found = Words(texts)
+    assert [[found.distinct[k] for k in found.codes[a:b]] for a, b in zip(found.starts, found.starts[1:])] == list(map(split_words, texts))
+    assert len(set(found.distinct)) == len(found.distinct)
+    assert Words(pa.array(texts).slice(2, 3)).starts.tolist() == [0, 3, 6, 9]

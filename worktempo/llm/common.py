@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,15 +76,17 @@ def boxed(docs: DataFrame, *beside: str) -> DataFrame:
     return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(docs[c] for c in beside))
 
 
-def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind: str):
-    """Column function over texts. `make` runs once per task and gives a function from texts to an Arrow array.
+def text_udf(make: Callable[[], Callable[[list | pa.Array], pa.Array]], kind: str, as_list: bool = True):
+    """Column function over texts. `make` runs once per task and gives a function from texts (as a list, or as they come in
+    Arrow) to an Arrow array.
 
     Marked as not deterministic only so that Spark evaluates it once where a filter and a projection both use it.
     """
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         each = make()
         for column in columns:
-            parts = [each(part.to_pylist()) for part in slices(column)] or [each([])]
+            parts = list(slices(column)) or [column]
+            parts = [each(part.to_pylist() if as_list else part) for part in parts]
             yield pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
 
     run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -118,12 +121,45 @@ class WordTable(dict):
             self.values = None
         starts = np.concatenate([[0], np.cumsum([len(d) for d in documents], dtype=np.int64)]).astype(np.int64)
         index = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(documents)), np.int64, starts[-1])
+        return self.values_at(index), starts
+
+    def rows_of(self, words: Words) -> np.ndarray:
+        """Figures of all words of some texts in order."""
+        if len(self) > self.limit:
+            self.clear()
+            self.values = None
+        index = np.fromiter(map(self.__getitem__, words.distinct), np.int64, len(words.distinct))
+        return self.values_at(index[words.codes])
+
+    def values_at(self, index: np.ndarray) -> np.ndarray:
         if self.fresh or self.values is None:
             made = self.compute(self.fresh)
             self.values = made if self.values is None else np.concatenate([self.values, made])
             self.fresh = []
         self.index = index
-        return self.values[index], starts
+        return self.values[index]
+
+
+class Words:
+    """Words between ASCII white space of many texts (NULL: none): every distinct one in UTF-8, which of them the texts hold in
+    order, and where each text begins in that (one more entry: the end)."""
+
+    def __init__(self, texts: list[str | None] | pa.Array):
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t and t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string())
+        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = cut.flatten().dictionary_encode()
+        self.distinct: list[bytes] = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        codes, starts = words.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
+        starts = starts - starts[0] if len(starts) else np.zeros(1, np.int64)
+        if b"" in self.distinct:  # beside white space at the ends of a text
+            empty = self.distinct.index(b"")
+            kept = codes != empty
+            starts = np.concatenate([[0], np.cumsum(kept)])[starts]
+            codes = codes[kept]
+            codes = codes - (codes > empty)
+            del self.distinct[empty]
+        self.codes, self.starts = codes, starts
 
 
 def split_words(text: str | None) -> list[bytes]:

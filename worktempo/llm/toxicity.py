@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktempo.llm.common import (
-    WordTable, is_remainder, remove_folder, shared_folder, slices, split_words, sums, text_udf, worker_state,
+    WordTable, Words, is_remainder, remove_folder, shared_folder, slices, split_words, sums, text_udf, worker_state,
 )
 
 BUCKETS = 1 << 18
@@ -85,6 +85,16 @@ class CharacterModel:
                     grams[padded[at - k:at + 1]] += n
         return grams
 
+    @classmethod
+    def longest_grams(cls, words: Iterable[tuple[str, int]]) -> Counter:
+        """The sequence of ORDER + 1 letters that ends at each letter of a word or behind it; all others are their ends."""
+        grams: Counter = Counter()
+        for word, n in words:
+            padded = "^" * cls.ORDER + word + "$"
+            for at in range(len(word) + 1):
+                grams[padded[at:at + cls.ORDER + 1]] += n
+        return grams
+
     @classmethod
     def of_words(cls, words: Counter) -> CharacterModel:
         grams, histories = cls.grams(words.items()), Counter()
@@ -163,10 +173,44 @@ class CharacterModel:
             word = word[1]
         return "".join(reversed(out))
 
+    def undoubled(self, word: str) -> str:
+        """What `decode` gives for a word of letters, none three times in a row and none of LEET.
+
+        The only choice is whether the second of two equal letters is one too many, so all choices are compared. Each cost
+        is added up in the order of `decode`, which decides where two come out about equal.
+        """
+        second = [at for at in range(1, len(word)) if word[at] == word[at - 1]]
+        if len(second) > 3:
+            return self.decode(word)
+        costs = self.__dict__.setdefault("costs", {})
+        if len(costs) > 300_000:
+            costs.clear()
+        found = []
+        for chosen in range(1 << len(second)):
+            dropped = [at for k, at in enumerate(second) if chosen >> k & 1]
+            history, cost, kept = "^" * self.ORDER, 0.0, []
+            for at, letter in enumerate(word):
+                if at in dropped:
+                    cost += REPEAT_COST
+                    continue
+                gram = history + letter
+                log = costs.get(gram)
+                if log is None:
+                    log = costs[gram] = self.log(history, letter)
+                cost -= log
+                history = gram[1:]
+                kept.append(letter)
+            found.append((cost - self.log(history, "$"), "".join(kept)))
+        found.sort()
+        return self.decode(word) if len(found) > 1 and found[1][0] - found[0][0] < 1e-9 else found[0][1]
+
     def knows(self, word: str) -> bool:
         """Did every letter of the word occur after the four before it?"""
-        padded = "^" * self.ORDER + word
-        return all(padded[at:at + self.ORDER + 1] in self.logs for at in range(len(word)))
+        padded, logs, size = "^" * self.ORDER + word, self.logs, self.ORDER + 1
+        for at in range(len(word)):
+            if padded[at:at + size] not in logs:
+                return False
+        return True
 
     def restore(self, word: str) -> str:
         """The word as meant: lower case, without signs at its edges, decoded if it looks hidden.
@@ -178,8 +222,11 @@ class CharacterModel:
             return plain
         if hidden(plain):
             return self.decode(plain)
-        if DOUBLED.search(plain) and not self.knows(plain + "$"):
-            decoded = self.decode(plain)
+        return self.restore_doubled(plain) if DOUBLED.search(plain) else plain
+
+    def restore_doubled(self, plain: str) -> str:
+        if not self.knows(plain + "$"):
+            decoded = self.undoubled(plain) if plain.isalpha() and not any(map(LEET.__contains__, plain)) else self.decode(plain)
             if self.knows(decoded[:6]):
                 return decoded
         return plain
@@ -230,6 +277,125 @@ def features(word: str) -> list[int]:
     return found
 
 
+#: Letters below this code point have at most two bytes in UTF-8; figures of words of them are made for many words at once.
+TABLED = 0x800
+
+
+def tabled(kind: type, of: Callable[[str], object]) -> np.ndarray:
+    """One value for each code point below TABLED, and one (of nothing) for all others."""
+    return np.asarray([of(chr(code)) for code in range(TABLED)] + [of("")], kind)
+
+
+#: The lower case of a letter, where it is one letter below TABLED whatever stands beside it; else TABLED.
+LOWER = tabled(np.uint16, lambda x: ord(x.lower()) if len(x.lower()) == 1 and ord(x.lower()) < TABLED and x != "Σ" else TABLED)
+ALPHA = tabled(bool, lambda x: x.isalpha() and x not in LEET)
+EDGE, EDGE_LETTER = tabled(bool, lambda x: x != "" and x in EDGES_OR_S), tabled(bool, lambda x: x != "" and x in "$!|(+")
+FOLDED = tabled(np.uint16, lambda x: ord(x.translate(FOLD)) if x else TABLED)
+HIGH_EDGES = np.asarray([ord(x) for x in EDGES_OR_S if ord(x) >= TABLED], np.uint32)
+CRC = np.asarray([zlib.crc32(bytes([x]), 0xFFFFFFFF) ^ 0xFFFFFFFF for x in range(256)], np.uint32)
+#: What turns the checksum of some bytes begun for whole words into the one begun for a prefix, by number of bytes.
+TO_PREFIX = {k: np.asarray([zlib.crc32(bytes(n), start) ^ zlib.crc32(bytes(n), WHOLE) for n in range(2 * k + 1)], np.uint32)
+             for k, start in PREFIXES}
+#: Longest word whose figures are made together with others'.
+TOGETHER = 64
+MIX = np.cumprod(np.full(TOGETHER + 1, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def form_hash(word: str) -> int:
+    """A hash of a folded word, equal to that of `Plain.folded_hashes`."""
+    return sum((ord(x) + 1) ** 2 * int(MIX[at]) for at, x in enumerate(word[:TOGETHER])) % (1 << 64)
+
+
+class Plain:
+    """The bare forms of many words of which one can say without decoding what they are: letters only, none three times in a
+    row. `rows` are their places among the words; all other words are `rest`."""
+
+    def __init__(self, words: list[bytes]):
+        codes = np.frombuffer(b" ".join(words).decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4")
+        if len(codes) and codes.max() >= TABLED:
+            codes = np.where(np.isin(codes, HIGH_EDGES), ord("."), np.minimum(codes, TABLED))
+        gaps = np.flatnonzero(codes == ord(" "))
+        begin, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(codes))
+        codes = LOWER[codes]
+        # The first and the last sign that is no edge; where there is none the word is no word of letters.
+        core = np.flatnonzero(~EDGE[codes] & (codes != ord(" ")))
+        core = np.append(core, len(codes))
+        first = core[np.searchsorted(core, begin)]
+        last = core[np.maximum(np.searchsorted(core, end) - 1, 0)] + 1
+        whole = (first < end) & (end > begin)
+        first, last = np.where(whole, first, begin), np.where(whole, last, begin)
+        whole &= last - first <= TOGETHER
+        before = np.maximum(first - 1, 0)
+        whole &= ~((first > begin) & EDGE_LETTER[codes[before]]) if len(codes) else False
+        strange = np.concatenate([[0], np.cumsum(~ALPHA[codes])])
+        whole &= strange[last] == strange[first]
+        same = np.zeros(len(codes), bool)
+        same[1:] = codes[1:] == codes[:-1]  # signs beside the letters are no letters, so none equals one
+        thrice = same.copy()
+        thrice[1:] &= same[:-1]
+        thrice, twice = (np.concatenate([[0], np.cumsum(x)]) for x in (thrice, same))
+        whole &= thrice[last] == thrice[first]
+        self.codes, self.rows, self.rest = codes, np.flatnonzero(whole), np.flatnonzero(~whole)
+        self.first, self.lengths = first[whole], (last - first)[whole]
+        self.doubled = np.flatnonzero((twice[last] > twice[first])[whole])
+
+    def words(self, some: np.ndarray) -> list[str]:
+        lengths = self.lengths[some] + 1
+        starts = np.cumsum(lengths) - lengths
+        codes = np.full(int(lengths.sum()), ord(" "), "<u4")
+        inside = np.delete(np.arange(len(codes)), starts + lengths - 1)
+        codes[inside] = self.codes[(np.repeat(self.first[some] - starts, lengths) + np.arange(len(codes)))[inside]]
+        return codes.tobytes().decode("utf-32-le").split()
+
+    def buckets(self) -> np.ndarray:
+        """Buckets of each form as `features` has them, in another order; BUCKETS where there are fewer."""
+        out = np.full((len(self.rows), len(PREFIXES) + 1), BUCKETS, np.int32)
+        order = np.argsort(-self.lengths, kind="stable")
+        lengths, first = self.lengths[order], self.first[order]
+        state = np.full(len(order), WHOLE ^ 0xFFFFFFFF, np.uint32)
+        size = np.zeros(len(order), np.int64)
+        made = np.full((len(PREFIXES) + 1, len(order)), BUCKETS, np.int32)
+        prefixes = {k: column for column, (k, _) in enumerate(PREFIXES)}
+        left = np.searchsorted(-lengths, -np.arange(int(lengths[0]) + 1 if len(order) else 1), side="left")  # words longer than that
+        for at in range(len(left)):
+            if at in prefixes:
+                n = left[at]
+                crc = state[:n] ^ np.uint32(0xFFFFFFFF) ^ TO_PREFIX[at][size[:n]]
+                made[prefixes[at], :n] = crc % BUCKETS
+            n = left[at]
+            if not n:
+                break
+            letter = self.codes[first[:n] + at].astype(np.uint32)
+            wide = letter >= 0x80
+            now = state[:n]
+            byte = np.where(wide, letter >> 6 | 0xC0, letter)
+            now = CRC[(now ^ byte) & 0xFF] ^ now >> 8
+            some = np.flatnonzero(wide)
+            if len(some):
+                more = now[some]
+                now[some] = CRC[(more ^ (letter[some] & 0x3F | 0x80)) & 0xFF] ^ more >> 8
+            state[:n] = now
+            size[:n] += 1 + wide
+        made[-1] = (state ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+        out[order] = made.T
+        return out
+
+    def folded_hashes(self) -> np.ndarray:
+        """A hash of each folded form."""
+        if not len(self.rows):
+            return np.zeros(0, np.uint64)
+        starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        place = np.arange(int(self.lengths.sum())) - np.repeat(starts, self.lengths)
+        codes = FOLDED[self.codes[np.repeat(self.first, self.lengths) + place]]
+        kept = np.ones(len(codes), bool)
+        kept[1:] = codes[1:] != codes[:-1]
+        kept[starts] = True
+        rank = np.cumsum(kept)
+        rank -= np.repeat(rank[starts], self.lengths)
+        values = np.where(kept, (codes.astype(np.uint64) + np.uint64(1)) ** 2 * MIX[rank], np.uint64(0))
+        return np.add.reduceat(values, starts)
+
+
 def inner_parts(words: frozenset[str]) -> frozenset[str]:
     """Parts of three letters or more that begin or end a word or lie inside it, folded, but for words of the set."""
     parts = (w[a:b] for w in words for a in range(len(w)) for b in range(a + 3, len(w) + 1))
@@ -275,6 +441,20 @@ def piece_runs(kinds: np.ndarray, starts: np.ndarray | None = None) -> list[tupl
     return list(zip((begin - before).tolist(), (end - before).tolist()))
 
 
+def short_forms(piece: str, last: str) -> list[str]:
+    """Up to two letters that decoding may leave of a piece of letters behind the letter `last`: it drops repeats only."""
+    if len(piece) < 3 and piece[0] != last and piece[0] != piece[-1]:
+        return [piece]
+    forms = [""]
+    for letter in piece:
+        more = [f + letter for f in forms]
+        forms = more + forms if letter == last else more
+        if min(map(len, forms)) > 2:
+            return []
+        last = letter
+    return [f for f in forms if len(f) < 3]
+
+
 class Scorer:
     """`odds`: evidence per bucket; `weights`: of a constant, the strongest evidence, and log(1 + words) at each level."""
 
@@ -284,6 +464,9 @@ class Scorer:
         self.strongest, self.parts = strongest, inner_parts(strongest)
         self.met: dict[bytes, list[float]] = {}  # short runs of pieces met before
         self.known: dict[str, tuple[float, int]] = {}  # words without the signs at their edges, as they are in word_figures
+        self.spelled_out: dict[str, float] = {}  # evidence of words put together from short pieces
+        self.pairs: dict[tuple[str, str, bool], tuple[float, bool, bool]] = {}  # of pieces
+        self.bare_pieces: dict[bytes, tuple[str, bool, bool]] = {}
 
     @cached_property
     def listed(self) -> list[float]:
@@ -296,9 +479,24 @@ class Scorer:
     def word_figures(self, words: list[bytes]) -> np.ndarray:
         """Evidence of each word, which levels it reaches, and what it is in a run of pieces."""
         out = np.zeros((len(words), 2 + len(self.levels)), np.float32)
+        if not words:
+            return out
+        easy = Plain(words)
+        buckets = easy.buckets()
+        for at, word in zip(easy.doubled.tolist(), easy.words(easy.doubled)):
+            restored = self.characters.restore_doubled(word)
+            if restored != word:
+                buckets[at] = BUCKETS
+                buckets[at, :len(made)] = (made := features(restored))
+        out[easy.rows, 0] = np.append(self.odds, np.float32(-np.inf))[buckets].max(axis=1)
+        kinds = np.where(easy.lengths < 3, PIECE, LONGER)
+        maybe = np.flatnonzero(np.isin(easy.folded_hashes(), self.part_hashes))
+        for at, word in zip(maybe.tolist(), easy.words(maybe)):
+            kinds[at] = piece_kind(word, self.parts)
+        out[easy.rows, -1] = kinds
         found, known = [], self.known
-        for raw in words:
-            word = raw.decode("utf-8", "replace")
+        for row in easy.rest.tolist():
+            word = words[row].decode("utf-8", "replace")
             plain = bare(word)
             figures = known.get(plain)
             if figures is None:
@@ -307,15 +505,23 @@ class Scorer:
                     known.clear()
             found.append(figures)
         if found:
-            out[:, 0], out[:, -1] = np.asarray(found).T
+            out[easy.rest, 0], out[easy.rest, -1] = np.asarray(found).T
         out[:, 1:-1] = out[:, :1] >= np.asarray(self.levels, np.float32)
         return out
 
+    @cached_property
+    def part_hashes(self) -> np.ndarray:
+        return np.asarray(sorted(map(form_hash, self.parts)), np.uint64)
+
     @cached_property
     def strong_forms(self) -> tuple[frozenset[str], int]:
         forms = frozenset(map(folded, self.strongest))
         return forms, max(map(len, forms), default=0)
 
+    @cached_property
+    def strong_beginnings(self) -> frozenset[str]:
+        return frozenset(form[:k] for form in self.strong_forms[0] for k in range(len(form) + 1))
+
     def may_join(self, pieces: list[str]) -> bool:
         """Can decoding find a word that counts? Of letters it drops repeats only, so each joined word is known in folded form;
         one of pieces below three letters may be any word."""
@@ -328,9 +534,15 @@ class Scorer:
             if short and last_short:
                 return True
             before, last_short = piece[-1], short
+        return self.spells_strong(pieces)
+
+    def spells_strong(self, pieces: list[str]) -> bool:
+        """Do pieces of letters, joined, have the folded form of a word of strong evidence?"""
         forms, longest = self.strong_forms
         parts = list(map(folded, pieces))
         for a in range(len(parts) - 1):
+            if parts[a] not in self.strong_beginnings and not (a and pieces[a][0] == pieces[a - 1][-1]):
+                continue
             # A letter that repeats the last one of the piece before may be dropped too.
             for word in {parts[a], folded(pieces[a].lstrip(pieces[a - 1][-1]))} if a else parts[:1]:
                 for part in parts[a + 1:]:
@@ -341,6 +553,86 @@ class Scorer:
                         break
         return False
 
+    def most(self, words: list[bytes]) -> float:
+        """No word that `joined` finds has more evidence than this. Of letters decoding drops repeats only, so of short pieces
+        all words that they can spell are known."""
+        known = self.bare_pieces
+        most, longer, asked, short_before = -math.inf, False, False, False
+        p, begins, small, last = "", False, False, ""
+        for raw in words:
+            q, q_begins, q_small = known.get(raw) or self.bare_piece(raw)
+            if not q:
+                if q_small:
+                    return math.inf
+                continue
+            if p:
+                short = False
+                if begins or p[0] == last or small and q_small:
+                    key = p, q, p[0] == last
+                    evidence, short, strong = self.pairs.get(key) or self.pair(*key)
+                    if strong and not asked:
+                        asked = True
+                        if self.spells_strong(self.bare_letters(words)):
+                            return math.inf
+                    if evidence > most:
+                        most = evidence
+                    longer = longer or short and short_before
+                short_before, last = short, p[-1]
+            p, begins, small = q, q_begins, q_small
+        return max(most, self.most_of_short(self.bare_letters(words))) if longer else most
+
+    def bare_piece(self, raw: bytes) -> tuple[str, bool, bool]:
+        """The letters of a piece, whether a word of strong evidence begins with them, and whether decoding may leave less than
+        three. Without letters: whether signs may stand for some."""
+        piece = bare(raw.decode("utf-8", "replace"))
+        if not any(x.isalnum() or x in LEET for x in piece):
+            found = "", False, False
+        elif not piece.isalpha() or any(map(LEET.__contains__, piece)):
+            found = "", False, True
+        else:
+            found = piece, folded(piece) in self.strong_beginnings, bool(len(piece) < 3 or DOUBLED.search(piece))
+        if len(self.bare_pieces) >= 100_000:
+            self.bare_pieces.clear()
+        self.bare_pieces[raw] = found
+        return found
+
+    def bare_letters(self, words: list[bytes]) -> list[str]:
+        return [piece for piece, _, _ in (self.bare_pieces.get(w) or self.bare_piece(w) for w in words) if piece]
+
+    def pair(self, p: str, q: str, repeated: bool) -> tuple[float, bool, bool]:
+        """Of two pieces, the first of which may begin with the last letter before it: most evidence of what they can spell if
+        they are short, whether they are, and whether a word of strong evidence begins with them in folded form."""
+        last = p[0] if repeated else ""
+        begun = {folded(p), folded(p.lstrip(last))} if repeated else {folded(p)}
+        strong = any(REPEATED.sub(r"\1", start + folded(q)) in self.strong_beginnings for start in begun)
+        short = bool(short_forms(p, last) and short_forms(q, p[-1]))
+        found = self.most_of_short([p, q], last) if short else -math.inf, short, strong
+        if len(self.pairs) >= 200_000:
+            self.pairs.clear()
+        self.pairs[p, q, repeated] = found
+        return found
+
+    def most_of_short(self, pieces: list[str], last: str = "") -> float:
+        if len(pieces) > 12:
+            return math.inf
+        most, known = -math.inf, self.spelled_out
+        begun: list[str] = []  # words that the next piece may go on with
+        for piece in pieces:
+            forms, last = short_forms(piece, last), piece[-1]
+            grown = [w + f for w in begun for f in forms]
+            if len(grown) > 60:
+                return math.inf
+            for word in grown:
+                found = known.get(word)
+                if found is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    found = known[word] = self.evidence(word)
+                if found > most:
+                    most = found
+            begun = grown + forms
+        return most
+
     def joined(self, words: list[bytes]) -> list[float]:
         """Evidence of every word that a run spells in more than one piece; with a piece of three letters or more only a
         word that is itself known for strong evidence, since two ordinary words may begin like one."""
@@ -360,11 +652,11 @@ class Scorer:
                 self.met[run] = found
         return found
 
-    def scores(self, texts: list[str | None], table: WordTable) -> np.ndarray:
+    def scores(self, texts: list[str | None] | pa.Array, table: WordTable) -> np.ndarray:
         if self.characters is None:
             return np.zeros(len(texts))
-        documents = [split_words(t) for t in texts]
-        values, starts = table.rows(documents)
+        every = Words(texts)
+        values, starts = table.rows_of(every), every.starts
         full = np.flatnonzero(np.diff(starts))
         best = np.zeros(len(texts))
         if len(full):
@@ -373,9 +665,13 @@ class Scorer:
         count = total[:, 1:-1]
         levels, found_runs = np.asarray(self.levels), piece_runs(values[:, -1], starts)
         documents_of = np.searchsorted(starts, [a for a, _ in found_runs], side="right") - 1
+        low = min(self.levels, default=math.inf)
         for (a, b), at in zip(found_runs, documents_of.tolist()):
-            first = int(starts[at])
-            for found in self.joined(documents[at][a - first:b - first]):
+            words = [every.distinct[code] for code in every.codes[a:b].tolist()]
+            most = self.most(words)
+            if most <= best[at] and most < low:  # whatever is found changes nothing
+                continue
+            for found in self.joined(words):
                 best[at] = max(best[at], found)
                 count[at] += found >= levels
         z = np.column_stack([np.ones(len(best)), best, np.log1p(count)]) @ self.weights
@@ -399,22 +695,33 @@ class Learner:
 
     def buckets(self, words: list[bytes]) -> np.ndarray:
         out = np.full((len(words), len(PREFIXES) + 1), BUCKETS, np.int32)
-        for at, raw in enumerate(words):
-            found = features(self.characters.restore(raw.decode("utf-8", "replace")))
-            out[at, :len(found)] = found
+        if not words:
+            return out
+        plain = Plain(words)
+        out[plain.rows] = plain.buckets()
+        restored = [(row, self.characters.restore(words[row].decode("utf-8", "replace"))) for row in plain.rest.tolist()]
+        for at, word in zip(plain.doubled.tolist(), plain.words(plain.doubled)):
+            found = self.characters.restore_doubled(word)
+            if found != word:
+                restored.append((int(plain.rows[at]), found))
+        for row, word in restored:
+            found = features(word)
+            out[row] = BUCKETS
+            out[row, :len(found)] = found
         return out
 
-    def count(self, texts: list[str], labels: np.ndarray, table: WordTable, into: np.ndarray) -> None:
+    def count(self, words: Words, labels: np.ndarray, table: WordTable, into: np.ndarray) -> None:
         """Add to `into` (other and toxic documents) which documents have which buckets."""
-        values, starts = table.rows([split_words(t) for t in texts])
-        # A document's words once each, so that there is less to sort.
-        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-        first = np.unique(owner * len(table) + table.index)
-        owner, values = first // max(len(table), 1), table.values[first % max(len(table), 1)]
-        pairs = np.unique((owner[:, None] * (BUCKETS + 1) + values).ravel())
+        values, width = table.rows_of(words), BUCKETS + 1
+        kind = np.int32 if len(labels) * width < 1 << 31 else np.int64
+        owner = np.repeat(np.arange(len(labels), dtype=kind) * kind(width), np.diff(words.starts))
+        pairs = (owner[:, None] + values).ravel()
+        pairs.sort()
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        owner = pairs // width
         for label in (0, 1):
-            mine = pairs[labels[pairs // (BUCKETS + 1)] == label]
-            into[label] += np.bincount(mine % (BUCKETS + 1), minlength=BUCKETS + 1)
+            mine = labels[owner] == label
+            into[label] += np.bincount(pairs[mine] - owner[mine] * width, minlength=width)
 
 
 class Odds:
@@ -442,9 +749,9 @@ class Odds:
         other, toxic = self.found
         return [np.append(self.odds(np.maximum(other - (label == 0), 0), np.maximum(toxic - label, 0)), -np.inf) for label in (0, 1)]
 
-    def figures(self, texts: list[str], labels: np.ndarray, table: WordTable) -> np.ndarray:
+    def figures(self, words: Words, labels: np.ndarray, table: WordTable) -> np.ndarray:
         """Columns for each document: strongest evidence, words at each level."""
-        values, starts = table.rows([split_words(t) for t in texts])
+        values, starts = table.rows_of(words), words.starts
         own = np.zeros((len(values), 1 + len(self.levels)))
         toxic = np.repeat(labels, np.diff(starts)).astype(bool)
         for label, rows in enumerate((~toxic, toxic)):
@@ -474,9 +781,10 @@ def train(texts: list[str], labels: list[int]) -> Scorer:
     characters = CharacterModel.of_words(Counter({w: n for w, n in words.items() if w.isalpha()}))
     learner, found = Learner(characters), np.zeros((2, BUCKETS + 1), np.int64)
     table = WordTable(learner.buckets)
-    learner.count(texts, y, table, found)
+    every = Words(texts)
+    learner.count(every, y, table, found)
     odds = Odds(found, (int((y == 0).sum()), int((y == 1).sum())))
-    x = features_of(odds.figures(texts, y, table))
+    x = features_of(odds.figures(every, y, table))
     weights = logistic(len(odds.levels) + 1, lambda w, used: newton_sums(x, y, np.ones(len(y)), w, used))
     return Scorer(characters, odds.learned, weights, odds.levels, frozenset(odds.certain(table, characters)))
 
@@ -517,7 +825,8 @@ def training(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> DataFr
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & ~is_remainder("doc_id", held_out_of, 0) & F.col("doc_id").isNotNull()).distinct()
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~is_remainder("doc_id", held_out_of, 0))
-    return texts.join(usable, "doc_id").select("doc_id", "text", "label").distinct()
+    # By doc_id at every size of labels: texts are dealt out once, and their repeated rows lie together for `distinct`.
+    return texts.join(usable.hint("merge"), "doc_id").select("doc_id", "text", "label").distinct()
 
 
 def in_parts(found: dict, most: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -550,9 +859,11 @@ def learned_characters(rows: DataFrame) -> CharacterModel:
             yield {w: n for w, n in document.items() if w.isalpha()}
 
     def grams_of(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield CharacterModel.grams(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()))
+        yield CharacterModel.longest_grams(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()))
 
-    grams = counted(counted(rows.select("text"), words_of), grams_of)
+    longest = counted(counted(rows.select("text"), words_of), grams_of)
+    ends = F.expr(f"explode(transform(sequence(1, {CharacterModel.ORDER + 1}), k -> right(key, k)))")
+    grams = longest.select(ends.alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     history = F.expr("left(key, char_length(key) - 1)")
     before = grams.groupBy(history.alias("history")).agg(F.sum("n").alias("before"))
     seen = grams.where("n > 1 OR char_length(key) < 4").withColumn("history", history).join(before, "history")
@@ -566,7 +877,7 @@ def learned_odds(rows: DataFrame, characters: CharacterModel, key: tuple, docume
         found = np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
             for some in slices(batch):
-                learner.count(some.column("text").to_pylist(), some.column("label").to_numpy(), table, found)
+                learner.count(Words(some.column("text")), some.column("label").to_numpy(), table, found)
         at = np.flatnonzero(found.any(axis=0)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[0, at]), pa.array(found[1, at])], names=["bucket", "other", "toxic"])
 
@@ -591,13 +902,13 @@ def document_figures(rows: DataFrame, characters: CharacterModel, odds: Odds, ke
         for batch in batches:
             for some in slices(batch):
                 labels = some.column("label").to_numpy()
-                x = odds.figures(some.column("text").to_pylist(), labels, table)
+                every = Words(some.column("text"))
+                x = odds.figures(every, labels, table)
                 yield pa.RecordBatch.from_pylist([{"label": int(label), "best": best, "levels": levels} for label, (best, *levels)
                                                   in zip(labels, x.tolist())], schema=FIGURES_ARROW)
-                strong = np.unique(table.index)
-                strong = set(strong[bar[table.values[strong]].any(axis=1)].tolist())
-                if strong:
-                    words = {w for t in some.column("text").to_pylist() for w in split_words(t) if table[w] in strong} - looked_at
+                strong = np.flatnonzero(bar[table.values[table.index]].any(axis=1))
+                if len(strong):
+                    words = {every.distinct[code] for code in every.codes[strong].tolist()} - looked_at
                     looked_at |= words
                     certain |= odds.certain(words, characters)
         yield pa.RecordBatch.from_pylist([{"word": w} for w in sorted(certain)], schema=FIGURES_ARROW)
@@ -655,4 +966,4 @@ def score_column(model: Scorer, text: Column) -> Column:
         scorer, table = worker_state(key, lambda: (model, WordTable(model.word_figures, 600_000)))
         return lambda texts: pa.array(scorer.scores(texts, table), pa.float64())
 
-    return text_udf(make, "double")(text)
+    return text_udf(make, "double", as_list=False)(text)

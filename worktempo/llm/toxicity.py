@@ -408,6 +408,11 @@ def folded(word: str) -> str:
     return word if simple(word) else REPEATED.sub(r"\1", NO_LETTER.sub("", word))
 
 
+def met(a: str, b: str) -> str:
+    """Two folded forms as one."""
+    return a + b[1:] if a and b and a[-1] == b[0] else a + b
+
+
 def piece_kind(word: str, parts: frozenset[str] = frozenset()) -> int:
     plain = bare(word)
     if len(plain) > 2 and simple(plain):
@@ -514,13 +519,12 @@ class Scorer:
         return np.asarray(sorted(map(form_hash, self.parts)), np.uint64)
 
     @cached_property
-    def strong_forms(self) -> tuple[frozenset[str], int]:
-        forms = frozenset(map(folded, self.strongest))
-        return forms, max(map(len, forms), default=0)
+    def strong_forms(self) -> frozenset[str]:
+        return frozenset(map(folded, self.strongest))
 
     @cached_property
     def strong_beginnings(self) -> frozenset[str]:
-        return frozenset(form[:k] for form in self.strong_forms[0] for k in range(len(form) + 1))
+        return frozenset(form[:k] for form in self.strong_forms for k in range(len(form) + 1))
 
     def may_join(self, pieces: list[str]) -> bool:
         """Can decoding find a word that counts? Of letters it drops repeats only, so each joined word is known in folded form;
@@ -538,18 +542,18 @@ class Scorer:
 
     def spells_strong(self, pieces: list[str]) -> bool:
         """Do pieces of letters, joined, have the folded form of a word of strong evidence?"""
-        forms, longest = self.strong_forms
+        forms, beginnings = self.strong_forms, self.strong_beginnings
         parts = list(map(folded, pieces))
         for a in range(len(parts) - 1):
-            if parts[a] not in self.strong_beginnings and not (a and pieces[a][0] == pieces[a - 1][-1]):
+            if parts[a] not in beginnings and not (a and pieces[a][0] == pieces[a - 1][-1]):
                 continue
             # A letter that repeats the last one of the piece before may be dropped too.
             for word in {parts[a], folded(pieces[a].lstrip(pieces[a - 1][-1]))} if a else parts[:1]:
                 for part in parts[a + 1:]:
-                    word = REPEATED.sub(r"\1", word + part)
+                    word = met(word, part)
                     if word in forms:
                         return True
-                    if len(word) > longest:
+                    if word not in beginnings:
                         break
         return False
 
@@ -604,7 +608,7 @@ class Scorer:
         they are short, whether they are, and whether a word of strong evidence begins with them in folded form."""
         last = p[0] if repeated else ""
         begun = {folded(p), folded(p.lstrip(last))} if repeated else {folded(p)}
-        strong = any(REPEATED.sub(r"\1", start + folded(q)) in self.strong_beginnings for start in begun)
+        strong = any(met(start, folded(q)) in self.strong_beginnings for start in begun)
         short = bool(short_forms(p, last) and short_forms(q, p[-1]))
         found = self.most_of_short([p, q], last) if short else -math.inf, short, strong
         if len(self.pairs) >= 200_000:

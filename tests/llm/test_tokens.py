@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -63,6 +64,74 @@ def test_damage_is_noticed(at):
         range_coder.decode_blocks([bytes(blob)])
 
 
+def test_coder_of_all_lengths_together():
+    """Strands of several lengths in one group, blocks alone and beside others, and all values of 32 bits."""
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 255, 256, 511, 512, 513, 767, 5000, range_coder.BLOCK - 1, range_coder.BLOCK] * 7
+    blocks = [rng.integers(0, most, n).astype(np.uint32) for n, most in zip(sizes, [1, 2, 50, 40_000, 1 << 32] * 16)]
+    coded = range_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(range_coder.decode_blocks(coded), blocks, strict=True))
+    assert all((range_coder.decode_blocks([c])[0] == b).all() for c, b in zip(coded[:11], blocks))
+    assert range_coder.encode_blocks(blocks[7:9]) == coded[7:9]
+
+
+def test_coder_goes_through_few_positions():
+    """The loop over positions is what costs: a block of 16,384 ids takes 256 of them, in one group with 63 others."""
+    lengths = range_coder.cut_strands(range_coder.BLOCK)
+    assert len(lengths) == 64 and lengths.max() == 256 and lengths.sum() == range_coder.BLOCK
+    for n in (1, 300, 1000, 16_383):
+        lengths = range_coder.cut_strands(n)
+        assert lengths.sum() == n and lengths.min() > 0 and (np.diff(lengths) <= 0).all() and lengths.max() <= 512
+    assert len(range_coder.grouped([range_coder.BLOCK] * 128)) == 2
+
+
+def test_coder_learns_from_all_strands():
+    """Ids that came in one strand are cheap in the others: 16,384 ids of few blocks' worth of text take little."""
+    ids = np.random.default_rng(3).integers(0, 40_000, 61).astype(np.uint32)
+    (blob,) = range_coder.encode_blocks([np.resize(ids, range_coder.BLOCK)])
+    assert len(blob) < 2500  # 12,147 bytes by order-0 frequencies alone
+
+
+def test_damage_of_any_byte_gives_no_other_ids():
+    """A ValueError and no other error; the last bits of a strand's last word may tell nothing."""
+    ids = np.random.default_rng(4).zipf(1.5, 700).clip(max=9000).astype(np.uint32)
+    (blob,) = range_coder.encode_blocks([ids])
+    noticed = 0
+    for at in [*range(4), *range(16, len(blob), 5)]:
+        for flip in (1, 255):
+            bad = bytearray(blob)
+            bad[at] ^= flip
+            try:
+                assert (range_coder.decode_blocks([bytes(bad)])[0] == ids).all()
+            except ValueError:
+                noticed += 1
+    assert noticed >= 2 * len(range(16, len(blob), 5))
+
+
+def test_known_letters_with_other_capitals_and_punctuation_are_not_encoded_again():
+    encoder, calls = Encoder(PATH), []
+
+    class Model:
+        def tokenize(self, word, model=encoder.model):
+            calls.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Model()
+    texts = ["Zorbellith, zorbellith! ZORBELLITH", "zorbellith", "(zorbellith) Zorbellith,"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == [plain(t).tolist()[:-1] for t in texts]
+    assert calls.count("zorbellith") == 1
+
+
+def test_texts_are_taken_by_size(monkeypatch):
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 6, "", "c" * 30, "d", "é" * 5, "e"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = [p.column("text").to_pylist() for p in token_files.portions(batch)]
+    assert sum(parts, []) == texts and [len(p) for p in parts] == [4, 1, 1, 1, 1]
+    assert sum([p.column("text").to_pylist() for p in token_files.portions(batch.slice(2, 4))], []) == texts[2:6]
+    assert list(token_files.portions(batch.slice(0, 0))) == []
+
+
 def check_files(rows, texts):
     """texts: (doc_id, text) in the order of the files."""
     start, want = 0, []

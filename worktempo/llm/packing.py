@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFra
         for batch in batches:
             for some in slices(batch):
                 rows = []
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text"))):
                     data = ids + end
                     for at in range(0, len(data), 4 * window):
                         piece = data[at:at + 4 * window]

@@ -1,12 +1,15 @@
 """Adaptive context-mixing range coder for token ids, over many independent blocks at once.
 
-A block is coded by itself: its alphabet (sorted distinct ids), then one range-coded stream, with a crc32 over its ids. The
-probability of an id mixes three predictions: adaptive order-0 frequencies, the id last seen after the previous id (order
+A block is coded by itself: its alphabet (sorted distinct ids), then its ids in up to 64 strands, with a crc32 over its ids.
+The probability of an id mixes three predictions: adaptive order-0 frequencies, the id last seen after the previous id (order
 1), and the id last seen after the previous two (order 2). Each prediction has a small confidence, and for each pair of
 confidences the block learns how often order 2 or order 1 was right; these rates are the mixing weights. Everything starts
 afresh in each block, so a block is read without any other.
 
-numpy works on one position of all blocks at a time; the loop over positions is as long as a block.
+A strand is a stretch of the block with a range coder of its own. The strands of a block go forward together and share its
+models: all read them as they are before a position, then all teach them. So the models learn from every id of the block, and
+numpy works on one position of all strands of many blocks at a time, with models small enough for the processor's caches. The
+predicted ids follow at once; order-0 frequencies and mixing weights are refreshed at positions that get rarer.
 """
 
 from __future__ import annotations
@@ -17,225 +20,288 @@ import zlib
 import numpy as np
 
 BLOCK = 1 << 14
-LANES = 512
-MAGIC = b"TMX1"
+STRANDS, STRAND = 64, 256  # most strands of a block; ids of a strand at least, where there are several
+LANES = 64  # blocks coded at a time at most
+MAGIC = b"TMX2"
 HEAD = "<4sIIII"  # magic, ids, alphabet, bytes of the alphabet, crc32 of the ids
 HEAD_SIZE = struct.calcsize(HEAD)
 HASH = 4096
 UNIT = 256  # the three weights add up to this
-U64 = np.uint64
+KINDS = 32  # pairs of confidences, and whether both predictions agree
+MASK = (1 << 48) - 1
 
 
 def varints(values: np.ndarray) -> bytes:
-    out = bytearray()
-    for v in values.tolist():
-        while v > 127:
-            out.append(v & 127 | 128)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+    left = values.astype(np.uint64)
+    groups = np.stack([left >> np.uint64(7 * k) for k in range(10)], axis=1)
+    used = groups > 0
+    used[:, 0] = True
+    out = (groups & np.uint64(127)).astype(np.uint8)
+    out[:, :-1] |= used[:, 1:].astype(np.uint8) << 7
+    return out[used].tobytes()
 
 
 def read_varints(data: bytes, count: int) -> np.ndarray:
-    out, value, shift = np.zeros(count, np.int64), 0, 0
-    at = 0
-    for byte in data:
-        value |= (byte & 127) << shift
-        shift += 7
-        if byte < 128:
-            out[at] = value
-            at, value, shift = at + 1, 0, 0
-    if at != count:
+    groups = np.frombuffer(data, np.uint8)
+    last = groups < 128
+    first = np.flatnonzero(np.append(True, last[:-1]))
+    if last.sum() != count or count and not last[-1]:
         raise ValueError("alphabet is damaged")
-    return out
+    if not count:
+        return np.zeros(0, np.int64)
+    within = np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
+    if within.max() > 8:
+        raise ValueError("alphabet is damaged")
+    return np.add.reduceat((groups & 127).astype(np.int64) << 7 * within, first)
+
+
+def cut_strands(size: int) -> np.ndarray:
+    """Lengths of the strands of a block of so many ids, falling."""
+    length = -(-size // min(max(size // STRAND, 1), STRANDS))
+    ends = np.minimum(np.arange(length, size + length, length), size)
+    return np.diff(ends, prepend=0)
+
+
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The alphabet, and the place of each id in it."""
+    most = int(ids.max())
+    if most >= 1 << 18:
+        return np.unique(ids, return_inverse=True)
+    seen = np.zeros(most + 1, bool)
+    seen[ids] = True
+    alphabet = np.flatnonzero(seen)
+    rank = np.zeros(most + 1, np.int32)
+    rank[alphabet] = np.arange(len(alphabet))
+    return alphabet, rank[ids]
 
 
 class Models:
-    """State of all blocks: order-0 cumulative counts, predicted ids with confidence, hits by confidences."""
-
-    def __init__(self, lanes: int, alphabet: np.ndarray, inverse: bool):
-        widest = int(alphabet.max())
-        self.sizes = alphabet
-        self.counts = np.zeros((lanes, widest), np.int32)
-        self.cum = np.zeros((lanes, widest + 1), np.int64)
-        self.ranks = np.zeros((lanes, 65536), np.uint16) if inverse else None  # rank at each cumulative count
-        self.width, self.lanes = widest, np.arange(lanes)
-        self.one = np.zeros((lanes, widest), np.int32)
-        self.one_sure = np.zeros((lanes, widest), np.int8)
-        self.two = np.zeros((lanes, HASH), np.int32)
-        self.two_sure = np.zeros((lanes, HASH), np.int8)
-        self.seen = np.full((lanes, 32), 8, np.int32)
-        self.hits_one = np.ones((lanes, 32), np.int32)
-        self.hits_two = np.ones((lanes, 32), np.int32)
-        self.refresh(0)
-
-    def refresh(self, done: int) -> None:
-        """Order-0 frequencies (at least 1, in all 2 ** 16) from the counts so far."""
-        for at, size in enumerate(self.sizes.tolist()):
-            spare = 65536 - size
-            freq = 1 + (self.counts[at, :size].astype(np.int64) * spare // done if done else np.full(size, spare // size))
+    """State of all blocks: order-0 cumulative counts, predicted ids with confidence, mixing weights by confidences."""
+
+    def __init__(self, alphabet: np.ndarray, inverse: bool):
+        blocks, self.sizes, self.width = len(alphabet), alphabet.tolist(), int(alphabet.max())
+        self.counts = np.zeros(blocks * self.width, np.int64)
+        self.cum = np.zeros((blocks, self.width + 1), np.int32)
+        self.inverse = np.zeros((blocks, 65536), np.uint16) if inverse else None  # rank at each cumulative count
+        self.one = np.zeros(blocks * self.width, np.int32)  # 4 * predicted rank + confidence
+        self.two = np.zeros(blocks * HASH, np.int32)
+        self.tried = np.full(blocks * KINDS, 8, np.int64)
+        self.agree = np.arange(blocks * KINDS) & KINDS // 2 > 0  # both predictions are one, of both weights
+        self.hits = np.ones((2, blocks * KINDS), np.int64)  # of order 1 where order 2 was wrong, of order 2
+
+    def refresh(self, done: np.ndarray) -> None:
+        """Order-0 frequencies (at least 1, in all 2 ** 16) and weights from the counts so far; done: ids of each block.
+
+        Ids of the alphabet that did not come yet share as much as came of different ids.
+        """
+        for at, (size, seen) in enumerate(zip(self.sizes, done.tolist())):
+            spare, cum = 65536 - size, self.cum[at]
+            counts = self.counts[at * self.width:at * self.width + size]
+            new = counts == 0
+            unseen = int(new.sum())
+            if unseen:  # at first all of them
+                counts, seen = np.where(new, max(size - unseen, 1), counts * unseen), max(seen + size - unseen, 1) * unseen
+            freq = 1 + counts * spare // seen
             freq[0] += 65536 - freq.sum()
-            cum = self.cum[at]
             np.cumsum(freq, out=cum[1:size + 1])
             cum[size + 1:] = 65536
-            if self.ranks is not None:
-                self.ranks[at] = np.repeat(np.arange(size, dtype=np.uint16), freq)
+            if self.inverse is not None:
+                self.inverse[at] = np.repeat(np.arange(size, dtype=np.uint16), freq)
+        first, second = self.hits * 248 // self.tried
+        first, second = np.where(self.agree, (0 * first, first + second), (first, second))
+        self.weights = np.stack([UNIT - first - second, first << 16, second << 16]).astype(np.int32)
+
+    def learn(self, places: np.ndarray, tries: np.ndarray) -> None:
+        """Count ids, and tries: 4 * kind, and 1 if order 1 was right, 2 if order 2 was."""
+        self.counts += np.bincount(places, minlength=len(self.counts))
+        wrong, first, second, both = np.bincount(tries, minlength=4 * len(self.tried)).reshape(-1, 4).T
+        self.tried += wrong + first + second + both
+        self.hits += first, second + both
+
 
+def taught(old: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Predicted ids with their confidences (hits in a row, up to 3); where one was wrong, the id that came takes its place."""
+    return np.where(hit, np.minimum(old + 1, old | 3), fresh)
 
-def coded(streams: list[np.ndarray] | None, lengths: np.ndarray, alphabet: np.ndarray,
-          words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Encode ranks (streams) to 16-bit words, or decode words to ranks. Blocks are ordered by falling length.
 
-    Returns the words with their number per block, or the ranks with their number per block.
+def coded(ranks: np.ndarray, lengths: np.ndarray, block: np.ndarray, alphabet: np.ndarray,
+          words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+    """Encode ranks (a row for each position, a column for each strand) to 16-bit words of each strand, or decode words to
+    ranks, which are filled in.
+
+    Strands are ordered by falling length; `block` tells their blocks, `alphabet` how many ranks each block has. Returns the
+    words with their number per strand, or the ranks.
     """
-    lanes, longest = len(lengths), int(lengths[0])
+    longest, lanes = ranks.shape
     encode = words is None
-    ranks = np.zeros((longest, lanes), np.int32)
+    m = Models(alphabet, not encode)
+    one, two, cum, width = m.one, m.two, m.cum.ravel(), m.width
+    cum_next = cum[1:]
+    at = np.arange(lanes) * (2 * longest + 8 if encode else words.shape[1])
     if encode:
-        for k, s in enumerate(streams):
-            ranks[:len(s), k] = s
         out = np.zeros((lanes, 2 * longest + 8), np.uint16)
-        low = np.zeros(lanes, U64)
+        flat, low, begin = out.ravel(), np.zeros(lanes, np.int64), at.copy()
     else:
-        code = (words[:, 0].astype(U64) << U64(32)) | (words[:, 1].astype(U64) << U64(16)) | words[:, 2].astype(U64)
-    at = np.zeros(lanes, np.int64) if encode else np.full(lanes, 3, np.int64)
-    span = np.full(lanes, (1 << 48) - 1, U64)
-    m = Models(lanes, alphabet, not encode)
-    width, cum_width = m.width, m.width + 1
-    cum, counts = m.cum.ravel(), m.counts.ravel()
-    inverse = None if encode else m.ranks.ravel()
-    one, one_sure, two, two_sure = m.one.ravel(), m.one_sure.ravel(), m.two.ravel(), m.two_sure.ravel()
-    seen, hits_one, hits_two = m.seen.ravel(), m.hits_one.ravel(), m.hits_two.ravel()
+        inverse, flat = m.inverse.ravel(), words.ravel()
+        code = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
+        at = at + 3
+    span = np.full(lanes, MASK, np.int64)
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
-    before = np.zeros(lanes, np.int64)
-    before2 = np.zeros(lanes, np.int64)
-    next_refresh, n = 64, lanes
+    tries = np.zeros((longest, lanes), np.int32)
+    before, before2 = np.zeros((2, lanes), np.int32)
+    next_refresh, last, n = 0, 0, -1
     for step in range(longest):
         if step == next_refresh:
-            m.refresh(step)
-            next_refresh = min(next_refresh * 2, next_refresh + 2048)
-        if active[step] != n or step == 0:
+            if step:
+                past, teach = ranks[last:step, :active[last]] + (block * width)[:active[last]], tries[last:step, :active[last]]
+                if n < active[last]:  # some have ended in between
+                    some = np.arange(active[last]) < active[last:step, None]
+                    past, teach = past[some], teach[some]
+                m.learn(past.ravel(), teach.ravel())
+            m.refresh(np.bincount(block, np.minimum(lengths, step), len(alphabet)).astype(np.int64))
+            weight0, weight1, weight2 = m.weights
+            next_refresh, last = max(1, min(step * 4, step + 64)), step
+        if active[step] != n:
             n = int(active[step])
-            lane = m.lanes[:n]
-            row, cum_row, hash_row, class_row = lane * width, lane * cum_width, lane * HASH, lane * 32
-            rank_row = lane * 65536
+            row, hash_row, kind_row = (block[:n] * size for size in (width, HASH, KINDS))
+            cum_row, inverse_row = row + block[:n], block[:n] << 16
             before, before2, span = before[:n], before2[:n], span[:n]
             if encode:
                 low = low[:n]
             else:
                 code = code[:n]
         key1 = row + before
-        key2 = hash_row + ((before2 * 2654435761 + before * 40503) >> 5 & (HASH - 1))
-        guess1, sure1, guess2, sure2 = one[key1], one_sure[key1], two[key2], two_sure[key2]
-        kind = class_row + (sure2 * np.int8(4) + sure1 + (guess1 == guess2) * np.int8(16))
-        tried = seen[kind]
-        w2 = hits_two[kind] * 248 // tried
-        w1 = hits_one[kind] * 248 // tried
-        w0 = (UNIT - w1 - w2).astype(np.int64)
-        w1, w2 = w1.astype(np.int64) << 16, w2.astype(np.int64) << 16
-        r = span >> U64(24)
+        key2 = hash_row + ((before2 * np.int32(40503) + before * np.int32(2971)) >> 5 & (HASH - 1))
+        old1, old2 = one[key1], two[key2]
+        guess1, sure1, guess2, sure2 = old1 >> 2, old1 & 3, old2 >> 2, old2 & 3
+        same = guess1 == guess2
+        kind = kind_row + (sure2 << 2) + sure1 + (same * np.int32(16))
+        w0, w1, w2 = weight0[kind], weight1[kind], weight2[kind]
+        r = span >> 24
         if encode:
             symbol = ranks[step, :n]
         else:
-            value = np.minimum(code // r, U64((1 << 24) - 1)).astype(np.int64)
-            # Below the smaller guess the value is off by no point mass, above it by one, above both by both.
-            w_all = w1 + w2
+            # Exact, since both are below 2 ** 52.
+            value = np.maximum(np.minimum(code / r, (1 << 24) - 1), 0).astype(np.int32)
+            # The point mass of a guess lies behind its order-0 mass: it is cut out, with what is in it put before the cut.
             lo, hi = np.minimum(guess1, guess2), np.maximum(guess1, guess2)
             w_lo = np.where(guess1 < guess2, w1, w2)
-            w_lo = np.where(lo == hi, w_all, w_lo)
-            at_lo, at_hi = cum_row + lo, cum_row + hi
-            from_lo, to_lo = w0 * cum[at_lo], w0 * cum[at_lo + 1] + w_lo
-            from_hi, to_hi = w0 * cum[at_hi] + w_lo, w0 * cum[at_hi + 1] + w_all
-            left = value - (value >= to_lo) * w_lo - (value >= to_hi) * (w_all - w_lo)
-            symbol = inverse[rank_row + np.minimum(left // w0, 65535)].astype(np.int32)
-            symbol = np.where((value >= from_hi) & (value < to_hi), hi, symbol)
-            symbol = np.where((value >= from_lo) & (value < to_lo), lo, symbol)
+            cut_lo, cut_hi = w0 * cum_next[cum_row + lo], w0 * cum_next[cum_row + hi]
+            left = np.maximum(np.minimum(value, cut_lo - 1), value - w_lo)
+            left = np.maximum(np.minimum(left, cut_hi - 1), left - (w1 + w2 - w_lo))
+            symbol = inverse[inverse_row + (left / w0).astype(np.int32)].astype(np.int32)
             ranks[step, :n] = symbol
         place = cum_row + symbol
         below = cum[place]
         hit1, hit2 = guess1 == symbol, guess2 == symbol
         start = w0 * below + w1 * (guess1 < symbol) + w2 * (guess2 < symbol)
-        size = w0 * (cum[place + 1] - below) + w1 * hit1 + w2 * hit2
-        moved = r * start.astype(U64)
-        span = r * size.astype(U64)
+        size = w0 * (cum_next[place] - below) + w1 * hit1 + w2 * hit2
+        moved = r * start
+        span = r * size
         if encode:
             low = low + moved
-            over = np.flatnonzero(low >> U64(48))
-            if len(over):
-                low[over] &= U64((1 << 48) - 1)
-                back = at[over] - 1
-                while len(over):
-                    out[over, back] += np.uint16(1)
-                    wrapped = out[over, back] == 0
-                    over, back = over[wrapped], back[wrapped] - 1
         else:
             code = code - moved
-        while True:
-            small = np.flatnonzero(span < U64(1 << 32))
-            if not len(small):
-                break
-            span[small] <<= U64(16)
-            where = at[small]
+        small = np.flatnonzero(span < 1 << 32)
+        while len(small):
+            narrow, where = span[small] << 16, at[small]
+            span[small] = narrow
+            at[small] = where + 1
             if encode:
-                out[small, where] = (low[small] >> U64(32)).astype(np.uint16)
-                low[small] = (low[small] & U64((1 << 32) - 1)) << U64(16)
+                flat[where] = carried(flat, where, low[small] >> 32)
+                low[small] = (low[small] & ((1 << 32) - 1)) << 16
             else:
-                code[small] = (code[small] << U64(16)) | words[small, where]
-            at[small] = where + 1
-        if encode and lengths[n - 1] == step + 1:  # blocks that end here
+                code[small] = (code[small] << 16) | flat[where]
+            small = small[narrow < 1 << 32]
+        if encode and lengths[n - 1] == step + 1:  # strands that end here: any value inside the span will do
             done = np.flatnonzero(lengths[:n] == step + 1)
-            for shift in (32, 16, 0):
-                out[done, at[done]] = ((low[done] >> U64(shift)) & U64(65535)).astype(np.uint16)
-                at[done] += 1
-        counts[row + symbol] += 1
-        seen[kind] = tried + 1
-        hits_two[kind] += hit2
-        hits_one[kind] += hit1 & ~hit2
-        one[key1] = np.where((sure1 == 0) & ~hit1, symbol, guess1)
-        one_sure[key1] = np.where(hit1, np.minimum(sure1 + np.int8(1), 3), np.maximum(sure1 - np.int8(1), 0))
-        two[key2] = np.where((sure2 == 0) & ~hit2, symbol, guess2)
-        two_sure[key2] = np.where(hit2, np.minimum(sure2 + np.int8(1), 3), np.maximum(sure2 - np.int8(1), 0))
-        before2, before = before, symbol.astype(np.int64)
-    return (out, at) if encode else (ranks, lengths)
+            flat[at[done]] = carried(flat, at[done], low[done] + ((1 << 32) - 1) >> 32)
+            at[done] += 1
+        tries[step, :n] = (kind << 2) + hit1 + (hit2 * np.int8(2))
+        fresh = symbol << 2
+        one[key1] = taught(old1, hit1, fresh)
+        two[key2] = taught(old2, hit2, fresh)
+        before2, before = before, symbol
+    return (out, at - begin) if encode else ranks
+
+
+def carried(flat: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Words to be put at `at`; what overflows 16 bits is added to the words before."""
+    back = at[words > 65535] - 1
+    while len(back):
+        flat[back] += np.uint16(1)
+        back = back[flat[back] == 0] - 1
+    return words & 65535
+
+
+def grouped(sizes: list[int]) -> list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks coded together: which, and for their strands by falling length the length, the block and the first id."""
+    groups, order = [], sorted(range(len(sizes)), key=lambda k: -sizes[k])
+    count = -(-len(order) // LANES)
+    for part in range(count):
+        mine = order[part * len(order) // count:(part + 1) * len(order) // count]
+        strands = [cut_strands(sizes[k]) for k in mine]
+        lengths, block = np.concatenate(strands), np.repeat(np.arange(len(mine)), list(map(len, strands)))
+        first = np.concatenate([np.cumsum(s) - s for s in strands])
+        falling = np.argsort(-lengths, kind="stable")
+        groups.append((mine, lengths[falling], block[falling], first[falling]))
+    return groups
+
+
+def places(lengths: np.ndarray, block: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a table with a row for each block: where the id at each position of each strand is, and which of them are real."""
+    position = np.arange(int(lengths[0]))[:, None]
+    return np.minimum(block * width + first + position, (block + 1) * width - 1), position < lengths
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Bytes of each non-empty block of unsigned 32-bit ids."""
     done: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    for part in range(0, len(order), LANES):
-        mine = order[part:part + LANES]
-        kinds = [np.unique(blocks[k], return_inverse=True) for k in mine]
-        lengths = np.asarray([len(blocks[k]) for k in mine])
-        words, counts = coded([ranks for _, ranks in kinds], lengths, np.asarray([len(ids) for ids, _ in kinds]))
-        for lane, (k, (ids, _)) in enumerate(zip(mine, kinds)):
+    for mine, lengths, block, first in grouped(list(map(len, blocks))):
+        kinds = [ranked(blocks[k]) for k in mine]
+        table = np.zeros((len(mine), len(blocks[mine[0]])), np.int32)
+        for line, (_, ranks) in zip(table, kinds):
+            line[:len(ranks)] = ranks
+        where, real = places(lengths, block, first, table.shape[1])
+        words, counts = coded(table.ravel()[where] * real, lengths, block, np.asarray([len(ids) for ids, _ in kinds]))
+        for at, (k, (ids, _)) in enumerate(zip(mine, kinds)):
             alphabet = varints(np.diff(ids.astype(np.int64), prepend=0))
             crc = zlib.crc32(blocks[k].astype("<u4").tobytes())
+            own = np.flatnonzero(block == at)
+            used = words[own][np.arange(words.shape[1]) < counts[own, None]]
             done[k] = (struct.pack(HEAD, MAGIC, len(blocks[k]), len(ids), len(alphabet), crc) + alphabet
-                       + words[lane, :counts[lane]].astype("<u2").tobytes())
+                       + counts[own].astype("<u2").tobytes() + used.astype("<u2").tobytes())
     return done
 
 
 def decode_blocks(blobs: list[bytes]) -> list[np.ndarray]:
     """Ids of each block; ValueError if one is damaged."""
     heads = [struct.unpack_from(HEAD, b) for b in blobs]
-    if any(h[0] != MAGIC for h in heads):
+    if any(h[0] != MAGIC or not h[1] or not h[2] for h in heads):
         raise ValueError("not a block of token ids")
     done: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blobs)
-    order = sorted(range(len(blobs)), key=lambda k: -heads[k][1])
-    for part in range(0, len(order), LANES):
-        mine = order[part:part + LANES]
-        bodies = [np.frombuffer(blobs[k], "<u2" if (HEAD_SIZE + heads[k][3]) % 2 == 0 else np.uint8,
-                                offset=HEAD_SIZE + heads[k][3]) for k in mine]
-        bodies = [b if b.dtype != np.uint8 else np.frombuffer(b.tobytes(), "<u2") for b in bodies]
-        words = np.zeros((len(mine), max(map(len, bodies)) + 4), np.uint16)
-        for lane, body in enumerate(bodies):
-            words[lane, :len(body)] = body
+    for mine, lengths, block, first in grouped([h[1] for h in heads]):
+        counts, bodies = np.zeros(len(lengths), np.int64), []
+        for at, k in enumerate(mine):
+            own, body = np.flatnonzero(block == at), np.frombuffer(blobs[k][HEAD_SIZE + heads[k][3]:], "<u2")
+            counts[own] = body[:len(own)]
+            bodies.append(body[len(own):])
+            if counts[own].sum() != len(bodies[-1]) or counts[own].max() > 2 * lengths[0]:
+                raise ValueError("strands of a block are damaged")
+        words = np.zeros((len(lengths), 2 * int(lengths[0]) + 8), np.uint16)
+        for at, body in enumerate(bodies):
+            own = np.flatnonzero(block == at)
+            some = np.zeros((len(own), words.shape[1]), np.uint16)
+            some[np.arange(words.shape[1]) < counts[own, None]] = body
+            words[own] = some
         alphabets = [np.cumsum(read_varints(blobs[k][HEAD_SIZE:HEAD_SIZE + heads[k][3]], heads[k][2])) for k in mine]
-        lengths = np.asarray([heads[k][1] for k in mine])
-        ranks, _ = coded(None, lengths, np.asarray([len(a) for a in alphabets]), words)
-        for lane, k in enumerate(mine):
-            ids = alphabets[lane][ranks[:lengths[lane], lane]].astype(np.uint32)
+        ranks = coded(np.zeros((int(lengths[0]), len(lengths)), np.int32), lengths, block,
+                      np.asarray(list(map(len, alphabets))), words)
+        table = np.zeros((len(mine), heads[mine[0]][1]), np.int32)
+        where, real = places(lengths, block, first, table.shape[1])
+        table.ravel()[where[real]] = ranks[real]
+        for line, k, alphabet in zip(table, mine, alphabets):
+            ids = alphabet[line[:heads[k][1]]].astype(np.uint32)
             if zlib.crc32(ids.astype("<u4").tobytes()) != heads[k][4]:
                 raise ValueError("checksum of a block differs")
             done[k] = ids

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from worktempo.llm.common import slices, worker_state
 from worktempo.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 from worktempo.llm.tokens import Encoder
 
-#: Ids after which a row is closed.
-ROW_IDS = 16 * BLOCK
+#: Ids after which a row is closed; blocks after which they are coded; bytes of texts encoded at a time (or one text).
+ROW_IDS, WAITING, TEXT_BYTES = 16 * BLOCK, 4 * LANES, 1 << 23
 
 FILE = "part int, first bigint, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>"
 FILE_ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -44,6 +45,16 @@ def coded_rows(part: int, rows: list[tuple[int, list, list, bytes]]) -> pa.Recor
         for (first, docs, lengths, _), cut in zip(rows, cuts)], schema=FILE_ARROW)
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, of at most TEXT_BYTES of text: the more, the fewer words are met again."""
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BYTES, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Write the ids of docs (doc_id, text) to the folder `path`; `tokenizer` is a file that every machine has."""
     end = end_id.to_bytes(4, "little")
@@ -60,15 +71,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
             doc_ids, lengths, pieces, size = [], [], [], 0
 
         for batch in batches:
-            for some in slices(batch):
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
+            for some in portions(batch):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text"))):
                     doc_ids.append(doc_id)
                     lengths.append(len(ids) // 4 + 1)
                     pieces += [ids, end]
                     size += lengths[-1]
                     if size >= ROW_IDS:
                         close()
-                        if waiting >= LANES:
+                        if waiting >= WAITING:
                             yield coded_rows(part, rows)
                             rows, waiting = [], 0
         if doc_ids:
@@ -87,7 +98,7 @@ def decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
     for row in (r for some in slices(batch, 16) for r in some.to_pylist()):
         rows.append(row)
         waiting += len(row["blocks"])
-        if waiting >= LANES:
+        if waiting >= WAITING:
             yield from with_ids(rows)
             rows, waiting = [], 0
     yield from with_ids(rows)

@@ -103,6 +103,25 @@ def test_words_of_equal_length_and_crc_are_two_words(docs, spark):
     assert (row.distance, row.similarity) == (1, pytest.approx(5 / 6))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aBZ'.,!-_É é̀ΣσßİK\x1f\x7f"), max_size=8))
+def test_normal_words(word):
+    assert d.normal(word.encode()) == word.lower().encode().strip(d.PUNCTUATION)
+
+
+def test_only_words_near_a_candidate_are_compared(words, monkeypatch):
+    """Words whose hashes are known are made plain only where they may belong to a leak, each once."""
+    items, table = [(1, words(20))], WordTable(d.word_hashes)
+    index = d.Index(items, 0.8)
+    texts = [" ".join([*(f"w{n}" for n in range(5000)), items[0][1].upper(), *(f"v{n}" for n in range(5000))])] * 3
+    first = index.search(texts, table)
+    calls = []
+    monkeypatch.setattr(d, "normal", lambda word, normal=d.normal: calls.append(word) or normal(word))
+    again = index.search(texts, table)
+    assert again == first and all([(h["item_id"], h["start_word"], h["distance"]) for h in hits] == [(1, 5000, 0)] for hits in again)
+    assert len(calls) == len(set(calls)) < 200
+
+
 def brute_force(texts, items):
     """All pairs by the plain search over whole documents."""
     found = {}

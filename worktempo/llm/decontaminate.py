@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktempo.llm.common import WordTable, boxed, split_words, text_udf, worker_state
+from worktempo.llm.common import Words, WordTable, boxed, split_words, text_udf, worker_state
 
 MIN_WORDS, STRIDE, REPEATS = 5, 5, 12
 #: Words that the sampled steps of an item window lie on at least; hashes an item keeps at least.
@@ -52,6 +52,8 @@ HIT = "array<struct<item_id:bigint,start_word:int,end_word:int,distance:int,simi
 
 
 def normal(word: bytes) -> bytes:
+    if word.isascii():
+        return word.lower().strip(PUNCTUATION)
     return word.decode("utf-8", "replace").lower().encode().strip(PUNCTUATION)
 
 
@@ -89,9 +91,9 @@ def signatures(codes: np.ndarray, starts: np.ndarray, walk: int, picked: int, pl
             users[s].append(r)
     at = starts.astype(np.int64)
     out = np.zeros((REPEATS, len(at)), np.uint64)
-    reach = np.full((REPEATS, len(at)), -1, np.int64)
-    on = np.zeros((REPEATS, len(at)), np.int64)
-    code, turn = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
+    reach = np.full((REPEATS, len(at) if places_too else 0), -1, np.int64)
+    on = np.zeros_like(reach)
+    code, turn = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1]).view(np.int64)
     for step in range(max(users) + 1):
         if step in users:
             emitted = code[at] * multipliers[step]
@@ -100,7 +102,10 @@ def signatures(codes: np.ndarray, starts: np.ndarray, walk: int, picked: int, pl
                 if places_too:
                     on[r] += reach[r] != at - starts
                     reach[r] = at - starts
-        at = at + ((turn[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+        move = turn[at]
+        move >>= step
+        move &= 1
+        at += move
     return out ^ (out >> np.uint64(32)), reach, on
 
 
@@ -220,10 +225,10 @@ class Index:
                     found.append(np.stack([at[which], item, at[which] - offset], axis=1))
         return tuple(np.concatenate(found).T)
 
-    def search(self, texts: list[str | None], table: WordTable) -> list[list[dict]]:
+    def search(self, texts: list[str | None] | pa.Array, table: WordTable) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in texts]
-        documents = [split_words(t) for t in texts]
-        values, starts = table.rows(documents)
+        cut = Words(texts)
+        values, starts = table.rows_of(cut), cut.starts
         if not len(values) or not self.items:
             return out
         padding = max(t[0] for t in self.tables) + 1
@@ -247,12 +252,14 @@ class Index:
             for k, a, b in zip(mine[some].tolist(), first[some].tolist(), last[some].tolist()):
                 keep[k] = not self.runs[item[k]].isdisjoint(hashes[hit[a:b]].tolist())
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        plain: dict[int, list[bytes]] = {}
+        plain: dict[int, bytes] = {}
         for d, i, a, z in np.stack([doc, item, begin, end], axis=1)[keep].tolist():
             words, first = self.items[i][0], int(starts[d])
-            if d not in plain:
-                plain[d] = [normal(w) for w in documents[d]]
-            text, limit = plain[d][a - first:z - first], int(self.most[i])
+            near, limit = cut.codes[a:z].tolist(), int(self.most[i])
+            for c in near:
+                if c not in plain:
+                    plain[c] = normal(cut.distinct[c])
+            text = [plain[c] for c in near]
             if sum(map(set(words).__contains__, text)) < len(words) - limit:
                 continue
             distance, stop = edit_search(words, text)
@@ -288,7 +295,7 @@ def leaks_column(index: Index, text: Column) -> Column:
         table = worker_state(("word hashes",), lambda: WordTable(word_hashes, 600_000))
         return lambda texts: pa.array(index.search(texts, table), kind)
 
-    return text_udf(make, HIT)(text)
+    return text_udf(make, HIT, as_list=False)(text)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:

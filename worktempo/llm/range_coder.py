@@ -26,7 +26,8 @@ MAGIC = b"TMX2"
 HEAD = "<4sIIII"  # magic, ids, alphabet, bytes of the alphabet, crc32 of the ids
 HEAD_SIZE = struct.calcsize(HEAD)
 HASH = 4096
-UNIT = 256  # the three weights add up to this
+UNIT, SCALE_BITS = 256, 15  # what the three weights, and the order-0 frequencies add up to (the latter as a power of 2)
+SCALE, TOTAL_BITS = 1 << SCALE_BITS, SCALE_BITS + 8
 KINDS = 32  # pairs of confidences, and whether both predictions agree
 MASK = (1 << 48) - 1
 
@@ -82,7 +83,7 @@ class Models:
         blocks, self.sizes, self.width = len(alphabet), alphabet.tolist(), int(alphabet.max())
         self.counts = np.zeros(blocks * self.width, np.int64)
         self.cum = np.zeros((blocks, self.width + 1), np.int32)
-        self.inverse = np.zeros((blocks, 65536), np.uint16) if inverse else None  # rank at each cumulative count
+        self.inverse = np.zeros((blocks, SCALE), np.uint16) if inverse else None  # rank at each cumulative count
         self.one = np.zeros(blocks * self.width, np.int32)  # 4 * predicted rank + confidence
         self.two = np.zeros(blocks * HASH, np.int32)
         self.tried = np.full(blocks * KINDS, 8, np.int64)
@@ -90,26 +91,26 @@ class Models:
         self.hits = np.ones((2, blocks * KINDS), np.int64)  # of order 1 where order 2 was wrong, of order 2
 
     def refresh(self, done: np.ndarray) -> None:
-        """Order-0 frequencies (at least 1, in all 2 ** 16) and weights from the counts so far; done: ids of each block.
+        """Order-0 frequencies (at least 1, in all SCALE) and weights from the counts so far; done: ids of each block.
 
         Ids of the alphabet that did not come yet share as much as came of different ids.
         """
         for at, (size, seen) in enumerate(zip(self.sizes, done.tolist())):
-            spare, cum = 65536 - size, self.cum[at]
+            spare, cum = SCALE - size, self.cum[at]
             counts = self.counts[at * self.width:at * self.width + size]
             new = counts == 0
             unseen = int(new.sum())
             if unseen:  # at first all of them
                 counts, seen = np.where(new, max(size - unseen, 1), counts * unseen), max(seen + size - unseen, 1) * unseen
-            freq = 1 + counts * spare // seen
-            freq[0] += 65536 - freq.sum()
+            freq = 1 + (counts * spare / seen).astype(np.int64)  # exact: below 2 ** 52
+            freq[0] += SCALE - freq.sum()
             np.cumsum(freq, out=cum[1:size + 1])
-            cum[size + 1:] = 65536
+            cum[size + 1:] = SCALE
             if self.inverse is not None:
                 self.inverse[at] = np.repeat(np.arange(size, dtype=np.uint16), freq)
         first, second = self.hits * 248 // self.tried
         first, second = np.where(self.agree, (0 * first, first + second), (first, second))
-        self.weights = np.stack([UNIT - first - second, first << 16, second << 16]).astype(np.int32)
+        self.weights = np.stack([UNIT - first - second, first << SCALE_BITS, second << SCALE_BITS]).astype(np.int32)
 
     def learn(self, places: np.ndarray, tries: np.ndarray) -> None:
         """Count ids, and tries: 4 * kind, and 1 if order 1 was right, 2 if order 2 was."""
@@ -164,7 +165,7 @@ def coded(ranks: np.ndarray, lengths: np.ndarray, block: np.ndarray, alphabet: n
         if active[step] != n:
             n = int(active[step])
             row, hash_row, kind_row = (block[:n] * size for size in (width, HASH, KINDS))
-            cum_row, inverse_row = row + block[:n], block[:n] << 16
+            cum_row, inverse_row = row + block[:n], block[:n] << SCALE_BITS
             before, before2, span = before[:n], before2[:n], span[:n]
             if encode:
                 low = low[:n]
@@ -175,14 +176,14 @@ def coded(ranks: np.ndarray, lengths: np.ndarray, block: np.ndarray, alphabet: n
         old1, old2 = one[key1], two[key2]
         guess1, sure1, guess2, sure2 = old1 >> 2, old1 & 3, old2 >> 2, old2 & 3
         same = guess1 == guess2
-        kind = kind_row + (sure2 << 2) + sure1 + (same * np.int32(16))
+        kind = kind_row + (same.view(np.int8) * np.int32(16) + (sure2 << 2) + sure1)
         w0, w1, w2 = weight0[kind], weight1[kind], weight2[kind]
-        r = span >> 24
+        r = span >> TOTAL_BITS
         if encode:
             symbol = ranks[step, :n]
         else:
             # Exact, since both are below 2 ** 52.
-            value = np.maximum(np.minimum(code / r, (1 << 24) - 1), 0).astype(np.int32)
+            value = np.maximum(np.minimum(code / r, (1 << TOTAL_BITS) - 1), 0).astype(np.int32)
             # The point mass of a guess lies behind its order-0 mass: it is cut out, with what is in it put before the cut.
             lo, hi = np.minimum(guess1, guess2), np.maximum(guess1, guess2)
             w_lo = np.where(guess1 < guess2, w1, w2)
@@ -217,7 +218,7 @@ def coded(ranks: np.ndarray, lengths: np.ndarray, block: np.ndarray, alphabet: n
             done = np.flatnonzero(lengths[:n] == step + 1)
             flat[at[done]] = carried(flat, at[done], low[done] + ((1 << 32) - 1) >> 32)
             at[done] += 1
-        tries[step, :n] = (kind << 2) + hit1 + (hit2 * np.int8(2))
+        tries[step, :n] = (kind << 2) + (hit2.view(np.int8) * np.int8(2) + hit1.view(np.int8))
         fresh = symbol << 2
         one[key1] = taught(old1, hit1, fresh)
         two[key2] = taught(old2, hit2, fresh)
